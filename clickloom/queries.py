@@ -1,0 +1,86 @@
+"""Registry of named queries: Spark implementation + DuckDB oracle SQL.
+
+Each Spark callable takes ``(spark, sf_dir)`` and returns a DataFrame whose
+column names equal the oracle's.  Queries run over whole driver tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from clickloom import model, oracle as O
+from clickloom.functions.scalars import json_text
+from clickloom.sources import bindings as B
+
+SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn):
+        SPARK[name] = fn
+        if sql is not None:
+            SQL[name] = sql
+        return fn
+    return deco
+
+
+GAP = O.GAP_TEST_MS
+
+
+# ------------------------------------------------------------ C: compaction
+def _compressed(spark, sf):
+    from clickloom.operators.compact import compress
+    return compress(B.rec_events(spark, sf))
+
+
+def _comp_out(df):
+    return df.select("rec_id", "ord", "id", "ts_ms", "type", "key",
+                     F.col("target.url").alias("url"), "screenshot_path",
+                     F.when(F.col("type") == "input", json_text("value_json")).alias("text"))
+
+
+@register("compress", "WITH " + O.COMPRESS + " SELECT rec_id, ord, id, ts_ms, type, key, url, screenshot_path, text FROM comp")
+def q_compress(spark, sf):
+    return _comp_out(_compressed(spark, sf))
+
+
+# ------------------------------------------------------------ D: segmentation
+def _segmented(spark, sf, gap=GAP):
+    from clickloom.operators.segment import segment
+    return segment(_compressed(spark, sf), gap_ms=gap)
+
+
+@register("score_boundary", "WITH " + O.segment_sql(GAP) +
+          " SELECT rec_id, ord, id, CAST(weight AS BIGINT) AS weight, reasons FROM seg")
+def q_score_boundary(spark, sf):
+    df = _segmented(spark, sf)
+    return df.select("rec_id", "ord", "id", F.col("weight").cast("long").alias("weight"),
+                     F.array_join("reasons", ",").alias("reasons"))
+
+
+@register("segment", "WITH " + O.segment_sql(GAP) + " SELECT rec_id, ord, id, type, seg FROM seg")
+def q_segment(spark, sf):
+    return _segmented(spark, sf).select("rec_id", "ord", "id", "type", F.col("seg").cast("long").alias("seg"))
+
+
+@register("cap_segments", O.capped_sql(GAP) + " SELECT rec_id, ord, id, seg FROM capped")
+def q_cap_segments(spark, sf):
+    from clickloom.operators.segment import cap_segments
+    return cap_segments(_segmented(spark, sf)).select("rec_id", "ord", "id", F.col("seg").cast("long").alias("seg"))
+
+
+# ------------------------------------------------------------ F: summaries
+@register("segment_summary", "WITH " + O.segment_sql(GAP) + f" SELECT {O.SUMMARY_COLS} FROM seg GROUP BY rec_id, seg")
+def q_segment_summary(spark, sf):
+    from clickloom.operators.summarize import segment_summary
+    return segment_summary(_segmented(spark, sf)).select(
+        "rec_id", F.col("seg").cast("long").alias("seg"), "duration_ms", "event_count", "boundary_screenshot")
+
+
+@register("pipeline", O.capped_sql(GAP) + f" SELECT {O.SUMMARY_COLS} FROM capped GROUP BY rec_id, seg")
+def q_pipeline(spark, sf):
+    from clickloom.plans.build import pipeline
+    return pipeline(B.rec_events(spark, sf), gap_ms=GAP).select(
+        "rec_id", F.col("seg").cast("long").alias("seg"), "duration_ms", "event_count", "boundary_screenshot")
