@@ -115,7 +115,7 @@ def shannon_entropy(s: Column | str) -> Column:
 
     Counts per distinct character come from sorting the character array once
     and measuring run lengths, all inside higher-order functions."""
-    chars = F.array_sort(F.split(col_(s), "(?!$)"))
+    chars = F.array_sort(F.split(col_(s), r"(?!\z)"))
     n = F.size(chars)
     # positions where a new run of equal characters starts
     starts = F.filter(F.sequence(F.lit(1), n),

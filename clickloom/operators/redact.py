@@ -1,0 +1,196 @@
+"""Redaction of secrets and personal data with numbered placeholders.
+
+Three phases, all Spark expressions except a tiny JSON leaf walker:
+
+1. per string leaf, for each pattern in order: record the matches, replace
+   them with a private-use sentinel (one per kind) so that later patterns see
+   the same boundaries as after a placeholder; then the high-entropy rule;
+2. per recording and kind, the number of earlier matches (exclusive running
+   sum over (ord, leaf)) with the chunked two-level prefix sum;
+3. per leaf, split on each sentinel and rejoin with ``<KIND_n>``.
+
+Known divergence: a later pattern can match the digits inside a placeholder
+only once a counter reaches 11 digits; sentinels never match.
+"""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from clickloom import model
+from clickloom.functions.scalars import json_is_array, json_is_object, json_is_string, json_quote, json_text
+from clickloom.functions.scalars import looks_like_secret, shannon_entropy
+from clickloom.plans.ordered import CHUNK, stage, with_running
+
+KINDS = [k for k, _ in model.REDACTION_PATTERNS] + [model.HIGH_ENTROPY_KIND]
+SENTINELS = [chr(0xE000 + i) for i in range(len(KINDS))]
+_SENT_CLASS = "[" + SENTINELS[0] + "-" + SENTINELS[-1] + "]"
+
+
+def java_pattern(pat: str) -> str:
+    """Python ``re`` classes are Unicode-aware; Java needs ``(?U)``."""
+    return "(?U)" + pat
+
+
+def _n(i: int) -> str:
+    return f"n_{KINDS[i]}"
+
+
+def detect(df: DataFrame, text: str = "text", out: str = "__t") -> DataFrame:
+    """Phase 1: adds ``__t`` (sentinelised text), ``n_<KIND>`` match counts and
+    ``len_<KIND>`` arrays of match lengths (code points)."""
+    df = df.withColumn(out, F.col(text))
+    for i, (kind, pat) in enumerate(model.REDACTION_PATTERNS):
+        jp = java_pattern(pat)
+        df = df.withColumn(f"len_{kind}", F.transform(F.regexp_extract_all(F.col(out), F.lit(jp), 0),
+                                                       lambda m: F.char_length(m)))
+        df = df.withColumn(out, F.regexp_replace(F.col(out), jp, SENTINELS[i]))
+    t = F.col(out)
+    he = (F.coalesce(F.char_length(t) >= model.HIGH_ENTROPY_MIN_LEN, F.lit(False))
+          & ~t.contains("<") & ~t.rlike(_SENT_CLASS)
+          & looks_like_secret(t)
+          & (shannon_entropy(t) >= model.HIGH_ENTROPY_THRESHOLD))
+    he_kind = model.HIGH_ENTROPY_KIND
+    df = df.withColumn(f"len_{he_kind}", F.when(he, F.array(F.char_length(t))).otherwise(F.array().cast("array<int>")))
+    return df.select("*", *[F.coalesce(F.size(f"len_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS])
+
+
+def number(df: DataFrame, keys="rec_id", ord=("ord", "leaf")) -> DataFrame:
+    """Phase 2: ``off_<KIND>`` = matches of that kind in earlier leaves of the
+    same recording."""
+    specs = {f"off_{k}": (F.col(f"n_{k}"), "sum") for k in KINDS}
+    return with_running(df, specs, keys=keys, ord=list(ord), inclusive=False)
+
+
+def rebuild(df: DataFrame, t: str = "__t", out: str = "scrubbed") -> DataFrame:
+    """Phase 3: replace the j-th sentinel of kind i by ``<KIND_{off+j}>``."""
+    df = df.withColumn(out, F.col(t))
+    for i, kind in enumerate(KINDS[:-1]):
+        off = F.col(f"off_{kind}")
+        parts = F.split(F.col(out), SENTINELS[i], -1)
+        df = df.withColumn(out, F.when(F.col(f"n_{kind}") > 0, F.array_join(F.transform(
+            parts, lambda p, j: F.when(j == 0, p).otherwise(
+                F.concat(F.lit(f"<{kind}_"), (off + j).cast("string"), F.lit(">"), p))), ""))
+            .otherwise(F.col(out)))
+    he = model.HIGH_ENTROPY_KIND
+    df = df.withColumn(out, F.when(F.col(f"n_{he}") > 0,
+                                   F.concat(F.lit(f"<{he}_"), (F.col(f"off_{he}") + 1).cast("string"), F.lit(">")))
+                       .otherwise(F.col(out)))
+    return df
+
+
+def scrub_leaves(leaves: DataFrame, text: str = "text", keys="rec_id", ord=("ord", "leaf")) -> DataFrame:
+    """E1-E11 on a table of string leaves ``(keys, ord..., _chunk, text)``."""
+    return rebuild(number(detect(leaves, text), keys=keys, ord=ord))
+
+
+def redaction_log(scrubbed: DataFrame, keys="rec_id", event_id: str = "id") -> DataFrame:
+    """One row per replacement with its placeholder and original length.
+    Sort key: (ord, leaf, kind index, position)."""
+    keys_l = [keys] if isinstance(keys, str) else list(keys)
+    per_kind = F.array(*[F.struct(F.lit(i).alias("kind_idx"), F.lit(k).alias("kind"),
+                                  F.col(f"off_{k}").alias("off"), F.col(f"len_{k}").alias("lens"))
+                         for i, k in enumerate(KINDS)])
+    x = scrubbed.select(*keys_l, "ord", "leaf", F.col(event_id).alias("event_id"),
+                        F.explode(F.filter(per_kind, lambda s: F.size(s["lens"]) > 0)).alias("k"))
+    x = x.select(*keys_l, "ord", "leaf", "event_id", "k.kind_idx", "k.kind", "k.off",
+                 F.posexplode("k.lens").alias("pos", "original_length"))
+    return x.select(*keys_l, "ord", "leaf", "kind_idx", "pos", "event_id",
+                    F.concat(F.lit("<"), F.col("kind"), F.lit("_"), (F.col("off") + F.col("pos") + 1).cast("string"),
+                             F.lit(">")).alias("placeholder"),
+                    "kind", F.col("original_length").cast("long").alias("original_length"))
+
+
+def redaction_counts(log: DataFrame, keys="rec_id") -> DataFrame:
+    """Per recording and kind, number of replacements (partial aggregation)."""
+    keys_l = [keys] if isinstance(keys, str) else list(keys)
+    return log.groupBy(*keys_l, "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------- event values
+@F.pandas_udf("array<string>")
+def json_string_leaves(v: pd.Series) -> pd.Series:
+    """String leaves of a JSON value in document order (dict values, list
+    items; keys and non-strings are not leaves)."""
+    def walk(o, out):
+        if isinstance(o, str):
+            out.append(o)
+        elif isinstance(o, dict):
+            for x in o.values():
+                walk(x, out)
+        elif isinstance(o, list):
+            for x in o:
+                walk(x, out)
+        return out
+    return v.map(lambda s: None if s is None else walk(json.loads(s), []))
+
+
+@F.pandas_udf("string")
+def json_replace_leaves(v: pd.Series, new: pd.Series) -> pd.Series:
+    """Put new string leaves back into a JSON value, keeping key order."""
+    def put(s, vals):
+        it = iter(vals)
+
+        def walk(o):
+            if isinstance(o, str):
+                return next(it)
+            if isinstance(o, dict):
+                return {k: walk(x) for k, x in o.items()}
+            if isinstance(o, list):
+                return [walk(x) for x in o]
+            return o
+        return json.dumps(walk(json.loads(s)), ensure_ascii=False, separators=(",", ":"))
+    return pd.Series([None if s is None else put(s, list(n)) for s, n in zip(v, new)])
+
+
+def scrub_events(events: DataFrame, keys="rec_id", value: str = "value_json") -> DataFrame:
+    """Scrub ``value_json`` of every event; ``redacted`` |= changed.
+    String values stay in the JVM; object/array values use the leaf walker."""
+    keys_l = [keys] if isinstance(keys, str) else list(keys)
+    cols = events.columns
+    v = F.col(value)
+    leaves = (F.when(json_is_string(v), F.array(json_text(v)))
+              .when(json_is_object(v) | json_is_array(v), json_string_leaves(v))
+              .otherwise(F.array().cast("array<string>")))
+    x = events.select(F.struct(*cols).alias("__ev"), *keys_l, "ord", CHUNK,
+                      F.posexplode_outer(leaves).alias("leaf", "text"))
+    x = x.withColumn("leaf", F.coalesce(F.col("leaf"), F.lit(0)))
+    x = scrub_leaves(x.withColumn("text", F.coalesce(F.col("text"), F.lit(""))), "text", keys=keys_l)
+    # regroup leaves into events on the staged (keys, _chunk) partitioning
+    g = x.groupBy(*keys_l, CHUNK, "ord").agg(
+        F.first("__ev").alias("__ev"),
+        F.array_sort(F.collect_list(F.struct("leaf", "text", "scrubbed"))).alias("__lv"))
+    changed = F.exists("__lv", lambda s: s["text"] != s["scrubbed"])
+    ev_v = F.col("__ev")[value]
+    new_v = (F.when(~changed, ev_v)
+             .when(json_is_string(ev_v), json_quote(F.col("__lv")[0]["scrubbed"]))
+             .otherwise(json_replace_leaves(ev_v, F.transform("__lv", lambda s: s["scrubbed"]))))
+    out = []
+    for c in cols:
+        if c == value:
+            out.append(new_v.alias(c))
+        elif c == "redacted":
+            out.append((F.coalesce(F.col("__ev")["redacted"], F.lit(False)) | changed).alias(c))
+        else:
+            out.append(F.col("__ev")[c].alias(c))
+    return g.select(*out)
+
+
+def scrub_documents(docs: DataFrame, keys="rec_id") -> DataFrame:
+    """E18 on a documents-shaped table (one string leaf per row)."""
+    return scrub_leaves(docs.withColumn("leaf", F.lit(0)), "text", keys=keys)
+
+
+def pii_gate(recordings: DataFrame, log: DataFrame, allow_pii: bool = False, keys="rec_id") -> DataFrame:
+    """Per recording, redaction total and a warning flag.  Placeholders
+    are always applied; ``allow_pii`` only silences the warning, and nothing
+    is blocked (the recorded behaviour)."""
+    keys_l = [keys] if isinstance(keys, str) else list(keys)
+    n = log.groupBy(*keys_l).agg(F.count(F.lit(1)).alias("n_redactions"))
+    out = recordings.select(*keys_l).distinct().join(n, keys_l, "left")
+    n_col = F.coalesce(F.col("n_redactions"), F.lit(0)).cast("long")
+    return out.select(*keys_l, n_col.alias("n_redactions"),
+                      ((n_col > 0) & F.lit(not allow_pii)).alias("warn"), F.lit(False).alias("blocked"))

@@ -103,3 +103,72 @@ capped AS (SELECT s.* REPLACE (CAST(len(list_filter(c.anchors, lambda a: a <= s.
 SUMMARY_COLS = """rec_id, seg, CAST(arg_max_null(ts_ms, ord) - arg_min_null(ts_ms, ord) AS BIGINT) AS duration_ms,
   CAST(count(*) AS BIGINT) AS event_count,
   arg_max(screenshot_path, ord) FILTER (WHERE screenshot_path IS NOT NULL AND screenshot_path <> '') AS boundary_screenshot"""
+
+
+# ------------------------------------------------------------------ R1 / E
+def _seed_sql() -> str:
+    from clickloom.sources.bindings import SEED_SECRETS
+    import re as _re
+    whens = []
+    for r, tmpl in SEED_SECRETS:
+        parts = []
+        for lit, pad in _re.findall(r"([^{]*)(?:\{p(\d+)\})?", tmpl):
+            if lit:
+                parts.append("'" + lit + "'")
+            if pad:
+                parts.append(f"lpad(CAST(doc_id AS VARCHAR), {pad}, '0')")
+        whens.append(f"WHEN {r} THEN ' ' || " + " || ".join(parts))
+    return "CASE doc_id % 9 " + " ".join(whens) + " ELSE '' END"
+
+
+R1 = f"""
+r1 AS (SELECT source AS rec_id, doc_id AS ord, CAST(0 AS BIGINT) AS leaf, doc_id,
+              printf('doc_%d', doc_id) AS id, text || {_seed_sql()} AS text FROM documents)"""
+
+KINDS = [k for k, _ in model.REDACTION_PATTERNS] + [model.HIGH_ENTROPY_KIND]
+
+
+def redact_sql(base: str, src: str) -> str:
+    """CTEs e0..e9 (detect), eo (offsets), es (rebuilt ``scrubbed``) over ``src``
+    with columns rec_id, ord, leaf, id, text."""
+    ctes = [f"e0 AS (SELECT *, text AS t0 FROM {src})"]
+    for i, (kind, pat) in enumerate(model.REDACTION_PATTERNS):
+        ctes.append(f"e{i + 1} AS (SELECT *, list_transform(regexp_extract_all(t{i}, '{pat}'), lambda m: length(m)) AS len_{kind}, "
+                    f"regexp_replace(t{i}, '{pat}', chr({0xE000 + i}), 'g') AS t{i + 1} FROM e{i})")
+    n = len(model.REDACTION_PATTERNS)
+    he = model.HIGH_ENTROPY_KIND
+    cond = (f"length(t{n}) >= {model.HIGH_ENTROPY_MIN_LEN} AND position('<' IN t{n}) = 0 "
+            f"AND NOT regexp_matches(t{n}, '[{chr(0xE000)}-{chr(0xE000 + n - 1)}]') "
+            f"AND position(' ' IN regexp_replace(t{n}, '^\\s+|\\s+$', '', 'g')) = 0 "
+            f"AND regexp_matches(t{n}, '\\pL') AND regexp_matches(t{n}, '\\p{{Nd}}') "
+            f"AND list_aggregate(string_split(t{n}, ''), 'entropy') >= {model.HIGH_ENTROPY_THRESHOLD}")
+    counts = ", ".join(f"CAST(len(len_{k}) AS BIGINT) AS n_{k}" for k in KINDS)
+    ctes.append(f"eh AS (SELECT *, CASE WHEN {cond} THEN [length(t{n})] ELSE CAST([] AS BIGINT[]) END AS len_{he} FROM e{n})")
+    ctes.append(f"ec AS (SELECT *, {counts} FROM eh)")
+    offs = ", ".join(f"CAST(coalesce(sum(n_{k}) OVER w, 0) AS BIGINT) AS off_{k}" for k in KINDS)
+    ctes.append(f"eo AS (SELECT *, {offs} FROM ec WINDOW w AS (PARTITION BY rec_id ORDER BY ord, leaf "
+                f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+    expr = f"t{n}"
+    for i, kind in enumerate(KINDS[:-1]):
+        expr = (f"(CASE WHEN n_{kind} > 0 THEN array_to_string(list_transform(string_split({expr}, chr({0xE000 + i})), "
+                f"lambda p, j: CASE WHEN j = 1 THEN p ELSE '<{kind}_' || CAST(off_{kind} + j - 1 AS VARCHAR) || '>' || p END), '') "
+                f"ELSE {expr} END)")
+    expr = f"CASE WHEN n_{he} > 0 THEN '<{he}_' || CAST(off_{he} + 1 AS VARCHAR) || '>' ELSE {expr} END"
+    ctes.append(f"es AS (SELECT *, {expr} AS scrubbed FROM eo)")
+    return base + ",\n" + ",\n".join(ctes)
+
+
+def redaction_log_sql(src: str = "es") -> str:
+    parts = []
+    for i, k in enumerate(KINDS):
+        parts.append(f"SELECT rec_id, ord, leaf, CAST({i} AS INTEGER) AS kind_idx, CAST(u.pos - 1 AS INTEGER) AS pos, id AS event_id, "
+                     f"'<{k}_' || CAST(off_{k} + u.pos AS VARCHAR) || '>' AS placeholder, '{k}' AS kind, "
+                     f"CAST(u.l AS BIGINT) AS original_length "
+                     f"FROM {src}, (SELECT unnest(len_{k}) AS l, generate_subscripts(len_{k}, 1) AS pos) u")
+    return "\nUNION ALL\n".join(parts)
+
+TOKENS_SQL = """
+tok AS (SELECT doc_id, CAST(t.pos AS BIGINT) AS pos, t.token
+        FROM r1, (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n]+')) AS token,
+                         generate_subscripts(regexp_split_to_array(text, '[ \\t\\n]+'), 1) AS pos) t
+        WHERE t.token <> '')"""

@@ -66,15 +66,20 @@ def _keys(keys: Sequence[str] | str) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def _ord_col(ord: Sequence[str] | str) -> Column:
+    o = _keys(ord)
+    return F.col(o[0]) if len(o) == 1 else F.struct(*[F.col(c) for c in o])
+
+
 def with_adjacent(df: DataFrame, prev: Sequence[str] = (), nxt: Sequence[str] = (),
-                  keys: Sequence[str] | str = "rec_id", ord: str = "ord",
+                  keys: Sequence[str] | str = "rec_id", ord: Sequence[str] | str = "ord",
                   chunk: str = CHUNK, prev_prefix: str = "prev_",
                   next_prefix: str = "next_") -> DataFrame:
     """Add ``prev_<c>`` / ``next_<c>``: the value of the previous / next row by
     ``ord`` within the recording (null at the recording's first / last row)."""
     keys = _keys(keys)
     prev, nxt = list(prev), list(nxt)
-    w = W.partitionBy(*keys, chunk).orderBy(ord)
+    w = W.partitionBy(*keys, chunk).orderBy(*_keys(ord))
     cols = []
     if prev:
         pp = F.struct(*[F.col(c) for c in prev])
@@ -88,9 +93,9 @@ def with_adjacent(df: DataFrame, prev: Sequence[str] = (), nxt: Sequence[str] =
 
     aggs = []
     if prev:
-        aggs.append(F.max_by(pp, F.col(ord)).alias("__last"))
+        aggs.append(F.max_by(pp, _ord_col(ord)).alias("__last"))
     if nxt:
-        aggs.append(F.min_by(np_, F.col(ord)).alias("__first"))
+        aggs.append(F.min_by(np_, _ord_col(ord)).alias("__first"))
     summary = local.groupBy(*keys, chunk).agg(*aggs)
     wc = W.partitionBy(*keys).orderBy(chunk)
     carry_cols = []
@@ -113,7 +118,7 @@ def with_adjacent(df: DataFrame, prev: Sequence[str] = (), nxt: Sequence[str] =
 
 
 def with_running(df: DataFrame, specs: dict[str, tuple[Column, str]],
-                 keys: Sequence[str] | str = "rec_id", ord: str = "ord",
+                 keys: Sequence[str] | str = "rec_id", ord: Sequence[str] | str = "ord",
                  chunk: str = CHUNK, inclusive: bool = True) -> DataFrame:
     """Running aggregates over ``ord`` within each recording.
 
@@ -121,7 +126,7 @@ def with_running(df: DataFrame, specs: dict[str, tuple[Column, str]],
     ``inclusive=False`` a sum covers only the preceding rows.
     """
     keys = _keys(keys)
-    w = W.partitionBy(*keys, chunk).orderBy(ord).rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = W.partitionBy(*keys, chunk).orderBy(*_keys(ord)).rowsBetween(W.unboundedPreceding, W.currentRow)
     fn = {"sum": F.sum, "max": F.max}
     vals = {name: (f"__v_{i}", col, how) for i, (name, (col, how)) in enumerate(specs.items())}
     local = stage(df, keys, chunk).select("*", *[col.alias(v) for v, col, _ in vals.values()])

@@ -84,3 +84,110 @@ def q_pipeline(spark, sf):
     from clickloom.plans.build import pipeline
     return pipeline(B.rec_events(spark, sf), gap_ms=GAP).select(
         "rec_id", F.col("seg").cast("long").alias("seg"), "duration_ms", "event_count", "boundary_screenshot")
+
+
+# ------------------------------------------------------------ E: redaction
+def _docs(spark, sf):
+    return B.seeded_docs(spark, sf).withColumn("leaf", F.lit(0).cast("long"))
+
+
+def _detected(spark, sf):
+    from clickloom.operators.redact import detect
+    return detect(_docs(spark, sf), "text")
+
+
+def _scrubbed_docs(spark, sf):
+    from clickloom.operators.redact import scrub_leaves
+    return scrub_leaves(_docs(spark, sf), "text")
+
+
+_E_BASE = O.redact_sql("WITH " + O.R1, "r1")
+
+for _i, (_kind, _pat) in enumerate(model.REDACTION_PATTERNS):
+    _qname = "rx_" + {"EMAIL": "email", "AWS_KEY": "aws", "GITHUB_PAT": "github", "STRIPE_KEY": "stripe",
+                      "ANTHROPIC_KEY": "anthropic", "BEARER_TOKEN": "bearer", "JWT": "jwt",
+                      "PHONE": "phone", "SSN": "ssn"}[_kind]
+
+    def _mk(kind):
+        def q(spark, sf):
+            d = _detected(spark, sf).filter(F.col(f"n_{kind}") > 0)
+            return d.select("doc_id", F.col(f"n_{kind}").alias("n"),
+                            F.array_join(F.transform(f"len_{kind}", lambda x: x.cast("string")), ",").alias("lens"))
+        return q
+
+    register(_qname, _E_BASE + f" SELECT doc_id, n_{_kind} AS n, array_to_string(len_{_kind}, ',') AS lens "
+                                f"FROM ec WHERE n_{_kind} > 0")(_mk(_kind))
+
+
+def _tokens(spark, sf):
+    d = B.seeded_docs(spark, sf)
+    t = d.select("rec_id", "doc_id", CHUNK_COL, F.posexplode(F.split("text", "[ \t\n]+")).alias("pos", "token"))
+    t = t.filter(F.col("token") != "").select(
+        "doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "token",
+        F.col("doc_id").alias("rec_id"), (F.col("pos") + 1).cast("long").alias("ord"), CHUNK_COL,
+        F.lit(0).cast("long").alias("leaf"), F.col("token").alias("text"))
+    return t
+
+
+from clickloom.plans.ordered import CHUNK as CHUNK_COL  # noqa: E402
+
+_TOK_BASE = O.redact_sql("WITH " + O.R1 + "," + O.TOKENS_SQL + ",\ntokr AS (SELECT doc_id AS rec_id, pos AS ord, "
+                         "CAST(0 AS BIGINT) AS leaf, doc_id, pos, token, printf('doc_%d', doc_id) AS id, token AS text FROM tok)",
+                         "tokr")
+
+
+@register("high_entropy", _TOK_BASE + " SELECT doc_id, pos, token FROM ec WHERE n_HIGH_ENTROPY > 0")
+def q_high_entropy(spark, sf):
+    from clickloom.operators.redact import detect
+    return detect(_tokens(spark, sf), "text").filter(F.col("n_HIGH_ENTROPY") > 0).select("doc_id", "pos", "token")
+
+
+@register("shannon_entropy", "WITH " + O.R1 + "," + O.TOKENS_SQL +
+          " SELECT doc_id, pos, CAST(floor(list_aggregate(string_split(token, ''), 'entropy') * 1e9 + 0.5) AS BIGINT) AS h_e9 FROM tok")
+def q_shannon_entropy(spark, sf):
+    from clickloom.functions.scalars import shannon_entropy
+    return _tokens(spark, sf).select("doc_id", "pos", F.floor(shannon_entropy("token") * 1e9 + 0.5).cast("long").alias("h_e9"))
+
+
+@register("looks_like_secret", "WITH " + O.R1 + "," + O.TOKENS_SQL +
+          " SELECT doc_id, pos, token FROM tok WHERE position(' ' IN regexp_replace(token, '^\\s+|\\s+$', '', 'g')) = 0"
+          " AND regexp_matches(token, '\\pL') AND regexp_matches(token, '\\p{Nd}')")
+def q_looks_like_secret(spark, sf):
+    from clickloom.functions.scalars import looks_like_secret
+    return _tokens(spark, sf).filter(looks_like_secret("token")).select("doc_id", "pos", "token")
+
+
+@register("placeholder_numbering", _E_BASE + " SELECT doc_id, scrubbed FROM es WHERE scrubbed <> text")
+def q_placeholder_numbering(spark, sf):
+    return _scrubbed_docs(spark, sf).filter(F.col("scrubbed") != F.col("text")).select("doc_id", "scrubbed")
+
+
+@register("redacted_flag", _E_BASE + " SELECT doc_id, (scrubbed <> text) AS redacted FROM es")
+def q_redacted_flag(spark, sf):
+    return _scrubbed_docs(spark, sf).select("doc_id", (F.col("scrubbed") != F.col("text")).alias("redacted"))
+
+
+@register("redaction_log", _E_BASE + ",\nlg AS (" + O.redaction_log_sql() + ") SELECT * FROM lg")
+def q_redaction_log(spark, sf):
+    from clickloom.operators.redact import redaction_log
+    return redaction_log(_scrubbed_docs(spark, sf))
+
+
+@register("redaction_counts", _E_BASE + ",\nlg AS (" + O.redaction_log_sql() +
+          ") SELECT rec_id, kind, CAST(count(*) AS BIGINT) AS n FROM lg GROUP BY rec_id, kind")
+def q_redaction_counts(spark, sf):
+    from clickloom.operators.redact import redaction_counts, redaction_log
+    return redaction_counts(redaction_log(_scrubbed_docs(spark, sf)))
+
+
+@register("scrub", _E_BASE + " SELECT doc_id, scrubbed FROM es")
+def q_scrub(spark, sf):
+    return _scrubbed_docs(spark, sf).select("doc_id", "scrubbed")
+
+
+@register("pii_gate", _E_BASE + ",\nlg AS (" + O.redaction_log_sql() + ") SELECT r.rec_id, CAST(count(lg.kind) AS BIGINT) AS n_redactions, "
+          "count(lg.kind) > 0 AS warn, false AS blocked FROM (SELECT DISTINCT rec_id FROM r1) r LEFT JOIN lg USING (rec_id) GROUP BY r.rec_id")
+def q_pii_gate(spark, sf):
+    from clickloom.operators.redact import pii_gate, redaction_log
+    recs = B.seeded_docs(spark, sf).select("rec_id")
+    return pii_gate(recs, redaction_log(_scrubbed_docs(spark, sf)), allow_pii=False)
