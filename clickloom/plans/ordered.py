@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 CHUNK = "_chunk"
@@ -36,30 +35,46 @@ def add_chunk(df: DataFrame, order_col: str, chunk_rows: int = DEFAULT_CHUNK_ROW
     return df.withColumn(out, F.expr(f"cast(`{order_col}` as bigint) div {int(chunk_rows)}"))
 
 
-_STAGED: list[DataFrame] = []
+_STAGED: list[str] = []
 
 
 def stage(df: DataFrame, keys: list[str], chunk: str = CHUNK) -> DataFrame:
-    """Start an ordered stage: one shuffle on ``(keys, chunk)``, then a
-    persisted barrier.
+    """Start an ordered stage: write the input as a table bucketed on
+    ``(keys, chunk)`` under the shared checkpoint folder and read it back.
 
     Each helper reads its input twice (chunk-local window + per-chunk
-    summary).  Without a barrier every branch re-evaluates the whole upstream
-    plan (2^k for k chained helpers); Spark also drops a repartition that
-    looks redundant, so an exchange alone is not a reliable barrier.  The
-    persisted relation is computed once, reports its hash partitioning (the
-    window and the summary join above it add no exchange on the event side)
-    and, if an executor is lost, its blocks are recomputed from lineage.
-    ``release_stages()`` unpersists after the caller's action."""
-    out = df.repartition(*[F.col(k) for k in keys], F.col(chunk)).persist(StorageLevel.MEMORY_AND_DISK)
-    _STAGED.append(out)
-    return out
-
-
-def release_stages() -> None:
-    """Unpersist every stage created so far (call after consuming results)."""
+    summary) and the helpers chain, so without a cut the plan tree and the
+    work would double per helper.  The written table
+
+    * cuts the lineage (small plans; a lost executor re-reads files instead
+      of recomputing the upstream job),
+    * is read with its bucket hash partitioning, so the window, the summary
+      aggregate and the summary join on ``(keys, chunk)`` add no exchange on
+      the event side: one shuffle per stage, in the write.
+    """
+    import uuid
+
+    from clickloom.session import scratch_path
+
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "clickloom_stage_" + uuid.uuid4().hex[:16]
+    cols = [F.col(k) for k in keys] + [F.col(chunk)]
+    (df.repartition(n, *cols).write.format("parquet").bucketBy(n, *keys, chunk)
+       .option("path", scratch_path(spark, name)).saveAsTable(name))
+    _STAGED.append(name)
+    return spark.table(name)
+
+
+def release_stages(spark=None) -> None:
+    """Drop the stage tables created so far (after the results are consumed)."""
+    from pyspark.sql import SparkSession
+
+    spark = spark or SparkSession.getActiveSession()
     while _STAGED:
-        _STAGED.pop().unpersist(blocking=False)
+        name = _STAGED.pop()
+        if spark is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _keys(keys: Sequence[str] | str) -> list[str]:
