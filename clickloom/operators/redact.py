@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from clickloom import model
 from clickloom.functions.scalars import json_is_array, json_is_object, json_is_string, json_quote, json_text
@@ -111,7 +111,7 @@ def redaction_counts(log: DataFrame, keys="rec_id") -> DataFrame:
 
 
 # --------------------------------------------------------- event values
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def json_string_leaves(v: pd.Series) -> pd.Series:
     """String leaves of a JSON value in document order (dict values, list
     items; keys and non-strings are not leaves)."""
@@ -128,7 +128,7 @@ def json_string_leaves(v: pd.Series) -> pd.Series:
     return v.map(lambda s: None if s is None else walk(json.loads(s), []))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_replace_leaves(v: pd.Series, new: pd.Series) -> pd.Series:
     """Put new string leaves back into a JSON value, keeping key order."""
     def put(s, vals):

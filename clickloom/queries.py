@@ -191,3 +191,40 @@ def q_pii_gate(spark, sf):
     from clickloom.operators.redact import pii_gate, redaction_log
     recs = B.seeded_docs(spark, sf).select("rec_id")
     return pii_gate(recs, redaction_log(_scrubbed_docs(spark, sf)), allow_pii=False)
+
+
+# ------------------------------------------------------------ D: signals
+_SIG_SQL = {
+    "sig_navigate": "pt IS NOT NULL AND type='navigate'",
+    "sig_url_change": "pt IS NOT NULL AND type<>'navigate' AND sig_nav_url > 0",
+    "sig_focus_tab": "sig_focus_tab > 0",
+    "sig_form_submit": "sig_form_submit > 0",
+    "sig_enter_after_input": "sig_enter_after_input > 0",
+    "sig_network_idle": "sig_network_idle > 0",
+    "sig_screen_changed": "sig_screen_changed > 0",
+    "sig_gap": "sig_gap > 0",
+    "sig_verb_change": "sig_verb_change > 0",
+}
+_SIG_W = {"sig_navigate": 3, "sig_url_change": 3, "sig_focus_tab": 3, "sig_form_submit": 3,
+          "sig_enter_after_input": 3, "sig_network_idle": 3, "sig_screen_changed": 2, "sig_gap": 2,
+          "sig_verb_change": 1}
+
+
+def _mk_sig(col):
+    def q(spark, sf):
+        return (_segmented(spark, sf).filter(F.col(col) > 0)
+                .select("rec_id", "ord", "id", F.col(col).cast("long").alias("w")))
+    return q
+
+
+for _sig, _cond in _SIG_SQL.items():
+    register(_sig, "WITH " + O.segment_sql(GAP) + f" SELECT rec_id, ord, id, CAST({_SIG_W[_sig]} AS BIGINT) AS w FROM s2 WHERE {_cond}")(_mk_sig(_sig))
+
+
+@register("reject_empty", "WITH " + O.segment_sql(GAP) +
+          " SELECT c_custkey AS rec_id, 'Recording has no events to translate' AS reason FROM customer "
+          "WHERE c_custkey NOT IN (SELECT rec_id FROM seg)")
+def q_reject_empty(spark, sf):
+    from clickloom.operators.segment import reject_empty
+    recs = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("rec_id"))
+    return reject_empty(recs, _segmented(spark, sf))
