@@ -96,6 +96,11 @@ def best_selector(sel: Column | str) -> tuple[Column, Column]:
     return value, which
 
 
+def ws_trim(c: Column | str) -> Column:
+    """Strip leading/trailing Unicode whitespace (JS ``trim`` / Python ``strip``)."""
+    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+\z", "")
+
+
 def accessible_name(aria: Column | str, placeholder: Column | str, text: Column | str,
                     is_input: Column | None = None) -> Column:
     """First non-empty of aria-label, (input) placeholder, text content; trimmed,
@@ -103,9 +108,9 @@ def accessible_name(aria: Column | str, placeholder: Column | str, text: Column
     ph = col_(placeholder) if is_input is None else F.when(is_input, col_(placeholder))
     a = F.nullif(col_(aria), F.lit(""))
     p = F.nullif(ph, F.lit(""))
-    t = F.nullif(F.trim(col_(text)), F.lit(""))
-    return (F.when(a.isNotNull(), F.substring(F.trim(a), 1, 200))
-             .when(p.isNotNull(), F.substring(F.trim(p), 1, 200))
+    t = F.nullif(ws_trim(col_(text)), F.lit(""))
+    return (F.when(a.isNotNull(), F.substring(ws_trim(a), 1, 200))
+             .when(p.isNotNull(), F.substring(ws_trim(p), 1, 200))
              .when(t.isNotNull(), F.substring(t, 1, 200)))
 
 
@@ -131,5 +136,5 @@ def shannon_entropy(s: Column | str) -> Column:
 def looks_like_secret(s: Column | str) -> Column:
     """No inner space after trimming; has a letter and a digit."""
     c = col_(s)
-    stripped = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    stripped = ws_trim(c)
     return (~stripped.contains(" ")) & c.rlike(r"\p{L}") & c.rlike(r"\p{Nd}")

@@ -228,3 +228,276 @@ def q_reject_empty(spark, sf):
     from clickloom.operators.segment import reject_empty
     recs = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("rec_id"))
     return reject_empty(recs, _segmented(spark, sf))
+
+
+# ------------------------------------------------------------ B: normalisation
+def _r0(spark, sf):
+    return B.rec_events(spark, sf)
+
+
+@register("renumber_events", "WITH " + O.R0 + " SELECT rec_id, ord, id FROM r0e")
+def q_renumber_events(spark, sf):
+    return _r0(spark, sf).select("rec_id", "ord", "id")
+
+
+@register("live_event_ids", "WITH " + O.R0 + """, lv AS (SELECT rec_id, ord,
+  CAST(row_number() OVER (PARTITION BY rec_id ORDER BY ord) AS BIGINT) AS live_n FROM r0
+  WHERE type IN ('click','scroll') OR (type='key' AND action='press'))
+  SELECT rec_id, ord, live_n, printf('evt_%04d', live_n) AS desktop_id, 'evt_' || CAST(live_n AS VARCHAR) AS browser_id FROM lv""")
+def q_live_event_ids(spark, sf):
+    from clickloom.operators.normalize import live_event_ids
+    ev = _r0(spark, sf)
+    keep = F.col("type").isin("click", "scroll") | ((F.col("type") == "key") & (F.col("action") == "press"))
+    return live_event_ids(ev, keep).select("rec_id", "ord", "live_n", "desktop_id", "browser_id")
+
+
+_BAD_TYPE = "CASE WHEN k = 96 THEN 'hover_over' ELSE type END"
+
+
+@register("validate_schema", "WITH " + O.R0 + f""" SELECT rec_id, sum(CASE WHEN ({_BAD_TYPE}) NOT IN
+  ({', '.join(repr(t) for t in model.EVENT_TYPES)}) THEN 1 ELSE 0 END) = 0 AS valid,
+  CAST(sum(CASE WHEN ({_BAD_TYPE}) NOT IN ({', '.join(repr(t) for t in model.EVENT_TYPES)}) THEN 1 ELSE 0 END) AS BIGINT) AS n_bad
+  FROM r0e GROUP BY rec_id""")
+def q_validate_schema(spark, sf):
+    from clickloom.operators.normalize import validate_recordings
+    ev = _r0(spark, sf).withColumn("type", F.expr(_BAD_TYPE))
+    return validate_recordings(ev)
+
+
+@register("apply_defaults", "WITH " + O.R0 + " SELECT rec_id, ord, false AS redacted, CAST(len([]) AS BIGINT) AS n_frames FROM r0e")
+def q_apply_defaults(spark, sf):
+    from clickloom.operators.normalize import apply_defaults
+    ev = _r0(spark, sf).withColumn("redacted", F.lit(None).cast("boolean"))
+    return apply_defaults(ev).select("rec_id", "ord", "redacted", F.size("target.frame_path").cast("long").alias("n_frames"))
+
+
+_SECRET_BIND = """(SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'input' WHEN 1 THEN 'key' ELSE 'click' END AS type,
+  CASE WHEN turn % 4 = 0 THEN 'password' ELSE 'text' END AS input_type,
+  CASE conv_id % 5 WHEN 0 THEN 'one-time-code' WHEN 1 THEN 'cc-number' WHEN 2 THEN 'new-password' ELSE 'name' END AS autocomplete,
+  substr(text, 1, 60) AS aria, (conv_id % 2 = 0) AS is_input FROM conversations) sb"""
+
+
+@register("drop_secret_fields", f"""SELECT conv_id, turn, type FROM {_SECRET_BIND}
+  WHERE NOT (type IN ('input','change','key','file_upload') AND (
+   (is_input AND (input_type = 'password' OR lower(autocomplete) LIKE '%password%' OR lower(autocomplete) = 'one-time-code'
+                  OR starts_with(lower(autocomplete), 'cc-')))
+   OR regexp_matches(lower(coalesce(aria, '')), '{model.SECRET_LABEL_PATTERN}')))""")
+def q_drop_secret_fields(spark, sf):
+    from clickloom.operators.normalize import drop_secret_fields, is_secret_field
+    c = B.table(spark, sf, "conversations")
+    b = c.select("conv_id", "turn",
+                 F.when(F.col("turn") % 3 == 0, "input").when(F.col("turn") % 3 == 1, "key").otherwise("click").alias("type"),
+                 F.when(F.col("turn") % 4 == 0, "password").otherwise("text").alias("input_type"),
+                 F.when(F.col("conv_id") % 5 == 0, "one-time-code").when(F.col("conv_id") % 5 == 1, "cc-number")
+                 .when(F.col("conv_id") % 5 == 2, "new-password").otherwise("name").alias("autocomplete"),
+                 F.substring("text", 1, 60).alias("aria"), (F.col("conv_id") % 2 == 0).alias("is_input"))
+    secret = is_secret_field(F.col("input_type"), F.col("autocomplete"), F.col("aria"), F.col("is_input"))
+    return drop_secret_fields(b, secret).select("conv_id", "turn", "type")
+
+
+_BKEY = "CASE key WHEN 'enter' THEN 'Enter' ELSE key END"
+
+
+def _browser_keys(spark, sf):
+    ev = _r0(spark, sf).filter(F.col("type") == "key")
+    k = F.col("k")
+    return ev.select("rec_id", "ord", F.expr(_BKEY).alias("bkey"), (k % 7 == 0).alias("ctrl"),
+                     (k % 5 == 0).alias("shift"), (k % 9 == 0).alias("alt"), (k % 13 == 0).alias("meta"))
+
+
+_BKEY_SQL = f"""(SELECT rec_id, ord, {_BKEY} AS bkey, k % 7 = 0 AS ctrl, k % 5 = 0 AS shift, k % 9 = 0 AS alt,
+  k % 13 = 0 AS meta FROM r0 WHERE type = 'key') bk"""
+_ADMIT_SQL = f"""(bkey IN ({', '.join(repr(x) for x in model.BROWSER_NAMED_KEYS)}) OR ((ctrl OR meta OR alt) AND length(bkey) = 1))"""
+
+
+@register("admit_keys", "WITH " + O.R0 + f" SELECT rec_id, ord, bkey FROM {_BKEY_SQL} WHERE {_ADMIT_SQL}")
+def q_admit_keys(spark, sf):
+    from clickloom.operators.normalize import admit_keys
+    b = _browser_keys(spark, sf)
+    return b.filter(admit_keys(F.col("bkey"), F.col("ctrl"), F.col("meta"), F.col("alt"))).select("rec_id", "ord", "bkey")
+
+
+@register("key_projection", "WITH " + O.R0 + f" SELECT rec_id, ord, lower(bkey) AS key, ctrl, shift, alt, meta FROM {_BKEY_SQL} WHERE {_ADMIT_SQL}")
+def q_key_projection(spark, sf):
+    from clickloom.operators.normalize import admit_keys, key_projection
+    b = _browser_keys(spark, sf)
+    b = b.filter(admit_keys(F.col("bkey"), F.col("ctrl"), F.col("meta"), F.col("alt")))
+    return b.select("rec_id", "ord", key_projection(F.col("bkey"), F.col("ctrl"), F.col("shift"), F.col("alt"),
+                                                    F.col("meta")).alias("v")).select("rec_id", "ord", "v.*")
+
+
+@register("canonical_keys", "WITH " + O.R0 + " SELECT rec_id, ord, key, CASE key " +
+          " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in model.MOD_ALIASES.items()) + " ELSE key END AS canon FROM r0 WHERE type='key'")
+def q_canonical_keys(spark, sf):
+    from clickloom.functions.scalars import canonical_key
+    return _r0(spark, sf).filter(F.col("type") == "key").select("rec_id", "ord", "key", canonical_key("key").alias("canon"))
+
+
+@register("key_repr", "WITH " + O.R0 + """ SELECT rec_id, ord, coalesce(nullif(ch, ''), nullif(nm, ''), replace(raw, 'Key.', '')) AS key_repr
+  FROM (SELECT rec_id, ord, CASE WHEN length(key) = 1 THEN key ELSE '' END AS ch,
+               CASE WHEN length(key) > 1 AND k % 2 = 0 THEN key END AS nm, 'Key.' || key AS raw FROM r0 WHERE type='key') x""")
+def q_key_repr(spark, sf):
+    from clickloom.functions.scalars import key_repr
+    ev = _r0(spark, sf).filter(F.col("type") == "key")
+    ch = F.when(F.char_length("key") == 1, F.col("key")).otherwise(F.lit(""))
+    nm = F.when((F.char_length("key") > 1) & (F.col("k") % 2 == 0), F.col("key"))
+    return ev.select("rec_id", "ord", key_repr(ch, nm, F.concat(F.lit("Key."), F.col("key"))).alias("key_repr"))
+
+
+@register("press_only_clicks", "WITH " + O.R0 + """ SELECT rec_id, ord, CAST(k * 7 % 1920 AS BIGINT) AS x, CAST(k * 13 % 1080 AS BIGINT) AS y,
+  CASE k % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'middle' END AS button FROM r0 WHERE type = 'click' AND k % 4 <> 3""")
+def q_press_only_clicks(spark, sf):
+    from clickloom.operators.normalize import press_only_clicks
+    ev = _r0(spark, sf).filter(F.col("type") == "click")
+    k = F.col("k")
+    raw = ev.select("rec_id", "ord", (k * 7 % 1920).cast("long").alias("x"), (k * 13 % 1080).cast("long").alias("y"),
+                    F.concat(F.lit("Button."), F.when(k % 3 == 0, "left").when(k % 3 == 1, "right").otherwise("middle")).alias("button"),
+                    (k % 4 != 3).alias("pressed"))
+    return press_only_clicks(raw).select("rec_id", "ord", "x", "y", "button")
+
+
+@register("nav_from_tab_updates", """SELECT page_id, url, '{"tab_id":' || CAST(page_id % 4 AS VARCHAR) || '}' AS value_json FROM
+  (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE url END AS url, CASE WHEN page_id % 3 = 0 THEN 'loading' ELSE 'complete' END AS status
+   FROM pages) t WHERE status = 'complete' AND url IS NOT NULL AND url <> ''""")
+def q_nav_from_tab_updates(spark, sf):
+    from clickloom.operators.normalize import nav_from_tab_updates
+    p = B.table(spark, sf, "pages")
+    u = p.select("page_id", F.when(F.col("page_id") % 5 == 0, "").otherwise(F.col("url")).alias("url"),
+                 F.when(F.col("page_id") % 3 == 0, "loading").otherwise("complete").alias("status"),
+                 (F.col("page_id") % 4).alias("tab_id"))
+    return nav_from_tab_updates(u).select("page_id", "url", "value_json")
+
+
+@register("file_upload_projection", "WITH " + O.R0 + """ SELECT rec_id, ord, array_to_string(list_transform(range(1 + k % 3),
+  lambda i: 'file_' || CAST(k AS VARCHAR) || '_' || CAST(i AS VARCHAR) || '.txt|text/plain|' || CAST(k * 100 + i AS VARCHAR)), ';') AS files
+  FROM r0 WHERE type = 'file_upload'""")
+def q_file_upload_projection(spark, sf):
+    from clickloom.operators.normalize import file_upload_projection
+    ev = _r0(spark, sf).filter(F.col("type") == "file_upload")
+    k = F.col("k")
+    files = F.transform(F.sequence(F.lit(0), k % 3), lambda i: F.struct(
+        F.concat(F.lit("file_"), k.cast("string"), F.lit("_"), i.cast("string"), F.lit(".txt")).alias("name"),
+        F.lit("text/plain").alias("type"), (k * 100 + i).cast("long").alias("size")))
+    proj = file_upload_projection(files)
+    return ev.select("rec_id", "ord", F.array_join(F.transform(proj, lambda f: F.concat_ws(
+        "|", f["filename"], f["mime"], f["size"].cast("string"))), ";").alias("files"))
+
+
+@register("form_submit_events", "WITH " + O.R0 + " SELECT rec_id, ord, 'form_submit' AS kind FROM r0 WHERE type = 'annotation'")
+def q_form_submit_events(spark, sf):
+    ev = _r0(spark, sf).filter(F.col("type") == "annotation")
+    return ev.select("rec_id", "ord", F.get_json_object("value_json", "$.kind").alias("kind"))
+
+
+_SEL_SQL = """(SELECT rec_id, ord, CASE WHEN k % 5 = 0 THEN 'tid' || CAST(k AS VARCHAR) END AS testid,
+  CASE WHEN k % 3 = 0 THEN 'button::b' || CAST(k AS VARCHAR) END AS role_name,
+  CASE WHEN k % 2 = 0 THEN 't' || CAST(k AS VARCHAR) END AS text, 'div > #e' || CAST(k AS VARCHAR) AS css,
+  CASE WHEN k % 7 = 0 THEN '//div[' || CAST(k AS VARCHAR) || ']' END AS xpath FROM r0) s"""
+
+
+@register("best_selector", "WITH " + O.R0 + f""" SELECT rec_id, ord, coalesce(testid, role_name, text, css, xpath) AS best,
+  CASE WHEN testid IS NOT NULL THEN 'testid' WHEN role_name IS NOT NULL THEN 'role_name' WHEN text IS NOT NULL THEN 'text'
+       WHEN css IS NOT NULL THEN 'css' WHEN xpath IS NOT NULL THEN 'xpath' END AS which FROM {_SEL_SQL}""")
+def q_best_selector(spark, sf):
+    from clickloom.functions.scalars import best_selector
+    k = F.col("k").cast("string")
+    kk = F.col("k")
+    ev = _r0(spark, sf).select("rec_id", "ord", F.struct(
+        F.when(kk % 5 == 0, F.concat(F.lit("tid"), k)).alias("testid"),
+        F.when(kk % 3 == 0, F.concat(F.lit("button::b"), k)).alias("role_name"),
+        F.when(kk % 2 == 0, F.concat(F.lit("t"), k)).alias("text"),
+        F.concat(F.lit("div > #e"), k).alias("css"),
+        F.when(kk % 7 == 0, F.concat(F.lit("//div["), k, F.lit("]"))).alias("xpath")).alias("sel"))
+    best, which = best_selector("sel")
+    return ev.select("rec_id", "ord", best.alias("best"), which.alias("which"))
+
+
+_ANCHORS_SQL = """(SELECT page_id, CAST(a.pos AS BIGINT) AS pos, a.href, a.txt FROM pages,
+  (SELECT unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href,
+          unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS txt,
+          generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) AS pos) a) an"""
+
+
+def _anchors(spark, sf):
+    p = B.table(spark, sf, "pages")
+    pat = '<a href="([^"]*)">([^<]*)</a>'
+    z = F.arrays_zip(F.regexp_extract_all("html", F.lit(pat), 1).alias("href"),
+                     F.regexp_extract_all("html", F.lit(pat), 2).alias("txt"))
+    a = p.select("page_id", F.posexplode(z).alias("pos", "a"))
+    return a.select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), F.col("a.href").alias("href"),
+                    F.col("a.txt").alias("txt"))
+
+
+@register("selector_strings", f"""SELECT page_id, pos, sel_testid, sel_aria, CASE WHEN nm <> '' THEN coalesce(role, 'a') || '::' || nm END AS role_name,
+  CASE WHEN nm <> '' THEN nm END AS text FROM (SELECT *, 
+   CASE WHEN page_id % 2 = 0 AND href <> '' THEN '[data-testid="' || href || '"]' END AS sel_testid,
+   CASE WHEN page_id % 3 = 0 AND txt <> '' THEN '[aria-label="' || txt || '"]' END AS sel_aria,
+   CASE WHEN page_id % 4 = 0 THEN 'link' END AS role,
+   CASE WHEN page_id % 3 = 0 AND txt <> '' THEN left(regexp_replace(txt, '^\\s+|\\s+$', '', 'g'), 200)
+        ELSE nullif(left(regexp_replace(txt, '^\\s+|\\s+$', '', 'g'), 200), '') END AS nm FROM {_ANCHORS_SQL}) x""")
+def q_selector_strings(spark, sf):
+    from clickloom.operators.normalize import selector_strings
+    from clickloom.functions.scalars import accessible_name
+    a = _anchors(spark, sf)
+    pid = F.col("page_id")
+    testid = F.when(pid % 2 == 0, F.col("href"))
+    aria = F.when(pid % 3 == 0, F.col("txt"))
+    role = F.when(pid % 4 == 0, F.lit("link"))
+    name = accessible_name(aria, F.lit(None).cast("string"), F.col("txt"))
+    s = selector_strings(testid, aria, role, F.lit("A"), name)
+    return a.select("page_id", "pos", s["testid"].alias("sel_testid"), s["aria"].alias("sel_aria"),
+                    s["role_name"].alias("role_name"), s["text"].alias("text"))
+
+
+@register("accessible_name", """SELECT doc_id, CASE
+   WHEN coalesce(aria, '') <> '' THEN left(regexp_replace(aria, '^\\s+|\\s+$', '', 'g'), 200)
+   WHEN coalesce(ph, '') <> '' THEN left(regexp_replace(ph, '^\\s+|\\s+$', '', 'g'), 200)
+   ELSE nullif(left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 200), '') END AS name
+  FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 300) END AS aria,
+               CASE WHEN doc_id % 3 = 1 THEN '  ' || substr(text, 1, 50) END AS ph FROM documents) d""")
+def q_accessible_name(spark, sf):
+    from clickloom.functions.scalars import accessible_name
+    d = B.table(spark, sf, "documents")
+    aria = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 300))
+    ph = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  "), F.substring("text", 1, 50)))
+    return d.select("doc_id", accessible_name(aria, ph, F.col("text")).alias("name"))
+
+
+@register("viewport_box", """SELECT event_id, CAST(floor(value - 25.0 + 0.5) AS BIGINT) AS x, CAST(floor(value / 2 + 0.5) AS BIGINT) AS y,
+  CAST(floor(value * 1.5 + 0.5) AS BIGINT) AS w, CAST(floor(value + 0.5 + 0.5) AS BIGINT) AS h FROM events""")
+def q_viewport_box(spark, sf):
+    from clickloom.operators.normalize import viewport_box
+    e = B.table(spark, sf, "events")
+    v = F.col("value")
+    return e.select("event_id", viewport_box(v - 25.0, v / 2, v * 1.5, v + 0.5).alias("b")).select("event_id", "b.*")
+
+
+_ORIGIN = ("CASE page_id % 3 WHEN 0 THEN 'chrome-extension://' || split_part(url, '/', 3) "
+           "WHEN 1 THEN 'moz-extension://' || split_part(url, '/', 3) ELSE url END")
+
+
+@register("allowed_origin", f"SELECT page_id, origin FROM (SELECT page_id, {_ORIGIN} AS origin FROM pages) o WHERE " +
+          " OR ".join(f"starts_with(origin, '{p}')" for p in model.ALLOWED_ORIGIN_PREFIXES))
+def q_allowed_origin(spark, sf):
+    from clickloom.operators.normalize import allowed_origin
+    p = B.table(spark, sf, "pages")
+    host = F.split("url", "/").getItem(2)
+    o = p.select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("chrome-extension://"), host))
+                 .when(F.col("page_id") % 3 == 1, F.concat(F.lit("moz-extension://"), host)).otherwise(F.col("url")).alias("origin"))
+    return allowed_origin(o)
+
+
+@register("data_url_payload", """SELECT page_id, nullif(split_part(d, ',', 2), '') AS payload FROM (SELECT page_id,
+  'data:image/png;base64,' || to_base64(encode(url)) || CASE WHEN page_id % 4 = 0 THEN ',extra' ELSE '' END AS d FROM pages) x""")
+def q_data_url_payload(spark, sf):
+    from clickloom.operators.normalize import data_url_payload
+    p = B.table(spark, sf, "pages")
+    d = F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("url", "UTF-8")),
+                 F.when(F.col("page_id") % 4 == 0, F.lit(",extra")).otherwise(F.lit("")))
+    return p.select("page_id", F.nullif(data_url_payload(d), F.lit("")).alias("payload"))
+
+
+@register("visual_filter", "WITH " + O.R0 + " SELECT rec_id, ord, type FROM r0 WHERE type IN ('click','navigate','file_upload')")
+def q_visual_filter(spark, sf):
+    from clickloom.operators.normalize import visual_filter
+    return _r0(spark, sf).filter(visual_filter()).select("rec_id", "ord", "type")
