@@ -110,3 +110,82 @@ def compress(events: DataFrame, keys="rec_id") -> DataFrame:
                            else F.col(c) if c in keys_l + [CHUNK] else F.col("__first")[c].alias(c)
                            for c in cols])
     return plain.unionByName(heads)
+
+
+# ------------------------------------------------------- live recorder side
+def stop_chord(key_events: DataFrame, chord=tuple(model.DEFAULT_STOP_CHORD), keys="rec_id",
+               canon: str = "canon", action: str = "action") -> DataFrame:
+    """``is_stop`` marks the first press at which every chord key is held.
+
+    Held state of key c at a row = the action of the latest press/release of
+    c up to and including that row: a running max of ``(ord, action)`` over
+    the chunked two-level scan (no single-task window per recording)."""
+    specs = {f"__last_{c}": (F.when(F.col(canon) == c, F.struct(F.col("ord"), F.col(action))), "max")
+             for c in chord}
+    df = with_running(key_events, specs, keys=keys)
+    held = None
+    for c in chord:
+        h = F.coalesce(F.col(f"__last_{c}")[action] == "press", F.lit(False))
+        held = h if held is None else held & h
+    df = df.withColumn("is_stop", (F.col(action) == "press") & held)
+    return df.drop(*specs.keys())
+
+
+def stop_points(marked: DataFrame, keys="rec_id") -> DataFrame:
+    """Per recording, the ord of the stopping press (partial min aggregate)."""
+    keys_l = [keys] if isinstance(keys, str) else list(keys)
+    return marked.filter("is_stop").groupBy(*keys_l).agg(F.min("ord").alias("stop_ord"))
+
+
+def debounce(events: DataFrame, quiet_ms: int, element: list[str], keys="rec_id") -> DataFrame:
+    """C8/C9 (batch): per element, an event is emitted only when no later event
+    of the same element follows within ``quiet_ms``; the emission carries the
+    last value and happens at ``ts + quiet_ms``."""
+    keys_l = ([keys] if isinstance(keys, str) else list(keys)) + list(element)
+    df = with_adjacent(events, nxt=["ts_ms"], keys=keys_l)
+    keep = F.col("next_ts_ms").isNull() | ((F.col("next_ts_ms") - F.col("ts_ms")) >= quiet_ms)
+    return df.filter(keep).withColumn("emit_ts_ms", F.col("ts_ms") + F.lit(quiet_ms)).drop("next_ts_ms")
+
+
+def throttle(events: DataFrame, min_gap_ms: int, keys="rec_id") -> DataFrame:
+    """Leading-edge throttle; keep an event when ``ts - last_kept >=
+    min_gap_ms`` (last_kept starts at 0 and moves on every kept attempt).
+
+    Exact and parallel across bursts: a gap of at least ``min_gap_ms`` before
+    an event makes it kept whatever came earlier, so the stream splits into
+    independent bursts (a chunked running sum); each burst is folded in order
+    by a small grouped pandas function over (ord, ts) only."""
+    import pandas as pd
+    keys_l = [keys] if isinstance(keys, str) else list(keys)
+    df = with_adjacent(events, prev=["ts_ms"], keys=keys_l)
+    reset = (F.col("prev_ts_ms").isNull() | ((F.col("ts_ms") - F.col("prev_ts_ms")) >= min_gap_ms)).cast("long")
+    df = with_running(df.withColumn("__reset", reset), {"__burst": (F.col("__reset"), "sum")}, keys=keys_l)
+    slim = df.select(*keys_l, "__burst", "ord", "ts_ms", F.col("prev_ts_ms").isNull().alias("__first"))
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys_l) + ", ord bigint, kept boolean"
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        # a recording starts with last_kept = 0; any other burst starts after a
+        # gap >= min_gap_ms, so its first event is kept whatever came before
+        last = 0 if bool(pdf["__first"].iloc[0]) else None
+        kept = []
+        for ts in pdf["ts_ms"].tolist():
+            ok = True if last is None else ts - last >= min_gap_ms
+            if ok:
+                last = ts
+            kept.append(ok)
+        out = pdf[keys_l + ["ord"]].copy()
+        out["kept"] = kept
+        return out
+
+    flags = slim.groupBy(*keys_l, "__burst").applyInPandas(fold, schema)
+    return flags
+
+
+def ffill_viewport(clicks: DataFrame, w: str = "shot_w", h: str = "shot_h", keys="rec_id") -> DataFrame:
+    """C11: the last non-zero screenshot size up to each click (running max of
+    (ord, size) over non-zero sizes); none yet -> null viewport and path."""
+    nz = (F.col(w) != 0) | (F.col(h) != 0)
+    df = with_running(clicks, {"__vp": (F.when(nz, F.struct(F.col("ord"), F.col(w).alias("w"), F.col(h).alias("h"))), "max")},
+                      keys=keys)
+    return df.withColumn("vp_w", F.col("__vp")["w"]).withColumn("vp_h", F.col("__vp")["h"]).drop("__vp")

@@ -35,3 +35,9 @@ def event_projection(events: DataFrame) -> DataFrame:
         t["accessible_name"].alias("accessible_name"),
         "screenshot_path",
     )
+
+
+def notes_table(notes: DataFrame) -> DataFrame:
+    """Timestamped free-text notes kept beside the events, one row per
+    note keyed (rec_id, ord); ordering by ts happens where they are consumed."""
+    return notes.select("rec_id", "ord", F.col("ts_ms").cast("long").alias("ts_ms"), "text")

@@ -501,3 +501,112 @@ def q_data_url_payload(spark, sf):
 def q_visual_filter(spark, sf):
     from clickloom.operators.normalize import visual_filter
     return _r0(spark, sf).filter(visual_filter()).select("rec_id", "ord", "type")
+
+
+# ------------------------------------------------------------ C: facets and recorder side
+@register("collapse_keystrokes", "WITH " + O.COMPRESS + " SELECT rec_id, ord, id, text FROM comp WHERE type = 'input'")
+def q_collapse_keystrokes(spark, sf):
+    c = _compressed(spark, sf).filter(F.col("type") == "input")
+    return c.select("rec_id", "ord", "id", json_text("value_json").alias("text"))
+
+
+@register("drop_releases", "WITH " + O.R0 + " SELECT rec_id, ord, type FROM r0 WHERE NOT (type = 'key' AND action <> 'press')")
+def q_drop_releases(spark, sf):
+    from clickloom.operators.compact import drop_releases, key_fields
+    return drop_releases(key_fields(_r0(spark, sf))).select("rec_id", "ord", "type")
+
+
+@register("drop_modifiers", "WITH " + O.R0 + f""" SELECT rec_id, ord, type FROM r0
+  WHERE NOT (type = 'key' AND (action <> 'press' OR lower(key) IN ({O._mods})))""")
+def q_drop_modifiers(spark, sf):
+    from clickloom.operators.compact import drop_modifiers, drop_releases, key_fields
+    return drop_modifiers(drop_releases(key_fields(_r0(spark, sf)))).select("rec_id", "ord", "type")
+
+
+@register("keep_named_keys", "WITH " + O.COMPRESS + " SELECT rec_id, ord, key FROM comp WHERE type = 'key'")
+def q_keep_named_keys(spark, sf):
+    return _compressed(spark, sf).filter(F.col("type") == "key").select("rec_id", "ord", "key")
+
+
+@register("coalesce_scrolls", "WITH " + O.COMPRESS + " SELECT rec_id, ord, id FROM comp WHERE type = 'scroll'")
+def q_coalesce_scrolls(spark, sf):
+    return _compressed(spark, sf).filter(F.col("type") == "scroll").select("rec_id", "ord", "id")
+
+
+_DKEY = "CASE key WHEN 'Shift' THEN 'shift_l' WHEN 'f5' THEN 'esc' ELSE key END"
+_CANON_SQL = "CASE dk " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in model.MOD_ALIASES.items()) + " ELSE dk END"
+
+
+@register("stop_chord", "WITH " + O.R0 + f""", dk AS (SELECT rec_id, ord, action, {_CANON_SQL} AS canon
+  FROM (SELECT *, {_DKEY} AS dk FROM r0 WHERE type = 'key') x),
+ held AS (SELECT *, """ + ", ".join(
+    f"last_value(CASE WHEN canon = '{c}' THEN action END IGNORE NULLS) OVER w AS h_{c}" for c in model.DEFAULT_STOP_CHORD) +
+    """ FROM dk WINDOW w AS (PARTITION BY rec_id ORDER BY ord ROWS UNBOUNDED PRECEDING))
+ SELECT rec_id, min(ord) AS stop_ord FROM held WHERE action = 'press' AND """ +
+    " AND ".join(f"h_{c} = 'press'" for c in model.DEFAULT_STOP_CHORD) + " GROUP BY rec_id")
+def q_stop_chord(spark, sf):
+    from clickloom.functions.scalars import canonical_key
+    from clickloom.operators.compact import stop_chord, stop_points
+    ev = _r0(spark, sf).filter(F.col("type") == "key")
+    ev = ev.withColumn("canon", canonical_key(F.expr(_DKEY)))
+    return stop_points(stop_chord(ev))
+
+
+_DEB_MS = O.GAP_TEST_MS
+
+
+def _mk_debounce(type_):
+    def q(spark, sf):
+        from clickloom.operators.compact import debounce
+        ev = _r0(spark, sf).filter(F.col("type") == type_).withColumn("element", F.coalesce(F.col("target.url"), F.lit("")))
+        return debounce(ev, _DEB_MS, ["element"]).select("rec_id", "ord", "element", "emit_ts_ms")
+    return q
+
+
+for _qn, _ty in [("debounce_input", "input"), ("debounce_scroll", "scroll")]:
+    register(_qn, "WITH " + O.R0 + f""" SELECT rec_id, ord, element, ts_ms + {_DEB_MS} AS emit_ts_ms FROM
+      (SELECT *, lead(ts_ms) OVER (PARTITION BY rec_id, element ORDER BY ord) AS nts FROM
+        (SELECT *, coalesce(url, '') AS element FROM r0 WHERE type = '{_ty}') a) b
+      WHERE nts IS NULL OR nts - ts_ms >= {_DEB_MS}""")(_mk_debounce(_ty))
+
+_THROTTLE_MS = 3_600_000
+
+
+@register("throttle_screenshots", "WITH " + O.R0 + f""", vis AS (SELECT rec_id, list({{'ord': ord, 'ts': ts_ms}} ORDER BY ord) AS l
+   FROM r0 WHERE type IN ('click','navigate','file_upload') GROUP BY rec_id),
+ kept AS (SELECT rec_id, list_reduce(l, lambda acc, x: CASE WHEN x.ts - acc.last >= {_THROTTLE_MS}
+          THEN {{'last': x.ts, 'kept': list_append(acc.kept, x.ord)}} ELSE acc END,
+          {{'last': CAST(0 AS BIGINT), 'kept': CAST([] AS BIGINT[])}}) AS st FROM vis)
+ SELECT rec_id, unnest(st.kept) AS ord FROM kept""")
+def q_throttle_screenshots(spark, sf):
+    from clickloom.operators.compact import throttle
+    from clickloom.operators.normalize import visual_filter
+    ev = _r0(spark, sf).filter(visual_filter())
+    return throttle(ev, _THROTTLE_MS).filter("kept").select("rec_id", "ord")
+
+
+@register("ffill_viewport", "WITH " + O.R0 + """, c AS (SELECT rec_id, ord, ts_ms,
+   CASE WHEN k % 4 = 0 THEN 0 ELSE 1280 + k END AS sw, CASE WHEN k % 4 = 0 THEN 0 ELSE 720 + k END AS sh FROM r0 WHERE type = 'click'),
+ f AS (SELECT *, last_value(CASE WHEN sw <> 0 OR sh <> 0 THEN sw END IGNORE NULLS) OVER w AS vw,
+                 last_value(CASE WHEN sw <> 0 OR sh <> 0 THEN sh END IGNORE NULLS) OVER w AS vh
+       FROM c WINDOW w AS (PARTITION BY rec_id ORDER BY ord ROWS UNBOUNDED PRECEDING))
+ SELECT rec_id, ord, CAST(vw AS BIGINT) AS vp_w, CAST(vh AS BIGINT) AS vp_h,
+        CASE WHEN vw IS NOT NULL THEN 'screenshots/' || CAST(ts_ms AS VARCHAR) || '.png' END AS screenshot_path FROM f""")
+def q_ffill_viewport(spark, sf):
+    from clickloom.operators.compact import ffill_viewport
+    ev = _r0(spark, sf).filter(F.col("type") == "click")
+    k = F.col("k")
+    ev = ev.withColumn("shot_w", F.when(k % 4 == 0, 0).otherwise(1280 + k).cast("long")) \
+           .withColumn("shot_h", F.when(k % 4 == 0, 0).otherwise(720 + k).cast("long"))
+    f = ffill_viewport(ev)
+    return f.select("rec_id", "ord", F.col("vp_w").cast("long").alias("vp_w"), F.col("vp_h").cast("long").alias("vp_h"),
+                    F.when(F.col("vp_w").isNotNull(), F.concat(F.lit("screenshots/"), F.col("ts_ms").cast("string"), F.lit(".png")))
+                    .alias("screenshot_path"))
+
+
+@register("add_notes", "SELECT conv_id AS rec_id, turn AS ord, CAST(1714125600000 + turn * 1000 AS BIGINT) AS ts_ms, text FROM conversations")
+def q_add_notes(spark, sf):
+    from clickloom.operators.summarize import notes_table
+    c = B.table(spark, sf, "conversations")
+    return notes_table(c.select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("ord"),
+                                (F.lit(1714125600000) + F.col("turn") * 1000).cast("long").alias("ts_ms"), "text"))
