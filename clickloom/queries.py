@@ -610,3 +610,158 @@ def q_add_notes(spark, sf):
     c = B.table(spark, sf, "conversations")
     return notes_table(c.select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("ord"),
                                 (F.lit(1714125600000) + F.col("turn") * 1000).cast("long").alias("ts_ms"), "text"))
+
+
+# ------------------------------------------------------------ F: summaries, payload, labels
+@register("event_projection", "WITH " + O.COMPRESS + " SELECT rec_id, ord, id, type, url AS target_url, screenshot_path FROM comp")
+def q_event_projection(spark, sf):
+    from clickloom.operators.summarize import event_projection
+    return event_projection(_compressed(spark, sf)).select("rec_id", "ord", "id", "type", "target_url", "screenshot_path")
+
+
+@register("label_requests")
+def q_label_requests(spark, sf):
+    from clickloom.operators.labels import label_requests
+    from clickloom.operators.summarize import segment_summary
+    seg = _segmented(spark, sf)
+    return label_requests(seg, segment_summary(seg))
+
+
+@register("parse_labels", "WITH " + O.R4 + " SELECT conv_id, turn, intent, target_description, expected_outcome, confidence FROM labels_parsed")
+def q_parse_labels(spark, sf):
+    from clickloom.operators.labels import parse_labels
+    return parse_labels(B.responses(spark, sf)).select("conv_id", "turn", "intent", "target_description",
+                                                        "expected_outcome", "confidence")
+
+
+_REQ = ", ".join(f"'{k}'" for k in model.LABEL_REQUIRED_KEYS)
+
+
+@register("check_label_schema", "WITH " + O.R4 + f""" SELECT conv_id, turn, len(pr) = 0 AS ok, array_to_string(pr, '; ') AS problems FROM
+  (SELECT conv_id, turn, CASE WHEN NOT coalesce(json_valid(response), false) THEN ['invalid JSON'] ELSE list_concat(
+     list_transform(list_filter([{_REQ}], lambda k: NOT list_contains(json_keys(response), k)), lambda k: 'missing ' || k),
+     list_transform(list_filter(json_keys(response), lambda k: NOT list_contains([{_REQ}], k)), lambda k: 'extra ' || k),
+     CASE WHEN json_extract_string(response, '$.confidence') IS NOT NULL AND json_extract_string(response, '$.confidence')
+          NOT IN ('high','medium','low') THEN ['bad confidence'] ELSE CAST([] AS VARCHAR[]) END) END AS pr FROM r4) x""")
+def q_check_label_schema(spark, sf):
+    from clickloom.operators.labels import check_label_schema
+    return check_label_schema(B.responses(spark, sf)).select("conv_id", "turn", "ok", "problems")
+
+
+def _labels_for_segments(spark, sf):
+    from clickloom.operators.labels import parse_labels
+    lab = parse_labels(B.responses(spark, sf))
+    return lab.select(F.col("conv_id").alias("rec_id"), (F.col("turn") % 4).alias("seg"), "arrival",
+                      "intent", "target_description", "expected_outcome", "confidence")
+
+
+@register("label_join", "WITH " + O.segment_sql(GAP) + "," + O.R4.lstrip() + """,
+  lj AS (SELECT conv_id AS rec_id, CAST(turn % 4 AS BIGINT) AS seg, arg_max_null(intent, arrival) AS intent,
+         arg_max_null(confidence, arrival) AS confidence FROM labels_parsed GROUP BY 1, 2),
+  sm AS (SELECT rec_id, seg, CAST(count(*) AS BIGINT) AS event_count FROM seg GROUP BY rec_id, seg)
+  SELECT sm.rec_id, sm.seg, sm.event_count, lj.intent, lj.confidence FROM sm LEFT JOIN lj USING (rec_id, seg)""")
+def q_label_join(spark, sf):
+    from clickloom.operators.labels import label_join
+    from clickloom.operators.summarize import segment_summary
+    s = segment_summary(_segmented(spark, sf))
+    j = label_join(s, _labels_for_segments(spark, sf))
+    return j.select("rec_id", F.col("seg").cast("long").alias("seg"), "event_count",
+                    F.col("label.intent").alias("intent"), F.col("label.confidence").alias("confidence"))
+
+
+def _envelopes(spark, sf):
+    """R0 recording envelopes: surface, started/ended (microseconds), metadata."""
+    e = B.table(spark, sf, "events")
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    g = e.groupBy(F.col("user_id").alias("rec_id")).agg(F.min(us).alias("started_us"), F.max(us).alias("ended_us"))
+    from clickloom.operators.labels import recording_duration_ms
+    return g.select("rec_id", F.lit("desktop").alias("surface"), "started_us", "ended_us",
+                    recording_duration_ms(F.col("started_us"), F.col("ended_us")).alias("duration_ms"),
+                    F.struct(F.lit("Linux").alias("os"), F.lit(None).cast("string").alias("browser"),
+                             F.lit(None).cast("string").alias("user_intent_hint")).alias("metadata"))
+
+
+_DUR_SQL = "CAST(trunc((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 * 1000) AS BIGINT)"
+
+
+@register("recording_duration", f"SELECT user_id AS rec_id, {_DUR_SQL} AS duration_ms FROM events GROUP BY user_id")
+def q_recording_duration(spark, sf):
+    return _envelopes(spark, sf).select("rec_id", "duration_ms")
+
+
+@register("build_payload", O.capped_sql(GAP) + f""",
+  env AS (SELECT user_id AS rec_id, {_DUR_SQL} AS duration_ms FROM events GROUP BY user_id),
+  sc AS (SELECT rec_id, CAST(count(DISTINCT seg) AS BIGINT) AS segment_count FROM capped GROUP BY rec_id),
+  nt AS (SELECT conv_id AS rec_id, CAST(count(*) AS BIGINT) AS n_notes FROM conversations GROUP BY conv_id)
+  SELECT env.rec_id, env.duration_ms, sc.segment_count, CAST(coalesce(nt.n_notes, 0) AS BIGINT) AS n_notes
+  FROM env LEFT JOIN sc USING (rec_id) LEFT JOIN nt USING (rec_id)""")
+def q_build_payload(spark, sf):
+    from clickloom.operators.labels import build_payload
+    from clickloom.operators.segment import cap_segments
+    from clickloom.operators.summarize import segment_summary
+    s = segment_summary(cap_segments(_segmented(spark, sf)))
+    c = B.table(spark, sf, "conversations")
+    notes = c.select(F.col("conv_id").alias("rec_id"), (F.lit(1714125600000) + F.col("turn") * 1000).alias("ts_ms"), "text")
+    p = build_payload(_envelopes(spark, sf), s, notes=notes)
+    return p.select("rec_id", "duration_ms", F.col("segment_count").cast("long").alias("segment_count"),
+                    F.coalesce("n_notes", F.lit(0)).cast("long").alias("n_notes"))
+
+
+def _manifest(spark, sf):
+    r = _r0(spark, sf).filter(F.col("screenshot_path").isNotNull())
+    r = r.filter(F.regexp_extract("screenshot_path", r"(\d+)", 1).cast("int") < 5)
+    return r.select("rec_id", F.col("screenshot_path").alias("path")).distinct()
+
+
+@register("pick_screenshots", O.capped_sql(GAP) + f""",
+  sm AS (SELECT {O.SUMMARY_COLS} FROM capped GROUP BY rec_id, seg),
+  mf AS (SELECT DISTINCT rec_id, screenshot_path AS path FROM r0 WHERE screenshot_path IS NOT NULL
+         AND CAST(regexp_extract(screenshot_path, '(\\d+)', 1) AS INTEGER) < 5),
+  fs AS (SELECT rec_id, boundary_screenshot AS path, min(seg) AS seg FROM sm
+         WHERE boundary_screenshot IS NOT NULL AND boundary_screenshot <> ''
+           AND (rec_id, boundary_screenshot) IN (SELECT rec_id, path FROM mf) GROUP BY 1, 2)
+  SELECT rec_id, path, seg, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY seg) AS BIGINT) AS rank FROM fs) x
+  WHERE rank <= {model.MAX_SCREENSHOTS}""")
+def q_pick_screenshots(spark, sf):
+    from clickloom.operators.labels import pick_screenshots
+    from clickloom.operators.segment import cap_segments
+    from clickloom.operators.summarize import segment_summary
+    s = segment_summary(cap_segments(_segmented(spark, sf)))
+    p = pick_screenshots(s, _manifest(spark, sf))
+    return p.select("rec_id", "path", F.col("seg").cast("long").alias("seg"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("image_block", "SELECT page_id, 'image/png' AS media_type, to_base64(encode(html)) AS data FROM pages WHERE page_id % 3 <> 0")
+def q_image_block(spark, sf):
+    from clickloom.operators.labels import image_block
+    p = B.table(spark, sf, "pages")
+    paths = p.filter(F.col("page_id") % 3 != 0).select("page_id")
+    blobs = p.select("page_id", F.encode("html", "UTF-8").alias("bytes"))
+    b = image_block(paths, blobs, ["page_id"])
+    return b.select("page_id", F.col("block.source.media_type").alias("media_type"), F.col("block.source.data").alias("data"))
+
+
+@register("parse_drafts", "WITH " + O.R5 + """ SELECT conv_id, CAST(s.pos AS BIGINT) AS pos, s.st.title AS title, s.st.fallback AS fallback,
+  s.st.screenshot_path AS screenshot_path, name FROM r5, (SELECT unnest(steps) AS st, generate_subscripts(steps, 1) AS pos) s""")
+def q_parse_drafts(spark, sf):
+    from clickloom.operators.labels import parse_drafts
+    d = parse_drafts(B.drafts_json(spark, sf))
+    x = d.select("conv_id", F.col("draft.name").alias("name"), F.posexplode("draft.steps").alias("pos", "st"))
+    return x.select("conv_id", (F.col("pos") + 1).cast("long").alias("pos"), F.col("st.title").alias("title"),
+                    F.col("st.fallback").alias("fallback"), F.col("st.screenshot_path").alias("screenshot_path"), "name")
+
+
+@register("check_draft_schema", "WITH " + O.R5 + """ SELECT conv_id, conv_id % 6 NOT IN (2, 3) AS ok,
+  CASE conv_id % 6 WHEN 2 THEN 'extra extra' WHEN 3 THEN array_to_string(list_transform(steps, lambda s, i:
+    'step ' || CAST(i - 1 AS VARCHAR) || ': missing goal'), '; ') ELSE '' END AS problems FROM r5""")
+def q_check_draft_schema(spark, sf):
+    from clickloom.operators.labels import check_draft_schema
+    return check_draft_schema(B.drafts_json(spark, sf)).select("conv_id", "ok", "problems")
+
+
+@register("pluggable_labeler")
+def q_pluggable_labeler(spark, sf):
+    from clickloom.operators.labels import label_requests, label_segments
+    from clickloom.operators.summarize import segment_summary
+    seg = _segmented(spark, sf)
+    return label_segments(label_requests(seg, segment_summary(seg)))

@@ -145,3 +145,79 @@ def seeded_docs(spark: SparkSession, sf_dir: str, chunk_rows: int = 1 << 16) ->
                     F.format_string("doc_%d", F.col("doc_id")).alias("id"),
                     json_quote("text").alias("value_json"), "text",
                     F.lit(False).alias("redacted"))
+
+
+# ----------------------------------------------------------------------- R4
+def _clean(c, n: int):
+    """Letters and spaces of the first ``n`` characters (keeps JSON text free of escapes)."""
+    return F.trim(F.regexp_replace(F.substring(c, 1, n), "[^A-Za-z ]", ""))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-style label responses, one per conversation turn, with
+    defects by ``conv_id % 5`` (malformed, no intent, extra key, no
+    confidence); turn 7 has no text.  Confidence from ``labels``."""
+    c = table(spark, sf_dir, "conversations")
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), "quality", "toxic")
+    x = c.join(lab, "conv_id", "left")
+    intent = _clean(F.col("text"), 40)
+    conf = F.when(F.col("toxic") == 1, "low").when(F.col("quality") == 1, "high").otherwise("medium")
+    m = F.col("conv_id") % 5
+    t = F.col("turn").cast("string")
+    q = lambda s: F.concat(F.lit('"'), s, F.lit('"'))
+    resp = (F.when(F.col("turn") == 7, F.lit(None).cast("string"))
+            .when(m == 0, F.concat(F.lit('{"intent": '), q(intent)))
+            .when(m == 1, F.concat(F.lit('{"target_description": null, "expected_outcome": "done", "confidence": '), q(conf), F.lit("}")))
+            .when(m == 2, F.concat(F.lit('{"intent": '), q(intent), F.lit(', "target_description": null, "expected_outcome": "done", "confidence": '),
+                                   q(conf), F.lit(', "extra": 1}')))
+            .when(m == 3, F.concat(F.lit('{"intent": '), q(intent), F.lit(', "target_description": "t'), t,
+                                   F.lit('", "expected_outcome": null}')))
+            .otherwise(F.concat(F.lit('{"intent": '), q(intent), F.lit(', "target_description": "t'), t,
+                                F.lit('", "expected_outcome": "done", "confidence": '), q(conf), F.lit("}"))))
+    return x.select("conv_id", "turn", F.col("turn").alias("arrival"), resp.alias("response"))
+
+
+# ----------------------------------------------------------------------- R5
+def draft_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R5 drafts as columns: one draft per conversation, one step per turn,
+    defects by ``conv_id % 6`` (0 bad name, 1 long description, 2 extra key,
+    3 step without goal, 4 missing image)."""
+    c = table(spark, sf_dir, "conversations")
+    turn = F.col("turn")
+    step = F.struct(
+        turn.alias("index"), _clean(F.col("text"), 30).alias("title"),
+        F.lit("g").alias("goal"), F.lit("a").alias("action"), F.lit("e").alias("expected_result"),
+        F.when(turn % 2 == 0, F.lit("retry")).alias("fallback"),
+        F.when(turn % 3 == 0, F.concat(F.lit("screenshots/"), turn.cast("string"), F.lit(".png"))).alias("screenshot_path"),
+        F.array(F.concat(F.lit("evt_"), turn.cast("string"))).alias("source_event_ids"))
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("steps"),
+                                 F.min_by(_clean(F.col("text"), 60), turn).alias("first_text"))
+    cid = F.col("conv_id")
+    m = cid % 6
+    return g.select(
+        "conv_id",
+        F.when(m == 0, F.concat(F.lit("Bad Name "), cid.cast("string"))).otherwise(
+            F.concat(F.lit("skill-"), cid.cast("string"))).alias("name"),
+        F.when(m == 1, F.repeat(F.lit("x"), 1100)).otherwise(F.concat(F.lit("Use when "), F.col("first_text"))).alias("description"),
+        F.concat(F.lit("Skill "), cid.cast("string")).alias("title"),
+        F.array(F.concat(F.lit("when "), cid.cast("string"))).alias("when_to_use"),
+        F.when(cid % 2 == 0, F.array(F.lit("account"))).otherwise(F.array().cast("array<string>")).alias("prerequisites"),
+        F.when(cid % 3 == 0, F.array(F.lit("file"))).otherwise(F.array().cast("array<string>")).alias("inputs"),
+        F.lit("Do it").alias("high_level_approach"),
+        "steps",
+        F.array(F.lit("done")).alias("success_criteria"),
+        F.when(cid % 4 == 0, F.array(F.lit("fails"))).otherwise(F.array().cast("array<string>")).alias("failure_modes"),
+        F.when(m == 2, F.lit(1)).alias("extra"),
+    )
+
+
+def drafts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R5 as model result text (JSON, nulls kept), defects included."""
+    d = draft_fields(spark, sf_dir)
+    m = F.col("conv_id") % 6
+    js = F.to_json(F.struct(*[F.col(k) for k in ["name", "description", "title", "when_to_use", "prerequisites",
+                                                   "inputs", "high_level_approach", "steps", "success_criteria",
+                                                   "failure_modes"]]), {"ignoreNullFields": "false"})
+    js = (F.when(m == 2, F.regexp_replace(js, "^[{]", '{"extra":1,'))
+          .when(m == 3, F.regexp_replace(js, '"goal":"g",', "")).otherwise(js))
+    return d.select("conv_id", js.alias("result"), F.lit("browser").alias("surface"))
