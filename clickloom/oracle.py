@@ -210,3 +210,31 @@ r5 AS (SELECT conv_id,
   ['done'] AS success_criteria,
   CASE WHEN conv_id % 4 = 0 THEN ['fails'] ELSE CAST([] AS VARCHAR[]) END AS failure_modes
   FROM r5s GROUP BY conv_id)"""
+
+
+def E(s: str) -> str:
+    """DuckDB escape-string literal."""
+    return "E'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def _bul(a: str) -> str:
+    return f"array_to_string(list_transform({a}, lambda b: '- ' || b || chr(10)), '')"
+
+
+def render_sql(src: str = "r5", surface: str = "'browser'") -> str:
+    from clickloom.operators.documents import REFERENCE_MATERIALS
+    step = ("list_transform(steps, lambda s, i: " + E("\n### ") + " || CAST(i AS VARCHAR) || '. ' || s.title || "
+            + E("\n\n**Goal:** ") + " || 'g' || " + E("\n\n**Action:** ") + " || 'a' || " + E("\n\n**Expected result:** ")
+            + " || 'e' || chr(10) || CASE WHEN coalesce(s.fallback, '') <> '' THEN " + E("\n**If it fails:** ")
+            + " || s.fallback || chr(10) ELSE '' END || CASE WHEN coalesce(s.screenshot_path, '') <> '' THEN "
+            + E("\n**Reference:** ![](reference/") + " || s.screenshot_path || ')' || chr(10) ELSE '' END || chr(10))")
+    return (f"SELECT conv_id, " + E("---\nname: ") + " || name || " + E("\ndescription: ")
+            + " || regexp_replace(replace(description, chr(10), ' '), '^\\s+|\\s+$', '', 'g') || " + E("\n---\n\n# ")
+            + " || title || " + E("\n\n## When to use this skill\n") + f" || {_bul('when_to_use')} || chr(10) || "
+            + f"CASE WHEN len(prerequisites) > 0 THEN {E(chr(10) + '## Prerequisites' + chr(10))} || {_bul('prerequisites')} || chr(10) ELSE '' END || "
+            + f"CASE WHEN len(inputs) > 0 THEN {E(chr(10) + '## Inputs' + chr(10) + 'Ask the user for these before starting:' + chr(10))} || {_bul('inputs')} || chr(10) ELSE '' END || "
+            + E("## High-level approach\n") + " || high_level_approach || " + E("\n\n## Steps\n")
+            + f" || array_to_string({step}, '') || " + E("\n\n## Success criteria\n") + f" || {_bul('success_criteria')} || chr(10) || "
+            + f"CASE WHEN len(failure_modes) > 0 THEN {E(chr(10) + '## Common failure modes' + chr(10))} || {_bul('failure_modes')} || chr(10) ELSE '' END || chr(10) || "
+            + E(REFERENCE_MATERIALS) + " || " + E("\n## Surface\nThis skill was recorded on the **") + f" || {surface} || "
+            + E("** surface.\n") + f" AS skill_md FROM {src}")

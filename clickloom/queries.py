@@ -765,3 +765,105 @@ def q_pluggable_labeler(spark, sf):
     from clickloom.operators.summarize import segment_summary
     seg = _segmented(spark, sf)
     return label_segments(label_requests(seg, segment_summary(seg)))
+
+
+# ------------------------------------------------------------ G: documents
+def _skill_docs(spark, sf):
+    from clickloom.operators.documents import render_skill_md
+    d = B.draft_fields(spark, sf)
+    return d.select("conv_id", render_skill_md(d, F.lit("browser")).alias("skill_md"))
+
+
+def _lint_inputs(spark, sf):
+    docs = _skill_docs(spark, sf)
+    m = F.col("conv_id") % 6
+    text = F.when(m == 4, F.lit(None).cast("string")).when(m == 5, F.substring("skill_md", 5, 1 << 30)).otherwise(F.col("skill_md"))
+    docs = docs.select(F.col("conv_id").alias("doc"), text.alias("skill_md"),
+                       F.concat(F.lit("skill-"), F.col("conv_id").cast("string")).alias("doc_dir"))
+    c = B.table(spark, sf, "conversations")
+    imgs = c.filter(F.col("turn") % 6 != 3).select(
+        F.col("conv_id").alias("doc"), F.concat(F.lit("reference/screenshots/"), F.col("turn").cast("string"), F.lit(".png")).alias("path"))
+    skill = c.select(F.col("conv_id").alias("doc")).distinct().filter(F.col("doc") % 6 != 4).withColumn("path", F.lit("SKILL.md"))
+    return docs, imgs.unionByName(skill)
+
+
+_LINT_SQL = "WITH " + O.R5 + ",\nmd AS (" + O.render_sql() + """),
+ ld AS (SELECT conv_id AS doc, 'skill-' || CAST(conv_id AS VARCHAR) AS doc_dir,
+        CASE conv_id % 6 WHEN 4 THEN NULL WHEN 5 THEN substr(skill_md, 5) ELSE skill_md END AS skill_md FROM md),
+ mf AS (SELECT conv_id AS doc, 'reference/screenshots/' || CAST(turn AS VARCHAR) || '.png' AS path FROM conversations WHERE turn % 6 <> 3
+        UNION ALL SELECT DISTINCT conv_id, 'SKILL.md' FROM conversations WHERE conv_id % 6 <> 4),
+ fx AS (SELECT *, regexp_extract(skill_md, '(?s)^---\\n(.+?)\\n---\\n', 1) AS fm FROM ld),
+ f2 AS (SELECT *, skill_md IS NOT NULL AND fm <> '' AS has_fm,
+   regexp_matches(fm, '(?m)^name:\\s*(.+)$') AS has_name, regexp_extract(fm, '(?m)^name:\\s*(.+)$', 1) AS nm,
+   regexp_matches(fm, '(?m)^description:\\s*(.+)$') AS has_desc, regexp_extract(fm, '(?m)^description:\\s*(.+)$', 1) AS ds FROM fx),
+ f3 AS (SELECT *, regexp_replace(nm, '^\\s+|\\s+$', '', 'g') AS nmv, CASE WHEN has_fm THEN substr(skill_md, length(fm) + 10) END AS body FROM f2),
+ refs AS (SELECT doc, r.ref, r.pos FROM f3, (SELECT unnest(regexp_extract_all(body, '!\\[\\]\\(([^)]+)\\)', 1)) AS ref,
+          generate_subscripts(regexp_extract_all(body, '!\\[\\]\\(([^)]+)\\)', 1), 1) AS pos) r WHERE has_fm),
+ broken AS (SELECT doc, list('broken image reference: ' || ref ORDER BY pos) AS b FROM refs
+            WHERE (doc, ref) NOT IN (SELECT doc, path FROM mf) GROUP BY doc),
+ issues AS (SELECT f3.doc, CASE WHEN skill_md IS NULL THEN ['Missing SKILL.md in ' || doc_dir]
+    WHEN NOT has_fm THEN ['SKILL.md is missing YAML frontmatter']
+    ELSE list_concat(list_filter([CASE WHEN NOT has_name THEN 'frontmatter missing `name`'
+                                  WHEN NOT regexp_full_match(nmv, '""" + model.NAME_PATTERN + """') THEN '`name` is not kebab-case or too long: ' || '''' || nmv || '''' END,
+                                 CASE WHEN NOT has_desc THEN 'frontmatter missing `description`'
+                                  WHEN length(regexp_replace(ds, '^\\s+|\\s+$', '', 'g')) > 1024 THEN '`description` exceeds 1024 characters' END],
+                                 lambda x: x IS NOT NULL), coalesce(broken.b, CAST([] AS VARCHAR[]))) END AS iss
+    FROM f3 LEFT JOIN broken USING (doc))"""
+
+
+@register("render_skill_md", "WITH " + O.R5 + ",\nmd AS (" + O.render_sql() + ") SELECT conv_id, skill_md FROM md")
+def q_render_skill_md(spark, sf):
+    return _skill_docs(spark, sf)
+
+
+def _lint(spark, sf):
+    from clickloom.operators.documents import lint
+    docs, mf = _lint_inputs(spark, sf)
+    return lint(docs, mf)
+
+
+@register("lint", _LINT_SQL + " SELECT doc, array_to_string(iss, ' | ') AS issues, len(iss) = 0 AS valid FROM issues")
+def q_lint(spark, sf):
+    return _lint(spark, sf).select("doc", F.array_join("issues", " | ").alias("issues"), "valid")
+
+
+def _mk_lint_rule(prefix):
+    def q(spark, sf):
+        x = _lint(spark, sf).select("doc", F.explode("issues").alias("issue"))
+        return x.filter(F.col("issue").startswith(prefix))
+    return q
+
+
+for _qn, _pref in [("lint_missing", "Missing SKILL.md"), ("lint_frontmatter", "SKILL.md is missing YAML"),
+                   ("lint_name", "`name`"), ("lint_description", "`description`"), ("lint_images", "broken image")]:
+    _extra = {"lint_name": " OR starts_with(issue, 'frontmatter missing `name`')",
+              "lint_description": " OR starts_with(issue, 'frontmatter missing `description`')"}.get(_qn, "")
+    register(_qn, _LINT_SQL + f" SELECT doc, issue FROM (SELECT doc, unnest(iss) AS issue FROM issues) u "
+                              f"WHERE starts_with(issue, '{_pref}'){_extra}")(
+        (lambda p, e: (lambda spark, sf: _lint(spark, sf).select("doc", F.explode("issues").alias("issue")).filter(
+            F.col("issue").startswith(p) | (F.lit(bool(e)) & F.col("issue").startswith(
+                "frontmatter missing `name`" if "name" in p else "frontmatter missing `description`")))))(_pref, _extra))
+
+
+@register("installable", "SELECT DISTINCT conv_id AS doc FROM conversations WHERE conv_id % 6 <> 4")
+def q_installable(spark, sf):
+    from clickloom.operators.documents import installable
+    docs, mf = _lint_inputs(spark, sf)
+    return installable(docs.select("doc"), mf).select("doc")
+
+
+@register("render_redactions_md", _E_BASE + ",\nlg AS (" + O.redaction_log_sql() + """),
+  recs AS (SELECT DISTINCT rec_id FROM r1), has AS (SELECT DISTINCT rec_id FROM lg)
+  SELECT rec_id, section, k1, k2, k3, k4, line FROM (""" + " UNION ALL ".join(
+    f"SELECT rec_id, {i} AS section, CAST({i} AS BIGINT) AS k1, CAST(0 AS BIGINT) AS k2, 0 AS k3, 0 AS k4, {O.E(t)} AS line FROM recs"
+    for i, t in enumerate(__import__('clickloom.operators.documents', fromlist=['x']).REPORT_HEADER)) + """
+  UNION ALL SELECT rec_id, 5, 0, 0, 0, 0, '| Event | Placeholder | Kind | Original length |' FROM has
+  UNION ALL SELECT rec_id, 5, 1, 0, 0, 0, '|---|---|---|---|' FROM has
+  UNION ALL SELECT rec_id, 5, 0, 0, 0, 0, '_No redactions were applied._' FROM recs WHERE rec_id NOT IN (SELECT rec_id FROM has)
+  UNION ALL SELECT rec_id, 6, ord, leaf, kind_idx, pos, '| `' || event_id || '` | `' || placeholder || '` | ' || kind || ' | '
+     || CAST(original_length AS VARCHAR) || ' |' FROM lg) x""")
+def q_render_redactions_md(spark, sf):
+    from clickloom.operators.documents import redaction_report_lines
+    from clickloom.operators.redact import redaction_log
+    sc = _scrubbed_docs(spark, sf)
+    return redaction_report_lines(redaction_log(sc), B.seeded_docs(spark, sf))
