@@ -60,7 +60,7 @@ def js_round(x: Column | str) -> Column:
 
 def trunc_to_long(x: Column | str) -> Column:
     """Python ``int(float)``: truncation towards zero."""
-    return col_(x).cast("double").cast("long")
+    return col_(x).try_cast("double").cast("long")
 
 
 def ntz_millis(ts: str) -> Column:

@@ -238,3 +238,62 @@ def render_sql(src: str = "r5", surface: str = "'browser'") -> str:
             + f"CASE WHEN len(failure_modes) > 0 THEN {E(chr(10) + '## Common failure modes' + chr(10))} || {_bul('failure_modes')} || chr(10) ELSE '' END || chr(10) || "
             + E(REFERENCE_MATERIALS) + " || " + E("\n## Surface\nThis skill was recorded on the **") + f" || {surface} || "
             + E("** surface.\n") + f" AS skill_md FROM {src}")
+
+
+# ------------------------------------------------------------------ R2
+def _click(eid: str, ts: str, extra: str) -> str:
+    return (f"'{{\"id\": \"{eid}\", \"ts_ms\": ' || {ts} || ', \"type\": \"click\", \"target\": {{\"url\": \"' || url || '\"}}"
+            + extra.replace("'", "''") + "}'")
+
+
+_STARTED = '"started_at": "2024-04-26T10:00:00Z", "ended_at": "2024-04-26T10:05:00Z"'
+
+
+def _wrap(events: str, surface: str = "browser", more: str = "") -> str:
+    return f"'{{\"surface\": \"{surface}\", {_STARTED}{more}, \"events\": ' || {events} || '}}'"
+
+
+R2 = f"""
+r2b AS (SELECT page_id, url, 1714125600000 + page_id * 1000 AS ts0 FROM pages),
+r2 AS (SELECT page_id,
+  CASE WHEN url LIKE '%?%' THEN '/upload' ELSE '/recordings' END AS path,
+  CASE WHEN starts_with(url, 'https') THEN 'chrome-extension://abc' WHEN url LIKE '%blog%' THEN 'moz-extension://def'
+       ELSE 'http://evil.example' END AS origin,
+  CASE page_id % 8 WHEN 0 THEN ''
+    WHEN 1 THEN '{{"surface": "browser", "events": ['
+    WHEN 2 THEN {_wrap("'[]'", surface="desktop")}
+    WHEN 3 THEN {_wrap("'{\"a\": 1}'")}
+    WHEN 4 THEN {_wrap("'[' || " + _click("evt_in_1", "CAST(ts0 AS VARCHAR)", ', "screenshot_data": "abcde"') + " || ']'")}
+    WHEN 5 THEN {_wrap("'[' || " + _click("evt_in_1", "CAST(ts0 AS VARCHAR) || '.75'", "") + " || ', ' || "
+                       + _click("evt_in_2", "CAST(ts0 + 1500 AS VARCHAR) || '.25'", ', "surface": "browser"') + " || ']'")}
+    WHEN 6 THEN {_wrap("'[' || " + _click("evt_in_1", "CAST(ts0 AS VARCHAR)", ', "screenshot_data": "iVBORw0KGgo="') + " || ', ' || "
+                       + _click("evt_in_2", "CAST(ts0 + 700 AS VARCHAR)", ', "value": "typed a@b.co"') + " || ']'",
+                       more=', "metadata": {"browser": "x"}')}
+    ELSE '[1, 2]' END AS body FROM r2b),
+r2e AS (SELECT *, CASE WHEN json_valid(body) AND json_type(body, '$.events') = 'ARRAY'
+                   THEN CAST(json_extract(body, '$.events[*]') AS VARCHAR[]) ELSE CAST([] AS VARCHAR[]) END AS evs FROM r2),
+r2s AS (SELECT page_id, path, origin, body, CAST(octet_length(encode(body)) AS BIGINT) AS content_length, CASE
+  WHEN path <> '/recordings' THEN 404 WHEN NOT (starts_with(origin, 'chrome-extension://') OR starts_with(origin, 'moz-extension://')) THEN 403
+  WHEN octet_length(encode(body)) <= 0 THEN 400 WHEN NOT json_valid(body) THEN 400 WHEN json_type(body) <> 'OBJECT' THEN 500
+  WHEN coalesce(json_type(body, '$.events'), '') <> 'ARRAY' THEN 422
+  WHEN NOT list_bool_and(list_transform(evs, lambda e: json_type(e) = 'OBJECT')) THEN 422
+  WHEN NOT list_bool_and(list_transform(evs, lambda e: json_extract_string(e, '$.screenshot_data') IS NULL
+        OR json_extract_string(e, '$.screenshot_data') = ''
+        OR length(regexp_replace(json_extract_string(e, '$.screenshot_data'), '[^A-Za-z0-9+/]', '', 'g')) % 4 = 0
+        OR (length(regexp_replace(json_extract_string(e, '$.screenshot_data'), '[^A-Za-z0-9+/]', '', 'g')) % 4 = 2
+            AND length(regexp_replace(json_extract_string(e, '$.screenshot_data'), '[^=]', '', 'g')) >= 2)
+        OR (length(regexp_replace(json_extract_string(e, '$.screenshot_data'), '[^A-Za-z0-9+/]', '', 'g')) % 4 = 3
+            AND length(regexp_replace(json_extract_string(e, '$.screenshot_data'), '[^=]', '', 'g')) >= 1))) THEN 422
+  WHEN coalesce(json_extract_string(body, '$.surface'), '') <> 'browser' THEN 422
+  WHEN json_extract_string(body, '$.started_at') IS NULL OR json_extract_string(body, '$.ended_at') IS NULL
+    OR NOT list_bool_and(list_transform(evs, lambda e: TRY_CAST(json_extract_string(e, '$.ts_ms') AS DOUBLE) IS NOT NULL
+        AND coalesce(json_extract_string(e, '$.type') IN ({", ".join(repr(t) for t in model.EVENT_TYPES)}), false)
+        AND coalesce(CASE WHEN json_exists(e, '$.surface') THEN json_extract_string(e, '$.surface') ELSE 'browser' END
+            IN ('browser', 'desktop'), false))) THEN 422
+  ELSE 201 END AS status, evs FROM r2e),
+r2ev AS (SELECT page_id, CAST(u.pos AS BIGINT) AS ord, printf('evt_%04d', u.pos) AS id, json_extract_string(u.e, '$.id') AS orig_id,
+  CAST(trunc(CAST(json_extract_string(u.e, '$.ts_ms') AS DOUBLE)) AS BIGINT) AS ts_ms,
+  CASE WHEN json_exists(u.e, '$.surface') THEN json_extract_string(u.e, '$.surface') ELSE 'browser' END AS surface,
+  json_extract_string(u.e, '$.type') AS type,
+  json_extract_string(u.e, '$.screenshot_data') AS sd FROM r2s, (SELECT unnest(evs) AS e, generate_subscripts(evs, 1) AS pos) u
+  WHERE status = 201)"""

@@ -867,3 +867,133 @@ def q_render_redactions_md(spark, sf):
     from clickloom.operators.redact import redaction_log
     sc = _scrubbed_docs(spark, sf)
     return redaction_report_lines(redaction_log(sc), B.seeded_docs(spark, sf))
+
+
+# ------------------------------------------------------------ A: sources and sinks
+def _admitted(spark, sf):
+    from clickloom.sources.payloads import admission
+    return admission(B.payloads(spark, sf))
+
+
+def _payload_events(spark, sf):
+    from clickloom.sources.payloads import payload_events, quarantine
+    acc, _ = quarantine(_admitted(spark, sf))
+    return payload_events(acc)
+
+
+@register("admission_status", "WITH " + O.R2 + " SELECT page_id, CAST(status AS INTEGER) AS status FROM r2s")
+def q_admission_status(spark, sf):
+    return _admitted(spark, sf).select("page_id", F.col("status").cast("int").alias("status"))
+
+
+@register("read_payloads", "WITH " + O.R2 + " SELECT page_id, ord, id, ts_ms, surface, type FROM r2ev")
+def q_read_payloads(spark, sf):
+    return _payload_events(spark, sf).select("page_id", "ord", "id", "ts_ms", "surface", "type")
+
+
+@register("ensure_surface", "WITH " + O.R2 + " SELECT page_id, ord, surface FROM r2ev")
+def q_ensure_surface(spark, sf):
+    return _payload_events(spark, sf).select("page_id", "ord", "surface")
+
+
+@register("normalize_ts", "WITH " + O.R2 + " SELECT page_id, ord, ts_ms FROM r2ev")
+def q_normalize_ts(spark, sf):
+    return _payload_events(spark, sf).select("page_id", "ord", "ts_ms")
+
+
+@register("extract_screenshots", "WITH " + O.R2 + """ SELECT page_id, 'screenshots/' || coalesce(orig_id, 'evt') || '.png' AS path,
+  CAST(octet_length(from_base64(sd)) AS BIGINT) AS n_bytes FROM r2ev WHERE sd IS NOT NULL AND sd <> ''""")
+def q_extract_screenshots(spark, sf):
+    from clickloom.sources.payloads import screenshot_blobs
+    b = screenshot_blobs(_payload_events(spark, sf))
+    return b.select("page_id", "path", F.octet_length("bytes").cast("long").alias("n_bytes"))
+
+
+@register("assign_recording_dir", """SELECT event_id, CASE WHEN rn = 1 THEN base ELSE base || '-' || CAST(rn - 1 AS VARCHAR) END AS dir_name
+  FROM (SELECT event_id, 'browser-' || strftime(date_trunc('hour', ts), '%Y%m%dT%H%M%S') AS base,
+               row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY event_id) AS rn FROM events) x""")
+def q_assign_recording_dir(spark, sf):
+    from clickloom.plans.ordered import add_chunk
+    from clickloom.sources.payloads import recording_dir_names
+    e = B.table(spark, sf, "events").select("event_id", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("started_at"))
+    e = add_chunk(e.withColumn("arrival", F.col("event_id")), "arrival")
+    return recording_dir_names(e).select("event_id", "dir_name")
+
+
+@register("assemble_recordings", "WITH " + O.R0 + """ SELECT rec_id, CAST(count(*) AS BIGINT) AS n_events, min(ts_ms) AS started_ms,
+  max(ts_ms) AS ended_ms, arg_min(id, ord) AS first_id, arg_max(id, ord) AS last_id FROM r0e GROUP BY rec_id""")
+def q_assemble_recordings(spark, sf):
+    from clickloom.sources.recordings import assemble_recordings
+    return assemble_recordings(_r0(spark, sf))
+
+
+def _r0_envelopes(spark, sf):
+    ev = _r0(spark, sf)
+    g = ev.groupBy("rec_id").agg(F.min("ts_ms").alias("s"), F.max("ts_ms").alias("e"))
+    iso = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return g.select("rec_id", F.lit("desktop").alias("surface"), iso(F.col("s")).alias("started_at"),
+                    iso(F.col("e")).alias("ended_at"))
+
+
+@register("write_recordings", "WITH " + O.R0 + " SELECT rec_id, ord, id, type, ts_ms FROM r0e")
+def q_write_recordings(spark, sf):
+    from clickloom.session import scratch_path
+    from clickloom.sources.recordings import write_recordings
+    path = scratch_path(spark, "recordings")
+    write_recordings(_r0(spark, sf), _r0_envelopes(spark, sf), path)
+    ev = spark.read.schema("rec_id bigint, ord bigint, id string, type string, ts_ms bigint").json(f"{path}/events")
+    return ev
+
+
+@register("read_recordings", "WITH " + O.R0 + " SELECT rec_id, ord, id, type, ts_ms FROM r0e")
+def q_read_recordings(spark, sf):
+    from clickloom.session import scratch_path
+    from clickloom.sources.recordings import read_recordings, recording_documents
+    path = scratch_path(spark, "recdocs")
+    docs = recording_documents(_r0(spark, sf), _r0_envelopes(spark, sf))
+    # one directory per recording holding recording.json, as the recorders write them
+    docs.select(F.col("rec_id").cast("string").alias("rec"), "doc").write.partitionBy("rec").text(path + "/raw")
+    r = read_recordings(spark, path + "/raw/*/*.txt", rec_id_pattern=r"rec=([^/]+)/")
+    return r.select(F.col("rec_id").cast("long").alias("rec_id"), "ord", "id", "type", "ts_ms")
+
+
+_PUB_SQL = """(SELECT conv_id AS doc, CASE WHEN conv_id % 2 = 0 THEN 'user' ELSE 'project' END AS scope,
+   'skill-' || CAST(conv_id % 50 AS VARCHAR) AS name FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 6 <> 4) c) rq"""
+
+
+@register("publish_docs", f"""SELECT doc, scope, name, CASE WHEN ex.name IS NULL THEN 'created' ELSE 'conflict' END AS action
+  FROM {_PUB_SQL} LEFT JOIN (SELECT DISTINCT CASE WHEN conv_id % 2 = 0 THEN 'user' ELSE 'project' END AS scope,
+    'skill-' || CAST(conv_id AS VARCHAR) AS name FROM conversations WHERE conv_id % 4 = 0) ex USING (scope, name)""")
+def q_publish_docs(spark, sf):
+    from clickloom.operators.documents import installable
+    from clickloom.sources.publish import publish_plan
+    docs, mf = _lint_inputs(spark, sf)
+    ok = installable(docs.select("doc"), mf)
+    req = ok.select("doc", F.when(F.col("doc") % 2 == 0, "user").otherwise("project").alias("scope"),
+                    F.concat(F.lit("skill-"), (F.col("doc") % 50).cast("string")).alias("name"))
+    c = B.table(spark, sf, "conversations").filter(F.col("conv_id") % 4 == 0)
+    pub = c.select(F.when(F.col("conv_id") % 2 == 0, "user").otherwise("project").alias("scope"),
+                   F.concat(F.lit("skill-"), F.col("conv_id").cast("string")).alias("name"))
+    return publish_plan(req, pub).select("doc", "scope", "name", "action")
+
+
+@register("copy_screenshots", "WITH " + O.R0 + """ SELECT DISTINCT rec_id, screenshot_path AS path FROM r0
+  WHERE screenshot_path IS NOT NULL AND rec_id % 3 <> 0""")
+def q_copy_screenshots(spark, sf):
+    from clickloom.sources.publish import copy_screenshots
+    ev = _r0(spark, sf)
+    blobs = ev.filter(F.col("screenshot_path").isNotNull()).select("rec_id", F.col("screenshot_path").alias("path")).distinct()
+    published = ev.select("rec_id").distinct().filter(F.col("rec_id") % 3 != 0)
+    return copy_screenshots(blobs, published)
+
+
+@register("write_redaction_report")
+def q_write_redaction_report(spark, sf):
+    from clickloom.operators.documents import redaction_report_lines
+    from clickloom.operators.redact import redaction_log
+    from clickloom.session import scratch_path
+    from clickloom.sources.publish import write_report
+    lines = redaction_report_lines(redaction_log(_scrubbed_docs(spark, sf)), B.seeded_docs(spark, sf))
+    path = scratch_path(spark, "reports")
+    write_report(lines, path)
+    return spark.read.parquet(path).groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_lines"))

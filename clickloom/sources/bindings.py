@@ -221,3 +221,40 @@ def drafts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     js = (F.when(m == 2, F.regexp_replace(js, "^[{]", '{"extra":1,'))
           .when(m == 3, F.regexp_replace(js, '"goal":"g",', "")).otherwise(js))
     return d.select("conv_id", js.alias("result"), F.lit("browser").alias("surface"))
+
+
+# ----------------------------------------------------------------------- R2
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: one upload request per page: path/origin from the url and a small
+    JSON body with a defect chosen by ``page_id % 8``."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    pid = F.col("page_id")
+    url = F.col("url")
+    ts0 = (F.lit(1714125600000) + pid * 1000)
+    started = F.lit('"started_at": "2024-04-26T10:00:00Z", "ended_at": "2024-04-26T10:05:00Z"')
+
+    def click(eid, ts, extra):
+        return F.concat(F.lit('{"id": "' + eid + '", "ts_ms": '), ts, F.lit(', "type": "click", "target": {"url": "'),
+                        url, F.lit('"}'), F.lit(extra), F.lit("}"))
+
+    def wrap(events, surface="browser", more=""):
+        return F.concat(F.lit('{"surface": "' + surface + '", '), started, F.lit(more + ', "events": '), events, F.lit("}"))
+
+    ev = lambda *xs: F.concat(F.lit("["), *sum([[x, F.lit(", ")] for x in xs], [])[:-1], F.lit("]"))
+    m = pid % 8
+    body = (F.when(m == 0, F.lit(""))
+            .when(m == 1, F.lit('{"surface": "browser", "events": ['))
+            .when(m == 2, wrap(F.lit("[]"), surface="desktop"))
+            .when(m == 3, wrap(F.lit('{"a": 1}')))
+            .when(m == 4, wrap(ev(click("evt_in_1", ts0.cast("string"), ', "screenshot_data": "abcde"'))))
+            .when(m == 5, wrap(ev(click("evt_in_1", F.concat(ts0.cast("string"), F.lit(".75")), ""),
+                                  click("evt_in_2", F.concat((ts0 + 1500).cast("string"), F.lit(".25")), ', "surface": "browser"'))))
+            .when(m == 6, wrap(ev(click("evt_in_1", ts0.cast("string"), ', "screenshot_data": "iVBORw0KGgo="'),
+                                  click("evt_in_2", (ts0 + 700).cast("string"), ', "value": "typed a@b.co"')),
+                               more=', "metadata": {"browser": "x"}'))
+            .otherwise(F.lit("[1, 2]")))
+    path = F.when(url.contains("?"), F.lit("/upload")).otherwise(F.lit("/recordings"))
+    origin = (F.when(url.startswith("https"), F.lit("chrome-extension://abc"))
+              .when(url.contains("blog"), F.lit("moz-extension://def")).otherwise(F.lit("http://evil.example")))
+    return p.select("page_id", path.alias("path"), origin.alias("origin"), body.alias("body"),
+                    F.octet_length(body).cast("long").alias("content_length"))
