@@ -997,3 +997,123 @@ def q_write_redaction_report(spark, sf):
     path = scratch_path(spark, "reports")
     write_report(lines, path)
     return spark.read.parquet(path).groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+# ------------------------------------------------------------ streaming
+def _stream_from(spark, df, name):
+    """Land ``df`` as parquet files in a fresh folder and open it as a stream."""
+    from clickloom.session import scratch_path
+    landing = scratch_path(spark, name + "-landing")
+    df.write.parquet(landing)
+    return spark.readStream.schema(df.schema).parquet(landing)
+
+
+def _stream_run(spark, sdf, name, mode):
+    from clickloom.session import scratch_path
+    from clickloom.streaming.live import run_available
+    sink, ck = scratch_path(spark, name + "-sink"), scratch_path(spark, name + "-ckpt")
+    run_available(sdf, sink, ck, mode)
+    return spark.read.parquet(sink)
+
+
+def _latest(df, keys):
+    from pyspark.sql import Window as W
+    w = W.partitionBy(*keys).orderBy(F.col("batch_id").desc())
+    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "batch_id")
+
+
+@register("session_status", "SELECT user_id AS rec_id, CAST(count(*) AS BIGINT) AS n_events FROM events GROUP BY user_id")
+def q_session_status(spark, sf):
+    from clickloom.streaming.live import session_status
+    ev = _r0(spark, sf).select("rec_id", "ord", "ts_ms", F.timestamp_millis("ts_ms").alias("ts"))
+    out = _stream_run(spark, session_status(_stream_from(spark, ev, "status")), "status", "update")
+    return _latest(out, ["rec_id"]).select("rec_id", F.col("n_events").cast("long").alias("n_events"))
+
+
+def _stream_debounce_sql():
+    return SQL["debounce_input"]
+
+
+@register("stream_debounce_input", SQL["debounce_input"])
+def q_stream_debounce_input(spark, sf):
+    """Append-mode session windows; an end-of-stream marker (rec_id -1, far
+    future) lands last and moves the watermark past every open session."""
+    from clickloom.session import scratch_path
+    from clickloom.streaming.live import debounce_sessions
+    ev = _r0(spark, sf).filter(F.col("type") == "input").select(
+        "rec_id", "ord", "ts_ms", F.timestamp_millis("ts_ms").alias("ts"),
+        F.coalesce(F.col("target.url"), F.lit("")).alias("element"))
+    landing = scratch_path(spark, "debounce-landing")
+    ev.coalesce(1).write.parquet(landing + "/1")
+    end = ev.agg((F.max("ts_ms") + 10 * _DEB_MS).alias("ts_ms")).select(
+        F.lit(-1).cast(ev.schema["rec_id"].dataType).alias("rec_id"), F.lit(0).cast("long").alias("ord"), "ts_ms",
+        F.timestamp_millis("ts_ms").alias("ts"), F.lit("").alias("element"))
+    end.coalesce(1).write.parquet(landing + "/2")
+    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(landing + "/*")
+    s = debounce_sessions(src, _DEB_MS, ["element"], watermark="0 seconds")
+    out = _stream_run(spark, s, "debounce", "append")
+    return out.filter(F.col("rec_id") != -1).select("rec_id", "ord", "element", "emit_ts_ms")
+
+
+@register("stream_throttle", SQL["throttle_screenshots"])
+def q_stream_throttle(spark, sf):
+    from clickloom.operators.normalize import visual_filter
+    from clickloom.streaming.live import throttle_state
+    ev = _r0(spark, sf).filter(visual_filter()).select("rec_id", "ord", "ts_ms")
+    out = _stream_run(spark, throttle_state(_stream_from(spark, ev, "throttle"), _THROTTLE_MS), "throttle", "append")
+    return out.filter("kept").select("rec_id", "ord")
+
+
+@register("stream_payloads")
+def q_stream_payloads(spark, sf):
+    from clickloom.session import scratch_path
+    from clickloom.streaming.live import intake
+    landing = scratch_path(spark, "uploads")
+    B.payloads(spark, sf).select(F.col("page_id").cast("string").alias("page"), "body").write.partitionBy("page").text(landing)
+    out = _stream_run(spark, intake(spark, landing + "/*"), "uploads", "append")
+    return out.select(F.regexp_extract("file", r"page=(\d+)", 1).cast("long").alias("page_id"), "status")
+
+
+# ------------------------------------------------------------ E12 nested values, A3 archives
+def _nested_events(spark, sf):
+    from clickloom.plans.ordered import add_chunk
+    c = B.table(spark, sf, "conversations")
+    text = F.concat(F.col("text"), B.seed_expr("conv_id"))
+    v = F.to_json(F.struct(F.col("role").alias("role"),
+                           F.struct(text.alias("text"), F.col("turn").alias("turn")).alias("body"),
+                           F.array(F.col("role"), F.lit("x")).alias("tags")))
+    ev = c.select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("ord"),
+                  F.format_string("evt_%04d", F.col("turn") + 1).alias("id"), v.alias("value_json"),
+                  F.lit(False).alias("redacted"))
+    return add_chunk(ev, "ord", 1 << 20)
+
+
+_NESTED_SQL = O.redact_sql("WITH " + """
+nl AS (SELECT conv_id AS rec_id, turn AS ord, printf('evt_%04d', turn + 1) AS id, role, text || """ +
+                           O._seed_sql().replace("doc_id", "conv_id") + """ AS body FROM conversations),
+nleaf AS (SELECT rec_id, ord, CAST(0 AS BIGINT) AS leaf, id, role AS text FROM nl
+          UNION ALL SELECT rec_id, ord, 1, id, body FROM nl
+          UNION ALL SELECT rec_id, ord, 2, id, role FROM nl
+          UNION ALL SELECT rec_id, ord, 3, id, 'x' FROM nl)""", "nleaf")
+
+
+@register("scrub_nested", _NESTED_SQL + """ SELECT rec_id, ord, max(CASE WHEN leaf = 0 THEN scrubbed END) AS role,
+  max(CASE WHEN leaf = 1 THEN scrubbed END) AS body_text, max(CASE WHEN leaf = 2 THEN scrubbed END) AS tag0,
+  max(CASE WHEN leaf = 3 THEN scrubbed END) AS tag1, bool_or(scrubbed <> text) AS redacted FROM es GROUP BY rec_id, ord""")
+def q_scrub_nested(spark, sf):
+    from clickloom.operators.redact import scrub_events
+    s = scrub_events(_nested_events(spark, sf))
+    v = F.col("value_json")
+    return s.select("rec_id", "ord", F.get_json_object(v, "$.role").alias("role"),
+                    F.get_json_object(v, "$.body.text").alias("body_text"),
+                    F.get_json_object(v, "$.tags[0]").alias("tag0"), F.get_json_object(v, "$.tags[1]").alias("tag1"),
+                    "redacted")
+
+
+@register("read_archives")
+def q_read_archives(spark, sf):
+    from clickloom.session import scratch_path
+    from clickloom.sources.payloads import read_archives, write_archives
+    path = scratch_path(spark, "archives")
+    write_archives(B.payloads(spark, sf).select(F.col("page_id").cast("string").alias("name"), "body"), path)
+    return read_archives(spark, path + "/*.zip")
