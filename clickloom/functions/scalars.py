@@ -118,19 +118,21 @@ def accessible_name(aria: Column | str, placeholder: Column | str, text: Column
 def shannon_entropy(s: Column | str) -> Column:
     """-sum p log2 p over the characters of ``s`` (0.0 for the empty string).
 
-    Counts per distinct character come from sorting the character array once
-    and measuring run lengths, all inside higher-order functions."""
+    One pass over the sorted characters: runs of equal characters give the
+    counts c, and H = log2(n) - sum(c log2 c) / n.  The lambdas only touch
+    their own arguments (an outer array referenced inside a lambda would be
+    re-evaluated per element)."""
     chars = F.array_sort(F.split(col_(s), r"(?!\z)"))
-    n = F.size(chars)
-    # positions where a new run of equal characters starts
-    starts = F.filter(F.sequence(F.lit(1), n),
-                      lambda i: (i == 1) | (F.element_at(chars, i) != F.element_at(chars, i - 1)))
-    ends = F.concat(F.slice(starts, 2, n), F.array(n + 1))
-    counts = F.zip_with(starts, ends, lambda a, b: (b - a).cast("double"))
-    total = n.cast("double")
-    h = F.aggregate(counts, F.lit(0.0).cast("double"),
-                    lambda acc, c: acc - (c / total) * F.log2(c / total))
-    return F.when(F.length(col_(s)) == 0, F.lit(0.0)).otherwise(h)
+    n = F.size(chars).cast("double")
+    clog = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0.0).alias("run"), F.lit(0.0).alias("acc"))
+    acc = F.aggregate(
+        chars, init,
+        lambda st, c: F.when(c == st["prev"], F.struct(st["prev"].alias("prev"), (st["run"] + 1).alias("run"),
+                                                       st["acc"].alias("acc")))
+        .otherwise(F.struct(c.alias("prev"), F.lit(1.0).alias("run"), (st["acc"] + clog(st["run"])).alias("acc"))),
+        lambda st: st["acc"] + clog(st["run"]))
+    return F.when(F.length(col_(s)) == 0, F.lit(0.0)).otherwise(F.log2(n) - acc / n)
 
 
 def looks_like_secret(s: Column | str) -> Column:
