@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clickloom import model
 from clickloom.functions.scalars import json_field, json_has_key, json_is_object, json_quote
-from clickloom.plans.ordered import CHUNK, with_adjacent, with_running
+from clickloom.plans.ordered import CHUNK, with_adjacent, with_prev_running, with_running
 
 KEY = "__key"
 
@@ -59,15 +59,19 @@ def classify(df: DataFrame) -> DataFrame:
     return df.withColumn("__kind", kind)
 
 
+def _run_start(c, p):
+    return ((c("__kind") == "other") | p("__kind").isNull() | (p("__kind") != c("__kind"))).cast("long")
+
+
 def mark_runs(df: DataFrame, keys="rec_id") -> DataFrame:
-    """Run ids: a new run at every ``other`` row and at every change of kind."""
-    df = with_adjacent(df, prev=["__kind"], nxt=["__kind"], keys=keys)
-    start = ((F.col("__kind") == "other") | F.col("prev___kind").isNull()
-             | (F.col("prev___kind") != F.col("__kind"))).cast("int")
-    df = df.withColumn("__run_start", start)
-    return with_running(df, {"__run": (F.col("__run_start").cast("long"), "sum"),
-                             "__run_chunk": (F.when(F.col("__run_start") == 1, F.col(CHUNK)), "max")},
-                        keys=keys)
+    """Run ids: a new run at every ``other`` row and at every change of kind.
+    One fused ordered stage gives the previous/next kind, the run id and the
+    chunk where each run starts."""
+    df = with_prev_running(
+        df, prev=["__kind"], cur=["__kind"], nxt=["__kind"], keys=keys,
+        running={"__run": (_run_start, "sum"),
+                 "__run_chunk": (lambda c, p: F.when(_run_start(c, p) == 1, c(CHUNK)), "max")})
+    return df.withColumn("__run_start", _run_start(F.col, lambda n: F.col("prev_" + n)).cast("int"))
 
 
 def compress(events: DataFrame, keys="rec_id") -> DataFrame:

@@ -10,38 +10,37 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from clickloom import model
 from clickloom.functions.scalars import json_field, json_is_object, verb_group
-from clickloom.plans.ordered import CHUNK, with_adjacent, with_running
+from clickloom.plans.ordered import CHUNK, with_adjacent, with_prev_running, with_running
 
 PREV_COLS = ["type", "__url", "ts_ms", "__verb"]
-
-
-def boundary_signals(events: DataFrame, gap_ms: int = model.DEFAULT_GAP_MS,
-                     keys="rec_id") -> DataFrame:
-    """D1..D10: adds ``sig_*`` weights, ``weight`` and ``reasons`` (array in
-    signal order) for each event against its predecessor; the first event of
-    a recording gets weight 0 and no reasons."""
-    df = events.select("*", F.col("target.url").alias("__url"),
-                       verb_group("type").alias("__verb"))
-    df = with_adjacent(df, prev=PREV_COLS, keys=keys)
-    has_prev = F.col("prev_type").isNotNull()
-    t, pt = F.col("type"), F.col("prev_type")
-    url, purl = F.col("__url"), F.col("prev___url")
-    nonempty = lambda c: c.isNotNull() & (c != "")
-    key_enter = ((t == "key") & json_is_object("value_json")
-                 & (F.lower(F.coalesce(json_field("value_json", "key"), F.lit(""))) == "enter"))
-    gap = F.col("ts_ms") - F.col("prev_ts_ms")
+CUR_COLS = ["type", "__url", "ts_ms", "__verb", "value_json"]
+SIGNALS = ["sig_navigate", "sig_url_change", "sig_focus_tab", "sig_form_submit", "sig_enter_after_input",
+           "sig_network_idle", "sig_screen_changed", "sig_gap", "sig_verb_change"]
+
+
+def _signals(c, p, gap_ms: int):
+    """D1..D9 for a row ``c`` and its predecessor ``p`` (getters by column name)."""
+    has_prev = p("type").isNotNull()
+    t, pt = c("type"), p("type")
+    url, purl = c("__url"), p("__url")
+    nonempty = lambda x: x.isNotNull() & (x != "")
+    v = c("value_json")
+    key_enter = ((t == "key") & json_is_object(v)
+                 & (F.lower(F.coalesce(json_field(v, "key"), F.lit(""))) == "enter"))
+    gap = c("ts_ms") - p("ts_ms")
     sig = {
         "sig_navigate": F.when(t == "navigate", 3),
         "sig_url_change": F.when((t != "navigate") & nonempty(url) & nonempty(purl) & (url != purl), 3),
         "sig_focus_tab": F.when(t.isin(*model.FOCUS_TAB_TYPES), 3),
-        "sig_form_submit": F.when((t == "annotation") & json_is_object("value_json")
-                                  & F.coalesce(json_field("value_json", "kind") == "form_submit", F.lit(False)), 3),
+        "sig_form_submit": F.when((t == "annotation") & json_is_object(v)
+                                  & F.coalesce(json_field(v, "kind") == "form_submit", F.lit(False)), 3),
         "sig_enter_after_input": F.when(key_enter & (pt == "input"), 3),
         "sig_network_idle": F.when((t == "network_idle") & (pt == "dom_settled"), 3),
         "sig_screen_changed": F.when(t == "screen_changed", 2),
         "sig_gap": F.when(gap >= gap_ms, 2),
-        "sig_verb_change": F.when(F.col("__verb") != F.col("prev___verb"), 1),
+        "sig_verb_change": F.when(c("__verb") != p("__verb"), 1),
     }
+    sig = {n: F.when(has_prev, F.coalesce(e, F.lit(0))).otherwise(F.lit(0)) for n, e in sig.items()}
     reason = {
         "sig_navigate": F.lit("navigate"), "sig_url_change": F.lit("url_change"),
         "sig_focus_tab": t, "sig_form_submit": F.lit("form_submit"),
@@ -51,20 +50,41 @@ def boundary_signals(events: DataFrame, gap_ms: int = model.DEFAULT_GAP_MS,
         "sig_gap": F.concat(F.lit("gap_"), gap.cast("string"), F.lit("ms")),
         "sig_verb_change": F.lit("verb_change"),
     }
-    sig_cols = [F.when(has_prev, F.coalesce(e, F.lit(0))).otherwise(F.lit(0)).alias(n) for n, e in sig.items()]
-    df = df.select("*", *sig_cols)
-    weight = sum((F.col(n) for n in sig), F.lit(0))
-    reasons = F.filter(F.array(*[F.when(F.col(n) > 0, reason[n]) for n in sig]), lambda x: x.isNotNull())
-    return df.select("*", weight.alias("weight"), reasons.alias("reasons")).drop(
-        "__url", "__verb", *[f"prev_{c}" for c in PREV_COLS])
+    return sig, reason
+
+
+def _weight(c, p, gap_ms: int):
+    sig, _ = _signals(c, p, gap_ms)
+    return sum(sig.values(), F.lit(0))
+
+
+def _with_signal_columns(df: DataFrame, gap_ms: int) -> DataFrame:
+    sig, reason = _signals(F.col, lambda n: F.col("prev_" + n), gap_ms)
+    df = df.select("*", *[e.alias(n) for n, e in sig.items()])
+    weight = sum((F.col(n) for n in SIGNALS), F.lit(0))
+    reasons = F.filter(F.array(*[F.when(F.col(n) > 0, reason[n]) for n in SIGNALS]), lambda x: x.isNotNull())
+    return df.select("*", weight.alias("weight"), reasons.alias("reasons"))
+
+
+def _prep(events: DataFrame) -> DataFrame:
+    return events.select("*", F.col("target.url").alias("__url"), verb_group("type").alias("__verb"))
+
+
+def boundary_signals(events: DataFrame, gap_ms: int = model.DEFAULT_GAP_MS,
+                     keys="rec_id") -> DataFrame:
+    """D1..D10: ``sig_*`` weights, ``weight`` and ``reasons`` (signal order) of
+    each event against its predecessor; the first event gets 0 and none."""
+    df = with_adjacent(_prep(events), prev=PREV_COLS, keys=keys)
+    return _with_signal_columns(df, gap_ms).drop("__url", "__verb", *[f"prev_{c}" for c in PREV_COLS])
 
 
 def segment(events: DataFrame, gap_ms: int = model.DEFAULT_GAP_MS,
             threshold: int = model.DEFAULT_THRESHOLD, keys="rec_id") -> DataFrame:
-    """``seg`` = 0-based segment index, a new segment where weight >= threshold."""
-    df = boundary_signals(events, gap_ms=gap_ms, keys=keys)
-    df = df.withColumn("__cut", (F.col("weight") >= threshold).cast("long"))
-    return with_running(df, {"seg": (F.col("__cut"), "sum")}, keys=keys).drop("__cut")
+    """``seg`` = 0-based segment index, a new segment where weight >= threshold.
+    One fused ordered stage: predecessor columns and the running cut count."""
+    cut = lambda c, p: (_weight(c, p, gap_ms) >= threshold).cast("long")
+    df = with_prev_running(_prep(events), prev=PREV_COLS, cur=CUR_COLS, keys=keys, running={"seg": (cut, "sum")})
+    return _with_signal_columns(df, gap_ms).drop("__url", "__verb", *[f"prev_{c}" for c in PREV_COLS])
 
 
 # ----------------------------------------------------------------- D12 cap

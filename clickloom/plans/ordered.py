@@ -176,3 +176,75 @@ def dense_ordinal(df: DataFrame, keys: Sequence[str] | str, order_col: str, out:
         df = add_chunk(df, order_col, chunk_rows, chunk)
     return with_running(df, {out: (F.lit(1).cast("long"), "sum")}, keys=keys,
                         ord=order_col, chunk=chunk)
+
+
+def with_prev_running(df: DataFrame, prev: Sequence[str], cur: Sequence[str], running: dict,
+                      nxt: Sequence[str] = (), keys: Sequence[str] | str = "rec_id",
+                      ord: Sequence[str] | str = "ord", chunk: str = CHUNK,
+                      prev_prefix: str = "prev_", next_prefix: str = "next_") -> DataFrame:
+    """``with_adjacent`` and ``with_running`` fused into one stage, for running
+    aggregates whose per-row value depends on the previous row.
+
+    ``running`` maps name -> (fn, "sum" | "max") with ``fn(c, p) -> Column``,
+    where ``c(name)`` / ``p(name)`` give the current / previous row's value of a
+    column listed in ``cur`` / ``prev``.  Each chunk's first row is valued
+    with a local guess (no predecessor) and corrected in the per-chunk
+    summary, where the carried predecessor is known; one summary join then
+    delivers neighbours and offsets together."""
+    keys = _keys(keys)
+    prev, nxt, cur = list(prev), list(nxt), list(dict.fromkeys(list(cur) + [chunk]))
+    w = W.partitionBy(*keys, chunk).orderBy(*_keys(ord))
+    fns = {"sum": F.sum, "max": F.max}
+    pp = F.struct(*[F.col(c) for c in prev])
+    local = stage(df, keys, chunk).select("*", F.lag(pp).over(w).alias("__lag"),
+                                          *([F.lead(F.struct(*[F.col(c) for c in nxt])).over(w).alias("__lead")] if nxt else []))
+    is_first = F.col("__lag").isNull()
+    row_c = lambda n: F.col(n)
+    row_p = lambda n: F.col("__lag")[n]
+    vals = {name: (f"__r{i}", fn, how) for i, (name, (fn, how)) in enumerate(running.items())}
+    local = local.select("*", *[fn(row_c, row_p).alias(v) for v, fn, _ in vals.values()])
+
+    aggs = [F.max_by(pp, _ord_col(ord)).alias("__last"),
+            F.min_by(F.struct(*[F.col(c) for c in cur]), _ord_col(ord)).alias("__first")]
+    if nxt:
+        aggs.append(F.min_by(F.struct(*[F.col(c) for c in nxt]), _ord_col(ord)).alias("__first_next"))
+    aggs += [fns[how](F.when(~is_first, F.col(v))).alias(v + "_rest") for v, _, how in vals.values()]
+    summary = local.groupBy(*keys, chunk).agg(*aggs)
+    wc = W.partitionBy(*keys).orderBy(chunk)
+    carry = summary.select("*", F.lag("__last").over(wc).alias("__carry_prev"),
+                           *([F.lead("__first_next").over(wc).alias("__carry_next")] if nxt else []))
+    sum_c = lambda n: F.col("__first")[n]
+    sum_p = lambda n: F.col("__carry_prev")[n]
+    first_vals = [fn(sum_c, sum_p).alias(v + "_first") for v, fn, _ in vals.values()]
+    carry = carry.select("*", *first_vals)
+    tot = []
+    for v, _, how in vals.values():
+        if how == "sum":
+            tot.append((F.coalesce(F.col(v + "_rest"), F.lit(0)) + F.coalesce(F.col(v + "_first"), F.lit(0))).alias(v + "_tot"))
+        else:
+            tot.append(F.greatest(F.col(v + "_rest"), F.col(v + "_first")).alias(v + "_tot"))
+    carry = carry.select("*", *tot)
+    wp = wc.rowsBetween(W.unboundedPreceding, -1)
+    carry = carry.select(*keys, chunk, "__carry_prev", *(["__carry_next"] if nxt else []),
+                         *[F.col(v + "_first") for v, _, _ in vals.values()],
+                         *[fns[how](F.col(v + "_tot")).over(wp).alias(v + "_off") for v, _, how in vals.values()])
+
+    out = local.join(carry, [*keys, chunk], "left")
+    fixed = [F.when(is_first, F.col(v + "_first")).otherwise(F.col(v)).alias(v) for v, _, _ in vals.values()]
+    keep = [c for c in out.columns if c not in {v for v, _, _ in vals.values()}]
+    out = out.select(*keep, *fixed)
+    wr = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    res = []
+    for name, (v, _, how) in vals.items():
+        if how == "sum":
+            res.append((F.coalesce(F.col(v + "_off"), F.lit(0)) + F.sum(F.col(v)).over(wr)).alias(name))
+        else:
+            res.append(F.greatest(F.col(v + "_off"), F.max(F.col(v)).over(wr)).alias(name))
+    p = F.coalesce(F.col("__lag"), F.col("__carry_prev"))
+    cols = [p[c].alias(prev_prefix + c) for c in prev]
+    if nxt:
+        n = F.coalesce(F.col("__lead"), F.col("__carry_next"))
+        cols += [n[c].alias(next_prefix + c) for c in nxt]
+    tmp = ["__lag", "__lead", "__carry_prev", "__carry_next"] + [c for v, _, _ in vals.values()
+                                                                 for c in (v, v + "_first", v + "_off")]
+    return out.select("*", *cols, *res).drop(*tmp)
