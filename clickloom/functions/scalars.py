@@ -44,7 +44,7 @@ def json_has_key(v: Column | str, name: str) -> Column:
 
 def json_quote(s: Column | str) -> Column:
     """Encode a string column as a JSON string literal (exact JSON escaping)."""
-    return F.regexp_extract(F.to_json(F.array(col_(s))), r"(?s)^\[(.*)\]$", 1).alias("json_quote")
+    return F.regexp_extract(F.to_json(F.array(col_(s))), r"(?s)^\[(.*)\]$", 1)
 
 
 def json_text(v: Column | str) -> Column:

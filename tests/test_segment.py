@@ -81,8 +81,6 @@ def test_browser_invoice_golden(spark):
 
 
 def cap_fold(sizes, cap):
-    groups = [[i] * n for i, n in enumerate(sizes)]
-    groups = [list(range(n)) for n in sizes]
     idx = [[i] for i in range(len(sizes))]
     while len(idx) > cap:
         k = min(range(1, len(idx)), key=lambda i: sum(sizes[j] for j in idx[i]))
