@@ -148,24 +148,28 @@ def redact_sql(base: str, src: str) -> str:
     offs = ", ".join(f"CAST(coalesce(sum(n_{k}) OVER w, 0) AS BIGINT) AS off_{k}" for k in KINDS)
     ctes.append(f"eo AS (SELECT *, {offs} FROM ec WINDOW w AS (PARTITION BY rec_id ORDER BY ord, leaf "
                 f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
-    expr = f"t{n}"
+    prev = "eo"
+    col = f"t{n}"
     for i, kind in enumerate(KINDS[:-1]):
-        expr = (f"(CASE WHEN n_{kind} > 0 THEN array_to_string(list_transform(string_split({expr}, chr({0xE000 + i})), "
-                f"lambda p, j: CASE WHEN j = 1 THEN p ELSE '<{kind}_' || CAST(off_{kind} + j - 1 AS VARCHAR) || '>' || p END), '') "
-                f"ELSE {expr} END)")
-    expr = f"CASE WHEN n_{he} > 0 THEN '<{he}_' || CAST(off_{he} + 1 AS VARCHAR) || '>' ELSE {expr} END"
-    ctes.append(f"es AS (SELECT *, {expr} AS scrubbed FROM eo)")
+        ctes.append(f"eb{i} AS (SELECT *, CASE WHEN n_{kind} > 0 THEN array_to_string(list_transform(string_split({col}, chr({0xE000 + i})), "
+                    f"lambda p, j: CASE WHEN j = 1 THEN p ELSE '<{kind}_' || CAST(off_{kind} + j - 1 AS VARCHAR) || '>' || p END), '') "
+                    f"ELSE {col} END AS b{i} FROM {prev})")
+        prev, col = f"eb{i}", f"b{i}"
+    ctes.append(f"es AS (SELECT *, CASE WHEN n_{he} > 0 THEN '<{he}_' || CAST(off_{he} + 1 AS VARCHAR) || '>' ELSE {col} END "
+                f"AS scrubbed FROM {prev})")
     return base + ",\n" + ",\n".join(ctes)
 
 
 def redaction_log_sql(src: str = "es") -> str:
-    parts = []
-    for i, k in enumerate(KINDS):
-        parts.append(f"SELECT rec_id, ord, leaf, CAST({i} AS INTEGER) AS kind_idx, CAST(u.pos - 1 AS INTEGER) AS pos, id AS event_id, "
-                     f"'<{k}_' || CAST(off_{k} + u.pos AS VARCHAR) || '>' AS placeholder, '{k}' AS kind, "
-                     f"CAST(u.l AS BIGINT) AS original_length "
-                     f"FROM {src}, (SELECT unnest(len_{k}) AS l, generate_subscripts(len_{k}, 1) AS pos) u")
-    return "\nUNION ALL\n".join(parts)
+    """One row per replacement; a single pass over ``src`` (one unnest)."""
+    items = ", ".join(
+        f"list_transform(len_{k}, lambda l, i: {{'kind_idx': {i}, 'pos': i - 1, 'kind': '{k}', 'n': off_{k} + i, 'l': l}})"
+        for i, k in enumerate(KINDS))
+    return (f"SELECT rec_id, ord, leaf, CAST(it.kind_idx AS INTEGER) AS kind_idx, CAST(it.pos AS INTEGER) AS pos, "
+            f"event_id, '<' || it.kind || '_' || CAST(it.n AS VARCHAR) || '>' AS placeholder, it.kind AS kind, "
+            f"CAST(it.l AS BIGINT) AS original_length FROM (SELECT rec_id, ord, leaf, id AS event_id, "
+            f"unnest(list_concat({items})) AS it FROM {src}) x")
+
 
 TOKENS_SQL = """
 tok AS (SELECT doc_id, CAST(t.pos AS BIGINT) AS pos, t.token
