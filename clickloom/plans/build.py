@@ -1,4 +1,4 @@
-"""The build pipeline (F13): scrub -> compress -> segment -> cap -> summary."""
+"""The build flow (F13): scrub -> compress -> segment -> cap -> summary."""
 
 from __future__ import annotations
 
@@ -24,10 +24,10 @@ def segmented_events(events: DataFrame, gap_ms: int = model.DEFAULT_GAP_MS,
     return seg
 
 
-def pipeline(events: DataFrame, gap_ms: int = model.DEFAULT_GAP_MS,
-             threshold: int = model.DEFAULT_THRESHOLD,
-             max_segments: int | None = model.DEFAULT_MAX_SEGMENTS,
-             scrub: bool = True, keys="rec_id") -> DataFrame:
+def build_summaries(events: DataFrame, gap_ms: int = model.DEFAULT_GAP_MS,
+                    threshold: int = model.DEFAULT_THRESHOLD,
+                    max_segments: int | None = model.DEFAULT_MAX_SEGMENTS,
+                    scrub: bool = True, keys="rec_id") -> DataFrame:
     """One row per (recording, segment) of the capped segmentation."""
     seg = segmented_events(events, gap_ms, threshold, max_segments, scrub, keys)
     return segment_summary(seg, keys=keys)

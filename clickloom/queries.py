@@ -79,10 +79,10 @@ def q_segment_summary(spark, sf):
         "rec_id", F.col("seg").cast("long").alias("seg"), "duration_ms", "event_count", "boundary_screenshot")
 
 
-@register("pipeline", O.capped_sql(GAP) + f" SELECT {O.SUMMARY_COLS} FROM capped GROUP BY rec_id, seg")
-def q_pipeline(spark, sf):
-    from clickloom.plans.build import pipeline
-    return pipeline(B.rec_events(spark, sf), gap_ms=GAP).select(
+@register("build_steps", O.capped_sql(GAP) + f" SELECT {O.SUMMARY_COLS} FROM capped GROUP BY rec_id, seg")
+def q_build_steps(spark, sf):
+    from clickloom.plans.build import build_summaries
+    return build_summaries(B.rec_events(spark, sf), gap_ms=GAP).select(
         "rec_id", F.col("seg").cast("long").alias("seg"), "duration_ms", "event_count", "boundary_screenshot")
 
 
