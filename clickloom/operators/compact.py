@@ -161,9 +161,8 @@ def throttle(events: DataFrame, min_gap_ms: int, keys="rec_id") -> DataFrame:
     by a small grouped pandas function over (ord, ts) only."""
     import pandas as pd
     keys_l = [keys] if isinstance(keys, str) else list(keys)
-    df = with_adjacent(events, prev=["ts_ms"], keys=keys_l)
-    reset = (F.col("prev_ts_ms").isNull() | ((F.col("ts_ms") - F.col("prev_ts_ms")) >= min_gap_ms)).cast("long")
-    df = with_running(df.withColumn("__reset", reset), {"__burst": (F.col("__reset"), "sum")}, keys=keys_l)
+    reset = lambda c, p: (p("ts_ms").isNull() | ((c("ts_ms") - p("ts_ms")) >= min_gap_ms)).cast("long")
+    df = with_prev_running(events, prev=["ts_ms"], cur=["ts_ms"], keys=keys_l, running={"__burst": (reset, "sum")})
     slim = df.select(*keys_l, "__burst", "ord", "ts_ms", F.col("prev_ts_ms").isNull().alias("__first"))
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys_l) + ", ord bigint, kept boolean"
 
