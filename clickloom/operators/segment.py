@@ -81,10 +81,13 @@ def boundary_signals(events: DataFrame, gap_ms: int = model.DEFAULT_GAP_MS,
 def segment(events: DataFrame, gap_ms: int = model.DEFAULT_GAP_MS,
             threshold: int = model.DEFAULT_THRESHOLD, keys="rec_id") -> DataFrame:
     """``seg`` = 0-based segment index, a new segment where weight >= threshold.
-    One fused ordered stage: predecessor columns and the running cut count."""
-    cut = lambda c, p: (_weight(c, p, gap_ms) >= threshold).cast("long")
-    df = with_prev_running(_prep(events), prev=PREV_COLS, cur=CUR_COLS, keys=keys, running={"seg": (cut, "sum")})
-    return _with_signal_columns(df, gap_ms).drop("__url", "__verb", *[f"prev_{c}" for c in PREV_COLS])
+
+    Two ordered stages (neighbours, then the running cut count): the signal
+    expressions read JSON values, so they are evaluated once per row on the
+    staged neighbours rather than again inside a fused correction step."""
+    df = boundary_signals(events, gap_ms=gap_ms, keys=keys)
+    df = df.withColumn("__cut", (F.col("weight") >= threshold).cast("long"))
+    return with_running(df, {"seg": (F.col("__cut"), "sum")}, keys=keys).drop("__cut")
 
 
 # ----------------------------------------------------------------- D12 cap
@@ -128,7 +131,8 @@ def cap_segments(segmented: DataFrame, max_segments: int = model.DEFAULT_MAX_SEG
     most ``max_segments`` surviving start indices per recording, joined back on
     ``(keys, _chunk)`` so the event side is not reshuffled."""
     keys_l = [keys] if isinstance(keys, str) else list(keys)
-    counts = segmented.groupBy(*keys_l, "seg").agg(F.count(F.lit(1)).alias("n"))
+    per_chunk_counts = segmented.groupBy(*keys_l, CHUNK, "seg").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_chunk_counts.groupBy(*keys_l, "seg").agg(F.sum("n").alias("n"))
     nseg = counts.groupBy(*keys_l).agg(F.count(F.lit(1)).alias("n_seg"))
     over = counts.join(nseg.filter(F.col("n_seg") > max_segments), keys_l, "left_semi")
 
@@ -144,7 +148,7 @@ def cap_segments(segmented: DataFrame, max_segments: int = model.DEFAULT_MAX_SEG
         return pd.DataFrame([row])
 
     anchors = over.groupBy(*keys_l).applyInPandas(merge, out_schema)
-    chunks = segmented.select(*keys_l, CHUNK).distinct()
+    chunks = per_chunk_counts.select(*keys_l, CHUNK).distinct()
     per_chunk = chunks.join(anchors, keys_l, "inner")
     out = segmented.join(per_chunk, [*keys_l, CHUNK], "left")
     new_seg = F.when(F.col("anchors").isNull(), F.col("seg")).otherwise(
