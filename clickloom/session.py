@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -36,22 +35,40 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one.  Only when it is
-    unset (local runs and tests) a private folder is created and registered.
+    Uses ``spark.checkpoint.dir`` when the cluster names one.  Only a local
+    session (tests) may leave it unset: a private folder is then created and
+    registered.  On any other master a driver-local folder would be invisible
+    to the executors, so that is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
         d = tempfile.mkdtemp(prefix="clickloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    elif spark.sparkContext.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+_ROOTS: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    root = checkpoint_root(spark)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique path under the shared checkpoint folder.  All scratch
+    paths of an application share one parent, deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        root = f"{checkpoint_root(spark).rstrip('/')}/clickloom-{app}-{uuid.uuid4().hex[:8]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _ROOTS[app] = root
+    return f"{_ROOTS[app]}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch path whose rows are no longer needed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
