@@ -98,7 +98,7 @@ def rolling(hashes: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.full(n, np.uint64(seed * 0x9E3779B97F4A7C15 & MASK64), np.uint64)
-    p = np.uint64(0x100000001B3 * 2654435761 | 1)
+    p = np.uint64(0xD6E8FEB86659FD93)
     for j in range(k):
         out *= p
         out += x[j:j + n]

@@ -1,18 +1,44 @@
-"""Registered queries of the training-data operators and their DuckDB oracles."""
+"""Registered queries of the training-data operators and their DuckDB oracles.
+
+Every query applies its operator, with its production parameters, to whole tables.
+"""
 
 from __future__ import annotations
 
-from clickloom.llm import mixing, sharding
-from clickloom.llm.common import table
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from clickloom.llm import decontam, langid, mixing, quality, sharding, token_files, topk
+from clickloom.llm.common import fold, table
+
+
+def op1_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1)
 
 
-def op5_stratified_shards(spark, sf_dir):
+def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-def op6_pareto_mix(spark, sf_dir):
+def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-SPARK = {f.__name__: f for f in (op5_stratified_shards, op6_pareto_mix)}
+def op7_word_backoff_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2)
+
+
+def op8_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_documents(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_simhash_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SPARK = {f.__name__: f for f in (op1_block_topk, op3_pairwise_quality, op5_stratified_shards, op6_pareto_mix,
+                                 op7_word_backoff_lang, op8_arrow_tokens, op9_simhash_decontaminate)}
 SQL: dict[str, str] = {}
