@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clickloom.session import checkpoint_root
+from clickloom.session import checkpoint_root, scratch_path
 
 #: Words held by a worker's word cache before it starts afresh (about 150 bytes each).
 CACHE_WORDS = 300_000
@@ -103,3 +103,11 @@ def rolling(hashes: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
         out *= p
         out += x[j:j + n]
     return mix64(out)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet under the shared folder and read it back: the frame and its path, which
+    the caller deletes (``session.delete_path``) once nothing reads it; else it goes with the driver."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickloom.llm import decontam, langid, mixing, quality, sharding, token_files, topk
+from clickloom.llm import decontam, langid, mixing, neardup, quality, sharding, token_files, topk
 from clickloom.llm.common import fold, table
 
 
@@ -15,6 +15,10 @@ def op1_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op2_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1)
 
@@ -39,6 +43,6 @@ def op9_simhash_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-SPARK = {f.__name__: f for f in (op1_block_topk, op3_pairwise_quality, op5_stratified_shards, op6_pareto_mix,
+SPARK = {f.__name__: f for f in (op1_block_topk, op2_odd_sketch_neardup, op3_pairwise_quality, op5_stratified_shards, op6_pareto_mix,
                                  op7_word_backoff_lang, op8_arrow_tokens, op9_simhash_decontaminate)}
 SQL: dict[str, str] = {}
