@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickloom.llm import decontam, langid, mixing, neardup, quality, sharding, token_files, topk
+from clickloom.llm import decontam, kneser_ney, langid, mixing, neardup, quality, sharding, token_files, topk
 from clickloom.llm.common import fold, table
 
 
@@ -23,6 +23,10 @@ def op3_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1)
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.lm_scores(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,6 @@ def op9_simhash_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-SPARK = {f.__name__: f for f in (op1_block_topk, op2_odd_sketch_neardup, op3_pairwise_quality, op5_stratified_shards, op6_pareto_mix,
+SPARK = {f.__name__: f for f in (op1_block_topk, op2_odd_sketch_neardup, op3_pairwise_quality, op4_kneser_ney, op5_stratified_shards, op6_pareto_mix,
                                  op7_word_backoff_lang, op8_arrow_tokens, op9_simhash_decontaminate)}
 SQL: dict[str, str] = {}
