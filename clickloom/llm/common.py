@@ -59,6 +59,9 @@ def chunks_of_words(texts: list[bytes], lower: bool, most: int = CHUNK_WORDS) ->
         yield first, lists
 
 
+_HASHES: WordHash | None = None
+
+
 class WordHash(dict):
     """word (bytes) -> signed 64-bit hash; starts afresh at ``CACHE_WORDS`` words."""
 
@@ -70,6 +73,14 @@ class WordHash(dict):
         self[word] = h
         return h
 
+    @classmethod
+    def shared(cls) -> WordHash:
+        """This worker's hashes: the words of earlier tasks are known."""
+        global _HASHES
+        if _HASHES is None:
+            _HASHES = cls()
+        return _HASHES
+
     def of(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, one after another, and each list's length."""
         n = np.fromiter(map(len, lists), np.int64, len(lists))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickloom.llm import decontam, kneser_ney, langid, mixing, neardup, quality, sharding, token_files, topk
+from clickloom.llm import decontam, kneser_ney, langid, mixing, neardup, quality, sharding, substring, token_files, topk
 from clickloom.llm.common import fold, table
 
 
@@ -47,6 +47,10 @@ def op9_simhash_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 SPARK = {f.__name__: f for f in (op1_block_topk, op2_odd_sketch_neardup, op3_pairwise_quality, op4_kneser_ney, op5_stratified_shards, op6_pareto_mix,
-                                 op7_word_backoff_lang, op8_arrow_tokens, op9_simhash_decontaminate)}
+                                 op7_word_backoff_lang, op8_arrow_tokens, op9_simhash_decontaminate, op10_suffix_automata)}
 SQL: dict[str, str] = {}
