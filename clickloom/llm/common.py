@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from clickloom.session import checkpoint_root, scratch_path
 
@@ -122,3 +122,18 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def attach(docs: DataFrame, keys: dict[str, Column], decided: DataFrame, values: list[str]) -> DataFrame:
+    """``docs`` with the columns ``values`` of ``decided``, which has a row for every row of ``docs``
+    and the columns named in ``keys`` (given there as expressions over ``docs``; nulls are equal).
+    Rows with equal keys are interchangeable: they're numbered on both sides and meet by number."""
+    names = list(keys)
+    left = docs.select(F.struct("*").alias("row"), *[keys[k].alias(f"__{k}") for k in names])
+    left = left.withColumn("__rn", F.row_number().over(W.partitionBy(*[f"__{k}" for k in names]).orderBy(F.xxhash64("row"))))
+    right = decided.withColumn("__n", F.row_number().over(W.partitionBy(*names).orderBy(*values)))
+    right = right.select(*[F.col(k).alias(f"__r_{k}") for k in names], "__n", F.struct(*values).alias("__v"))
+    on = F.col("__rn") == F.col("__n")
+    for k in names:
+        on = on & F.col(f"__{k}").eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(right, on).select("row.*", "__v")

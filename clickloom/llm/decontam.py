@@ -174,6 +174,30 @@ class Index:
         return out
 
 
+def _slices(benchmark: DataFrame, item_col: str, item_text_col: str):
+    """The benchmark's distinct (id, text) items as broadcasts of at most about ``SLICE_BYTES`` of text each."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter(F.col("text").isNotNull()).distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // SLICE_BYTES))
+    for k in range(n):
+        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()  # one slice
+        yield spark.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in part])
+
+
+def _hits(batches, items: list[tuple[int, bytes]], threshold: float, radius: int):
+    """Each batch with its hits: (row, item id, similarity, first word), the best place of each row and item."""
+    names = [i for i, _ in items]
+    index, word = Index([(x, t) for x, (_, t) in enumerate(items)], radius), WordHash.shared()
+    for batch in batches:
+        best: dict[tuple[int, int | None], tuple[float, int]] = {}
+        for first, lists in chunks_of_words(texts_of(batch, "text"), lower=True, most=200_000):
+            for d, item, s, p in index.hits(word, lists, threshold):
+                if s > best.get((first + d, names[item]), (0.0,))[0]:
+                    best[first + d, names[item]] = (s, p)
+        yield batch, [(d, i, s, p) for (d, i), (s, p) in best.items()]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radius: int = RADIUS, id_col: str = "doc_id",
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, similarity, first_word``: each row of ``docs`` with each benchmark item that one of its
@@ -183,31 +207,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75,
     whole sequence.  Null ids and repeated rows of documents give rows of their own; items are told apart by id, of equal
     ids the texts are all used.  Empty tables give empty results.  Other columns aren't read.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter(F.col("text").isNotNull()).distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_slices = max(1, -(-total // SLICE_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, similarity double, first_word long"
-    out = spark.createDataFrame([], schema)
-    for k in range(n_slices):
-        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_slices)) == k).collect()  # a slice
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in part])
+    out = None
+    for shared in _slices(benchmark, item_col, item_text_col):
 
         def run(batches, shared=shared):
-            names = [i for i, _ in shared.value]
-            index, word = Index([(x, t) for x, (_, t) in enumerate(shared.value)], radius), WordHash()
-            for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                found = []
-                for first, lists in chunks_of_words(texts_of(batch, "text"), lower=True, most=200_000):
-                    best: dict[tuple[int, int | None], tuple] = {}
-                    for d, item, s, p in index.hits(word, lists, threshold):
-                        if s > best.get((d, names[item]), (0.0,))[0]:
-                            best[d, names[item]] = (s, p)
-                    found += [{"doc_id": ids[first + d], "item_id": i, "similarity": s, "first_word": p} for (d, i), (s, p) in best.items()]
-                yield pa.RecordBatch.from_pylist(found, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())]))
-
-        got = rows.mapInArrow(run, schema)
-        out = got if n_slices == 1 else out.unionByName(got)
+            for batch, found in _hits(batches, shared.value, threshold, radius):
+                rows, items, s, p = zip(*found) if found else ((), (), (), ())
+                yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), "item_id": pa.array(items, pa.int64()),
+                                       "similarity": pa.array(s, pa.float64()), "first_word": pa.array(p, pa.int64())})
+
+        got = rows.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long")
+        out = got if out is None else out.unionByName(got)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radius: int = RADIUS, text_col: str = "text",
+          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any benchmark item (as ``contaminated`` finds them), unchanged."""
+    for shared in _slices(benchmark, item_col, item_text_col):
+        whole = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+
+        def run(batches, shared=shared):
+            for batch, found in _hits(batches, shared.value, threshold, radius):
+                free = np.ones(batch.num_rows, bool)
+                free[[d for d, *_ in found]] = False
+                yield pa.record_batch({"row": batch.column("row").filter(pa.array(free))})
+
+        docs = whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}").select("row.*")
+    return docs

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from clickloom.llm.common import materialize
+from clickloom.llm.common import attach, materialize
 from clickloom.llm.sharding import BINS, numbered
 
 #: Words: runs of anything but space and the ASCII control characters 9 to 13.
@@ -84,3 +84,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     out = out.withColumn("copies", copies.cast("int"))
     return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
                       (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "source")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, unchanged."""
+    decided = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter("copies > 0")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    out = attach(docs, {"doc_id": F.col(id_col), "source": F.col(source_col), "size": size}, decided, ["copies"])
+    return (out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__v.copies")))).select(*docs.columns))

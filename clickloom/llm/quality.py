@@ -129,3 +129,11 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("quality")).filter(~held_out)
     model = fit(rows, marks, **options)
     return score(rows.withColumn("held_out", held_out), model, ["doc_id", "held_out"], "doc_id long, held_out boolean")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
+    """The rows of ``docs`` that are not predicted bad, unchanged; learned from all labelled documents among them."""
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    model = fit(ids, labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("quality")), **options)
+    whole = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return score(whole, model, ["row"], f"row {whole.schema['row'].dataType.simpleString()}").filter("predicted = 1").select("row.*")
