@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from clickloom.llm.common import CACHE_WORDS, chunks_of_words, materialize, texts_of
+from clickloom.llm.common import chunks_of_words, materialize, texts_of
 from clickloom.llm.files import create, open_file
 from clickloom.session import scratch_path
 
@@ -36,6 +36,11 @@ BATCH = 128
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
 
+#: Words whose ids a worker keeps (about 200 bytes each).
+KNOWN_WORDS = 1_000_000
+_ENCODERS: dict[int, WordEncoder] = {}
+
+
 class WordEncoder:
     """bytes of a word -> its ids as little-endian bytes."""
 
@@ -46,9 +51,18 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
 
+    @classmethod
+    def of(cls, tokenizer_json: str) -> WordEncoder:
+        """This worker's encoder: the words it has met serve its later tasks too."""
+        key = hash(tokenizer_json)
+        if key not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[key] = cls(tokenizer_json)
+        return _ENCODERS[key]
+
     def encode(self, lists: list[list[bytes]]) -> list[bytes]:
         """Each word list's ids, as bytes of ``dtype``."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > KNOWN_WORDS:
             self.known = {}
         known = self.known
         new = list(set().union(*lists) - known.keys())
@@ -144,7 +158,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str | None = N
                 continue
             if writer is None:
                 part = TaskContext.get().partitionId()
-                encoder = WordEncoder(shared.value)
+                encoder = WordEncoder.of(shared.value)
                 writer = SequenceWriter(folder, part, encoder.dtype, seq_len)
                 index_path, stream = create(folder, f"docs-{part:05d}")
                 index = pa.ipc.new_file(stream, INDEX)
