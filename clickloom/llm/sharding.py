@@ -1,10 +1,11 @@
 """Sharding by proportional stratified interleaving (native).
 
 Rows of each source are put in a seeded random order; row r of n gets the
-fractional rank (2r+1)/2n; all rows are sorted by it and the sorted sequence is
-cut into contiguous shards whose row counts differ by at most one (law
-``rows``).  Every stretch of the sequence, hence every shard, holds each source
-in its share of the whole, to within one row a source.
+fractional rank (r + u)/n, u being a seeded number of the source, so that small
+sources don't all fall in the middle; all rows are sorted by it and the sorted
+sequence is cut into contiguous shards whose row counts differ by at most one
+(law ``rows``).  Every stretch of ranks holds each source in its share of the
+whole to within one row, and so, nearly, does every shard.
 
 No order is taken in one task.  A rank within a source, and a position in the
 whole, is a prefix sum over 4,096 bins of the sort key (one row a bin, or a bin
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from clickloom.llm.common import materialize
+from clickloom.llm.common import attach, materialize
 
 BINS = 4096
 
@@ -49,7 +50,7 @@ def numbered(df: DataFrame, keys: list[str], bin_col: str, order: list[Column],
 
 def interleave(docs: DataFrame, n_shards: int, stratum: str = "source", id_col: str = "doc_id",
                text_col: str = "text", seed: int = 17) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size, text_crc32, shard, slot``.
+    """One row per row of ``docs``: ``doc_id, size, text_crc32, shard, slot, stratum``.
 
     ``size`` is the UTF-8 bytes of the text plus 8; a null text has none and the
     crc of the empty text.  A null stratum is a stratum of its own; null ids and
@@ -65,14 +66,23 @@ def interleave(docs: DataFrame, n_shards: int, stratum: str = "source", id_col:
     rows = materialize(rows.withColumn("bin", F.shiftrightunsigned("h", 52).cast("int")))
     ties = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     ranked = numbered(rows, ["stratum"], "bin", [F.col("h"), *ties], "r", total="n")
-    ranked = ranked.withColumn("frac", (2 * F.col("r") + 1).cast("double") / (2 * F.col("n")).cast("double"))
+    start = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.col("stratum").isNull(), "stratum"), 32).cast("double") / float(1 << 32)
+    ranked = ranked.withColumn("frac", (F.col("r").cast("double") + start) / F.col("n").cast("double"))
     ranked = materialize(ranked.select("doc_id", "stratum", "size", "text_crc32", "frac",
                                        F.floor(F.col("frac") * BINS).cast("int").alias("fbin"), F.lit(0).alias("all")))
     placed = numbered(ranked, ["all"], "fbin", [F.col("frac"), F.col("stratum").asc_nulls_last(), *ties], "pos", total="n")
     shard = F.expr(f"pos * {n_shards} div n")
     first = F.expr(f"(shard * n + {n_shards - 1}) div {n_shards}")
     return (placed.withColumn("shard", shard).withColumn("slot", F.col("pos") - first)
-            .select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")))
+            .select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), "stratum"))
+
+
+def sharded(docs: DataFrame, n_shards: int, stratum: str = "source", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with their ``shard`` and ``slot`` (in place of columns of these names)."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    out = attach(docs, {"doc_id": F.col(id_col), "stratum": F.col(stratum), "text_crc32": F.crc32(text), "size": (F.octet_length(text) + 8).cast("long")},
+                 interleave(docs, n_shards, stratum, id_col, text_col, **options), ["shard", "slot"])
+    return out.select(*[c for c in docs.columns if c not in ("shard", "slot")], "__v.shard", "__v.slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:
