@@ -18,7 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from clickloom.llm.common import CACHE_WORDS, chunks_of_words, texts_of
 
@@ -35,7 +35,7 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i:i + n] for i in range(len(w) - n + 1) if n > 1 or w[i] != " "]
 
 
-def fit(train: DataFrame, per_lang: int = 1500, min_count: int = 2, seed: int = 7) -> dict:
+def fit(train: DataFrame, per_lang: int = 500, min_count: int = 2, seed: int = 7) -> dict:
     """``train(doc_id, lang, text)`` -> the model.  Rows without text or lang are not learned from."""
     rows = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
@@ -62,23 +62,21 @@ def fit(train: DataFrame, per_lang: int = 1500, min_count: int = 2, seed: int =
                     yield pa.record_batch({"lang": pa.array(lang), "n": pa.array(n, pa.int32()), "gram": pa.array(gram), "c": pa.array(list(found.values()), pa.int64())})
 
     counts = picked.mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    seen = counts.groupBy("n", "gram").agg(F.sum("c").alias("all"), F.collect_list(F.struct("lang", "c")).alias("of")).filter(F.col("all") >= min_count)
-    got = seen.toPandas()
+    seen = counts.withColumn("all", F.sum("c").over(W.partitionBy("n", "gram"))).filter(F.col("all") >= min_count)
     total = {r["lang"]: r["n"] for r in sizes.collect()}
     langs = sorted(total)
     place = {x: i for i, x in enumerate(langs)}
-    table = np.zeros((len(got) + 1, len(langs)), np.float64)
-    for i, of in enumerate(got["of"]):
-        for x in of:
-            table[i + 1, place[x["lang"]]] = x["c"]
-    kind = got["n"].to_numpy() if len(got) else np.empty(0, int)
-    index: list[dict[str, int]] = []
-    for n in range(LONGEST + 1):
-        rows_n = np.flatnonzero(kind == n)
-        part = table[rows_n + 1]
-        if len(rows_n):
-            table[rows_n + 1] = np.log((part + 0.5) / (part.sum(0) + 0.5 * (len(rows_n) + 1)))
-        index.append({got["gram"].iat[i]: int(i) + 1 for i in rows_n})
+    got = seen.select("n", "gram", "lang", "c").toArrow()  # bounded by per_lang
+    index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    rows = np.empty(got.num_rows, np.int64)
+    for i, (n, gram) in enumerate(zip(got.column("n").to_pylist(), got.column("gram").to_pylist())):
+        rows[i] = index[n].setdefault(gram, sum(map(len, index)) + 1)
+    table = np.zeros((sum(map(len, index)) + 1, len(langs)), np.float64)
+    table[rows, [place[x] for x in got.column("lang").to_pylist()]] = got.column("c").to_numpy()
+    for known in index:
+        if known:
+            at = np.fromiter(known.values(), np.int64)
+            table[at] = np.log((table[at] + 0.5) / (table[at].sum(0) + 0.5 * (len(at) + 1)))
     all_docs = sum(total.values())
     prior = np.array([math.log(total[x] / all_docs) for x in langs])
     return {"langs": langs, "index": index, "table": table.astype(np.float32), "prior": prior}
@@ -118,7 +116,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         model = shared.value
         langs = model["langs"]
-        words = Words(model)
+        words = model.setdefault("words", Words(model))  # this worker's later tasks know them too
         for batch in batches:
             preds: list[str] = []
             scores: list[float] = []
