@@ -15,11 +15,11 @@ unless it is itself the output row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from clickloom import model
 from clickloom.functions.scalars import json_field, json_has_key, json_is_object, json_quote
-from clickloom.plans.ordered import CHUNK, with_adjacent, with_prev_running, with_running
+from clickloom.plans.ordered import CHUNK, chunk_cols, with_adjacent, with_prev_running, with_running
 
 KEY = "__key"
 
@@ -67,10 +67,10 @@ def mark_runs(df: DataFrame, keys="rec_id") -> DataFrame:
     """Run ids: a new run at every ``other`` row and at every change of kind.
     One fused ordered stage gives the previous/next kind, the run id and the
     chunk where each run starts."""
-    df = with_prev_running(
-        df, prev=["__kind"], cur=["__kind"], nxt=["__kind"], keys=keys,
-        running={"__run": (_run_start, "sum"),
-                 "__run_chunk": (lambda c, p: F.when(_run_start(c, p) == 1, c(CHUNK)), "max")})
+    running = {"__run": (_run_start, "sum")}
+    if CHUNK in df.columns:
+        running["__run_chunk"] = (lambda c, p: F.when(_run_start(c, p) == 1, c(CHUNK)), "max")
+    df = with_prev_running(df, prev=["__kind"], cur=["__kind"], nxt=["__kind"], keys=keys, running=running)
     return df.withColumn("__run_start", _run_start(F.col, lambda n: F.col("prev_" + n)).cast("int"))
 
 
@@ -84,6 +84,9 @@ def compress(events: DataFrame, keys="rec_id") -> DataFrame:
     df = classify(drop_modifiers(drop_releases(key_fields(events))))
     df = mark_runs(df, keys=keys_l)
 
+    if CHUNK not in cols:
+        return _compress_whole(df, cols, keys_l)
+
     # other rows stay; a scroll run keeps its last row
     plain = df.filter((F.col("__kind") == "other")
                       | ((F.col("__kind") == "scroll")
@@ -116,6 +119,19 @@ def compress(events: DataFrame, keys="rec_id") -> DataFrame:
     return plain.unionByName(heads)
 
 
+def _compress_whole(df: DataFrame, cols: list[str], keys_l: list[str]) -> DataFrame:
+    """The end of ``compress`` for recordings that are one window each: every run is emitted from the
+    row that stands for it, a character run's first or a scroll run's last, on the windows' partitioning."""
+    run = W.partitionBy(*keys_l, "__run").orderBy("ord").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    kind, char = F.col("__kind"), F.col("__kind") == "char"
+    df = df.withColumn("__text", F.array_join(F.collect_list(F.when(char, F.col(KEY))).over(run), ""))
+    last_scroll = (kind == "scroll") & ~F.coalesce(F.col("next___kind") == "scroll", F.lit(False))
+    df = df.filter((kind == "other") | last_scroll | (char & (F.col("__run_start") == 1)))
+    typed = {"type": F.lit("input"), "value_json": json_quote(F.col("__text")), "redacted": F.lit(False),
+             "notes": F.lit(None).cast("string")}
+    return df.select(*[F.when(char, typed[c]).otherwise(F.col(c)).alias(c) if c in typed else F.col(c) for c in cols])
+
+
 # ------------------------------------------------------- live recorder side
 def stop_chord(key_events: DataFrame, chord=tuple(model.DEFAULT_STOP_CHORD), keys="rec_id",
                canon: str = "canon", action: str = "action") -> DataFrame:
@@ -155,15 +171,17 @@ def throttle(events: DataFrame, min_gap_ms: int, keys="rec_id") -> DataFrame:
     """Leading-edge throttle; keep an event when ``ts - last_kept >=
     min_gap_ms`` (last_kept starts at 0 and moves on every kept attempt).
 
-    Exact and parallel across bursts: a gap of at least ``min_gap_ms`` before
-    an event makes it kept whatever came earlier, so the stream splits into
-    independent bursts (a chunked running sum); each burst is folded in order
-    by a small grouped pandas function over (ord, ts) only."""
+    Order is ``ord``, and time may go back.  An event at least ``min_gap_ms``
+    after the latest of all earlier times is kept whatever came before, so the
+    stream splits into independent bursts; each burst is folded in order by a
+    small grouped pandas function over (ord, ts) only."""
     import pandas as pd
     keys_l = [keys] if isinstance(keys, str) else list(keys)
-    reset = lambda c, p: (p("ts_ms").isNull() | ((c("ts_ms") - p("ts_ms")) >= min_gap_ms)).cast("long")
-    df = with_prev_running(events, prev=["ts_ms"], cur=["ts_ms"], keys=keys_l, running={"__burst": (reset, "sum")})
-    slim = df.select(*keys_l, "__burst", "ord", "ts_ms", F.col("prev_ts_ms").isNull().alias("__first"))
+    slim = events.select(*keys_l, "ord", "ts_ms", *chunk_cols(events))
+    slim = with_running(slim, {"__latest": (F.col("ts_ms"), "max")}, keys=keys_l)
+    reset = lambda c, p: (p("__latest").isNull() | ((c("ts_ms") - p("__latest")) >= min_gap_ms)).cast("long")
+    df = with_prev_running(slim, prev=["__latest"], cur=["ts_ms"], keys=keys_l, running={"__burst": (reset, "sum")})
+    slim = df.select(*keys_l, "__burst", "ord", "ts_ms", F.col("prev___latest").isNull().alias("__first"))
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys_l) + ", ord bigint, kept boolean"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,6 +9,9 @@ Three phases, all Spark expressions except a tiny JSON leaf walker:
    sum over (ord, leaf)) with the chunked two-level prefix sum;
 3. per leaf, split on each sentinel and rejoin with ``<KIND_n>``.
 
+Texts that no pattern matches (one combined test) skip the chain.  Sentinel
+characters in the input are escaped before phase 1 and restored after phase 3.
+
 Known divergence: a later pattern can match the digits inside a placeholder
 only once a counter reaches 11 digits; sentinels never match.
 """
@@ -23,11 +26,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from clickloom import model
 from clickloom.functions.scalars import json_is_array, json_is_object, json_is_string, json_quote, json_text
 from clickloom.functions.scalars import looks_like_secret, shannon_entropy
-from clickloom.plans.ordered import CHUNK, stage, with_running
+from clickloom.plans.ordered import chunk_cols, with_running
 
 KINDS = [k for k, _ in model.REDACTION_PATTERNS] + [model.HIGH_ENTROPY_KIND]
 SENTINELS = [chr(0xE000 + i) for i in range(len(KINDS))]
-_SENT_CLASS = "[" + SENTINELS[0] + "-" + SENTINELS[-1] + "]"
+ESCAPE = chr(0xE0F0)
+# what stands for the escape and the sentinels where the input has them
+ESCAPED = [(ESCAPE, ESCAPE + chr(0xE0F1))] + [(x, ESCAPE + chr(0xE0F2 + i)) for i, x in enumerate(SENTINELS)]
+_OWN = f"[{SENTINELS[0]}-{SENTINELS[-1]}{ESCAPE}]"
+_ANY = "(?U)" + "|".join(f"(?:{p})" for _, p in model.REDACTION_PATTERNS)
 
 
 def java_pattern(pat: str) -> str:
@@ -39,23 +46,35 @@ def _n(i: int) -> str:
     return f"n_{KINDS[i]}"
 
 
+def _escape(text: Column) -> Column:
+    out = text
+    for x, y in ESCAPED:
+        out = F.replace(out, F.lit(x), F.lit(y))
+    return F.when(text.rlike(_OWN), out).otherwise(text)
+
+
+def _restore(text: Column) -> Column:
+    out = text
+    for x, y in reversed(ESCAPED):
+        out = F.replace(out, F.lit(y), F.lit(x))
+    return F.when(text.contains(ESCAPE), out).otherwise(text)
+
+
 def detect(df: DataFrame, text: str = "text", out: str = "__t") -> DataFrame:
     """Phase 1: adds ``__t`` (sentinelised text), ``n_<KIND>`` match counts and
     ``len_<KIND>`` arrays of match lengths (code points)."""
-    df = df.withColumn(out, F.col(text))
+    df = df.withColumn("__any", F.coalesce(F.col(text).rlike(_ANY), F.lit(False))).withColumn(out, _escape(F.col(text)))
+    hit, nothing = F.col("__any"), F.array().cast("array<int>")
     for i, (kind, pat) in enumerate(model.REDACTION_PATTERNS):
         jp = java_pattern(pat)
-        df = df.withColumn(f"len_{kind}", F.transform(F.regexp_extract_all(F.col(out), F.lit(jp), 0),
-                                                       lambda m: F.char_length(m)))
-        df = df.withColumn(out, F.regexp_replace(F.col(out), jp, SENTINELS[i]))
-    t = F.col(out)
-    he = (F.coalesce(F.char_length(t) >= model.HIGH_ENTROPY_MIN_LEN, F.lit(False))
-          & ~t.contains("<") & ~t.rlike(_SENT_CLASS)
-          & looks_like_secret(t)
-          & (shannon_entropy(t) >= model.HIGH_ENTROPY_THRESHOLD))
-    he_kind = model.HIGH_ENTROPY_KIND
-    df = df.withColumn(f"len_{he_kind}", F.when(he, F.array(F.char_length(t))).otherwise(F.array().cast("array<int>")))
-    return df.select("*", *[F.coalesce(F.size(f"len_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS])
+        found = F.transform(F.regexp_extract_all(F.col(out), F.lit(jp), 0), lambda m: F.char_length(m))
+        df = df.withColumn(f"len_{kind}", F.when(hit, found).otherwise(nothing))
+        df = df.withColumn(out, F.when(hit, F.regexp_replace(F.col(out), jp, SENTINELS[i])).otherwise(F.col(out)))
+    t = F.col(text)  # a replaced match would leave a placeholder, and with it a "<"
+    he = (~hit & F.coalesce(F.char_length(t) >= model.HIGH_ENTROPY_MIN_LEN, F.lit(False))
+          & ~t.contains("<") & looks_like_secret(t) & (shannon_entropy(t) >= model.HIGH_ENTROPY_THRESHOLD))
+    df = df.withColumn(f"len_{model.HIGH_ENTROPY_KIND}", F.when(he, F.array(F.char_length(t))).otherwise(nothing))
+    return df.select("*", *[F.coalesce(F.size(f"len_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]).drop("__any")
 
 
 def number(df: DataFrame, keys="rec_id", ord=("ord", "leaf")) -> DataFrame:
@@ -75,6 +94,7 @@ def rebuild(df: DataFrame, t: str = "__t", out: str = "scrubbed") -> DataFrame:
             parts, lambda p, j: F.when(j == 0, p).otherwise(
                 F.concat(F.lit(f"<{kind}_"), (off + j).cast("string"), F.lit(">"), p))), ""))
             .otherwise(F.col(out)))
+    df = df.withColumn(out, _restore(F.col(out)))
     he = model.HIGH_ENTROPY_KIND
     df = df.withColumn(out, F.when(F.col(f"n_{he}") > 0,
                                    F.concat(F.lit(f"<{he}_"), (F.col(f"off_{he}") + 1).cast("string"), F.lit(">")))
@@ -148,26 +168,30 @@ def json_replace_leaves(v: pd.Series, new: pd.Series) -> pd.Series:
 
 def scrub_events(events: DataFrame, keys="rec_id", value: str = "value_json") -> DataFrame:
     """Scrub ``value_json`` of every event; ``redacted`` |= changed.
-    String values stay in the JVM; object/array values use the leaf walker."""
+    String values stay in the JVM; object/array values use the leaf walker,
+    which gets nulls for all others; malformed JSON has no leaves and stays."""
     keys_l = [keys] if isinstance(keys, str) else list(keys)
     cols = events.columns
     v = F.col(value)
+    nested = json_is_object(v) | json_is_array(v)
+    part = chunk_cols(events)
     leaves = (F.when(json_is_string(v), F.array(json_text(v)))
-              .when(json_is_object(v) | json_is_array(v), json_string_leaves(v))
+              .when(nested, json_string_leaves(F.when(nested, v)))
               .otherwise(F.array().cast("array<string>")))
-    x = events.select(F.struct(*cols).alias("__ev"), *keys_l, "ord", CHUNK,
+    x = events.select(F.struct(*cols).alias("__ev"), *keys_l, "ord", *part,
                       F.posexplode_outer(leaves).alias("leaf", "text"))
     x = x.withColumn("leaf", F.coalesce(F.col("leaf"), F.lit(0)))
     x = scrub_leaves(x.withColumn("text", F.coalesce(F.col("text"), F.lit(""))), "text", keys=keys_l)
-    # regroup leaves into events on the staged (keys, _chunk) partitioning
-    g = x.groupBy(*keys_l, CHUNK, "ord").agg(
+    # regroup leaves into events on the numbering's partitioning
+    g = x.groupBy(*keys_l, *part, "ord").agg(
         F.first("__ev").alias("__ev"),
         F.array_sort(F.collect_list(F.struct("leaf", "text", "scrubbed"))).alias("__lv"))
     changed = F.exists("__lv", lambda s: s["text"] != s["scrubbed"])
     ev_v = F.col("__ev")[value]
+    deep = changed & ~json_is_string(ev_v)
     new_v = (F.when(~changed, ev_v)
              .when(json_is_string(ev_v), json_quote(F.col("__lv")[0]["scrubbed"]))
-             .otherwise(json_replace_leaves(ev_v, F.transform("__lv", lambda s: s["scrubbed"]))))
+             .otherwise(json_replace_leaves(F.when(deep, ev_v), F.when(deep, F.transform("__lv", lambda s: s["scrubbed"])))))
     out = []
     for c in cols:
         if c == value:
@@ -179,11 +203,6 @@ def scrub_events(events: DataFrame, keys="rec_id", value: str = "value_json") ->
     return g.select(*out)
 
 
-def scrub_documents(docs: DataFrame, keys="rec_id") -> DataFrame:
-    """E18 on a documents-shaped table (one string leaf per row)."""
-    return scrub_leaves(docs.withColumn("leaf", F.lit(0)), "text", keys=keys)
-
-
 def pii_gate(recordings: DataFrame, log: DataFrame, allow_pii: bool = False, keys="rec_id") -> DataFrame:
     """Per recording, redaction total and a warning flag.  Placeholders
     are always applied; ``allow_pii`` only silences the warning, and nothing

@@ -82,9 +82,9 @@ def segment(events: DataFrame, gap_ms: int = model.DEFAULT_GAP_MS,
             threshold: int = model.DEFAULT_THRESHOLD, keys="rec_id") -> DataFrame:
     """``seg`` = 0-based segment index, a new segment where weight >= threshold.
 
-    Two ordered stages (neighbours, then the running cut count): the signal
-    expressions read JSON values, so they are evaluated once per row on the
-    staged neighbours rather than again inside a fused correction step."""
+    Two ordered steps (neighbours, then the running cut count): the signal
+    expressions read JSON values, so they are evaluated once per row rather
+    than again inside a fused correction step."""
     df = boundary_signals(events, gap_ms=gap_ms, keys=keys)
     df = df.withColumn("__cut", (F.col("weight") >= threshold).cast("long"))
     return with_running(df, {"seg": (F.col("__cut"), "sum")}, keys=keys).drop("__cut")
@@ -129,9 +129,17 @@ def cap_segments(segmented: DataFrame, max_segments: int = model.DEFAULT_MAX_SEG
     Only per-segment event counts (one row per segment, aggregated map-side)
     reach the merge, and only for recordings above the cap; the result is at
     most ``max_segments`` surviving start indices per recording, joined back on
-    ``(keys, _chunk)`` so the event side is not reshuffled."""
+    the event side's partitioning.  The input is read three times, so it is
+    materialized once (the only write of the build flow)."""
+    from clickloom.session import checkpoint_root
     keys_l = [keys] if isinstance(keys, str) else list(keys)
-    per_chunk_counts = segmented.groupBy(*keys_l, CHUNK, "seg").agg(F.count(F.lit(1)).alias("n"))
+    whole = CHUNK not in segmented.columns
+    if whole:
+        checkpoint_root(segmented.sparkSession)
+        segmented = segmented.checkpoint()
+        per_chunk_counts = segmented.groupBy(*keys_l, "seg").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        per_chunk_counts = segmented.groupBy(*keys_l, CHUNK, "seg").agg(F.count(F.lit(1)).alias("n"))
     counts = per_chunk_counts.groupBy(*keys_l, "seg").agg(F.sum("n").alias("n"))
     nseg = counts.groupBy(*keys_l).agg(F.count(F.lit(1)).alias("n_seg"))
     over = counts.join(nseg.filter(F.col("n_seg") > max_segments), keys_l, "left_semi")
@@ -148,9 +156,11 @@ def cap_segments(segmented: DataFrame, max_segments: int = model.DEFAULT_MAX_SEG
         return pd.DataFrame([row])
 
     anchors = over.groupBy(*keys_l).applyInPandas(merge, out_schema)
-    chunks = per_chunk_counts.select(*keys_l, CHUNK).distinct()
-    per_chunk = chunks.join(anchors, keys_l, "inner")
-    out = segmented.join(per_chunk, [*keys_l, CHUNK], "left")
+    if whole:
+        out = segmented.join(anchors, keys_l, "left")
+    else:
+        per_chunk = per_chunk_counts.select(*keys_l, CHUNK).distinct().join(anchors, keys_l, "inner")
+        out = segmented.join(per_chunk, [*keys_l, CHUNK], "left")
     new_seg = F.when(F.col("anchors").isNull(), F.col("seg")).otherwise(
         F.size(F.filter("anchors", lambda a: a <= F.col("seg"))).cast("long") - 1)
     return out.withColumn("seg", new_seg).drop("anchors")

@@ -181,13 +181,13 @@ tok AS (SELECT doc_id, CAST(t.pos AS BIGINT) AS pos, t.token
 # ------------------------------------------------------------------ R4 / R5
 R4 = """
 r4 AS (SELECT c.conv_id, c.turn, c.turn AS arrival,
-  CASE WHEN c.turn = 7 THEN NULL
-       WHEN c.conv_id % 5 = 0 THEN '{"intent": "' || it || '"'
+  CASE WHEN (c.conv_id + c.turn) % 8 = 7 THEN NULL
+       WHEN c.conv_id % 5 = 0 THEN '{"intent": ' || it || ''
        WHEN c.conv_id % 5 = 1 THEN '{"target_description": null, "expected_outcome": "done", "confidence": "' || cf || '"}'
-       WHEN c.conv_id % 5 = 2 THEN '{"intent": "' || it || '", "target_description": null, "expected_outcome": "done", "confidence": "' || cf || '", "extra": 1}'
-       WHEN c.conv_id % 5 = 3 THEN '{"intent": "' || it || '", "target_description": "t' || CAST(c.turn AS VARCHAR) || '", "expected_outcome": null}'
-       ELSE '{"intent": "' || it || '", "target_description": "t' || CAST(c.turn AS VARCHAR) || '", "expected_outcome": "done", "confidence": "' || cf || '"}' END AS response
-  FROM (SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g')) AS it FROM conversations) c
+       WHEN c.conv_id % 5 = 2 THEN '{"intent": ' || it || ', "target_description": null, "expected_outcome": "done", "confidence": "' || cf || '", "extra": 1}'
+       WHEN c.conv_id % 5 = 3 THEN '{"intent": ' || it || ', "target_description": "t' || CAST(c.turn AS VARCHAR) || '", "expected_outcome": null}'
+       ELSE '{"intent": ' || it || ', "target_description": "t' || CAST(c.turn AS VARCHAR) || '", "expected_outcome": "done", "confidence": "' || cf || '"}' END AS response
+  FROM (SELECT conv_id, turn, CAST(to_json(text) AS VARCHAR) AS it FROM conversations) c
   LEFT JOIN (SELECT doc_id AS conv_id, toxic, quality FROM labels) l USING (conv_id),
   LATERAL (SELECT CASE WHEN l.toxic = 1 THEN 'low' WHEN l.quality = 1 THEN 'high' ELSE 'medium' END AS cf) z),
 r4p AS (SELECT *, coalesce(json_valid(response), false) AND json_type(response) = 'OBJECT' AS valid FROM r4),
@@ -198,10 +198,10 @@ labels_parsed AS (SELECT conv_id, turn, arrival, json_extract_string(response, '
   FROM r4p WHERE valid AND list_contains(json_keys(response), 'intent'))"""
 
 R5 = """
-r5s AS (SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g')) AS title,
+r5s AS (SELECT conv_id, turn, text AS title,
   CASE WHEN turn % 2 = 0 THEN 'retry' END AS fallback,
   CASE WHEN turn % 3 = 0 THEN 'screenshots/' || CAST(turn AS VARCHAR) || '.png' END AS screenshot_path,
-  trim(regexp_replace(substr(text, 1, 60), '[^A-Za-z ]', '', 'g')) AS t60 FROM conversations),
+  text AS t60 FROM conversations),
 r5 AS (SELECT conv_id,
   CASE WHEN conv_id % 6 = 0 THEN 'Bad Name ' || CAST(conv_id AS VARCHAR) ELSE 'skill-' || CAST(conv_id AS VARCHAR) END AS name,
   CASE WHEN conv_id % 6 = 1 THEN repeat('x', 1100) ELSE 'Use when ' || arg_min(t60, turn) END AS description,

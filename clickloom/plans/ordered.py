@@ -1,23 +1,29 @@
 """Order-dependent per-recording computations that survive hot recordings.
 
-A plain ``Window.partitionBy(rec_id).orderBy(ord)`` puts a whole recording in
-one task; if a single recording holds a third of all events, that task holds a
-third of the data.  Here every recording is cut into ``_chunk`` ranges — a
-column that is non-decreasing in ``ord`` within a recording and bounds the
-rows per (recording, chunk) — and each result is assembled in two levels:
+As long as no recording has more than ``chunk_rows`` rows (a count decides:
+``chunk_if_hot``), events carry no ``_chunk`` column and every helper is a plain,
+lazy window over the recording: all helpers of a flow share one exchange.
+
+A recording that may hold a third of all events must not go through one
+task.  Then events carry ``_chunk``, which is non-decreasing in ``ord`` within a
+recording and bounds the rows per (recording, chunk), and each result is
+assembled in two levels:
 
 1. a window partitioned by ``(keys, _chunk)`` computes the chunk-local value;
-2. a tiny per-chunk summary (one row per chunk: last row, totals) is
+2. a per-chunk summary (one row per chunk: last row, totals) is
    shifted/prefix-summed with a window over ``keys`` ordered by ``_chunk`` and
    joined back on ``(keys, _chunk)``.
 
 The join in step 2 uses exactly the window's partitioning keys, so only the
-small summary side is shuffled (or broadcast by AQE when its runtime size is
-small); the event side keeps its hash partitioning across chained calls.
+summary side is shuffled (or broadcast by AQE when its runtime size is small);
+the event side keeps its hash partitioning across chained calls.  Chunks are
+ranges of the dense ``ord``, so a recording below the bound is one chunk and
+the summary stays one row for it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -35,7 +41,28 @@ def add_chunk(df: DataFrame, order_col: str, chunk_rows: int = DEFAULT_CHUNK_ROW
     return df.withColumn(out, F.expr(f"cast(`{order_col}` as bigint) div {int(chunk_rows)}"))
 
 
-_STAGED: list[str] = []
+def hot_keys(df: DataFrame, keys: Sequence[str] | str, chunk_rows: int) -> DataFrame:
+    """Keys with more than ``chunk_rows`` rows: fewer than rows / ``chunk_rows`` of them."""
+    return df.groupBy(*_keys(keys)).agg(F.count("*").alias("__n")).filter(F.col("__n") > chunk_rows).drop("__n")
+
+
+def chunk_if_hot(df: DataFrame, keys: Sequence[str] | str, order_col: str, chunk_rows: int = DEFAULT_CHUNK_ROWS,
+                 chunk: str = CHUNK) -> DataFrame:
+    """Add ``_chunk`` only if some key has more than ``chunk_rows`` rows; then other keys are one chunk each."""
+    keys = _keys(keys)
+    hot = hot_keys(df, keys, chunk_rows)
+    if hot.isEmpty():
+        return df
+    out = df.join(hot.withColumn("__hot", F.lit(True)), keys, "left")
+    part = F.expr(f"cast(`{order_col}` as bigint) div {int(chunk_rows)}")
+    return out.withColumn(chunk, F.when(F.col("__hot"), part).otherwise(F.lit(0).cast("long"))).drop("__hot")
+
+
+def chunk_cols(df: DataFrame, chunk: str = CHUNK) -> list[str]:
+    return [chunk] if chunk in df.columns else []
+
+
+_STAGED: list[tuple[str, str]] = []
 
 
 def stage(df: DataFrame, keys: list[str], chunk: str = CHUNK) -> DataFrame:
@@ -52,29 +79,31 @@ def stage(df: DataFrame, keys: list[str], chunk: str = CHUNK) -> DataFrame:
       aggregate and the summary join on ``(keys, chunk)`` add no exchange on
       the event side: one shuffle per stage, in the write.
     """
-    import uuid
-
     from clickloom.session import scratch_path
 
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "clickloom_stage_" + uuid.uuid4().hex[:16]
     cols = [F.col(k) for k in keys] + [F.col(chunk)]
+    path = scratch_path(spark, name)
     (df.repartition(n, *cols).write.format("parquet").bucketBy(n, *keys, chunk)
-       .option("path", scratch_path(spark, name)).saveAsTable(name))
-    _STAGED.append(name)
+       .option("path", path).saveAsTable(name))
+    _STAGED.append((name, path))
     return spark.table(name)
 
 
 def release_stages(spark=None) -> None:
-    """Drop the stage tables created so far (after the results are consumed)."""
+    """Drop the stage tables created so far, files included (after the results are consumed)."""
     from pyspark.sql import SparkSession
 
+    from clickloom.session import delete_path
+
     spark = spark or SparkSession.getActiveSession()
     while _STAGED:
-        name = _STAGED.pop()
+        name, path = _STAGED.pop()
         if spark is not None:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete_path(spark, path)
 
 
 def _keys(keys: Sequence[str] | str) -> list[str]:
@@ -104,6 +133,11 @@ def with_adjacent(df: DataFrame, prev: Sequence[str] = (), nxt: Sequence[str] =
         cols.append(F.lead(np_).over(w).alias("__lead"))
     if not cols:
         return df
+    if chunk not in df.columns:
+        w = W.partitionBy(*keys).orderBy(*_keys(ord))
+        near = df.select("*", *([F.lag(pp).over(w).alias("__lag")] if prev else []), *([F.lead(np_).over(w).alias("__lead")] if nxt else []))
+        return near.select("*", *[F.col("__lag")[c].alias(prev_prefix + c) for c in prev],
+                           *[F.col("__lead")[c].alias(next_prefix + c) for c in nxt]).drop("__lag", "__lead")
     local = stage(df, keys, chunk).select("*", *cols)
 
     aggs = []
@@ -141,8 +175,12 @@ def with_running(df: DataFrame, specs: dict[str, tuple[Column, str]],
     ``inclusive=False`` a sum covers only the preceding rows.
     """
     keys = _keys(keys)
-    w = W.partitionBy(*keys, chunk).orderBy(*_keys(ord)).rowsBetween(W.unboundedPreceding, W.currentRow)
     fn = {"sum": F.sum, "max": F.max}
+    if chunk not in df.columns:
+        w = W.partitionBy(*keys).orderBy(*_keys(ord)).rowsBetween(W.unboundedPreceding, W.currentRow if inclusive else -1)
+        run = {n: fn[how](col).over(w) for n, (col, how) in specs.items()}
+        return df.select("*", *[(F.coalesce(r, F.lit(0)) if specs[n][1] == "sum" else r).alias(n) for n, r in run.items()])
+    w = W.partitionBy(*keys, chunk).orderBy(*_keys(ord)).rowsBetween(W.unboundedPreceding, W.currentRow)
     vals = {name: (f"__v_{i}", col, how) for i, (name, (col, how)) in enumerate(specs.items())}
     local = stage(df, keys, chunk).select("*", *[col.alias(v) for v, col, _ in vals.values()])
     local = local.select("*", *[fn[how](F.col(v)).over(w).alias(v + "_loc")
@@ -170,10 +208,15 @@ def dense_ordinal(df: DataFrame, keys: Sequence[str] | str, order_col: str, out:
                   chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk: str = CHUNK) -> DataFrame:
     """1-based ``row_number()`` over ``order_col`` within ``keys`` without a
     single-task window per key: chunk by ``order_col`` ranges, number rows
-    inside each chunk, add the row counts of the preceding chunks."""
+    inside each chunk, add the row counts of the preceding chunks.  Without a
+    ``_chunk`` column one is added only if a key is above ``chunk_rows``, and
+    the result has none."""
     keys = _keys(keys)
     if chunk not in df.columns:
-        df = add_chunk(df, order_col, chunk_rows, chunk)
+        df = chunk_if_hot(df, keys, order_col, chunk_rows, chunk)
+        if chunk not in df.columns:
+            return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(order_col)).cast("long"))
+        return dense_ordinal(df, keys, order_col, out, chunk_rows, chunk).drop(chunk)
     return with_running(df, {out: (F.lit(1).cast("long"), "sum")}, keys=keys,
                         ord=order_col, chunk=chunk)
 
@@ -192,7 +235,12 @@ def with_prev_running(df: DataFrame, prev: Sequence[str], cur: Sequence[str], ru
     summary, where the carried predecessor is known; one summary join then
     delivers neighbours and offsets together."""
     keys = _keys(keys)
-    prev, nxt, cur = list(prev), list(nxt), list(dict.fromkeys(list(cur) + [chunk]))
+    prev, nxt = list(prev), list(nxt)
+    if chunk not in df.columns:
+        df = with_adjacent(df, prev, nxt, keys, ord, chunk, prev_prefix, next_prefix)
+        value = {n: (fn(F.col, lambda c: F.col(prev_prefix + c)), how) for n, (fn, how) in running.items()}
+        return with_running(df, value, keys, ord, chunk)
+    cur = list(dict.fromkeys(list(cur) + [chunk]))
     w = W.partitionBy(*keys, chunk).orderBy(*_keys(ord))
     fns = {"sum": F.sum, "max": F.max}
     pp = F.struct(*[F.col(c) for c in prev])

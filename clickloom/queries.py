@@ -52,10 +52,40 @@ def _segmented(spark, sf, gap=GAP):
     return segment(_compressed(spark, sf), gap_ms=gap)
 
 
+def _signals(spark, sf):
+    from clickloom.operators.segment import boundary_signals
+    return boundary_signals(_compressed(spark, sf), gap_ms=GAP)
+
+
+# the same queries on the path for hot recordings: every recording in chunks of a few rows
+_CHUNK_ROWS = 16
+
+
+@register("compress_chunked", SQL["compress"])
+def q_compress_chunked(spark, sf):
+    from clickloom.operators.compact import compress
+    return _comp_out(compress(B.rec_events(spark, sf, _CHUNK_ROWS)))
+
+
+@register("segment_chunked", "WITH " + O.segment_sql(GAP) + " SELECT rec_id, ord, id, type, seg FROM seg")
+def q_segment_chunked(spark, sf):
+    from clickloom.operators.compact import compress
+    from clickloom.operators.segment import segment
+    out = segment(compress(B.rec_events(spark, sf, _CHUNK_ROWS)), gap_ms=GAP)
+    return out.select("rec_id", "ord", "id", "type", F.col("seg").cast("long").alias("seg"))
+
+
+@register("build_steps_chunked", O.capped_sql(GAP) + f" SELECT {O.SUMMARY_COLS} FROM capped GROUP BY rec_id, seg")
+def q_build_steps_chunked(spark, sf):
+    from clickloom.plans.build import build_summaries
+    return build_summaries(B.rec_events(spark, sf, _CHUNK_ROWS), gap_ms=GAP).select(
+        "rec_id", F.col("seg").cast("long").alias("seg"), "duration_ms", "event_count", "boundary_screenshot")
+
+
 @register("score_boundary", "WITH " + O.segment_sql(GAP) +
           " SELECT rec_id, ord, id, CAST(weight AS BIGINT) AS weight, reasons FROM seg")
 def q_score_boundary(spark, sf):
-    df = _segmented(spark, sf)
+    df = _signals(spark, sf)
     return df.select("rec_id", "ord", "id", F.col("weight").cast("long").alias("weight"),
                      F.array_join("reasons", ",").alias("reasons"))
 
@@ -121,16 +151,14 @@ for _i, (_kind, _pat) in enumerate(model.REDACTION_PATTERNS):
 
 def _tokens(spark, sf):
     d = B.seeded_docs(spark, sf)
-    t = d.select("rec_id", "doc_id", CHUNK_COL, F.posexplode(F.split("text", "[ \t\n]+")).alias("pos", "token"))
+    t = d.select("rec_id", "doc_id", F.posexplode(F.split("text", "[ \t\n]+")).alias("pos", "token"))
     t = t.filter(F.col("token") != "").select(
         "doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "token",
-        F.col("doc_id").alias("rec_id"), (F.col("pos") + 1).cast("long").alias("ord"), CHUNK_COL,
+        F.col("doc_id").alias("rec_id"), (F.col("pos") + 1).cast("long").alias("ord"),
         F.lit(0).cast("long").alias("leaf"), F.col("token").alias("text"))
     return t
 
 
-from clickloom.plans.ordered import CHUNK as CHUNK_COL  # noqa: E402
-
 _TOK_BASE = O.redact_sql("WITH " + O.R1 + "," + O.TOKENS_SQL + ",\ntokr AS (SELECT doc_id AS rec_id, pos AS ord, "
                          "CAST(0 AS BIGINT) AS leaf, doc_id, pos, token, printf('doc_%d', doc_id) AS id, token AS text FROM tok)",
                          "tokr")
@@ -212,7 +240,7 @@ _SIG_W = {"sig_navigate": 3, "sig_url_change": 3, "sig_focus_tab": 3, "sig_form_
 
 def _mk_sig(col):
     def q(spark, sf):
-        return (_segmented(spark, sf).filter(F.col(col) > 0)
+        return (_signals(spark, sf).filter(F.col(col) > 0)
                 .select("rec_id", "ord", "id", F.col(col).cast("long").alias("w")))
     return q
 
@@ -274,7 +302,7 @@ def q_apply_defaults(spark, sf):
 _SECRET_BIND = """(SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'input' WHEN 1 THEN 'key' ELSE 'click' END AS type,
   CASE WHEN turn % 4 = 0 THEN 'password' ELSE 'text' END AS input_type,
   CASE conv_id % 5 WHEN 0 THEN 'one-time-code' WHEN 1 THEN 'cc-number' WHEN 2 THEN 'new-password' ELSE 'name' END AS autocomplete,
-  substr(text, 1, 60) AS aria, (conv_id % 2 = 0) AS is_input FROM conversations) sb"""
+  text AS aria, (conv_id % 2 = 0) AS is_input FROM conversations) sb"""
 
 
 @register("drop_secret_fields", f"""SELECT conv_id, turn, type FROM {_SECRET_BIND}
@@ -290,7 +318,7 @@ def q_drop_secret_fields(spark, sf):
                  F.when(F.col("turn") % 4 == 0, "password").otherwise("text").alias("input_type"),
                  F.when(F.col("conv_id") % 5 == 0, "one-time-code").when(F.col("conv_id") % 5 == 1, "cc-number")
                  .when(F.col("conv_id") % 5 == 2, "new-password").otherwise("name").alias("autocomplete"),
-                 F.substring("text", 1, 60).alias("aria"), (F.col("conv_id") % 2 == 0).alias("is_input"))
+                 F.col("text").alias("aria"), (F.col("conv_id") % 2 == 0).alias("is_input"))
     secret = is_secret_field(F.col("input_type"), F.col("autocomplete"), F.col("aria"), F.col("is_input"))
     return drop_secret_fields(b, secret).select("conv_id", "turn", "type")
 
@@ -453,13 +481,13 @@ def q_selector_strings(spark, sf):
    WHEN coalesce(aria, '') <> '' THEN left(regexp_replace(aria, '^\\s+|\\s+$', '', 'g'), 200)
    WHEN coalesce(ph, '') <> '' THEN left(regexp_replace(ph, '^\\s+|\\s+$', '', 'g'), 200)
    ELSE nullif(left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 200), '') END AS name
-  FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 300) END AS aria,
-               CASE WHEN doc_id % 3 = 1 THEN '  ' || substr(text, 1, 50) END AS ph FROM documents) d""")
+  FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN text END AS aria,
+               CASE WHEN doc_id % 3 = 1 THEN '  ' || text END AS ph FROM documents) d""")
 def q_accessible_name(spark, sf):
     from clickloom.functions.scalars import accessible_name
     d = B.table(spark, sf, "documents")
-    aria = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 300))
-    ph = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  "), F.substring("text", 1, 50)))
+    aria = F.when(F.col("doc_id") % 3 == 0, F.col("text"))
+    ph = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  "), F.col("text")))
     return d.select("doc_id", accessible_name(aria, ph, F.col("text")).alias("name"))
 
 
@@ -913,10 +941,9 @@ def q_extract_screenshots(spark, sf):
   FROM (SELECT event_id, 'browser-' || strftime(date_trunc('hour', ts), '%Y%m%dT%H%M%S') AS base,
                row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY event_id) AS rn FROM events) x""")
 def q_assign_recording_dir(spark, sf):
-    from clickloom.plans.ordered import add_chunk
     from clickloom.sources.payloads import recording_dir_names
     e = B.table(spark, sf, "events").select("event_id", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("started_at"))
-    e = add_chunk(e.withColumn("arrival", F.col("event_id")), "arrival")
+    e = e.withColumn("arrival", F.col("event_id"))
     return recording_dir_names(e).select("event_id", "dir_name")
 
 
@@ -1076,7 +1103,6 @@ def q_stream_payloads(spark, sf):
 
 # ------------------------------------------------------------ E12 nested values, A3 archives
 def _nested_events(spark, sf):
-    from clickloom.plans.ordered import add_chunk
     c = B.table(spark, sf, "conversations")
     text = F.concat(F.col("text"), B.seed_expr("conv_id"))
     v = F.to_json(F.struct(F.col("role").alias("role"),
@@ -1085,7 +1111,7 @@ def _nested_events(spark, sf):
     ev = c.select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("ord"),
                   F.format_string("evt_%04d", F.col("turn") + 1).alias("id"), v.alias("value_json"),
                   F.lit(False).alias("redacted"))
-    return add_chunk(ev, "ord", 1 << 20)
+    return ev
 
 
 _NESTED_SQL = O.redact_sql("WITH " + """

@@ -16,10 +16,10 @@ The same definitions are written as DuckDB SQL in ``clickloom.oracle``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from clickloom.functions.scalars import json_quote, ntz_millis
-from clickloom.plans.ordered import CHUNK, DEFAULT_CHUNK_ROWS, add_chunk, dense_ordinal
+from clickloom.plans.ordered import CHUNK, DEFAULT_CHUNK_ROWS, add_chunk, chunk_cols, chunk_if_hot, dense_ordinal
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly if the input comes in fewer splits than there are cores."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.rdd().getNumPartitions() < n else df
+
+
 def _k_type(k, et):
     return (F.when(et.isin("purchase", "signup"), "key")
             .when(et == "view", F.when(k % 4 == 0, "navigate").when(k % 4 == 1, "tab_switch")
@@ -66,11 +72,15 @@ def rec_events(spark: SparkSession, sf_dir: str, chunk_rows: int = DEFAULT_CHUNK
     """R0 as canonical events: rec_id, ord, _chunk, id, ts_ms, surface, type,
     value_json, target, screenshot_path, viewport, redacted, notes (+ R0 columns).
 
-    ``ord`` is a dense 1-based position by ``event_id``; ``_chunk`` is the
-    ``event_id`` range, which is monotone in ``ord`` and bounds chunk size."""
+    ``ord`` is a dense 1-based position by ``event_id``; ``_chunk``, a range of ``ord``,
+    is there only if some recording has more than ``chunk_rows`` events."""
     r = rec_events_raw(spark, sf_dir)
-    r = add_chunk(r, "event_id", chunk_rows)
-    r = dense_ordinal(r, "rec_id", "event_id", "ord", chunk=CHUNK)
+    hot = chunk_if_hot(r.select("rec_id", "event_id"), "rec_id", "event_id", chunk_rows)
+    if CHUNK in hot.columns:
+        r = dense_ordinal(r.join(hot, ["rec_id", "event_id"]), "rec_id", "event_id", "ord")
+        r = add_chunk(r.drop(CHUNK), "ord", chunk_rows)
+    else:
+        r = r.withColumn("ord", F.row_number().over(W.partitionBy("rec_id").orderBy("event_id")))
     value = (F.when(F.col("type") == "key",
                     F.to_json(F.struct(F.col("key").alias("key"), F.col("action").alias("action"))))
              .when(F.col("type") == "annotation", F.lit('{"kind":"form_submit"}')))
@@ -86,7 +96,7 @@ def rec_events(spark: SparkSession, sf_dir: str, chunk_rows: int = DEFAULT_CHUNK
         F.lit(None).cast("string").alias("app_name"),
     )
     return r.select(
-        "rec_id", F.col("ord").cast("long").alias("ord"), CHUNK,
+        "rec_id", F.col("ord").cast("long").alias("ord"), *chunk_cols(r),
         F.format_string("evt_%04d", F.col("ord")).alias("id"),
         "ts_ms", F.lit("desktop").alias("surface"), "type", value.alias("value_json"),
         target.alias("target"), "screenshot_path",
@@ -136,43 +146,39 @@ def seed_expr(doc_id: str = "doc_id"):
 def seeded_docs(spark: SparkSession, sf_dir: str, chunk_rows: int = 1 << 16) -> DataFrame:
     """Documents as one-event recordings: rec_id=source, ord=doc_id,
     value = text + seeded secret (JSON string)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     text = F.concat(F.col("text"), seed_expr())
     d = d.select(F.col("source").alias("rec_id"), F.col("doc_id").alias("ord"),
                  F.col("doc_id"), text.alias("text"))
-    d = add_chunk(d, "ord", chunk_rows)
-    return d.select("rec_id", "ord", CHUNK, "doc_id",
+    d = chunk_if_hot(d, "rec_id", "ord", chunk_rows)
+    return d.select("rec_id", "ord", *chunk_cols(d), "doc_id",
                     F.format_string("doc_%d", F.col("doc_id")).alias("id"),
                     json_quote("text").alias("value_json"), "text",
                     F.lit(False).alias("redacted"))
 
 
 # ----------------------------------------------------------------------- R4
-def _clean(c, n: int):
-    """Letters and spaces of the first ``n`` characters (keeps JSON text free of escapes)."""
-    return F.trim(F.regexp_replace(F.substring(c, 1, n), "[^A-Za-z ]", ""))
-
-
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model-style label responses, one per conversation turn, with
     defects by ``conv_id % 5`` (malformed, no intent, extra key, no
-    confidence); turn 7 has no text.  Confidence from ``labels``."""
+    confidence); a turn has no text where ``(conv_id + turn) % 8`` is 7.
+    The intent is the turn's whole text.  Confidence from ``labels``."""
     c = table(spark, sf_dir, "conversations")
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), "quality", "toxic")
     x = c.join(lab, "conv_id", "left")
-    intent = _clean(F.col("text"), 40)
+    intent = json_quote("text")
     conf = F.when(F.col("toxic") == 1, "low").when(F.col("quality") == 1, "high").otherwise("medium")
     m = F.col("conv_id") % 5
     t = F.col("turn").cast("string")
     q = lambda s: F.concat(F.lit('"'), s, F.lit('"'))
-    resp = (F.when(F.col("turn") == 7, F.lit(None).cast("string"))
-            .when(m == 0, F.concat(F.lit('{"intent": '), q(intent)))
+    resp = (F.when((F.col("conv_id") + F.col("turn")) % 8 == 7, F.lit(None).cast("string"))
+            .when(m == 0, F.concat(F.lit('{"intent": '), intent))
             .when(m == 1, F.concat(F.lit('{"target_description": null, "expected_outcome": "done", "confidence": '), q(conf), F.lit("}")))
-            .when(m == 2, F.concat(F.lit('{"intent": '), q(intent), F.lit(', "target_description": null, "expected_outcome": "done", "confidence": '),
+            .when(m == 2, F.concat(F.lit('{"intent": '), intent, F.lit(', "target_description": null, "expected_outcome": "done", "confidence": '),
                                    q(conf), F.lit(', "extra": 1}')))
-            .when(m == 3, F.concat(F.lit('{"intent": '), q(intent), F.lit(', "target_description": "t'), t,
+            .when(m == 3, F.concat(F.lit('{"intent": '), intent, F.lit(', "target_description": "t'), t,
                                    F.lit('", "expected_outcome": null}')))
-            .otherwise(F.concat(F.lit('{"intent": '), q(intent), F.lit(', "target_description": "t'), t,
+            .otherwise(F.concat(F.lit('{"intent": '), intent, F.lit(', "target_description": "t'), t,
                                 F.lit('", "expected_outcome": "done", "confidence": '), q(conf), F.lit("}"))))
     return x.select("conv_id", "turn", F.col("turn").alias("arrival"), resp.alias("response"))
 
@@ -185,13 +191,13 @@ def draft_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     turn = F.col("turn")
     step = F.struct(
-        turn.alias("index"), _clean(F.col("text"), 30).alias("title"),
+        turn.alias("index"), F.col("text").alias("title"),
         F.lit("g").alias("goal"), F.lit("a").alias("action"), F.lit("e").alias("expected_result"),
         F.when(turn % 2 == 0, F.lit("retry")).alias("fallback"),
         F.when(turn % 3 == 0, F.concat(F.lit("screenshots/"), turn.cast("string"), F.lit(".png"))).alias("screenshot_path"),
         F.array(F.concat(F.lit("evt_"), turn.cast("string"))).alias("source_event_ids"))
     g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("steps"),
-                                 F.min_by(_clean(F.col("text"), 60), turn).alias("first_text"))
+                                 F.min_by("text", turn).alias("first_text"))
     cid = F.col("conv_id")
     m = cid % 6
     return g.select(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickloom import model
 from clickloom.functions.scalars import json_quote
-from clickloom.plans.ordered import CHUNK, DEFAULT_CHUNK_ROWS, add_chunk
+from clickloom.plans.ordered import CHUNK, DEFAULT_CHUNK_ROWS, chunk_if_hot
 
 EVENT_FIELDS = "struct<id:string, ts_ms:double, surface:string, type:string, screenshot_path:string, redacted:boolean, notes:string>"
 
@@ -40,7 +40,7 @@ def read_recordings(spark: SparkSession, glob: str, rec_id_pattern: str = r"([^/
         e["ts_ms"].cast("long").alias("ts_ms"), e["surface"].alias("surface"), e["type"].alias("type"),
         value_json.alias("value_json"), target.alias("target"), e["screenshot_path"].alias("screenshot_path"),
         F.coalesce(e["redacted"], F.lit(False)).alias("redacted"), e["notes"].alias("notes"))
-    return add_chunk(out, "ord", chunk_rows)
+    return chunk_if_hot(out, "rec_id", "ord", chunk_rows)
 
 
 def recording_documents(events: DataFrame, envelopes: DataFrame, keys="rec_id") -> DataFrame:
