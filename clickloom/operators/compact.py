@@ -157,6 +157,13 @@ def stop_points(marked: DataFrame, keys="rec_id") -> DataFrame:
     return marked.filter("is_stop").groupBy(*keys_l).agg(F.min("ord").alias("stop_ord"))
 
 
+def cut_at_stop(events: DataFrame, stops: DataFrame, keys="rec_id") -> DataFrame:
+    """What a recorder keeps: events before the stopping press (``stop_points``), which isn't emitted itself."""
+    keys_l = [keys] if isinstance(keys, str) else list(keys)
+    out = events.join(stops.select(*keys_l, "stop_ord"), keys_l, "left")
+    return out.filter(F.col("stop_ord").isNull() | (F.col("ord") < F.col("stop_ord"))).drop("stop_ord")
+
+
 def debounce(events: DataFrame, quiet_ms: int, element: list[str], keys="rec_id") -> DataFrame:
     """C8/C9 (batch): per element, an event is emitted only when no later event
     of the same element follows within ``quiet_ms``; the emission carries the

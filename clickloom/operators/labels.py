@@ -8,27 +8,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom import model
-from clickloom.functions.scalars import col_
+from clickloom.functions.scalars import json_quote
 
 
 def _keys_of(text: Column) -> Column:
     return F.json_object_keys(text)
 
 
+def _quoted(c: Column) -> Column:
+    return F.coalesce(json_quote(c), F.lit("null"))
+
+
+def event_json() -> Column:
+    """An event as the label request and the payload carry it: all keys, nulls too, ``value`` as the JSON it is."""
+    t = F.col("target")
+    fields = [("id", _quoted(F.col("id"))), ("type", _quoted(F.col("type"))), ("value", F.coalesce("value_json", F.lit("null"))),
+              ("target_url", _quoted(t["url"])), ("target_text", _quoted(t["selector_alternatives"]["text"])),
+              ("target_role", _quoted(t["selector_alternatives"]["role_name"])),
+              ("accessible_name", _quoted(t["accessible_name"])), ("screenshot_path", _quoted(F.col("screenshot_path")))]
+    parts = [F.concat(F.lit(("{" if i == 0 else ", ") + f'"{k}": '), v) for i, (k, v) in enumerate(fields)]
+    return F.concat(*parts, F.lit("}"))
+
+
+def segment_events(segmented: DataFrame, keys="rec_id") -> DataFrame:
+    """Per segment its events as one JSON array text in order (the segment is the unit the model reads)."""
+    keys_l = [keys] if isinstance(keys, str) else list(keys)
+    ev = F.struct(F.col("ord"), event_json().alias("j"))
+    g = segmented.groupBy(*keys_l, "seg").agg(F.array_sort(F.collect_list(ev)).alias("e"))
+    return g.select(*keys_l, "seg", F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["j"]), ", "), F.lit("]")).alias("events_json"))
+
+
 def label_requests(segmented: DataFrame, summaries: DataFrame, keys="rec_id") -> DataFrame:
-    """one JSON request per segment: index, duration_ms, events.  The
-    event list is the segment itself (a segment is the unit the model reads)."""
+    """one JSON request per segment: index, duration_ms, events."""
     keys_l = [keys] if isinstance(keys, str) else list(keys)
-    t = F.col("target")
-    ev = F.struct(F.col("ord"), F.col("id").alias("id"), F.col("type").alias("type"),
-                  F.col("value_json").alias("value"), t["url"].alias("target_url"),
-                  t["selector_alternatives"]["text"].alias("target_text"),
-                  t["selector_alternatives"]["role_name"].alias("target_role"),
-                  t["accessible_name"].alias("accessible_name"), F.col("screenshot_path"))
-    g = segmented.groupBy(*keys_l, "seg").agg(F.array_sort(F.collect_list(ev)).alias("events"))
-    g = g.join(summaries.select(*keys_l, "seg", "duration_ms", "event_count"), [*keys_l, "seg"])
-    body = F.to_json(F.struct(F.col("seg").alias("index"), "duration_ms",
-                              F.transform("events", lambda e: e.dropFields("ord")).alias("events")))
+    g = segment_events(segmented, keys).join(summaries.select(*keys_l, "seg", "duration_ms", "event_count"), [*keys_l, "seg"])
+    body = F.concat(F.lit('{"index": '), F.col("seg").cast("string"), F.lit(', "duration_ms": '), F.col("duration_ms").cast("string"),
+                    F.lit(', "events": '), F.col("events_json"), F.lit("}"))
     return g.select(*keys_l, "seg", "event_count", body.alias("request_json"))
 
 
@@ -85,29 +100,39 @@ def recording_duration_ms(started_us: Column, ended_us: Column) -> Column:
 
 
 def build_payload(recordings: DataFrame, summaries: DataFrame, labels: DataFrame | None = None,
-                  notes: DataFrame | None = None, keys="rec_id") -> DataFrame:
-    """per recording: surface, metadata, hint, duration_ms, annotations,
-    segment_count and the (capped, hence bounded) segment list as JSON."""
+                  notes: DataFrame | None = None, segmented: DataFrame | None = None, keys="rec_id") -> DataFrame:
+    """per recording: surface, metadata (without its nulls), hint, duration_ms, annotations, segment_count and
+    the (capped) segment list as JSON.  ``segmented`` gives the segments' events; without it their lists are empty."""
     keys_l = [keys] if isinstance(keys, str) else list(keys)
     seg = summaries if labels is None else label_join(summaries, labels, keys=keys_l)
     if "label" not in seg.columns:
         seg = seg.withColumn("label", F.lit(None).cast(
             "struct<intent:string,target_description:string,expected_outcome:string,confidence:string>"))
-    s = F.struct(F.col("seg").alias("index"), "duration_ms", "event_count", "label")
+    if segmented is not None:
+        seg = seg.join(segment_events(segmented, keys_l), [*keys_l, "seg"], "left")
+    else:
+        seg = seg.withColumn("events_json", F.lit("[]"))
+    body = F.concat(F.lit('{"index": '), F.col("seg").cast("string"), F.lit(', "duration_ms": '), F.col("duration_ms").cast("string"),
+                    F.lit(', "event_count": '), F.col("event_count").cast("string"), F.lit(', "events": '), F.coalesce("events_json", F.lit("[]")),
+                    F.lit(', "label": '), F.coalesce(F.to_json("label", {"ignoreNullFields": "false"}), F.lit("null")), F.lit("}"))
     per = seg.groupBy(*keys_l).agg(F.count(F.lit(1)).alias("segment_count"),
-                                   F.array_sort(F.collect_list(s)).alias("segments"))
+                                   F.array_sort(F.collect_list(F.struct("seg", body.alias("j")))).alias("segments"))
     out = recordings.join(per, keys_l, "left")
+    empty = F.array().cast("array<struct<ts_ms:bigint,text:string>>")
     if notes is not None:
         n = notes.groupBy(*keys_l).agg(F.count(F.lit(1)).alias("n_notes"),
                                        F.array_sort(F.collect_list(F.struct("ts_ms", "text"))).alias("annotations"))
         out = out.join(n, keys_l, "left")
     else:
-        out = out.withColumn("n_notes", F.lit(0).cast("long")).withColumn(
-            "annotations", F.array().cast("array<struct<ts_ms:bigint,text:string>>"))
-    payload = F.to_json(F.struct(
-        F.col("surface"), F.col("metadata"), F.col("metadata.user_intent_hint").alias("user_intent_hint"),
-        F.col("duration_ms"), F.coalesce("annotations", F.array().cast("array<struct<ts_ms:bigint,text:string>>")).alias("annotations"),
-        F.coalesce("segment_count", F.lit(0)).alias("segment_count"), F.col("segments")), {"ignoreNullFields": "false"})
+        out = out.withColumn("n_notes", F.lit(0).cast("long")).withColumn("annotations", empty)
+    segments = F.array_join(F.transform(F.coalesce("segments", F.array().cast("array<struct<seg:bigint,j:string>>")), lambda x: x["j"]), ", ")
+    payload = F.concat(
+        F.lit('{"surface": '), _quoted(F.col("surface")), F.lit(', "metadata": '), F.coalesce(F.to_json("metadata"), F.lit("{}")),
+        F.lit(', "user_intent_hint": '), _quoted(F.col("metadata.user_intent_hint")),
+        F.lit(', "duration_ms": '), F.col("duration_ms").cast("string"),
+        F.lit(', "annotations": '), F.to_json(F.coalesce("annotations", empty), {"ignoreNullFields": "false"}),
+        F.lit(', "segment_count": '), F.coalesce("segment_count", F.lit(0)).cast("string"),
+        F.lit(', "segments": ['), segments, F.lit("]}"))
     return out.select("*", payload.alias("payload_json"))
 
 
@@ -138,10 +163,17 @@ def image_block(paths: DataFrame, blobs: DataFrame, on: list[str]) -> DataFrame:
 
 
 def parse_drafts(results: DataFrame, text: str = "result", surface: str = "surface") -> DataFrame:
-    """result JSON + recording surface -> draft; no text -> error row."""
-    d = F.from_json(F.col(text), model.DRAFT)
-    return results.select("*", d.alias("draft"),
-                          F.when(F.col(text).isNull(), F.lit("Synthesis returned no text content")).alias("error"))
+    """result JSON + recording surface -> ``draft`` (with the surface), or ``error``: no text, text that is no
+    JSON object, or a required key that is missing."""
+    t = F.col(text)
+    kind = F.schema_of_variant(F.try_parse_json(t))
+    needed = F.array(*[F.lit(k) for k in model.DRAFT_REQUIRED_KEYS])
+    missing = F.array_except(needed, F.coalesce(_keys_of(t), F.array().cast("array<string>")))
+    error = (F.when(t.isNull(), F.lit("Synthesis returned no text content"))
+             .when(F.coalesce(~kind.startswith("OBJECT"), F.lit(True)), F.lit("Synthesis result is not a JSON object"))
+             .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "))))
+    d = F.from_json(t, model.DRAFT).withField("surface", F.col(surface))
+    return results.select("*", F.when(error.isNull(), d).alias("draft"), error.alias("error"))
 
 
 def check_draft_schema(results: DataFrame, text: str = "result") -> DataFrame:
@@ -161,26 +193,27 @@ LabelFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 LABEL_OUT = "rec_id bigint, seg bigint, intent string, target_description string, expected_outcome string, confidence string"
 
 
-def rule_labeler(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Default deterministic labeler: the dominant verb of the segment's first
-    event and its best target description; no network."""
-    import json
-    verbs = {"click": "Click", "input": "Type into", "key": "Press", "scroll": "Scroll",
-             "navigate": "Open", "file_upload": "Upload a file to"}
-    for pdf in batches:
-        rows = []
-        for rec, seg, req in zip(pdf["rec_id"], pdf["seg"], pdf["request_json"]):
-            events = json.loads(req).get("events") or []
-            first = events[0] if events else {}
-            t = first.get("type") or "event"
-            target = first.get("target_text") or first.get("accessible_name") or first.get("target_url")
-            rows.append((rec, seg, f"{verbs.get(t, t.capitalize())} {target or 'the page'}".strip(),
-                         target, None, "low" if not target else "medium"))
-        yield pd.DataFrame(rows, columns=["rec_id", "seg", "intent", "target_description",
-                                          "expected_outcome", "confidence"])
-
-
-def label_segments(requests: DataFrame, fn: LabelFn = rule_labeler, schema: str = LABEL_OUT) -> DataFrame:
+VERBS = {"click": "Click", "input": "Type into", "key": "Press", "scroll": "Scroll", "navigate": "Open", "file_upload": "Upload a file to"}
+
+
+def rule_labels(requests: DataFrame) -> DataFrame:
+    """Default deterministic labeler, in columns: the verb of the segment's first event and its best target
+    description; no network."""
+    first = F.from_json(F.get_json_object("request_json", "$.events[0]"),
+                        "struct<type: string, target_text: string, accessible_name: string, target_url: string>")
+    t = F.coalesce(first["type"], F.lit("event"))
+    verb = F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1 << 20)))
+    for k, v in VERBS.items():
+        verb = F.when(t == k, F.lit(v)).otherwise(verb)
+    target = F.coalesce(*[F.nullif(first[k], F.lit("")) for k in ("target_text", "accessible_name", "target_url")])
+    return requests.select("rec_id", "seg", F.concat_ws(" ", verb, F.coalesce(target, F.lit("the page"))).alias("intent"),
+                           target.alias("target_description"), F.lit(None).cast("string").alias("expected_outcome"),
+                           F.when(target.isNull(), "low").otherwise("medium").alias("confidence"))
+
+
+def label_segments(requests: DataFrame, fn: LabelFn | None = None, schema: str = LABEL_OUT) -> DataFrame:
     """Run a pluggable labeler over label requests, partition-parallel
-    (Arrow batches through ``mapInPandas``)."""
+    (Arrow batches through ``mapInPandas``); the default is ``rule_labels``."""
+    if fn is None:
+        return rule_labels(requests)
     return requests.select("rec_id", "seg", "request_json").mapInPandas(fn, schema)

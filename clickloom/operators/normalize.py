@@ -129,9 +129,9 @@ def file_upload_projection(files: Column | str) -> Column:
                                                        f["size"].alias("size")))
 
 
-def form_submit_value() -> Column:
-    """Value of the annotation emitted on form submit."""
-    return F.lit('{"kind":"form_submit"}')
+def form_submit_events(submits: DataFrame) -> DataFrame:
+    """Raw submit events become annotations whose value says so."""
+    return submits.select("*", F.lit("annotation").alias("type"), F.lit('{"kind":"form_submit"}').alias("value_json"))
 
 
 def selector_strings(testid: Column, aria: Column, role: Column, tag: Column, name: Column) -> Column:

@@ -173,7 +173,7 @@ def scrub_events(events: DataFrame, keys="rec_id", value: str = "value_json") ->
     keys_l = [keys] if isinstance(keys, str) else list(keys)
     cols = events.columns
     v = F.col(value)
-    nested = json_is_object(v) | json_is_array(v)
+    nested = (json_is_object(v) | json_is_array(v)) & F.try_parse_json(v).isNotNull()
     part = chunk_cols(events)
     leaves = (F.when(json_is_string(v), F.array(json_text(v)))
               .when(nested, json_string_leaves(F.when(nested, v)))

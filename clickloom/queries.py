@@ -413,7 +413,9 @@ def q_file_upload_projection(spark, sf):
 
 @register("form_submit_events", "WITH " + O.R0 + " SELECT rec_id, ord, 'form_submit' AS kind FROM r0 WHERE type = 'annotation'")
 def q_form_submit_events(spark, sf):
-    ev = _r0(spark, sf).filter(F.col("type") == "annotation")
+    from clickloom.operators.normalize import form_submit_events
+    submits = _r0(spark, sf).filter(F.col("type") == "annotation").select("rec_id", "ord")  # as the page reports them
+    ev = form_submit_events(submits).filter("type = 'annotation'")
     return ev.select("rec_id", "ord", F.get_json_object("value_json", "$.kind").alias("kind"))
 
 
@@ -580,6 +582,13 @@ def q_stop_chord(spark, sf):
     return stop_points(stop_chord(ev))
 
 
+@register("stop_chord_events", "WITH st AS (" + SQL["stop_chord"] + "), " + O.R0.strip() + """
+  SELECT r0.rec_id, r0.ord FROM r0 LEFT JOIN st USING (rec_id) WHERE stop_ord IS NULL OR ord < stop_ord""")
+def q_stop_chord_events(spark, sf):
+    from clickloom.operators.compact import cut_at_stop
+    return cut_at_stop(_r0(spark, sf).select("rec_id", "ord"), q_stop_chord(spark, sf))
+
+
 _DEB_MS = O.GAP_TEST_MS
 
 
@@ -647,12 +656,24 @@ def q_event_projection(spark, sf):
     return event_projection(_compressed(spark, sf)).select("rec_id", "ord", "id", "type", "target_url", "screenshot_path")
 
 
-@register("label_requests")
+@register("label_requests", "WITH " + O.segment_sql(GAP) + f""", sm AS (SELECT {O.SUMMARY_COLS} FROM seg GROUP BY rec_id, seg)
+  SELECT sm.rec_id, sm.seg, sm.event_count, sm.duration_ms, e.ids, e.types, e.urls, e.keys FROM sm JOIN (
+    SELECT rec_id, seg, string_agg(id, ',' ORDER BY ord) AS ids, string_agg(type, ',' ORDER BY ord) AS types,
+           string_agg(coalesce(url, '-'), ',' ORDER BY ord) AS urls,
+           string_agg(CASE WHEN type = 'key' THEN key ELSE '-' END, ',' ORDER BY ord) AS keys FROM seg GROUP BY rec_id, seg) e USING (rec_id, seg)""")
 def q_label_requests(spark, sf):
     from clickloom.operators.labels import label_requests
     from clickloom.operators.summarize import segment_summary
     seg = _segmented(spark, sf)
-    return label_requests(seg, segment_summary(seg))
+    r = label_requests(seg, segment_summary(seg))
+    j = F.col("request_json")
+    ev = F.from_json(F.get_json_object(j, "$.events"), "array<struct<id: string, type: string, value: string, target_url: string>>")
+    joined = lambda f: F.array_join(F.transform("ev", f), ",")
+    return r.withColumn("ev", ev).select(
+        "rec_id", F.get_json_object(j, "$.index").cast("long").alias("seg"), F.col("event_count").cast("long").alias("event_count"),
+        F.get_json_object(j, "$.duration_ms").cast("long").alias("duration_ms"), joined(lambda e: e["id"]).alias("ids"),
+        joined(lambda e: e["type"]).alias("types"), joined(lambda e: F.coalesce(e["target_url"], F.lit("-"))).alias("urls"),
+        joined(lambda e: F.when(e["type"] == "key", F.get_json_object(e["value"], "$.key")).otherwise("-")).alias("keys"))
 
 
 @register("parse_labels", "WITH " + O.R4 + " SELECT conv_id, turn, intent, target_description, expected_outcome, confidence FROM labels_parsed")
@@ -719,20 +740,28 @@ def q_recording_duration(spark, sf):
 
 @register("build_payload", O.capped_sql(GAP) + f""",
   env AS (SELECT user_id AS rec_id, {_DUR_SQL} AS duration_ms FROM events GROUP BY user_id),
-  sc AS (SELECT rec_id, CAST(count(DISTINCT seg) AS BIGINT) AS segment_count FROM capped GROUP BY rec_id),
+  sc AS (SELECT rec_id, CAST(count(DISTINCT seg) AS BIGINT) AS segment_count, CAST(count(*) AS BIGINT) AS n_events FROM capped GROUP BY rec_id),
   nt AS (SELECT conv_id AS rec_id, CAST(count(*) AS BIGINT) AS n_notes FROM conversations GROUP BY conv_id)
-  SELECT env.rec_id, env.duration_ms, sc.segment_count, CAST(coalesce(nt.n_notes, 0) AS BIGINT) AS n_notes
+  SELECT env.rec_id, env.duration_ms, sc.segment_count, CAST(coalesce(nt.n_notes, 0) AS BIGINT) AS n_notes,
+         sc.segment_count AS n_listed, sc.n_events, '{{"os":"Linux"}}' AS metadata
   FROM env LEFT JOIN sc USING (rec_id) LEFT JOIN nt USING (rec_id)""")
 def q_build_payload(spark, sf):
     from clickloom.operators.labels import build_payload
     from clickloom.operators.segment import cap_segments
     from clickloom.operators.summarize import segment_summary
-    s = segment_summary(cap_segments(_segmented(spark, sf)))
+    capped = cap_segments(_segmented(spark, sf))
+    s = segment_summary(capped)
     c = B.table(spark, sf, "conversations")
     notes = c.select(F.col("conv_id").alias("rec_id"), (F.lit(1714125600000) + F.col("turn") * 1000).alias("ts_ms"), "text")
-    p = build_payload(_envelopes(spark, sf), s, notes=notes)
-    return p.select("rec_id", "duration_ms", F.col("segment_count").cast("long").alias("segment_count"),
-                    F.coalesce("n_notes", F.lit(0)).cast("long").alias("n_notes"))
+    p = build_payload(_envelopes(spark, sf), s, notes=notes, segmented=capped)
+    j = F.col("payload_json")
+    listed = F.from_json(F.get_json_object(j, "$.segments"), "array<struct<index: bigint, events: array<string>>>")
+    return p.select("rec_id", F.get_json_object(j, "$.duration_ms").cast("long").alias("duration_ms"),
+                    F.get_json_object(j, "$.segment_count").cast("long").alias("segment_count"),
+                    F.coalesce(F.json_array_length(F.get_json_object(j, "$.annotations")), F.lit(0)).cast("long").alias("n_notes"),
+                    F.size(listed).cast("long").alias("n_listed"),
+                    F.aggregate(listed, F.lit(0).cast("long"), lambda a, x: a + F.size(x["events"])).alias("n_events"),
+                    F.get_json_object(j, "$.metadata").alias("metadata"))
 
 
 def _manifest(spark, sf):
@@ -787,12 +816,19 @@ def q_check_draft_schema(spark, sf):
     return check_draft_schema(B.drafts_json(spark, sf)).select("conv_id", "ok", "problems")
 
 
-@register("pluggable_labeler")
+_VERB_SQL = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in [
+    ("click", "Click"), ("input", "Type into"), ("key", "Press"), ("scroll", "Scroll"), ("navigate", "Open"),
+    ("file_upload", "Upload a file to")]) + " ELSE upper(t[1]) || lower(t[2:]) END"
+
+
+@register("pluggable_labeler", "WITH " + O.segment_sql(GAP) + f""" SELECT rec_id, seg, {_VERB_SQL} || ' ' || coalesce(u, 'the page') AS intent,
+  u AS target_description, CAST(NULL AS VARCHAR) AS expected_outcome, CASE WHEN u IS NULL THEN 'low' ELSE 'medium' END AS confidence
+  FROM (SELECT rec_id, seg, arg_min(type, ord) AS t, arg_min_null(url, ord) AS u FROM seg GROUP BY rec_id, seg) x""")
 def q_pluggable_labeler(spark, sf):
     from clickloom.operators.labels import label_requests, label_segments
     from clickloom.operators.summarize import segment_summary
     seg = _segmented(spark, sf)
-    return label_segments(label_requests(seg, segment_summary(seg)))
+    return label_segments(label_requests(seg, segment_summary(seg))).withColumn("seg", F.col("seg").cast("long"))
 
 
 # ------------------------------------------------------------ G: documents
@@ -988,7 +1024,8 @@ _PUB_SQL = """(SELECT conv_id AS doc, CASE WHEN conv_id % 2 = 0 THEN 'user' ELSE
    'skill-' || CAST(conv_id % 50 AS VARCHAR) AS name FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 6 <> 4) c) rq"""
 
 
-@register("publish_docs", f"""SELECT doc, scope, name, CASE WHEN ex.name IS NULL THEN 'created' ELSE 'conflict' END AS action
+@register("publish_docs", f"""SELECT doc, scope, name, CASE WHEN ex.name IS NULL
+    AND row_number() OVER (PARTITION BY scope, name ORDER BY doc) = 1 THEN 'created' ELSE 'conflict' END AS action
   FROM {_PUB_SQL} LEFT JOIN (SELECT DISTINCT CASE WHEN conv_id % 2 = 0 THEN 'user' ELSE 'project' END AS scope,
     'skill-' || CAST(conv_id AS VARCHAR) AS name FROM conversations WHERE conv_id % 4 = 0) ex USING (scope, name)""")
 def q_publish_docs(spark, sf):
@@ -1014,7 +1051,10 @@ def q_copy_screenshots(spark, sf):
     return copy_screenshots(blobs, published)
 
 
-@register("write_redaction_report")
+@register("write_redaction_report", _E_BASE + ",\nlg AS (" + O.redaction_log_sql() + f"""),
+  recs AS (SELECT DISTINCT rec_id FROM r1), n AS (SELECT rec_id, count(*) AS c FROM lg GROUP BY rec_id)
+  SELECT rec_id, CAST({len(__import__('clickloom.operators.documents', fromlist=['x']).REPORT_HEADER)} + coalesce(c + 2, 1) AS BIGINT) AS n_lines
+  FROM recs LEFT JOIN n USING (rec_id)""")
 def q_write_redaction_report(spark, sf):
     from clickloom.operators.documents import redaction_report_lines
     from clickloom.operators.redact import redaction_log
@@ -1066,19 +1106,22 @@ def q_stream_debounce_input(spark, sf):
     """Append-mode session windows; an end-of-stream marker (rec_id -1, far
     future) lands last and moves the watermark past every open session."""
     from clickloom.session import scratch_path
-    from clickloom.streaming.live import debounce_sessions
+    from clickloom.streaming.live import debounce_sessions, run_available
     ev = _r0(spark, sf).filter(F.col("type") == "input").select(
         "rec_id", "ord", "ts_ms", F.timestamp_millis("ts_ms").alias("ts"),
         F.coalesce(F.col("target.url"), F.lit("")).alias("element"))
-    landing = scratch_path(spark, "debounce-landing")
-    ev.coalesce(1).write.parquet(landing + "/1")
+    landing, sink, ck = (scratch_path(spark, "debounce-" + x) for x in ("landing", "sink", "ckpt"))
+    src = spark.readStream.schema(ev.schema).parquet(landing + "/*")
+    # all events arrive, then the marker: two runs of one query
+    ev.write.parquet(landing + "/1")
+    run_available(debounce_sessions(src, _DEB_MS, ["element"], watermark="0 seconds"), sink, ck)
     end = ev.agg((F.max("ts_ms") + 10 * _DEB_MS).alias("ts_ms")).select(
         F.lit(-1).cast(ev.schema["rec_id"].dataType).alias("rec_id"), F.lit(0).cast("long").alias("ord"), "ts_ms",
         F.timestamp_millis("ts_ms").alias("ts"), F.lit("").alias("element"))
-    end.coalesce(1).write.parquet(landing + "/2")
-    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(landing + "/*")
-    s = debounce_sessions(src, _DEB_MS, ["element"], watermark="0 seconds")
-    out = _stream_run(spark, s, "debounce", "append")
+    end.write.parquet(landing + "/2")
+    src = spark.readStream.schema(ev.schema).parquet(landing + "/*")
+    run_available(debounce_sessions(src, _DEB_MS, ["element"], watermark="0 seconds"), sink, ck)
+    out = spark.read.parquet(sink)
     return out.filter(F.col("rec_id") != -1).select("rec_id", "ord", "element", "emit_ts_ms")
 
 
@@ -1091,14 +1134,17 @@ def q_stream_throttle(spark, sf):
     return out.filter("kept").select("rec_id", "ord")
 
 
-@register("stream_payloads")
+_BODY_STATUS = "CASE WHEN page_id % 8 IN (5, 6) THEN 201 WHEN page_id % 8 IN (0, 1) THEN 400 WHEN page_id % 8 = 7 THEN 500 ELSE 422 END"
+
+
+@register("stream_payloads", f"SELECT page_id, {_BODY_STATUS} AS status FROM pages")
 def q_stream_payloads(spark, sf):
     from clickloom.session import scratch_path
     from clickloom.streaming.live import intake
     landing = scratch_path(spark, "uploads")
     B.payloads(spark, sf).select(F.col("page_id").cast("string").alias("page"), "body").write.partitionBy("page").text(landing)
     out = _stream_run(spark, intake(spark, landing + "/*"), "uploads", "append")
-    return out.select(F.regexp_extract("file", r"page=(\d+)", 1).cast("long").alias("page_id"), "status")
+    return out.select(F.regexp_extract("file", r"page=(\d+)", 1).cast("long").alias("page_id"), F.col("status").cast("int").alias("status"))
 
 
 # ------------------------------------------------------------ E12 nested values, A3 archives
@@ -1136,10 +1182,16 @@ def q_scrub_nested(spark, sf):
                     "redacted")
 
 
-@register("read_archives")
+@register("read_archives", f"""SELECT page_id, {_BODY_STATUS} AS status,
+  CASE WHEN page_id % 8 IN (5, 6) THEN 'evt_0001,evt_0002' END AS ids, CASE WHEN page_id % 8 = 6 THEN '"typed a@b.co"' END AS last_value FROM pages""")
 def q_read_archives(spark, sf):
     from clickloom.session import scratch_path
     from clickloom.sources.payloads import read_archives, write_archives
     path = scratch_path(spark, "archives")
     write_archives(B.payloads(spark, sf).select(F.col("page_id").cast("string").alias("name"), "body"), path)
-    return read_archives(spark, path + "/*.zip")
+    events, rejected = read_archives(spark, path + "/*.zip")
+    page = F.regexp_extract("file", r"(\d+)\.zip$", 1).cast("long").alias("page_id")
+    good = events.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"), F.max_by("value_json", "ord").alias("last_value"))
+    nothing = F.lit(None).cast("string")
+    return good.select(page, F.lit(201).alias("status"), "ids", "last_value").unionByName(
+        rejected.select(page, F.col("status").cast("int").alias("status"), nothing.alias("ids"), nothing.alias("last_value")))

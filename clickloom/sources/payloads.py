@@ -37,6 +37,52 @@ def _st(code: int, msg: str | None) -> Column:
     return F.struct(F.lit(code).alias("s"), F.lit(msg).cast("string").alias("e"))
 
 
+def _kind(text: Column, path: str) -> Column:
+    """The type of a JSON text's field; null where it is absent."""
+    return F.schema_of_variant(F.variant_get(F.try_parse_json(text), path, "variant"))
+
+
+def _is_int(kind: Column, text: Column) -> Column:
+    """A JSON integer, or a string that reads as one."""
+    whole = text.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$")
+    return F.coalesce((kind == "STRING") & whole | kind.startswith("DECIMAL") & whole | (kind == "BIGINT") | (kind == "DOUBLE") & whole, F.lit(False))
+
+
+def _optional(kind: Column, *prefixes: str) -> Column:
+    ok = kind.isNull() | (kind == "VOID")
+    for p in prefixes:
+        ok = ok | kind.startswith(p)
+    return ok
+
+
+def _event_ok(e: Column) -> Column:
+    """What the recording model asks of an event, after its surface default, time truncation and new id."""
+    field = lambda k: F.get_json_object(e, f"$.{k}")
+    ts = _kind(e, "$.ts_ms")
+    surface = F.when(json_has_key(e, "surface"), field("surface")).otherwise(F.lit("browser"))
+    viewport = _kind(e, "$.viewport")
+    sized = _is_int(_kind(e, "$.viewport.w"), field("viewport.w")) & _is_int(_kind(e, "$.viewport.h"), field("viewport.h"))
+    target = _kind(e, "$.target")
+    return ((_is_int(ts, field("ts_ms")) | F.coalesce(ts.startswith("DECIMAL") | (ts == "DOUBLE"), F.lit(False)))
+            & F.coalesce(field("type").isin(*model.EVENT_TYPES), F.lit(False))
+            & F.coalesce(surface.isin(*model.SURFACES), F.lit(False))
+            & F.coalesce(target.isNull() | target.startswith("OBJECT"), F.lit(False))
+            & (_optional(viewport) | (F.coalesce(viewport.startswith("OBJECT"), F.lit(False)) & sized))
+            & _optional(_kind(e, "$.screenshot_path"), "STRING") & _optional(_kind(e, "$.notes"), "STRING")
+            & F.coalesce(_kind(e, "$.redacted").isNull() | (_kind(e, "$.redacted") == "BOOLEAN"), F.lit(False)))
+
+
+def _recording_ok(body: Column) -> Column:
+    when = lambda k: F.coalesce(
+        F.try_to_timestamp(F.get_json_object(body, f"$.{k}")).isNotNull() & (_kind(body, f"$.{k}") == "STRING"), F.lit(False))
+    metadata, notes = _kind(body, "$.metadata"), _kind(body, "$.notes")
+    listed = F.from_json(body, "struct<notes: array<string>>")["notes"]
+    note_ok = lambda n: (_is_int(_kind(n, "$.ts_ms"), F.get_json_object(n, "$.ts_ms"))
+                         & F.coalesce(_kind(n, "$.text") == "STRING", F.lit(False)))
+    return (when("started_at") & when("ended_at") & F.coalesce(metadata.isNull() | metadata.startswith("OBJECT"), F.lit(False))
+            & F.coalesce(notes.isNull() | (notes.startswith("ARRAY") & F.forall(F.coalesce(listed, F.array().cast("array<string>")), note_ok)), F.lit(False)))
+
+
 def admission(payloads: DataFrame) -> DataFrame:
     """A5: ``status``/``error`` per upload; first failing rule wins."""
     body = F.col("body")
@@ -52,13 +98,9 @@ def admission(payloads: DataFrame) -> DataFrame:
                         lambda e: F.get_json_object(e, "$.screenshot_data"))
     shots_ok = F.forall(shots, lambda s: s.isNull() | (s == "") | b64_ok(s))
     surface_ok = F.coalesce(F.get_json_object(body, "$.surface") == "browser", F.lit(False))
-    ts_ok = lambda e: F.get_json_object(e, "$.ts_ms").try_cast("double").isNotNull()
-    ev_ok = F.forall(F.coalesce(raw, F.array().cast("array<string>")), lambda e: (
-        ts_ok(e)
-        & F.coalesce(F.get_json_object(e, "$.type").isin(*model.EVENT_TYPES), F.lit(False))
-        & F.coalesce(F.when(json_has_key(e, "surface"), F.get_json_object(e, "$.surface"))
-                     .otherwise(F.lit("browser")).isin(*model.SURFACES), F.lit(False))))
-    rec_ok = (F.get_json_object(body, "$.started_at").isNotNull() & F.get_json_object(body, "$.ended_at").isNotNull())
+    none = F.array().cast("array<string>")
+    ev_ok = F.forall(F.coalesce(raw, none), _event_ok)
+    rec_ok = _recording_ok(body)
     origin_ok = F.lit(False)
     for p in model.ALLOWED_ORIGIN_PREFIXES:
         origin_ok = origin_ok | F.coalesce(F.col("origin").startswith(p), F.lit(False))
@@ -83,26 +125,41 @@ def quarantine(admitted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return admitted.filter(F.col("status") == 201), admitted.filter(F.col("status") != 201)
 
 
+def safe_name(name: Column) -> Column:
+    """An id as part of a file name: path separators and dots at its start become underscores."""
+    return F.regexp_replace(F.regexp_replace(name, r"[/\\\x00-\x1f]", "_"), r"^\.+", "_")
+
+
 def payload_events(accepted: DataFrame, key: str = "page_id") -> DataFrame:
     """A2 + B1-B3 + A6 path: one row per event of each accepted upload, in
-    array order; surface defaulted when absent, float ts truncated, ids
-    renumbered, screenshot path named by the pre-renumber id."""
+    array order, with all fields of the recording model (so it feeds the build
+    flow as it is): surface defaulted when absent, float ts truncated, ids
+    renumbered, defaults applied; a screenshot's path is named by the
+    pre-renumber id."""
     x = accepted.select(key, F.posexplode(_events_raw(F.col("body"))).alias("pos", "ev"))
     e = F.col("ev")
     orig_id = F.get_json_object(e, "$.id")
     shot = F.get_json_object(e, "$.screenshot_data")
     has_shot = shot.isNotNull() & (shot != "")
-    from clickloom.operators.normalize import ensure_surface, normalize_ts, renumber_events
+    from clickloom.operators.normalize import apply_defaults, ensure_surface, normalize_ts, renumber_events
     ord_ = (F.col("pos") + 1).cast("long")
-    return x.select(
+    v = F.variant_get(F.try_parse_json(e), "$.value", "variant")
+    shape = F.schema_of_variant(v)
+    value = (F.when(v.isNull() | (shape == "VOID"), F.lit(None).cast("string"))
+             .when(shape.startswith("OBJECT") | shape.startswith("ARRAY"), F.get_json_object(e, "$.value")).otherwise(F.to_json(v)))
+    target = F.from_json(F.coalesce(F.get_json_object(e, "$.target"), F.lit("{}")), model.TARGET)
+    rest = F.from_json(e, "struct<viewport: struct<w:bigint,h:bigint,dpr:double,zoom:double>, redacted: boolean, notes: string>")
+    out = x.select(
         key, ord_.alias("ord"), renumber_events(ord_).alias("id"), orig_id.alias("orig_id"),
         normalize_ts(F.get_json_object(e, "$.ts_ms")).alias("ts_ms"),
         ensure_surface(e).alias("surface"), F.get_json_object(e, "$.type").alias("type"),
-        F.get_json_object(e, "$.target.url").alias("url"),
-        F.when(has_shot, F.concat(F.lit("screenshots/"), F.coalesce(orig_id, F.lit("evt")), F.lit(".png")))
+        value.alias("value_json"), target.alias("target"), target["url"].alias("url"),
+        F.when(has_shot, F.concat(F.lit("screenshots/"), safe_name(F.coalesce(orig_id, F.lit("evt"))), F.lit(".png")))
         .otherwise(F.get_json_object(e, "$.screenshot_path")).alias("screenshot_path"),
+        rest["viewport"].alias("viewport"), rest["redacted"].alias("redacted"), rest["notes"].alias("notes"),
         F.when(has_shot, b64_decode(shot)).alias("screenshot_bytes"),
     )
+    return apply_defaults(out)
 
 
 def screenshot_blobs(events: DataFrame, key: str = "page_id") -> DataFrame:
@@ -126,30 +183,36 @@ def recording_dir_names(starts: DataFrame, ts: str = "started_at", order: str =
     return s.withColumn(out, name).drop("__base", "__n")
 
 
-def write_archives(bodies: DataFrame, path: str) -> DataFrame:
-    """Test/export helper: one ``<name>.zip`` per row holding ``recording.json``
-    (written by the executors into the shared folder)."""
-    import os
+def write_archives(bodies: DataFrame, path: str) -> None:
+    """Export: one ``<name>.zip`` per row holding ``recording.json``, written by the executors
+    through Arrow's file systems into a folder that all of them share."""
+    import io
     import zipfile
 
     def write(batches):
         import pandas as pd
+        from pyarrow import fs as pafs
         for pdf in batches:
             names = []
             for name, body in zip(pdf["name"], pdf["body"]):
-                os.makedirs(path, exist_ok=True)
-                target = os.path.join(path, f"{name}.zip")
-                with zipfile.ZipFile(target, "w") as zf:
+                target = f"{path}/{name}.zip"
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as zf:
                     zf.writestr("recording.json", body or "")
+                system, local = (pafs.LocalFileSystem(), target) if target.startswith("/") else pafs.FileSystem.from_uri(target)
+                system.create_dir(local.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(local) as out:
+                    out.write(held.getvalue())
                 names.append(target)
             yield pd.DataFrame({"file": names})
 
-    return bodies.mapInPandas(write, "file string").write.format("noop").mode("overwrite").save()
+    bodies.mapInPandas(write, "file string").write.format("noop").mode("overwrite").save()
 
 
-def read_archives(spark, glob: str) -> DataFrame:
-    """A3: many exported archives at once; only ``recording.json`` at the
-    archive root is read, then the payload rules apply (no HTTP checks)."""
+def archive_uploads(spark, glob: str) -> DataFrame:
+    """A3: many exported archives at once, each with its ``status`` and ``error``: only ``recording.json`` at the
+    archive root is read, then the payload rules apply (no HTTP checks); a file that is no archive, or has no such
+    entry, is 422."""
     import io
     import zipfile
 
@@ -158,18 +221,28 @@ def read_archives(spark, glob: str) -> DataFrame:
         for pdf in batches:
             out = []
             for p, content in zip(pdf["path"], pdf["content"]):
+                body = bad = None
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as zf:
                         body = zf.read("recording.json").decode("utf-8")
-                except (KeyError, zipfile.BadZipFile, UnicodeDecodeError):
-                    body = None
-                out.append((p, body))
-            yield pd.DataFrame(out, columns=["file", "body"])
+                except KeyError:
+                    bad = "archive has no recording.json"
+                except (zipfile.BadZipFile, UnicodeDecodeError):
+                    bad = "not a readable archive"
+                out.append((p, body, bad))
+            yield pd.DataFrame(out, columns=["file", "body", "bad"])
 
     raw = spark.read.format("binaryFile").load(glob).select("path", "content")
-    bodies = raw.mapInPandas(unzip, "file string, body string")
-    p = bodies.select("file", "body", F.lit(model.UPLOAD_PATH).alias("path"),
+    bodies = raw.mapInPandas(unzip, "file string, body string, bad string")
+    p = bodies.select("file", "body", "bad", F.lit(model.UPLOAD_PATH).alias("path"),
                       F.lit(model.ALLOWED_ORIGIN_PREFIXES[0]).alias("origin"),
                       F.octet_length("body").cast("long").alias("content_length"))
-    acc, _ = quarantine(admission(p))
-    return payload_events(acc, key="file")
+    a = admission(p)
+    return (a.withColumn("status", F.when(F.col("bad").isNotNull(), 422).otherwise(F.col("status")))
+            .withColumn("error", F.coalesce("bad", "error")).drop("bad"))
+
+
+def read_archives(spark, glob: str) -> tuple[DataFrame, DataFrame]:
+    """A3: events of the accepted archives, and the rejected archives with their reasons."""
+    accepted, rejected = quarantine(archive_uploads(spark, glob))
+    return payload_events(accepted, key="file"), rejected.select("file", "status", "error")

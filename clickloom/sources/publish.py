@@ -3,30 +3,41 @@ and the redaction report written beside each document (A11)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from clickloom.session import checkpoint_root
 
-def publish_plan(requests: DataFrame, published: DataFrame, overwrite: bool = False) -> DataFrame:
+
+def publish_plan(requests: DataFrame, published: DataFrame, overwrite: bool = False, order: str = "doc") -> DataFrame:
     """Per publish request ``(scope, name)``: ``created``, ``replaced`` or
-    ``conflict`` (target exists and no overwrite).  A set-based check: one
-    join against the published names instead of a probe per document."""
+    ``conflict``.  Requests take effect in the order of ``order``: the first for
+    a free target creates it, later ones find it taken; with ``overwrite``
+    every one replaces what is there and the last stays."""
+    w = W.partitionBy("scope", "name").orderBy(order)
     p = published.select("scope", "name").distinct().withColumn("__exists", F.lit(True))
-    j = requests.join(p, ["scope", "name"], "left")
-    exists = F.coalesce(F.col("__exists"), F.lit(False))
-    action = F.when(~exists, "created").when(F.lit(overwrite), "replaced").otherwise("conflict")
+    j = requests.withColumn("__n", F.row_number().over(w)).join(p, ["scope", "name"], "left")
+    taken = F.coalesce(F.col("__exists"), F.lit(False)) | (F.col("__n") > 1)
+    action = F.when(~taken, "created").when(F.lit(overwrite), "replaced").otherwise("conflict")
     return j.select(*requests.columns, action.alias("action"))
 
 
-def publish(docs: DataFrame, root: str, overwrite: bool = False) -> None:
-    """Write documents under ``root/scope=<scope>/name=<name>``.  Without
-    ``overwrite`` the job fails if the target exists; with it only the
-    (scope, name) partitions being written are replaced."""
-    w = docs.write.partitionBy("scope", "name").format("parquet")
+def publish(docs: DataFrame, root: str, overwrite: bool = False, order: str = "doc") -> DataFrame:
+    """Write documents under ``root/scope=<scope>/name=<name>`` and return the plan.  Without ``overwrite`` only
+    documents with a free target are written, the others are conflicts; with it the targets named by ``docs`` are
+    replaced, each by its last document, and no other target is touched."""
+    spark = docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    published = spark.read.parquet(root).select("scope", "name") if there else docs.select("scope", "name").limit(0)
+    plan = publish_plan(docs, published, overwrite, order)
+    plan = plan.checkpoint() if checkpoint_root(spark) else plan
     if overwrite:
-        docs.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w.mode("overwrite").save(root)
+        last = W.partitionBy("scope", "name").orderBy(F.col(order).desc())
+        win = plan.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n", "action")
+        win.write.partitionBy("scope", "name").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
     else:
-        w.mode("errorifexists").save(root)
+        plan.filter("action = 'created'").drop("action").write.partitionBy("scope", "name").mode("append").parquet(root)
+    return plan
 
 
 def copy_screenshots(blobs: DataFrame, published_recordings: DataFrame, keys="rec_id") -> DataFrame:

@@ -3,44 +3,62 @@ partitioned table layout (A8), assemble envelopes (A12)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clickloom import model
 from clickloom.functions.scalars import json_quote
+from clickloom.operators.normalize import apply_defaults
 from clickloom.plans.ordered import CHUNK, DEFAULT_CHUNK_ROWS, chunk_if_hot
 
-EVENT_FIELDS = "struct<id:string, ts_ms:double, surface:string, type:string, screenshot_path:string, redacted:boolean, notes:string>"
+EVENT_FIELDS = ("struct<id:string, ts_ms:double, surface:string, type:string, screenshot_path:string, "
+                "viewport:struct<w:bigint,h:bigint,dpr:double,zoom:double>, redacted:boolean, notes:string>")
+REC_ID = r"([^/]+)/recording\.json$"
 
 
-def read_recordings(spark: SparkSession, glob: str, rec_id_pattern: str = r"([^/]+)/recording\.json$",
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """A1 (+B6): load ``<dir>/recording.json`` documents with a declared
-    schema (unknown fields ignored), one row per event in array order.
+def load_documents(spark: SparkSession, glob: str, rec_id_pattern: str = REC_ID) -> DataFrame:
+    """A1: ``recording.json`` documents, one row each, unknown fields ignored: rec_id, version, surface, started_at,
+    ended_at, metadata, notes, events (raw JSON texts, so ``value`` keeps its exact form)."""
+    shape = T.StructType([f if f.name != "events" else T.StructField("events", T.ArrayType(T.StringType())) for f in model.RECORDING.fields])
+    doc = spark.read.schema(shape).option("multiLine", True).json(glob)
+    viewport = F.col("metadata.viewport")
+    return doc.select(
+        F.regexp_extract(F.col("_metadata.file_path"), rec_id_pattern, 1).alias("rec_id"),
+        F.coalesce("version", F.lit(model.SCHEMA_VERSION)).alias("version"), "surface", "started_at", "ended_at",
+        F.when(F.col("metadata").isNotNull(), F.col("metadata").withField("viewport", F.when(viewport.isNotNull(), viewport.withField(
+            "dpr", F.coalesce(viewport["dpr"], F.lit(1.0))).withField("zoom", F.coalesce(viewport["zoom"], F.lit(1.0)))))).alias("metadata"),
+        F.coalesce("notes", F.array().cast(model.RECORDING["notes"].dataType)).alias("notes"),
+        F.coalesce("events", F.array().cast("array<string>")).alias("events"))
 
-    Events are read as raw JSON text first so ``value`` keeps its exact JSON
-    form (objects keep key order; strings stay quoted)."""
-    doc = (spark.read.schema("version string, surface string, started_at string, ended_at string, "
-                             "events array<string>, notes array<struct<ts_ms:bigint,text:string>>")
-           .option("multiLine", True).json(glob))
-    doc = doc.select(F.regexp_extract(F.col("_metadata.file_path"), rec_id_pattern, 1).alias("rec_id"),
-                     F.coalesce("version", F.lit(model.SCHEMA_VERSION)).alias("version"), "surface",
-                     "started_at", "ended_at", "events")
-    ev = doc.select("rec_id", "version", F.col("surface").alias("rec_surface"),
-                    F.posexplode_outer("events").alias("pos", "ev"))
+
+def recording_events(docs: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """One row per event of ``load_documents`` in array order, with defaults (B6).  A recording without events has
+    none; a null entry stays as a row of nulls, which validation (B5) rejects."""
+    ev = docs.select("rec_id", F.posexplode("events").alias("pos", "ev"))
     e = F.from_json(F.col("ev"), EVENT_FIELDS)
     v = F.variant_get(F.try_parse_json(F.col("ev")), "$.value", "variant")
     shape = F.schema_of_variant(v)
     value_json = (F.when(v.isNull(), F.lit(None).cast("string"))
                   .when(shape.startswith("OBJECT") | shape.startswith("ARRAY"), F.get_json_object("ev", "$.value"))
-                  .when(shape == "NULL", F.lit(None).cast("string"))
+                  .when(shape.isin("NULL", "VOID"), F.lit(None).cast("string"))
                   .otherwise(F.to_json(v)))
-    target = F.from_json(F.get_json_object("ev", "$.target"), model.TARGET)
-    out = ev.filter(F.col("ev").isNotNull()).select(
+    target = F.from_json(F.coalesce(F.get_json_object("ev", "$.target"), F.lit("{}")), model.TARGET)
+    out = ev.select(
         "rec_id", (F.col("pos") + 1).cast("long").alias("ord"), e["id"].alias("id"),
         e["ts_ms"].cast("long").alias("ts_ms"), e["surface"].alias("surface"), e["type"].alias("type"),
         value_json.alias("value_json"), target.alias("target"), e["screenshot_path"].alias("screenshot_path"),
-        F.coalesce(e["redacted"], F.lit(False)).alias("redacted"), e["notes"].alias("notes"))
-    return chunk_if_hot(out, "rec_id", "ord", chunk_rows)
+        e["viewport"].alias("viewport"), e["redacted"].alias("redacted"), e["notes"].alias("notes"))
+    return chunk_if_hot(apply_defaults(out), "rec_id", "ord", chunk_rows)
+
+
+def recording_envelopes(docs: DataFrame) -> DataFrame:
+    """The recordings themselves, those without events too: everything but the events, and their number."""
+    return docs.select("rec_id", "version", "surface", "started_at", "ended_at", "metadata", "notes",
+                       F.size("events").cast("long").alias("n_events"))
+
+
+def read_recordings(spark: SparkSession, glob: str, rec_id_pattern: str = REC_ID, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """A1 (+B6): the events of all documents; ``load_documents`` and ``recording_envelopes`` give the rest of them."""
+    return recording_events(load_documents(spark, glob, rec_id_pattern), chunk_rows)
 
 
 def recording_documents(events: DataFrame, envelopes: DataFrame, keys="rec_id") -> DataFrame:

@@ -34,13 +34,15 @@ def run_available(stream_df: DataFrame, sink: str, checkpoint: str, mode: str =
 def intake(spark: SparkSession, landing: str, path: str = model.UPLOAD_PATH,
            origin: str = model.ALLOWED_ORIGIN_PREFIXES[0]) -> DataFrame:
     """A4: each file landing in ``landing`` is one upload body; admission (A5)
-    runs per micro-batch.  Files are capped by size before being read."""
+    runs per micro-batch.  Files above the size limit are answered by their
+    length; their text is dropped before any rule parses it."""
     from clickloom.sources.payloads import admission
     raw = (spark.readStream.format("text").option("wholetext", True)
            .option("maxFilesPerTrigger", 10000).load(landing))
-    p = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"),
+    p = raw.select(F.col("_metadata.file_path").alias("file"),
+                   F.when(F.col("_metadata.file_size") <= model.MAX_BODY_BYTES, F.col("value")).alias("body"),
                    F.lit(path).alias("path"), F.lit(origin).alias("origin"),
-                   F.octet_length("value").cast("long").alias("content_length"))
+                   F.col("_metadata.file_size").cast("long").alias("content_length"))
     return admission(p)
 
 

@@ -17,7 +17,7 @@ def spark():
 
 
 def make_events(spark, rows, chunk_rows=1 << 20):
-    """rows: dicts with rec_id, ts_ms, type, value (python), url, screenshot_path;
+    """Without ``chunk_rows`` no ``_chunk`` column: plain windows.  rows: dicts with rec_id, ts_ms, type, value (python), url, screenshot_path;
     ord/id follow list order per recording."""
     from pyspark.sql import functions as F
     from clickloom.plans.ordered import add_chunk
@@ -41,4 +41,4 @@ def make_events(spark, rows, chunk_rows=1 << 20):
     df = df.select("rec_id", "ord", "id", "ts_ms", "surface", "type", "value_json", target.alias("target"),
                    "screenshot_path", F.lit(None).cast(model.VIEWPORT).alias("viewport"),
                    F.lit(False).alias("redacted"), F.lit(None).cast("string").alias("notes"))
-    return add_chunk(df, "ord", chunk_rows)
+    return df if chunk_rows is None else add_chunk(df, "ord", chunk_rows)

@@ -13,20 +13,30 @@ def _scrub(spark, values, chunk_rows=1 << 20):
     return scrub_events(ev).orderBy("ord").collect()
 
 
-def test_email_placeholder(spark):
-    r = _scrub(spark, ["contact alice@example.com please"])[0]
-    assert r["value_json"] == '"contact <EMAIL_1> please"' and r["redacted"] is True
+def test_kinds_are_numbered_apart(spark):
+    a, b = _scrub(spark, ["mail kim+x@post.example.org, or +44 207 946 0958", "ssn 321-54-9876 kim+x@post.example.org"])
+    assert a["value_json"] == '"mail <EMAIL_1>, or <PHONE_1>"' and a["redacted"]
+    assert b["value_json"] == '"ssn <SSN_1> <EMAIL_2>"'  # an equal value gets a new number
 
 
-def test_key_in_dict_value(spark):
+def test_nested_values_change_and_keys_stay(spark):
     import json
-    r = _scrub(spark, [{"key": "x", "extra": "sk-ant-" + "a" * 64}])[0]
-    assert json.loads(r["value_json"])["extra"].startswith("<ANTHROPIC_KEY_")
+    token = "ghp_" + "Z9" * 18
+    v = {"list": [1, {"deep": f"use {token}"}], token: None, "n": 4.5, "ok": "plain"}
+    r = _scrub(spark, [v])[0]
+    assert json.loads(r["value_json"]) == {"list": [1, {"deep": "use <GITHUB_PAT_1>"}], token: None, "n": 4.5, "ok": "plain"}
 
 
-def test_benign_untouched(spark):
-    r = _scrub(spark, ["hello world"])[0]
-    assert r["value_json"] == '"hello world"' and r["redacted"] is False
+def test_nothing_to_hide(spark):
+    rows = _scrub(spark, ["call me maybe", "12345", "", None, {"x": 1}, 7])
+    assert not any(r["redacted"] for r in rows)
+    assert [r["value_json"] for r in rows] == ['"call me maybe"', '"12345"', '""', None, '{"x": 1}', "7"]
+
+
+def test_malformed_json_stays(spark):
+    from clickloom.operators.redact import scrub_events
+    ev = make_events(spark, [{"ts_ms": 1, "type": "input", "value": "me@here.org"}], None).withColumn("value_json", F.lit('{"a": "me@here.org"'))
+    assert scrub_events(ev).first()["value_json"] == '{"a": "me@here.org"'
 
 
 def fold(texts):
@@ -45,13 +55,14 @@ def fold(texts):
 
 def test_numbering_matches_fold_across_chunks(spark):
     rnd = random.Random(5)
-    pieces = ["a@b.co", "x.y@mail.org", "+1 555 123 4567", "123-45-6789", "AKIA" + "B" * 16, "plain", "words here"]
+    pieces = ["a@b.co", "x.y@mail.org", "+1 555 123 4567", "123-45-6789", "AKIA" + "B" * 16, "plain", "words here",
+              "\ue000", "\ue007x\ue0f0", "\ue0f0\ue0f2\ue0f1"]
     texts = [" ".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 5))) for _ in range(40)]
     want, want_log = fold(texts)
     df = spark.createDataFrame([(1, i + 1, 0, f"d{i}", t) for i, t in enumerate(texts)],
                                "rec_id bigint, ord bigint, leaf bigint, id string, text string")
-    for chunk in (3, 1 << 20):
-        d = df.withColumn("_chunk", F.expr(f"ord div {chunk}"))
+    for chunk in (3, 1 << 20, None):
+        d = df if chunk is None else df.withColumn("_chunk", F.expr(f"ord div {chunk}"))
         s = scrub_leaves(d, "text")
         got = [r["scrubbed"] for r in s.orderBy("ord").collect()]
         assert got == want

@@ -7,11 +7,12 @@ from clickloom.plans.ordered import add_chunk
 
 
 def test_throttle_matches_fold(spark):
+    """Times may go back: order is ``ord``."""
     rnd = random.Random(2)
-    rows, t = [], {}
+    rows, t = [(9, 0, 1000), (9, 1, 500), (9, 2, 800), (9, 3, 1300)], {}
     for i in range(300):
         rec = rnd.randint(1, 3)
-        t[rec] = t.get(rec, 1000) + rnd.choice([50, 100, 200, 300, 1000])
+        t[rec] = t.get(rec, 1000) + rnd.choice([-900, -200, 50, 100, 200, 300, 1000])
         rows.append((rec, i, t[rec]))
     df = spark.createDataFrame(rows, "rec_id bigint, ord bigint, ts_ms bigint")
     want = set()
@@ -21,6 +22,6 @@ def test_throttle_matches_fold(spark):
             if ts - last >= 250:
                 last = ts
                 want.add((rec, o))
-    for chunk in (5, 1 << 20):
-        got = throttle(add_chunk(df, "ord", chunk), 250).filter("kept").collect()
+    for chunk in (1, 5, 1 << 20, None):
+        got = throttle(df if chunk is None else add_chunk(df, "ord", chunk), 250).filter("kept").collect()
         assert {(r["rec_id"], r["ord"]) for r in got} == want
