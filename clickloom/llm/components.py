@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating stars.
 
 Each round hooks every vertex's larger neighbours, then its smaller ones, to
-the smallest vertex in reach, until nothing changes; what is left is a star
-around each component's smallest vertex.  Edges stay in Spark; a vertex with
+the smallest vertex in reach, until only stars around each component's smallest
+vertex are left.  Edges stay in Spark; a vertex with
 very many edges is split by the skew join.
 """
 
@@ -29,10 +29,10 @@ def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` -> ``id, component`` (the smallest id reachable) for every id of a link
     but the components' own smallest ids."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") != F.col("v")).distinct())
-    mark = None
     while True:
-        said = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not said[0] or tuple(said) == mark:
+        # done when every vertex hangs on one vertex that hangs on none
+        n = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("u")).first()
+        roots = edges.select("v").join(edges.select(F.col("u").alias("k")), F.col("v") == F.col("k"), "left_semi")
+        if not n["n"] or (n["n"] == n["u"] and roots.isEmpty()):
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        mark = tuple(said)
         edges = materialize(_star(_star(edges, large=True), large=False))

@@ -8,19 +8,20 @@ so the bits in which two sketches differ, z, estimate the similarity as
 ``MAX_XOR`` differing bits (over four standard deviations off at 0.75) are out;
 the others are confirmed on the full sets.
 
-Links only matter for the classes they join, so not all pairs are looked at:
+Not all pairs are looked at one by one:
 
 1. equal texts (word sequences) fall together first, by a 128-bit hash;
-2. each bucket proposes a spanning forest of its pairs by sketch distance, and
-   first each document's best pair is confirmed, then those that still join
-   different classes;
-3. buckets that still hold several classes propose each member's best pair with
-   another class, and last all their remaining pairs below ``MAX_XOR``.
-
-So every pair that meets in a band and passes the sketch is either confirmed,
-refused, or inside one class already: no link between classes is lost, and a
-large group of near copies costs about one confirmation a member.  Buckets over
-``BLOCK`` members are cut into blocks and compared block against block.
+2. each bucket proposes a spanning forest of its pairs below ``MAX_XOR``; the
+   components of all forests are families: every pair that meets in a band and
+   passes the sketch lies inside one family;
+3. a family's full sets meet in one task, where all its pairs are compared
+   exactly at once (products of 0/1 matrices over the shingles that occur
+   twice).  A family over ``BLOCK`` documents is cut into blocks, compared block
+   against block; before that its forest's best pairs are confirmed, and blocks
+   that lie in one and the same class already are not compared.
+
+So no link between classes is lost, copies are never expanded into pairs, and
+only links that join classes leave a task.
 """
 
 from __future__ import annotations
@@ -32,13 +33,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from clickloom.llm.common import WordHash, chunks_of_words, materialize, mix64, rolling, stored, texts_of
 from clickloom.llm.components import components
+from clickloom.llm.sharding import numbered
 from clickloom.session import delete_path
 
 SHINGLE = 5
 SAMPLES, BANDS = 128, 32
 BITS = 512
 MAX_XOR = 100
-BLOCK = 2048
+#: Members of a bucket that one forest is made of, and documents of a family compared with each other in one task.
+BUCKET = 2048
+BLOCK = 512
+#: Shingles multiplied at a time.
+WIDE = 4096
 
 _luck = np.random.default_rng(20240229)
 FACTOR = (_luck.integers(0, 1 << 31, SAMPLES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -118,10 +124,6 @@ def _sets(batches):
                                    "x": pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found)))})
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int32)
-
-
 def _forest(s: np.ndarray) -> list[tuple[int, int, int]]:
     """Pairs (i, j, z) of a minimum spanning forest over sketch distances up to MAX_XOR."""
     n, out = len(s), []
@@ -142,70 +144,89 @@ def _forest(s: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _crossing(s: np.ndarray, c: np.ndarray, own: np.ndarray, every: bool) -> list[tuple[int, int, int]]:
-    """Pairs of different classes up to MAX_XOR apart: each member's best one, or every one."""
-    out = []
-    for at in range(0, len(s), 256):
-        z = _distances(s[at:at + 256], s)
-        z[c[at:at + 256, None] == c[None, :]] = BITS + 1
-        if every:
-            i, j = np.nonzero(z <= MAX_XOR)
-            keep = own[i + at] <= own[j]
-            out += [(int(x) + at, int(y), int(z[x, y])) for x, y in zip(i[keep], j[keep])]
-        else:
-            j = z.argmin(1)
-            out += [(at + x, int(y), int(z[x, y])) for x, y in enumerate(j) if z[x, y] <= MAX_XOR]
-    return out
+def _runs(batches, keys: list[str]):
+    """Whole runs of equal keys from batches sorted by them."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not t.num_rows:
+            continue
+        key = np.stack([t.column(k).to_numpy() for k in keys])
+        cuts = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
+        if len(cuts):  # the last run may go on in the next batch
+            yield t.slice(0, cuts[-1]), np.concatenate([[0], cuts])
+        held = t.slice(cuts[-1] if len(cuts) else 0)
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
 
 
-def _buckets(batches, pairs_of):
-    """Runs of equal (key, i, j) in sorted batches -> proposed pairs."""
+def _propose(batches):
+    """Buckets (key, parts i and j) -> the pairs of their spanning forests."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("z", pa.int32())])
-    held = None
-
-    def handle(t: pa.Table):
+    for t, starts in _runs(batches, ["key", "i", "j"]):
         ids = t.column("id").to_numpy()
         s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        c = t.column("class").to_numpy()
-        key = np.stack([t.column(k).to_numpy() for k in ("key", "i", "j")])
-        cuts = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
-        starts = np.concatenate([[0], cuts, [len(ids)]])
-        found = set()
         sizes = np.diff(starts)
         two = starts[:-1][sizes == 2]
         z = np.bitwise_count(s[two] ^ s[two + 1]).sum(1, dtype=np.int32)
-        ok = (z <= MAX_XOR) & ((c[two] != c[two + 1]) | (c[two] < 0))
-        for x, d in zip(two[ok].tolist(), z[ok].tolist()):
-            found.add((min(ids[x], ids[x + 1]), max(ids[x], ids[x + 1]), d))
+        found = {(min(ids[x], ids[x + 1]), max(ids[x], ids[x + 1]), d) for x, d in zip(two[z <= MAX_XOR].tolist(), z[z <= MAX_XOR].tolist())}
         for x, n in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             own = ids[x:x + n]
-            for i, j, d in pairs_of(s[x:x + n], c[x:x + n], own):
-                if own[i] != own[j]:
-                    found.add((min(own[i], own[j]), max(own[i], own[j]), d))
+            found.update((min(own[i], own[j]), max(own[i], own[j]), d) for i, j, d in _forest(s[x:x + n]))
         if found:
             a, b, z = zip(*found)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(z, pa.int32())], schema=schema)
 
-    for batch in batches:
-        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        if not t.num_rows:
-            continue
-        # the last run may go on in the next batch
-        key = np.stack([t.column(k).to_numpy() for k in ("key", "i", "j")])
-        last = int(np.flatnonzero(np.any(key != key[:, -1:], axis=0)).max(initial=-1)) + 1
-        if last:
-            yield from handle(t.slice(0, last))
-        held = t.slice(last)
-    if held is not None and held.num_rows:
-        yield from handle(held)
 
+def _compare(batches, percent: int):
+    """Block pairs (family, i, j) with their documents' sets -> links that join different classes."""
+    for t, starts in _runs(batches, ["family", "i", "j"]):
+        ids, classes, blocks = (t.column(c).to_numpy() for c in ("id", "class", "blk"))
+        i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
+        lists = t.column("x").combine_chunks()
+        n = lists.value_lengths().to_numpy()
+        ends, flat = np.cumsum(n), lists.flatten().to_numpy()
+        out = []
+        for at, to in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            x = flat[ends[at] - n[at]:ends[to - 1]]
+            left = np.flatnonzero(blocks[at:to] == i[at])
+            right = left if i[at] == j[at] else np.flatnonzero(blocks[at:to] == j[at])
+            out += _links(x, n[at:to], left, right, ids[at:to], classes[at:to], percent)
+        yield pa.record_batch({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def _links(x: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, classes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    owner = np.repeat(np.arange(len(n)), n)
+    values, at, times = np.unique(x, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    column = np.full(len(values), -1)
+    column[shared] = np.arange(len(shared))
+    column = column[at]
+    order = np.argsort(column, kind="stable")[np.count_nonzero(column < 0):]
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(shared), WIDE):
+        part = slice(*np.searchsorted(column, [low, low + WIDE]))
+        m = np.zeros((len(n), min(WIDE, len(shared) - low)), np.float32)
+        m[owner[part], column[part] - low] = 1
+        both += m[left] @ m[right].T  # counts below 2^24: exact
+    both = both.astype(np.int64)
+    linked = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+    p, q = np.nonzero(linked & (classes[left][:, None] != classes[right][None, :]))
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in root:
+            c = root[c]
+        return c
 
-def _propose(members: DataFrame, how: str) -> DataFrame:
-    """``members(key, i, j, id, class, sketch)`` -> distinct pairs ``a < b`` with ``z``."""
-    pairs_of = {"forest": lambda s, c, own: _forest(s), "best": lambda s, c, own: _crossing(s, c, own, False),
-                "every": lambda s, c, own: _crossing(s, c, own, True)}[how]
-    rows = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return rows.mapInArrow(lambda batches: _buckets(batches, pairs_of), "a long, b long, z int").groupBy("a", "b").agg(F.min("z").alias("z"))
+    out = []
+    for a, b in zip(left[p].tolist(), right[q].tolist()):
+        c, d = find(int(classes[a])), find(int(classes[b]))
+        if c != d:
+            root[max(c, d)] = min(c, d)
+            out.append((int(ids[a]), int(ids[b])))
+    return out
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,60 +250,54 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed, signed_at = stored(base.mapInArrow(_signatures, "doc_id long, n_shingles long, content binary, bands array<long>, sketch binary"), "minhash")
     known = signed.filter(F.col("content").isNotNull() & F.col("doc_id").isNotNull())
-    texts = known.groupBy("content").agg(F.min("doc_id").alias("id"))
-    reps = known.join(texts, (known.content == texts.content) & (known.doc_id == texts.id)).select("id", "bands", "sketch").dropDuplicates(["id"])
+    # equal texts have equal signatures: any of them will do.  An id that repeats with several texts stands for the first
+    reps, reps_at = stored(known.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "texts")
+    texts = reps.select("content", "id")
     keyed = reps.select("id", F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    meet = keyed.join(full, "key").join(reps.select("id", "sketch"), "id")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    members, members_at = stored(meet.select("key", "id", parts.alias("parts"), own.alias("own"), "sketch"), "buckets")
-
-    one = members.withColumns({"i": F.col("own"), "j": F.col("own"), "class": F.lit(-1).cast("long")}).drop("parts", "own")
-    forest = materialize(_propose(one, "forest"))
-    wanted = (forest.select(F.col("a").alias("id")).union(forest.select("b"))
-              .union(members.filter(F.col("parts") > 1).select("id")).distinct())
-    sets, sets_at = stored(base.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    # a bucket over BUCKET members goes part against part: the forests of all pairs of parts hold the bucket together
+    parts = F.ceil(F.col("n") / BUCKET)
+    meet = keyed.join(full, "key").join(reps.select("id", "sketch"), "id").withColumn("own", F.pmod(F.xxhash64("id"), parts))
+    meet = meet.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    meet = meet.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "sketch")
+    meet = meet.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    forest = materialize(meet.mapInArrow(_propose, "a long, b long, z int").groupBy("a", "b").agg(F.min("z").alias("z")))
+    wanted = forest.select(F.col("a").alias("id")).union(forest.select("b")).distinct()
+    family = components(forest.select("a", "b"))
+    family = materialize(wanted.join(family, "id", "left").select("id", F.coalesce("component", "id").alias("family")))
+    sets, sets_at = stored(base.withColumnRenamed("doc_id", "id").join(family.select("id"), "id", "left_semi").dropDuplicates(["id"])
                            .mapInArrow(_sets, "id long, x array<long>"), "sets")
 
-    ends = forest.select(F.col("a").alias("id"), "a", "b", "z").unionByName(forest.select(F.col("b").alias("id"), "a", "b", "z"))
-    best = ends.groupBy("id").agg(F.min(F.struct("z", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    tested = _confirm(best, sets, percent)
-    classes = components(tested.filter("linked"))
-
-    def crossing(pairs: DataFrame) -> DataFrame:
-        ca = classes.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-        cb = classes.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        rows = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        return rows.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    def confirmed(pairs: DataFrame) -> bool:
-        """Confirm pairs not yet tested; True if there were any links among them."""
-        nonlocal tested, classes
-        new = _confirm(crossing(pairs).join(tested, ["a", "b"], "left_anti"), sets, percent)
-        links = new.filter("linked")
-        tested = tested.unionByName(new)
-        if links.isEmpty():
-            return False
-        classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b")))
-        return True
-
-    confirmed(forest)
-    for how in ("best", "every"):
-        told = members.join(classes, "id", "left").select("key", "id", "parts", "own", "sketch", F.coalesce("component", "id").alias("class"))
-        mixed = told.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        open_ = told.join(mixed, "key").withColumn("other", other)
-        open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "class", "sketch")
-        pairs = materialize(_propose(open_, how))
-        if pairs.isEmpty():
-            break
-        confirmed(pairs)
+    classes = None
+    large = family.groupBy("family").count().filter(F.col("count") > BLOCK).select("family")
+    if not large.isEmpty():
+        edges = forest.join(family.select(F.col("id").alias("a"), "family"), "a").join(large, "family", "left_semi")
+        ends = edges.select(F.col("a").alias("id"), "a", "b", "z").unionByName(edges.select(F.col("b").alias("id"), "a", "b", "z"))
+        best = ends.groupBy("id").agg(F.min(F.struct("z", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        classes = components(_confirm(best, sets, percent).filter("linked"))
+        family = family.join(classes, "id", "left").select("id", "family", F.coalesce("component", "id").alias("class"))
+    else:
+        family = family.withColumn("class", F.col("id"))
+    # documents of one class side by side, so that blocks within it can be left out
+    spread = F.pmod(F.hash("class"), F.lit(64)) * 64 + F.pmod(F.hash("id"), F.lit(64))
+    family = numbered(family.withColumn("bin", spread), ["family"], "bin", [F.col("class"), F.col("id")], "pos")
+    family = materialize(family.select("family", F.expr(f"pos div {BLOCK}").alias("blk"), "id", "class"))
+    blocks = family.groupBy("family", "blk").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    second = blocks.select("family", F.col("blk").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = blocks.withColumnRenamed("blk", "i").join(second, "family").filter(
+        (F.col("i") <= F.col("j")) & (F.least("lo", "lo2") < F.greatest("hi", "hi2")))
+    pairs = pairs.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
+    work = pairs.join(family, ["family", "blk"]).join(sets, "id").select("family", "i", "j", "blk", "id", "class", "x")
+    work = work.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "id")
+    links = work.mapInArrow(lambda batches: _compare(batches, percent), "a long, b long")
+    if classes is not None:
+        links = links.unionByName(classes.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    classes = components(links)
 
     out = (signed.select("doc_id", "n_shingles", "content").join(texts, "content", "left").join(classes, "id", "left")
            .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")))
            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
-    out = materialize(out)
-    for path in (signed_at, members_at, sets_at):
+    out = materialize(out)  # before the files go
+    for path in (signed_at, reps_at, sets_at):
         delete_path(spark, path)
     return out

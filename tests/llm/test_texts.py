@@ -54,7 +54,9 @@ def test_near_duplicates(edge, none):
 
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     """Links between blocks of an oversized bucket are found; chains join by their links."""
-    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "BUCKET", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "WIDE", 7)
     base = [f"b{i}" for i in range(100)]
     rows = []
     for k in range(30):  # each step changes a word: neighbours link, the ends of the chain don't
