@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from clickloom.llm.common import CACHE_WORDS, chunks_of_words, texts_of
+from clickloom.llm.common import chunks_of_words, texts_of
 
 LONGEST = 5
 
@@ -82,13 +82,17 @@ def fit(train: DataFrame, per_lang: int = 500, min_count: int = 2, seed: int = 7
     return {"langs": langs, "index": index, "table": table.astype(np.float32), "prior": prior}
 
 
+#: Words whose scores a worker keeps (about 170 bytes each).
+KNOWN_WORDS = 800_000
+
+
 class Words(dict):
     """bytes of a word -> row of ``scores``; row 0 is a word without letters."""
 
     def __init__(self, model: dict):
         super().__init__()
         self.model = model
-        self.scores = np.zeros((CACHE_WORDS + 2, len(model["langs"])), np.float32)
+        self.scores = np.zeros((KNOWN_WORDS + 2, len(model["langs"])), np.float32)
 
     def __missing__(self, raw: bytes) -> int:
         w, row = letters(raw), 0
@@ -100,9 +104,11 @@ class Words(dict):
                 self.scores[row] = table[at]
             else:
                 self.scores[row] = 0
+                edged, size = f" {w} ", len(w) + 2
                 for n in range(LONGEST, 0, -1):
-                    if known := [index[n][g] for g in grams(w, n) if g in index[n]]:
-                        self.scores[row] = table[known].mean(0)
+                    get = index[n].get
+                    if known := [x for i in range(size - n + 1) if (x := get(edged[i:i + n]))]:
+                        self.scores[row] = table.take(known, 0).sum(0) / len(known)
                         break
         self[raw] = row
         return row
@@ -125,7 +131,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                     total = np.zeros(len(langs), np.float64)
                     known = False
                     for at in range(0, len(ws), 50_000):
-                        if len(words) + 50_000 > CACHE_WORDS:
+                        if len(words) + 50_000 > KNOWN_WORDS:
                             words.clear()
                         rows = np.fromiter(map(words.__getitem__, ws[at:at + 50_000]), np.int64, len(ws[at:at + 50_000]))
                         known = known or bool(rows.any())
