@@ -5,7 +5,13 @@ of its word pairs (sign of the sum of +-1 vectors, from one running sum).  Item
 lengths fall into classes: the items of a class are at least w + s - 1 words
 long, for the class's window w and stride s, so each item puts in the
 fingerprints of all its w-word sub-windows and a document needs only every
-s-th window: a passage at any place meets one of them exactly aligned.
+s-th window: a passage at any place meets one of them exactly aligned.  Windows
+are counted from each document's first word, and one more ends with its last.
+
+A document may be shorter than the window and yet hold enough of an item: items
+also put their sub-windows into the classes of such lengths, down to the
+shortest that can reach the threshold, and documents as long as those classes'
+items are looked up there.
 
 Fingerprints are cut into four 16-bit blocks.  Two fingerprints at most
 ``RADIUS`` bits apart agree in some block up to RADIUS // 4 bits, so each item
@@ -21,6 +27,7 @@ text, one pass over the documents a slice, so what is broadcast is bounded.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -49,16 +56,30 @@ def class_of(n_words: int) -> tuple[int, int]:
     return least - stride_of(least) + 1, stride_of(least)
 
 
+def shortest(n_words: int, threshold: float) -> int:
+    """Words of the shortest text that can be ``threshold`` similar to an item of so many words: all its shingles are the item's."""
+    return n_words if n_words < SHINGLE else max(SHINGLE, SHINGLE - 1 + math.ceil(threshold * (n_words - SHINGLE + 1) - 1e-9))
+
+
+def places(n: np.ndarray, who: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the texts ``who`` (of ``n`` words, one after another), every ``stride`` words from a text's first and one
+    flush with its end: (first words, texts)."""
+    last = n[who] - window
+    count = -(-last // stride) + 1
+    text = np.repeat(who, count)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    return (np.cumsum(n) - n)[text] + np.minimum(nth * stride, np.repeat(last, count)), text
+
+
 def pair_bits(hashes: np.ndarray) -> np.ndarray:
     """+1 / -1 vectors (int16, 64 wide) of the word pairs that begin at each word but the last."""
     x = rolling(hashes, 2)
     return np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16) * np.int16(2) - np.int16(1)
 
 
-def fingerprints(running: np.ndarray, window: int, stride: int, n: int) -> np.ndarray:
-    """SimHash (uint64) of the windows at 0, stride, ... below n.  running: sums of the pairs before each word."""
-    a, b = running[:n:stride], running[window - 1:window - 1 + n:stride]
-    return np.packbits(b > a, axis=1).view(np.uint64).ravel()
+def fingerprints(running: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """SimHash (uint64) of the windows at ``first``.  running: sums of the pairs before each word."""
+    return np.packbits(running[first + window - 1] > running[first], axis=1).view(np.uint64).ravel()
 
 
 def prints_of(hashes: np.ndarray, window: int, stride: int = 1) -> np.ndarray:
@@ -71,7 +92,7 @@ def prints_of(hashes: np.ndarray, window: int, stride: int = 1) -> np.ndarray:
     bits = pair_bits(hashes)
     running = np.zeros((len(bits) + 1, 64), np.int16)
     np.cumsum(bits, axis=0, dtype=np.int16, out=running[1:])  # windows are far shorter than 32,768 words: differences stay right
-    return fingerprints(running, window, stride, n)
+    return fingerprints(running, np.arange(0, n, stride), window)
 
 
 def weighted_similarity(a: list, b: list) -> float:
@@ -84,44 +105,52 @@ def weighted_similarity(a: list, b: list) -> float:
 class Index:
     """The fingerprints of a slice of the benchmark."""
 
-    def __init__(self, items: list[tuple[int, bytes]], radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int, bytes]], radius: int = RADIUS, threshold: float = 0.75):
         self.radius = radius
         word = WordHash()
         self.words = {i: t.lower().split() for i, t in items}
         prints: dict[tuple[int, int], list] = defaultdict(list)
+        short: dict[tuple[int, int], list] = defaultdict(list)
         for i, w in self.words.items():
             if not w:
                 continue
-            window, stride = class_of(len(w))
-            for offset, f in enumerate(prints_of(word.of([w])[0], window).tolist()):
-                prints[window, stride].append((f, i, offset))
+            hashes, own = word.of([w])[0], class_of(len(w))
+            for offset, f in enumerate(prints_of(hashes, own[0]).tolist()):
+                prints[own].append((f, i, offset))
+            for window, stride in sorted({class_of(n) for n in range(shortest(len(w), threshold), len(w))} - {own}):
+                for offset, f in enumerate(prints_of(hashes, window).tolist()):
+                    short[window, stride].append((f, i, offset))
         flips = [sum(1 << b for b in bits) for n in range(radius // 4 + 1) for bits in combinations(range(16), n)]
-        flips = np.array(flips, np.uint16)
-        self.classes = []
-        for (window, stride), found in sorted(prints.items()):
-            f = np.array([x[0] for x in found], np.uint64)
-            tables = []
-            for block in range(4):
-                value = (f >> np.uint64(16 * block)).astype(np.uint16)
-                near = (value[:, None] ^ flips[None, :]).astype(np.int64)
-                who = np.repeat(np.arange(len(f)), len(flips))
-                order = np.argsort(near.ravel(), kind="stable")
-                starts = np.searchsorted(near.ravel()[order], np.arange((1 << 16) + 1)).astype(np.int32)
-                tables.append((starts, who[order].astype(np.int32)))
-            self.classes.append((window, stride, f, [x[1:] for x in found], tables))
-
-    def candidates(self, prints: np.ndarray, f: np.ndarray, tables: list) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (window, fingerprint) at most ``radius`` bits apart."""
+        self.flips = np.array(flips, np.uint16)
+        self.classes = [self._class(c, found, self.flips) for c, found in sorted(prints.items())]
+        # few windows look these up, and they're many: the windows' blocks are varied, not theirs
+        self.short = [self._class(c, found, self.flips[:1]) for c, found in sorted(short.items())]
+
+    @staticmethod
+    def _class(of: tuple[int, int], found: list, flips: np.ndarray) -> tuple:
+        f = np.array([x[0] for x in found], np.uint64)
+        tables = []
+        for block in range(4):
+            value = (f >> np.uint64(16 * block)).astype(np.uint16)
+            near = (value[:, None] ^ flips[None, :]).ravel()
+            starts = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=1 << 16))]).astype(np.int32)
+            tables.append((starts, (np.argsort(near, kind="stable") // len(flips)).astype(np.int32)))
+        return *of, f, [x[1:] for x in found], tables
+
+    def candidates(self, prints: np.ndarray, f: np.ndarray, tables: list, vary: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window, fingerprint) at most ``radius`` bits apart; ``vary``: the tables hold the blocks as they are."""
         left, right = [], []
         for block, (starts, who) in enumerate(tables):
             value = (prints >> np.uint64(16 * block)).astype(np.uint16)
+            if vary:
+                value = (value[:, None] ^ self.flips[None, :]).ravel()
             n = starts[1:][value] - starts[value]
             hit = np.flatnonzero(n)
             if not len(hit):
                 continue
             n = n[hit]
             at = np.repeat(starts[value[hit]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            w, i = np.repeat(hit, n), who[at]
+            w, i = np.repeat(hit // len(self.flips) if vary else hit, n), who[at]
             close = np.bitwise_count(prints[w] ^ f[i]) <= self.radius
             left.append(w[close])
             right.append(i[close])
@@ -133,39 +162,42 @@ class Index:
     def hits(self, word: WordHash, lists: list[list[bytes]], threshold: float) -> list[tuple[int, int, float, int]]:
         """(list, item, similarity, first word) of each list and item that reach the threshold; the best place."""
         hashes, n = word.of(lists)
-        ends = np.cumsum(n)
-        widest = max((c[0] for c in self.classes), default=0)
+        begins = np.cumsum(n) - n
+        probes = []
+        for kind, vary in ((self.classes, False), (self.short, True)):
+            for window, stride, f, origin, tables in kind:
+                least = window + stride - 1
+                who = np.flatnonzero((n >= least) & (n < least + max(1, least // 8)) if vary else n >= window)
+                place, text = places(n, who, window, stride)
+                if len(place):
+                    cuts = np.searchsorted(place, np.arange(0, len(hashes) + RUN, RUN))
+                    probes.append((window, f, origin, tables, vary, place, text, cuts))
+        widest = max((p[0] for p in probes), default=0)
         tried: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for at in range(0, len(hashes), RUN):
+        for run, at in enumerate(range(0, len(hashes) if probes else 0, RUN)):
             part = hashes[at:at + RUN + widest - 1]
             bits = pair_bits(part) if len(part) > 1 else np.empty((0, 64), np.int16)
             running = np.zeros((len(bits) + 1, 64), np.int16)
             np.cumsum(bits, axis=0, dtype=np.int16, out=running[1:])
-            for window, stride, f, origin, tables in self.classes:
-                size = min(RUN, len(part) - window + 1)
-                if size <= 0:
+            for window, f, origin, tables, vary, place, text, cuts in probes:
+                a, b = cuts[run], cuts[run + 1]
+                if a == b:
                     continue
-                first = -at % stride  # windows lie on multiples of the stride
+                first = place[a:b] - at
                 if window == 1:
-                    prints = mix64(part[first:size].view(np.uint64)[::stride])
-                elif first < size:
-                    prints = fingerprints(running[first:], window, stride, size - first)
+                    prints = mix64(part[first].view(np.uint64))
                 else:
-                    continue
-                w, i = self.candidates(prints, f, tables)
-                if not len(w):
-                    continue
-                place = at + first + w * stride
-                lot = np.searchsorted(ends, place, side="right")
-                inside = place + window <= ends[lot]
-                for p, d, x in zip(place[inside].tolist(), lot[inside].tolist(), i[inside].tolist()):
+                    prints = fingerprints(running, first, window)
+                w, i = self.candidates(prints, f, tables, vary)
+                lot = text[a + w]
+                for d, p, x in zip(lot.tolist(), (place[a + w] - begins[lot]).tolist(), i.tolist()):
                     item, offset = origin[x]
-                    tried[d, item].add(p - int(ends[d] - n[d]) - offset)
+                    tried[d, item].add(p - offset)
         out = []
-        for (d, item), places in tried.items():
+        for (d, item), at in tried.items():
             want, have = self.words[item], lists[d]
             best, first = 0.0, 0
-            for p in sorted({min(max(q + shift, 0), max(0, len(have) - len(want))) for q in places for shift in (-2, -1, 0, 1, 2)}):
+            for p in sorted({min(max(q + shift, 0), max(0, len(have) - len(want))) for q in at for shift in (-2, -1, 0, 1, 2)}):
                 s = weighted_similarity(want, have[p:p + len(want)])
                 if s > best:
                     best, first = s, p
@@ -188,7 +220,7 @@ def _slices(benchmark: DataFrame, item_col: str, item_text_col: str):
 def _hits(batches, items: list[tuple[int, bytes]], threshold: float, radius: int):
     """Each batch with its hits: (row, item id, similarity, first word), the best place of each row and item."""
     names = [i for i, _ in items]
-    index, word = Index([(x, t) for x, (_, t) in enumerate(items)], radius), WordHash.shared()
+    index, word = Index([(x, t) for x, (_, t) in enumerate(items)], radius, threshold), WordHash.shared()
     for batch in batches:
         best: dict[tuple[int, int | None], tuple[float, int]] = {}
         for first, lists in chunks_of_words(texts_of(batch, "text"), lower=True, most=200_000):

@@ -174,6 +174,27 @@ def test_contaminated(spark, edge, none):
     assert decontam.contaminated(edge, bench).columns == ["doc_id", "item_id", "similarity", "first_word"]
 
 
+def test_items_less_their_last_words_are_found_at_any_layout():
+    """Whole documents that are an item without its last or first words, between others of odd lengths."""
+    import random
+    rng = random.Random(12)
+    items = [(i, words(rng, n, 5000).encode()) for i, n in enumerate([5, 8, 9, 15, 16, 20, 30, 45, 59, 100, 200])]
+    index, word = decontam.Index(items), decontam.WordHash()
+    for layout in range(4):
+        lists, want = [], set()
+        for i, t in items:
+            w = t.split()
+            for k in range(len(w) // 4 + 1):
+                for have in (w[:len(w) - k], w[k:], words(rng, 70, 5000).encode().split() + w[:len(w) - k]):
+                    lists.append(words(rng, rng.randrange(layout * 9 + 1), 5000).encode().split())
+                    if max(decontam.weighted_similarity(w, have[p:p + len(w)]) for p in range(max(1, len(have) - len(w) + 1))) >= 0.75:
+                        want.add((len(lists), i))
+                    lists.append(have)
+        got = {(d, i) for d, i, _, _ in index.hits(word, lists, 0.75)}
+        assert want <= got and len(want) > 100
+        assert got == want
+
+
 def test_benchmark_in_slices(spark, monkeypatch):
     import random
     rng = random.Random(6)
