@@ -19,7 +19,9 @@ enters all such neighbours of its blocks in a table, and a window that finds
 none of its four block values there is out: every pair within the radius is
 found.  A candidate is confirmed by the weighted similarity of 5-word shingles
 (sum of the smaller over the sum of the larger multiplicities) of the item and
-the item-sized window, at the five places around its alignment.
+the item-sized window, at the five places around its alignment; before that,
+candidates go that share no shingle although the threshold takes more of them
+than have room outside the window.
 
 The benchmark travels to the tasks in slices of at most ``SLICE_BYTES`` of
 text, one pass over the documents a slice, so what is broadcast is bounded.
@@ -38,8 +40,11 @@ from pyspark.sql import DataFrame, functions as F
 from clickloom.llm.common import WordHash, chunks_of_words, mix64, rolling, texts_of
 
 SHINGLE = 5
-RADIUS = 11
-SLICE_BYTES = 4 << 20
+#: Bits.  Copies differ by 0, edits of single words by 6 to 8, one stretch replaced down to similarity 0.75 by 15 or,
+#: rarely, more (recall: README).
+RADIUS = 15
+#: A fingerprint takes 11 kB of tables (697 neighbours of each block), an item about ten fingerprints.
+SLICE_BYTES = 1 << 20
 #: Words in one run of prefix sums: 16,384 x 64 x 2 bytes.
 RUN = 16_384
 
@@ -106,7 +111,7 @@ class Index:
     """The fingerprints of a slice of the benchmark."""
 
     def __init__(self, items: list[tuple[int, bytes]], radius: int = RADIUS, threshold: float = 0.75):
-        self.radius = radius
+        self.radius, self.threshold = radius, threshold
         word = WordHash()
         self.words = {i: t.lower().split() for i, t in items}
         prints: dict[tuple[int, int], list] = defaultdict(list)
@@ -120,12 +125,32 @@ class Index:
             for window, stride in sorted({class_of(n) for n in range(shortest(len(w), threshold), len(w))} - {own}):
                 for offset, f in enumerate(prints_of(hashes, window).tolist()):
                     short[window, stride].append((f, i, offset))
+        self.shingles = self._shingles(word)
         flips = [sum(1 << b for b in bits) for n in range(radius // 4 + 1) for bits in combinations(range(16), n)]
         self.flips = np.array(flips, np.uint16)
         self.classes = [self._class(c, found, self.flips) for c, found in sorted(prints.items())]
         # few windows look these up, and they're many: the windows' blocks are varied, not theirs
         self.short = [self._class(c, found, self.flips[:1]) for c, found in sorted(short.items())]
 
+    def _shingles(self, word: WordHash) -> np.ndarray:
+        """Sorted hashes of (item, shingle)."""
+        own = [rolling(word.of([w])[0], SHINGLE) ^ mix64(np.array([i], np.uint64)) for i, w in self.words.items()]
+        return np.unique(np.concatenate([np.empty(0, np.uint64), *own]))
+
+    def sharing(self, shingles: np.ndarray, first: np.ndarray, window: int, items: np.ndarray) -> np.ndarray:
+        """Whether the windows at ``first`` share a shingle with their items, or needn't.  A text as long as the item, at most
+        two words off its alignment, has up to length - window + 2 shingles that aren't the window's."""
+        length = np.array([len(self.words[i]) for i in items.tolist()], np.int64)
+        t = self.threshold
+        out = (2 * t / (1 + t) * (length - SHINGLE + 1) <= length - window + 2) | (window < SHINGLE)
+        ask = np.flatnonzero(~out)
+        for k in range(0, len(ask), 1 << 14):
+            who = ask[k:k + (1 << 14)]
+            key = shingles[first[who, None] + np.arange(window - SHINGLE + 1)] ^ mix64(items[who].astype(np.uint64))[:, None]
+            at = np.minimum(np.searchsorted(self.shingles, key), len(self.shingles) - 1)
+            out[who] = (self.shingles[at] == key).any(axis=1)
+        return out
+
     @staticmethod
     def _class(of: tuple[int, int], found: list, flips: np.ndarray) -> tuple:
         f = np.array([x[0] for x in found], np.uint64)
@@ -135,7 +160,7 @@ class Index:
             near = (value[:, None] ^ flips[None, :]).ravel()
             starts = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=1 << 16))]).astype(np.int32)
             tables.append((starts, (np.argsort(near, kind="stable") // len(flips)).astype(np.int32)))
-        return *of, f, [x[1:] for x in found], tables
+        return *of, f, np.array([x[1:] for x in found], np.int64), tables
 
     def candidates(self, prints: np.ndarray, f: np.ndarray, tables: list, vary: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window, fingerprint) at most ``radius`` bits apart; ``vary``: the tables hold the blocks as they are."""
@@ -162,7 +187,7 @@ class Index:
     def hits(self, word: WordHash, lists: list[list[bytes]], threshold: float) -> list[tuple[int, int, float, int]]:
         """(list, item, similarity, first word) of each list and item that reach the threshold; the best place."""
         hashes, n = word.of(lists)
-        begins = np.cumsum(n) - n
+        begins, shingles = np.cumsum(n) - n, rolling(hashes, SHINGLE)
         probes = []
         for kind, vary in ((self.classes, False), (self.short, True)):
             for window, stride, f, origin, tables in kind:
@@ -189,10 +214,13 @@ class Index:
                 else:
                     prints = fingerprints(running, first, window)
                 w, i = self.candidates(prints, f, tables, vary)
+                item, offset = origin[i].T
+                if not vary:
+                    ok = self.sharing(shingles, place[a + w], window, item)
+                    w, item, offset = w[ok], item[ok], offset[ok]
                 lot = text[a + w]
-                for d, p, x in zip(lot.tolist(), (place[a + w] - begins[lot]).tolist(), i.tolist()):
-                    item, offset = origin[x]
-                    tried[d, item].add(p - offset)
+                for d, p, x in zip(lot.tolist(), (place[a + w] - begins[lot] - offset).tolist(), item.tolist()):
+                    tried[d, x].add(p)
         out = []
         for (d, item), at in tried.items():
             want, have = self.words[item], lists[d]

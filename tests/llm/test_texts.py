@@ -195,6 +195,23 @@ def test_items_less_their_last_words_are_found_at_any_layout():
         assert got == want
 
 
+@pytest.mark.parametrize("n, stretch", [(100, 9), (200, 24)])
+def test_items_with_a_replaced_stretch_are_found(n, stretch):
+    """At similarity 0.75 to 0.8, inside long documents; nearly all: a fingerprint is a sample."""
+    import random
+    rng = random.Random(n)
+    items = [(i, words(rng, n, 50_000).encode()) for i in range(200)]
+    lists, want = [], set()
+    for i, t in items:
+        w, a = t.split(), (n - stretch) // 2 if i % 2 else rng.randrange(n - stretch + 1)
+        w[a:a + stretch] = words(rng, stretch, 50_000).encode().split()
+        if decontam.weighted_similarity(t.split(), w) >= 0.75:
+            want.add((len(lists), i))
+        lists.append(words(rng, 200 + i, 50_000).encode().split() + w + words(rng, 300, 50_000).encode().split())
+    got = {(d, i) for d, i, _, _ in decontam.Index(items).hits(decontam.WordHash(), lists, 0.75)}
+    assert len(want & got) >= 0.98 * len(want) and len(want) > 180
+
+
 def test_benchmark_in_slices(spark, monkeypatch):
     import random
     rng = random.Random(6)
