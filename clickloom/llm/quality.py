@@ -91,13 +91,15 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, max_pairs: int = 60_000, l2: floa
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, seed: int = 5) -> dict:
     """``docs(doc_id, text)``, ``labels(doc_id, quality)``: learn from labelled documents.  Null ids and labels teach
-    nothing; a document labelled more than once counts as good if at least half of its labels are 1."""
+    nothing; a document labelled more than once counts as good if at least half of its labels are 1.  Of rows that repeat a
+    labelled id the smallest text teaches."""
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id")
              .agg((F.avg("quality") >= 0.5).alias("good")))
     n = known.count()
     luck = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / float(1 << 53)
     picked = known.filter(luck < min(1.0, 0.98 * max_labels / max(1, n)))
     rows = docs.join(F.broadcast(picked), "doc_id")  # at most about max_labels rows of 9 bytes
+    rows = rows.groupBy("doc_id").agg(F.first("good").alias("good"), F.min("text").alias("text"))
     got = with_features(rows.select("good", "text"), ["good"], "good boolean").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
     good = got.column("good").to_numpy(zero_copy_only=False).astype(bool) if len(x) else np.empty(0, bool)

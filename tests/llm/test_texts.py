@@ -334,6 +334,17 @@ def test_quality(spark, edge, none):
     assert {r.predicted for r in quality.classify(d, no_labels, F.lit(False)).collect()} == {1}
 
 
+def test_repeated_labelled_ids_teach_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, f"same id {i:03d}") for i in range(300)] + [(0, None)] + [(i, f"text {i}") for i in range(1, 20)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(quality, "fit_pairs", lambda x, good: seen.update(x=x, good=good))
+    quality.fit(docs, marks)
+    assert len(seen["x"]) == 20 and seen["good"].sum() == 10
+    want = sorted(quality.features(t).tolist() for t in [b"same id 000", *(b"text %d" % i for i in range(1, 20))])
+    assert sorted(seen["x"].tolist()) == want
+
+
 def test_pairs_order_documents():
     x = np.zeros((60, quality.N_FEATURES))
     x[:, 0] = np.arange(60)
