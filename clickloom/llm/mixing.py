@@ -3,11 +3,13 @@
 Targets are shares of the words in the mix, water-filled under a ceiling of a
 given number of epochs per source.  A source whose target is r times its size
 gives every document floor(r) certain whole copies.  The rest, a share p =
-r - floor(r) of its words, is a fixed-size sample: documents are ranked by
-random odds over inclusion odds, q = (u/(1-u)) / (p/(1-p)), and taken in that
-order while they fit the words that remain; one more document, the unchosen
-one whose size comes nearest to what is still missing, closes the gap.  Random
-numbers are hashes of the id, so reruns agree.
+r - floor(r) of its words, is a fixed-size sample: Pareto sampling ranks by
+random odds over inclusion odds, q = (u/(1-u)) / (p/(1-p)); p is one value for
+a source, so that is the order of u, a random order per source.  Documents are
+taken in it up to the first that does not fit the words that remain; one more
+document, the unchosen one whose size comes nearest to what is still missing,
+narrows the gap, which a very long document can leave wide.  Random numbers are
+hashes of the id, so reruns agree.
 
 Running sums go over 4,096 bins of u per source, so a hot source is ranked by
 many tasks.  Only the table of sources (one row a source) is ordered in one
