@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -21,6 +22,8 @@ from clickloom.session import checkpoint_root, scratch_path
 CACHE_WORDS = 300_000
 #: Words handled together in one numpy pass.
 CHUNK_WORDS = 1_000_000
+#: Bytes of text split together by Arrow.
+CHUNK_BYTES = 1 << 22
 MASK64 = (1 << 64) - 1
 
 
@@ -59,6 +62,25 @@ def chunks_of_words(texts: list[bytes], lower: bool, most: int = CHUNK_WORDS) ->
         yield first, lists
 
 
+def coded_words(texts: pa.Array, lower: bool = False, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """Consecutive texts, about ``most`` bytes at a time, without a Python object per word: (index of the first text,
+    words of each text, each word's code, the distinct words that the codes stand for)."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    places = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        past = places[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(places, past + most, side="right")))
+        part = texts.slice(first, end - first)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(part) if lower else part)
+        words, parents = lists.flatten(), pc.list_parent_indices(lists)
+        real = pc.greater(pc.binary_length(words), 0)  # a text that begins or ends with white space has empty pieces
+        coded = words.filter(real).dictionary_encode()
+        lengths = np.bincount(parents.filter(real).to_numpy(zero_copy_only=False), minlength=len(part))
+        yield first, lengths, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        first = end
+
+
 _HASHES: WordHash | None = None
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from clickloom.llm import decontam, kneser_ney, langid, mixing, neardup, oracle, quality, sharding, substring, token_files, topk
+from clickloom.llm import decontam, kneser_ney, langid, mixing, neardup, oracle, quality, sharding, substring, token_counts, token_files, topk
 from clickloom.llm.common import fold, table
 
 
@@ -52,7 +52,11 @@ def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_heap_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 SPARK = {f.__name__: f for f in (op1_block_topk, op2_odd_sketch_neardup, op3_pairwise_quality, op4_kneser_ney, op5_stratified_shards, op6_pareto_mix,
-                                 op7_word_backoff_lang, op8_arrow_tokens, op9_simhash_decontaminate, op10_suffix_automata)}
+                                 op7_word_backoff_lang, op8_arrow_tokens, op9_simhash_decontaminate, op10_suffix_automata, op11_heap_bpe_counts)}
 SPARK["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {"op1_block_topk": oracle.TOPK, "op6_pareto_mix": oracle.MIX}
