@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from clickloom.llm import conversation_repair, decontam, kneser_ney, langid, mixing, neardup, oracle, quality, sharding, substring, token_counts, token_files, topk
+from clickloom.llm import conversation_repair, decontam, hard_negatives, kneser_ney, langid, mixing, neardup, oracle, quality, sharding, substring, token_counts, token_files, topk
 from clickloom.llm.common import fold, table
 
 
@@ -56,12 +56,17 @@ def op11_heap_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_angular_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved).drop("positive_rank")
+
+
 def op13_ida_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
 SPARK = {f.__name__: f for f in (op1_block_topk, op2_odd_sketch_neardup, op3_pairwise_quality, op4_kneser_ney, op5_stratified_shards, op6_pareto_mix,
-                                 op7_word_backoff_lang, op8_arrow_tokens, op9_simhash_decontaminate, op10_suffix_automata, op11_heap_bpe_counts,
+                                 op7_word_backoff_lang, op8_arrow_tokens, op9_simhash_decontaminate, op10_suffix_automata, op11_heap_bpe_counts, op12_angular_hard_negatives,
                                  op13_ida_conversation_repair)}
 SPARK["pipeline"] = corpus_pipeline.run
-SQL: dict[str, str] = {"op1_block_topk": oracle.TOPK, "op6_pareto_mix": oracle.MIX}
+SQL: dict[str, str] = {"op1_block_topk": oracle.TOPK, "op6_pareto_mix": oracle.MIX, "op12_angular_hard_negatives": oracle.HARD_NEGATIVES}
