@@ -96,7 +96,8 @@ class Asked:
         self.labels = t.column("label").to_numpy()
         self.m = matrix(t.column("v"), t.num_rows, wide)
         self.norms = t.column("norm").to_numpy()
-        self.angles = np.array([np.frombuffer(x, np.float32) for x in t.column("angles").to_pylist()], np.float32).reshape(t.num_rows, -1)
+        angles = t.column("angles").to_pylist()
+        self.angles = np.frombuffer(b"".join(angles), np.float32).reshape(t.num_rows, len(angles[0]) // 4)
         # a direction bounds best where the sine of the anchor's angle to it is smallest
         self.best = np.sin(self.angles).argmin(1) if self.angles.shape[1] else np.zeros(t.num_rows, np.int64)
         most = max((len(w) for w in windows), default=0)
@@ -241,16 +242,18 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column | None = None, pos
     anchors, _ = stored(rows.filter(is_anchor).groupBy("vec_id").agg(F.min(F.struct("label", "v", "norm", "angles")).alias("a")).select("vec_id", "a.*"), "anchors")
     n_packs = max(1, -(-anchors.count() // ANCHORS))
 
-    def run(left: pa.Table, right: pa.Table, k: int, windows: list, same_label: bool) -> Asked:
+    def run(left: pa.Table, right: pa.Table, k: int, windows: list, same_label: bool) -> tuple:
+        """Places (anchor, window, nth) of what a cell gathers, and the anchors."""
+        if not left.num_rows or not right.num_rows:
+            return (np.empty(0, np.int64),) * 5
         asked = Asked(right, wide, k, windows)
         search_cell([Block(b, wide) for b in left.to_pylist()], asked, same_label)
-        return asked
+        i, j, at = np.nonzero(asked.names < LAST)
+        return i, j, asked.ids[i], asked.names[i, j, at], asked.scores[i, j, at]
 
     def positive_cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        asked = run(left, right, positives, [[(NONE + 1, LAST)]] * right.num_rows, True)
-        hit = asked.names[:, 0] < LAST if right.num_rows else np.zeros((0, positives), bool)
-        return pa.table({"anchor_id": pa.array(np.repeat(asked.ids, hit.sum(1)), pa.int64()), "positive_id": pa.array(asked.names[:, 0][hit] if len(hit) else [], pa.int64()),
-                         "positive_score": pa.array(asked.scores[:, 0][hit] if len(hit) else [], pa.int64())})
+        _, _, anchor, name, score = run(left, right, positives, [[(NONE + 1, LAST)]] * right.num_rows, True)
+        return pa.table({"anchor_id": anchor, "positive_id": name, "positive_score": score})
 
     best = W.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     found = (grid(blocks, anchors, n_packs, positive_cell, "anchor_id long, positive_id long, positive_score long")
@@ -264,11 +267,9 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column | None = None, pos
         wanted = right.column("wanted").to_pylist()
         # 100 * n between low * p and high * p
         windows = [[(-(-low * w["positive_score"] // 100), high * w["positive_score"] // 100) for w in one] for one in wanted]
-        asked = run(left, right, negatives, windows, False)
-        i, j, at = np.nonzero(asked.names < LAST)
+        i, j, anchor, name, score = run(left, right, negatives, windows, False)
         ranks = [wanted[a][b]["positive_rank"] for a, b in zip(i.tolist(), j.tolist())]
-        return pa.table({"anchor_id": pa.array(asked.ids[i], pa.int64()), "positive_rank": pa.array(ranks, pa.int32()),
-                         "negative_id": pa.array(asked.names[i, j, at], pa.int64()), "negative_score": pa.array(asked.scores[i, j, at], pa.int64())})
+        return pa.table({"anchor_id": anchor, "positive_rank": pa.array(ranks, pa.int32()), "negative_id": name, "negative_score": score})
 
     w = W.partitionBy("anchor_id", "positive_rank").orderBy(F.desc("negative_score"), "negative_id")
     hard = (grid(blocks, asked, n_packs, negative_cell, "anchor_id long, positive_rank int, negative_id long, negative_score long")
