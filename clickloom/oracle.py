@@ -253,12 +253,16 @@ def _click(eid: str, ts: str, extra: str) -> str:
 _STARTED = '"started_at": "2024-04-26T10:00:00Z", "ended_at": "2024-04-26T10:05:00Z"'
 
 
-def _wrap(events: str, surface: str = "browser", more: str = "") -> str:
-    return f"'{{\"surface\": \"{surface}\", {_STARTED}{more}, \"events\": ' || {events} || '}}'"
+_TOLD = """' || ', "metadata": {"os": "Linux", "viewport": {"w": 800, "h": 600}, "user_intent_hint": ' || CAST(to_json(url) AS VARCHAR)
+   || '}, "notes": [{"ts_ms": ' || CAST(ts0 AS VARCHAR) || ', "text": ' || CAST(to_json(html) AS VARCHAR) || '}]' || '"""
+
+
+def _wrap(events: str, surface: str = "browser", more: str = "", told: bool = False) -> str:
+    return f"'{{\"surface\": \"{surface}\", {_STARTED}{_TOLD if told else more}, \"events\": ' || {events} || '}}'"
 
 
 R2 = f"""
-r2b AS (SELECT page_id, url, 1714125600000 + page_id * 1000 AS ts0 FROM pages),
+r2b AS (SELECT page_id, url, html, 1714125600000 + page_id * 1000 AS ts0 FROM pages),
 r2 AS (SELECT page_id,
   CASE WHEN url LIKE '%?%' THEN '/upload' ELSE '/recordings' END AS path,
   CASE WHEN starts_with(url, 'https') THEN 'chrome-extension://abc' WHEN url LIKE '%blog%' THEN 'moz-extension://def'
@@ -269,7 +273,7 @@ r2 AS (SELECT page_id,
     WHEN 3 THEN {_wrap("'{\"a\": 1}'")}
     WHEN 4 THEN {_wrap("'[' || " + _click("evt_in_1", "CAST(ts0 AS VARCHAR)", ', "screenshot_data": "abcde"') + " || ']'")}
     WHEN 5 THEN {_wrap("'[' || " + _click("evt_in_1", "CAST(ts0 AS VARCHAR) || '.75'", "") + " || ', ' || "
-                       + _click("evt_in_2", "CAST(ts0 + 1500 AS VARCHAR) || '.25'", ', "surface": "browser"') + " || ']'")}
+                       + _click("evt_in_2", "CAST(ts0 + 1500 AS VARCHAR) || '.25'", ', "surface": "browser"') + " || ']'", told=True)}
     WHEN 6 THEN {_wrap("'[' || " + _click("evt_in_1", "CAST(ts0 AS VARCHAR)", ', "screenshot_data": "iVBORw0KGgo="') + " || ', ' || "
                        + _click("evt_in_2", "CAST(ts0 + 700 AS VARCHAR)", ', "value": "typed a@b.co"') + " || ']'",
                        more=', "metadata": {"browser": "x"}')}
@@ -301,3 +305,17 @@ r2ev AS (SELECT page_id, CAST(u.pos AS BIGINT) AS ord, printf('evt_%04d', u.pos)
   json_extract_string(u.e, '$.type') AS type,
   json_extract_string(u.e, '$.screenshot_data') AS sd FROM r2s, (SELECT unnest(evs) AS e, generate_subscripts(evs, 1) AS pos) u
   WHERE status = 201)"""
+
+# What the recorder knew of an R0 recording, and its notes
+_ISO = "strftime(make_timestamp({0} * 1000), '%Y-%m-%dT%H:%M:%S.%gZ')"
+R3 = f"""
+r3h AS (SELECT conv_id AS rec_id, arg_min(text, turn) AS hint FROM conversations WHERE role = 'user' GROUP BY conv_id),
+r3n AS (SELECT conv_id AS rec_id, CAST(count(*) AS BIGINT) AS n_notes,
+    md5(string_agg(CAST(1714125600000 + turn * 1000 AS VARCHAR) || ':' || text, chr(10) ORDER BY turn)) AS notes_md5 FROM conversations GROUP BY conv_id),
+r3 AS (SELECT rec_id, '1.0' AS version, 'desktop' AS surface, {_ISO.format("min(ts_ms)")} AS started_at, {_ISO.format("max(ts_ms)")} AS ended_at,
+    'Linux' AS os, CAST(CASE WHEN rec_id % 3 <> 0 THEN 1000 + rec_id % 7 END AS BIGINT) AS viewport_w,
+    CASE WHEN rec_id % 3 <> 0 THEN CASE WHEN rec_id % 2 = 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END END AS dpr,
+    CAST(count(*) AS BIGINT) AS n_events, min(ts_ms) AS started_ms, max(ts_ms) AS ended_ms, arg_min(id, ord) AS first_id, arg_max(id, ord) AS last_id
+  FROM r0e GROUP BY rec_id)"""
+R3_ENVELOPE = """SELECT r3.rec_id, version, surface, started_at, ended_at, os, viewport_w, dpr, hint, coalesce(n_notes, 0) AS n_notes,
+  coalesce(notes_md5, md5('')) AS notes_md5, n_events FROM r3 LEFT JOIN r3h USING (rec_id) LEFT JOIN r3n USING (rec_id)"""

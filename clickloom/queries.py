@@ -983,19 +983,22 @@ def q_assign_recording_dir(spark, sf):
     return recording_dir_names(e).select("event_id", "dir_name")
 
 
-@register("assemble_recordings", "WITH " + O.R0 + """ SELECT rec_id, CAST(count(*) AS BIGINT) AS n_events, min(ts_ms) AS started_ms,
-  max(ts_ms) AS ended_ms, arg_min(id, ord) AS first_id, arg_max(id, ord) AS last_id FROM r0e GROUP BY rec_id""")
-def q_assemble_recordings(spark, sf):
+def _assembled(spark, sf):
     from clickloom.sources.recordings import assemble_recordings
-    return assemble_recordings(_r0(spark, sf))
+    return assemble_recordings(_r0(spark, sf), B.sessions(spark, sf), B.session_notes(spark, sf))
 
 
-def _r0_envelopes(spark, sf):
-    ev = _r0(spark, sf)
-    g = ev.groupBy("rec_id").agg(F.min("ts_ms").alias("s"), F.max("ts_ms").alias("e"))
-    iso = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return g.select("rec_id", F.lit("desktop").alias("surface"), iso(F.col("s")).alias("started_at"),
-                    iso(F.col("e")).alias("ended_at"))
+def _envelope_out(env, *more):
+    m = F.col("metadata")
+    said = F.transform("notes", lambda n: F.concat(n["ts_ms"].cast("string"), F.lit(":"), n["text"]))
+    return env.select("rec_id", "version", "surface", "started_at", "ended_at", m["os"].alias("os"), m["viewport"]["w"].alias("viewport_w"),
+                      m["viewport"]["dpr"].alias("dpr"), m["user_intent_hint"].alias("hint"), F.size("notes").cast("long").alias("n_notes"),
+                      F.md5(F.array_join(said, "\n").cast("binary")).alias("notes_md5"), "n_events", *more)
+
+
+@register("assemble_recordings", "WITH " + O.R0 + ", " + O.R3 + " " + O.R3_ENVELOPE.replace("n_events FROM", "n_events, started_ms, ended_ms, first_id, last_id FROM"))
+def q_assemble_recordings(spark, sf):
+    return _envelope_out(_assembled(spark, sf), "started_ms", "ended_ms", "first_id", "last_id")
 
 
 @register("write_recordings", "WITH " + O.R0 + " SELECT rec_id, ord, id, type, ts_ms FROM r0e")
@@ -1003,21 +1006,95 @@ def q_write_recordings(spark, sf):
     from clickloom.session import scratch_path
     from clickloom.sources.recordings import write_recordings
     path = scratch_path(spark, "recordings")
-    write_recordings(_r0(spark, sf), _r0_envelopes(spark, sf), path)
+    write_recordings(_r0(spark, sf), _assembled(spark, sf), path)
     ev = spark.read.schema("rec_id bigint, ord bigint, id string, type string, ts_ms bigint").json(f"{path}/events")
     return ev
 
 
-@register("read_recordings", "WITH " + O.R0 + " SELECT rec_id, ord, id, type, ts_ms FROM r0e")
+def _written(spark, sf):
+    """R0 recordings as documents, read back."""
+    from clickloom.session import scratch_path
+    from clickloom.sources.documents import read_documents, write_documents
+    path = scratch_path(spark, "documents")
+    write_documents(_r0(spark, sf), _assembled(spark, sf), path)
+    return read_documents(spark, path).withColumn("rec_id", F.col("rec_id").cast("long"))
+
+
+@register("write_documents", "WITH " + O.R0 + ", " + O.R3 + " " + O.R3_ENVELOPE)
+def q_write_documents(spark, sf):
+    from clickloom.sources.recordings import recording_envelopes
+    return _envelope_out(recording_envelopes(_written(spark, sf)))
+
+
+@register("read_recordings", "WITH " + O.R0 + """ SELECT rec_id, ord, id, type, ts_ms, 'desktop' AS surface, url, screenshot_path,
+  CASE WHEN type = 'key' THEN key END AS value_key, CASE WHEN type = 'annotation' THEN 'form_submit' END AS value_kind, false AS redacted FROM r0e""")
 def q_read_recordings(spark, sf):
+    from clickloom.sources.recordings import recording_events
+    r = recording_events(_written(spark, sf))
+    v = F.col("value_json")
+    return r.select("rec_id", "ord", "id", "type", "ts_ms", "surface", F.col("target.url").alias("url"), "screenshot_path",
+                    F.get_json_object(v, "$.key").alias("value_key"), F.get_json_object(v, "$.kind").alias("value_kind"), "redacted")
+
+
+@register("payload_envelopes", "WITH " + O.R2 + """ SELECT page_id, '1.0' AS version, 'browser' AS surface, '2024-04-26T10:00:00Z' AS started_at,
+  '2024-04-26T10:05:00Z' AS ended_at, json_extract_string(body, '$.metadata.os') AS os, json_extract_string(body, '$.metadata.browser') AS browser,
+  CAST(json_extract(body, '$.metadata.viewport.w') AS BIGINT) AS viewport_w, CASE WHEN json_exists(body, '$.metadata.viewport') THEN CAST(1 AS DOUBLE) END AS dpr,
+  json_extract_string(body, '$.metadata.user_intent_hint') AS hint, json_extract_string(body, '$.notes[0].text') AS note,
+  CAST(coalesce(json_array_length(body, '$.notes'), 0) AS BIGINT) AS n_notes, CAST(json_array_length(body, '$.events') AS BIGINT) AS n_events
+  FROM r2s WHERE status = 201""")
+def q_payload_envelopes(spark, sf):
+    from clickloom.sources.payloads import payload_documents, quarantine
+    from clickloom.sources.recordings import recording_envelopes
+    env = recording_envelopes(payload_documents(quarantine(_admitted(spark, sf))[0]), "page_id")
+    m = F.col("metadata")
+    return env.select("page_id", "version", "surface", "started_at", "ended_at", m["os"].alias("os"), m["browser"].alias("browser"), m["viewport"]["w"].alias("viewport_w"),
+                      m["viewport"]["dpr"].alias("dpr"), m["user_intent_hint"].alias("hint"), F.get("notes", 0)["text"].alias("note"),
+                      F.size("notes").cast("long").alias("n_notes"), "n_events")
+
+
+def _upload_payload(docs, key):
+    """F7 of uploaded recordings: their events through the build flow, joined by their envelopes."""
+    from clickloom.operators.labels import build_payload, recording_duration_ms
+    from clickloom.plans.build import build_summaries
+    from clickloom.sources.payloads import payload_events
+    from clickloom.sources.recordings import recording_envelopes
+    us = lambda c: F.unix_micros(F.to_timestamp(c))
+    env = recording_envelopes(docs, key).withColumnRenamed(key, "rec_id")
+    env = env.withColumn("duration_ms", recording_duration_ms(us("started_at"), us("ended_at")))
+    notes = env.select("rec_id", F.explode("notes").alias("n")).select("rec_id", "n.ts_ms", "n.text")
+    return build_payload(env.drop("notes"), build_summaries(payload_events(docs, key).withColumnRenamed(key, "rec_id")), notes=notes)
+
+
+_UPLOAD_PAYLOAD = """SELECT page_id, 'browser' AS surface, CAST(300000 AS BIGINT) AS duration_ms, json_extract_string(body, '$.metadata.os') AS os,
+  json_extract_string(body, '$.metadata.user_intent_hint') AS hint, json_extract_string(body, '$.notes[0].text') AS note,
+  CAST(json_array_length(body, '$.events') AS BIGINT) AS n_events FROM r2s"""
+
+
+def _upload_out(p):
+    j = F.col("payload_json")
+    listed = F.from_json(F.get_json_object(j, "$.segments"), "array<struct<event_count: bigint>>")
+    return p.select("rec_id", F.get_json_object(j, "$.surface").alias("surface"), F.get_json_object(j, "$.duration_ms").cast("long").alias("duration_ms"),
+                    F.get_json_object(j, "$.metadata.os").alias("os"), F.get_json_object(j, "$.user_intent_hint").alias("hint"),
+                    F.get_json_object(j, "$.annotations[0].text").alias("note"),
+                    F.aggregate(listed, F.lit(0).cast("long"), lambda a, x: a + x["event_count"]).alias("n_events"))
+
+
+@register("upload_payload", "WITH " + O.R2 + " " + _UPLOAD_PAYLOAD + " WHERE status = 201")
+def q_upload_payload(spark, sf):
+    from clickloom.sources.payloads import payload_documents, quarantine
+    docs = payload_documents(quarantine(_admitted(spark, sf))[0])
+    return _upload_out(_upload_payload(docs, "page_id")).withColumnRenamed("rec_id", "page_id")
+
+
+@register("archive_payload", "WITH " + O.R2 + " " + _UPLOAD_PAYLOAD + " WHERE page_id % 8 IN (5, 6)")
+def q_archive_payload(spark, sf):
     from clickloom.session import scratch_path
-    from clickloom.sources.recordings import read_recordings, recording_documents
-    path = scratch_path(spark, "recdocs")
-    docs = recording_documents(_r0(spark, sf), _r0_envelopes(spark, sf))
-    # one directory per recording holding recording.json, as the recorders write them
-    docs.select(F.col("rec_id").cast("string").alias("rec"), "doc").write.partitionBy("rec").text(path + "/raw")
-    r = read_recordings(spark, path + "/raw/*/*.txt", rec_id_pattern=r"rec=([^/]+)/")
-    return r.select(F.col("rec_id").cast("long").alias("rec_id"), "ord", "id", "type", "ts_ms")
+    from clickloom.sources.payloads import read_archive_documents, write_archives
+    path = scratch_path(spark, "archives")
+    write_archives(B.payloads(spark, sf).select(F.col("page_id").cast("string").alias("name"), "body"), path)
+    docs, _ = read_archive_documents(spark, path + "/*.zip")
+    return _upload_out(_upload_payload(docs, "file")).select(
+        F.regexp_extract("rec_id", r"(\d+)\.zip$", 1).cast("long").alias("page_id"), "surface", "duration_ms", "os", "hint", "note", "n_events")
 
 
 _PUB_SQL = """(SELECT conv_id AS doc, CASE WHEN conv_id % 2 = 0 THEN 'user' ELSE 'project' END AS scope,

@@ -106,6 +106,30 @@ def rec_events(spark: SparkSession, sf_dir: str, chunk_rows: int = DEFAULT_CHUNK
     )
 
 
+# ----------------------------------------------------------------------- R3
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a recorder knows of each R0 recording: surface, times, metadata; the hint is the user's first words in
+    the conversation of that number."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), ntz_millis("ts").alias("ms"))
+    g = e.groupBy("rec_id").agg(F.min("ms").alias("s"), F.max("ms").alias("e"))
+    c = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    hint = c.groupBy(F.col("conv_id").alias("rec_id")).agg(F.min_by("text", "turn").alias("hint"))
+    iso = lambda x: F.date_format(F.timestamp_millis(x), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    rec = F.col("rec_id")
+    viewport = F.struct((F.lit(1000) + rec % 7).cast("long").alias("w"), F.lit(700).cast("long").alias("h"),
+                        F.when(rec % 2 == 0, 1.5).otherwise(1.0).alias("dpr"), F.lit(1.0).alias("zoom"))
+    metadata = F.struct(F.lit("Linux").alias("os"), F.lit(None).cast("string").alias("browser"),
+                        F.when(rec % 3 != 0, viewport).alias("viewport"), F.col("hint").alias("user_intent_hint"))
+    return g.join(hint, "rec_id", "left").select("rec_id", F.lit("desktop").alias("surface"), iso(F.col("s")).alias("started_at"),
+                                                 iso(F.col("e")).alias("ended_at"), metadata.alias("metadata"))
+
+
+def session_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes of a recording: the turns of the conversation of its number."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("ord"), (F.lit(1714125600000) + F.col("turn") * 1000).cast("long").alias("ts_ms"), "text")
+
+
 # ----------------------------------------------------------------------- R1
 SEED_SECRETS = [
     # (doc_id % 9) -> appended text; built from the zero-padded doc id
@@ -231,9 +255,9 @@ def drafts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------------- R2
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2: one upload request per page: path/origin from the url and a small
-    JSON body with a defect chosen by ``page_id % 8``."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    """R2: one upload request per page: path/origin from the url and a JSON body with a defect chosen by
+    ``page_id % 8``; where that is 5 the page's whole html is a note."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     pid = F.col("page_id")
     url = F.col("url")
     ts0 = (F.lit(1714125600000) + pid * 1000)
@@ -243,8 +267,11 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit('{"id": "' + eid + '", "ts_ms": '), ts, F.lit(', "type": "click", "target": {"url": "'),
                         url, F.lit('"}'), F.lit(extra), F.lit("}"))
 
-    def wrap(events, surface="browser", more=""):
-        return F.concat(F.lit('{"surface": "' + surface + '", '), started, F.lit(more + ', "events": '), events, F.lit("}"))
+    def wrap(events, surface="browser", more=F.lit("")):
+        return F.concat(F.lit('{"surface": "' + surface + '", '), started, more, F.lit(', "events": '), events, F.lit("}"))
+
+    told = F.concat(F.lit(', "metadata": {"os": "Linux", "viewport": {"w": 800, "h": 600}, "user_intent_hint": '), json_quote("url"),
+                    F.lit('}, "notes": [{"ts_ms": '), ts0.cast("string"), F.lit(', "text": '), json_quote("html"), F.lit("}]"))
 
     ev = lambda *xs: F.concat(F.lit("["), *sum([[x, F.lit(", ")] for x in xs], [])[:-1], F.lit("]"))
     m = pid % 8
@@ -254,10 +281,10 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(m == 3, wrap(F.lit('{"a": 1}')))
             .when(m == 4, wrap(ev(click("evt_in_1", ts0.cast("string"), ', "screenshot_data": "abcde"'))))
             .when(m == 5, wrap(ev(click("evt_in_1", F.concat(ts0.cast("string"), F.lit(".75")), ""),
-                                  click("evt_in_2", F.concat((ts0 + 1500).cast("string"), F.lit(".25")), ', "surface": "browser"'))))
+                                  click("evt_in_2", F.concat((ts0 + 1500).cast("string"), F.lit(".25")), ', "surface": "browser"')), more=told))
             .when(m == 6, wrap(ev(click("evt_in_1", ts0.cast("string"), ', "screenshot_data": "iVBORw0KGgo="'),
                                   click("evt_in_2", (ts0 + 700).cast("string"), ', "value": "typed a@b.co"')),
-                               more=', "metadata": {"browser": "x"}'))
+                               more=F.lit(', "metadata": {"browser": "x"}')))
             .otherwise(F.lit("[1, 2]")))
     path = F.when(url.contains("?"), F.lit("/upload")).otherwise(F.lit("/recordings"))
     origin = (F.when(url.startswith("https"), F.lit("chrome-extension://abc"))

@@ -125,6 +125,19 @@ def quarantine(admitted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return admitted.filter(F.col("status") == 201), admitted.filter(F.col("status") != 201)
 
 
+def payload_documents(accepted: DataFrame, key: str = "page_id") -> DataFrame:
+    """A2: one parse of each accepted upload, keyed, with the columns of ``load_documents``: ``recording_envelopes`` and
+    ``payload_events`` take it apart."""
+    shape = "struct<" + ", ".join(f"{f.name}: {'array<string>' if f.name == 'events' else f.dataType.simpleString()}" for f in model.RECORDING.fields) + ">"
+    d = accepted.select(key, F.from_json("body", shape).alias("d"))
+    metadata, viewport = F.col("d.metadata"), F.col("d.metadata.viewport")
+    sized = F.when(viewport.isNotNull(), viewport.withField("dpr", F.coalesce(viewport["dpr"], F.lit(1.0))).withField("zoom", F.coalesce(viewport["zoom"], F.lit(1.0))))
+    return d.select(key, F.coalesce("d.version", F.lit(model.SCHEMA_VERSION)).alias("version"), "d.surface", "d.started_at", "d.ended_at",
+                    F.when(metadata.isNotNull(), metadata.withField("viewport", sized)).alias("metadata"),
+                    F.coalesce("d.notes", F.array().cast(model.RECORDING["notes"].dataType)).alias("notes"),
+                    F.coalesce("d.events", F.array().cast("array<string>")).alias("events"))
+
+
 def safe_name(name: Column) -> Column:
     """An id as part of a file name: path separators and dots at its start become underscores."""
     return F.regexp_replace(F.regexp_replace(name, r"[/\\\x00-\x1f]", "_"), r"^\.+", "_")
@@ -135,8 +148,9 @@ def payload_events(accepted: DataFrame, key: str = "page_id") -> DataFrame:
     array order, with all fields of the recording model (so it feeds the build
     flow as it is): surface defaulted when absent, float ts truncated, ids
     renumbered, defaults applied; a screenshot's path is named by the
-    pre-renumber id."""
-    x = accepted.select(key, F.posexplode(_events_raw(F.col("body"))).alias("pos", "ev"))
+    pre-renumber id.  ``accepted`` are uploads or their ``payload_documents``."""
+    docs = accepted if "body" not in accepted.columns else payload_documents(accepted, key)
+    x = docs.select(key, F.posexplode("events").alias("pos", "ev"))
     e = F.col("ev")
     orig_id = F.get_json_object(e, "$.id")
     shot = F.get_json_object(e, "$.screenshot_data")
@@ -246,3 +260,9 @@ def read_archives(spark, glob: str) -> tuple[DataFrame, DataFrame]:
     """A3: events of the accepted archives, and the rejected archives with their reasons."""
     accepted, rejected = quarantine(archive_uploads(spark, glob))
     return payload_events(accepted, key="file"), rejected.select("file", "status", "error")
+
+
+def read_archive_documents(spark, glob: str) -> tuple[DataFrame, DataFrame]:
+    """A3: the accepted archives as ``payload_documents`` (keyed by ``file``: events and envelopes), and the rejected ones."""
+    accepted, rejected = quarantine(archive_uploads(spark, glob))
+    return payload_documents(accepted, key="file"), rejected.select("file", "status", "error")

@@ -1,12 +1,12 @@
 """Recording files: read single-document recordings (A1), write the
-partitioned table layout (A8), assemble envelopes (A12)."""
+partitioned table layout (A8; ``documents.write_documents`` writes the
+interchange documents), assemble envelopes (A12)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clickloom import model
-from clickloom.functions.scalars import json_quote
 from clickloom.operators.normalize import apply_defaults
 from clickloom.plans.ordered import CHUNK, DEFAULT_CHUNK_ROWS, chunk_if_hot
 
@@ -50,9 +50,9 @@ def recording_events(docs: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> D
     return chunk_if_hot(apply_defaults(out), "rec_id", "ord", chunk_rows)
 
 
-def recording_envelopes(docs: DataFrame) -> DataFrame:
+def recording_envelopes(docs: DataFrame, key: str = "rec_id") -> DataFrame:
     """The recordings themselves, those without events too: everything but the events, and their number."""
-    return docs.select("rec_id", "version", "surface", "started_at", "ended_at", "metadata", "notes",
+    return docs.select(key, "version", "surface", "started_at", "ended_at", "metadata", "notes",
                        F.size("events").cast("long").alias("n_events"))
 
 
@@ -61,32 +61,6 @@ def read_recordings(spark: SparkSession, glob: str, rec_id_pattern: str = REC_ID
     return recording_events(load_documents(spark, glob, rec_id_pattern), chunk_rows)
 
 
-def recording_documents(events: DataFrame, envelopes: DataFrame, keys="rec_id") -> DataFrame:
-    """One JSON document per recording (interchange format).  The event list
-    of a recording is the document itself, so this is for export of bounded
-    recordings; the scalable layout is ``write_recordings``."""
-    keys_l = [keys] if isinstance(keys, str) else list(keys)
-    t = F.col("target")
-    q = json_quote
-    ev_json = F.concat(
-        F.lit("{"), F.concat_ws(", ",
-                                F.concat(F.lit('"id": '), q(F.col("id"))),
-                                F.concat(F.lit('"ts_ms": '), F.col("ts_ms").cast("string")),
-                                F.concat(F.lit('"surface": '), q(F.col("surface"))),
-                                F.concat(F.lit('"type": '), q(F.col("type"))),
-                                F.concat(F.lit('"target": '), F.to_json(t)),
-                                F.when(F.col("value_json").isNotNull(), F.concat(F.lit('"value": '), F.col("value_json"))),
-                                F.when(F.col("screenshot_path").isNotNull(),
-                                       F.concat(F.lit('"screenshot_path": '), q(F.col("screenshot_path"))))),
-        F.lit("}"))
-    g = events.groupBy(*keys_l).agg(F.array_sort(F.collect_list(F.struct("ord", ev_json.alias("j")))).alias("evs"))
-    g = g.join(envelopes, keys_l)
-    doc = F.concat(F.lit('{"version": "1.0", "surface": "'), F.col("surface"), F.lit('", "started_at": "'),
-                   F.col("started_at"), F.lit('", "ended_at": "'), F.col("ended_at"), F.lit('", "events": ['),
-                   F.array_join(F.transform("evs", lambda x: x["j"]), ", "), F.lit("]}"))
-    return g.select(*keys_l, doc.alias("doc"))
-
-
 def write_recordings(events: DataFrame, envelopes: DataFrame, path: str, keys="rec_id") -> None:
     """The partitioned table layout: ``<path>/recordings`` (one JSON row per
     recording, null fields omitted) and ``<path>/events`` (one JSON row per
@@ -98,10 +72,31 @@ def write_recordings(events: DataFrame, envelopes: DataFrame, path: str, keys="r
      .write.mode("overwrite").option("ignoreNullFields", "true").json(f"{path}/events"))
 
 
-def assemble_recordings(events: DataFrame, keys="rec_id") -> DataFrame:
-    """Recording envelope per recording from its events: count, first and
-    last event (by order), start/end time.  All aggregates are partial."""
+def assemble_recordings(events: DataFrame, sessions: DataFrame | None = None, notes: DataFrame | None = None, keys="rec_id") -> DataFrame:
+    """The envelope of every recording: version, surface, started_at, ended_at, metadata, notes, and from its
+    events their number, the first and last (by order), the earliest and latest time.
+
+    ``sessions`` tells what the recorder knew (any of version, surface, started_at, ended_at, metadata), one row a
+    recording, and names recordings without events too; where it tells nothing, surface is that of the first event
+    and the times are those of the events.  ``notes`` (ts_ms, text, and ord if their order isn't that of time) become
+    a list.  Event aggregates are partial; the events themselves stay rows, which ``write_documents`` streams."""
     keys_l = [keys] if isinstance(keys, str) else list(keys)
-    return events.groupBy(*keys_l).agg(
+    out = events.groupBy(*keys_l).agg(
         F.count(F.lit(1)).alias("n_events"), F.min("ts_ms").alias("started_ms"), F.max("ts_ms").alias("ended_ms"),
-        F.min_by("id", "ord").alias("first_id"), F.max_by("id", "ord").alias("last_id"))
+        F.min_by("id", "ord").alias("first_id"), F.max_by("id", "ord").alias("last_id"), F.min_by("surface", "ord").alias("__surface"))
+    have = [] if sessions is None else [c for c in ("version", "surface", "started_at", "ended_at", "metadata") if c in sessions.columns]
+    if sessions is not None:
+        out = sessions.select(*keys_l, *have).join(out, keys_l, "full")
+    if notes is not None:
+        order = ["ord"] if "ord" in notes.columns else []
+        n = notes.groupBy(*keys_l).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("ts_ms").cast("long").alias("ts_ms"), "text"))).alias("__notes"))
+        out = out.join(n, keys_l, "left").withColumn("__notes", F.transform("__notes", lambda x: F.struct(x["ts_ms"].alias("ts_ms"), x["text"].alias("text"))))
+    told = lambda c, other: F.coalesce(F.col(c), other) if c in have else other
+    iso = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    none = F.array().cast(model.RECORDING["notes"].dataType)
+    return out.select(
+        *keys_l, told("version", F.lit(model.SCHEMA_VERSION)).alias("version"), told("surface", F.col("__surface")).alias("surface"),
+        told("started_at", iso("started_ms")).alias("started_at"), told("ended_at", iso("ended_ms")).alias("ended_at"),
+        (F.col("metadata") if "metadata" in have else F.lit(None).cast(model.METADATA)).alias("metadata"),
+        (F.coalesce("__notes", none) if notes is not None else none).alias("notes"),
+        F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events"), "started_ms", "ended_ms", "first_id", "last_id")
