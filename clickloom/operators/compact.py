@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from clickloom import model
 from clickloom.functions.scalars import json_field, json_has_key, json_is_object, json_quote
 from clickloom.plans.ordered import CHUNK, chunk_cols, with_adjacent, with_prev_running, with_running
+from clickloom.session import scratch_path
 
 KEY = "__key"
 
@@ -174,40 +175,98 @@ def debounce(events: DataFrame, quiet_ms: int, element: list[str], keys="rec_id"
     return df.filter(keep).withColumn("emit_ts_ms", F.col("ts_ms") + F.lit(quiet_ms)).drop("next_ts_ms")
 
 
+#: Records of a burst that are folded as one array; longer bursts go by blocks of buckets.
+FOLD = 512
+
+
 def throttle(events: DataFrame, min_gap_ms: int, keys="rec_id") -> DataFrame:
     """Leading-edge throttle; keep an event when ``ts - last_kept >=
-    min_gap_ms`` (last_kept starts at 0 and moves on every kept attempt).
-
-    Order is ``ord``, and time may go back.  An event at least ``min_gap_ms``
-    after the latest of all earlier times is kept whatever came before, so the
-    stream splits into independent bursts; each burst is folded in order by a
-    small grouped pandas function over (ord, ts) only."""
-    import pandas as pd
+    min_gap_ms`` (last_kept starts at 0 and moves on every kept attempt).  Gives ``keys, ord, kept``.
+
+    Order is ``ord``, and time may go back.  Only a record, an event later than all before it, can be kept: the last
+    one kept is later than all before it.  An event at least ``min_gap_ms`` after the latest earlier time is kept
+    whatever came before, so the records split into independent bursts.  A burst of up to ``FOLD`` records is folded
+    as an array; a longer one, however long, is solved in parallel (``_throttle_long``)."""
+    if min_gap_ms <= 0:
+        raise ValueError("the gap must be positive")
     keys_l = [keys] if isinstance(keys, str) else list(keys)
     slim = events.select(*keys_l, "ord", "ts_ms", *chunk_cols(events))
     slim = with_running(slim, {"__latest": (F.col("ts_ms"), "max")}, keys=keys_l)
     reset = lambda c, p: (p("__latest").isNull() | ((c("ts_ms") - p("__latest")) >= min_gap_ms)).cast("long")
     df = with_prev_running(slim, prev=["__latest"], cur=["ts_ms"], keys=keys_l, running={"__burst": (reset, "sum")})
-    slim = df.select(*keys_l, "__burst", "ord", "ts_ms", F.col("prev___latest").isNull().alias("__first"))
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys_l) + ", ord bigint, kept boolean"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        # a recording starts with last_kept = 0; any other burst starts after a
-        # gap >= min_gap_ms, so its first event is kept whatever came before
-        last = 0 if bool(pdf["__first"].iloc[0]) else None
-        kept = []
-        for ts in pdf["ts_ms"].tolist():
-            ok = True if last is None else ts - last >= min_gap_ms
-            if ok:
-                last = ts
-            kept.append(ok)
-        out = pdf[keys_l + ["ord"]].copy()
-        out["kept"] = kept
-        return out
-
-    flags = slim.groupBy(*keys_l, "__burst").applyInPandas(fold, schema)
-    return flags
+    # nothing before min_gap_ms is kept, as last_kept is never below 0
+    record = (F.col("prev___latest").isNull() | (F.col("ts_ms") > F.col("prev___latest"))) & (F.col("ts_ms") >= min_gap_ms)
+    df = df.select(*keys_l, "__burst", "ord", "ts_ms", record.alias("__record"))
+    never = df.filter(~F.col("__record")).select(*keys_l, "ord", F.lit(False).alias("kept"))
+    records = df.filter("__record").drop("__record")
+    burst = [*keys_l, "__burst"]
+    long = records.groupBy(*burst).agg(F.count("*").alias("__n"), F.min("ts_ms").alias("__t0"), F.max("ts_ms").alias("__t1")).filter(F.col("__n") > FOLD)
+    if long.isEmpty():
+        return never.unionByName(_throttle_short(records, min_gap_ms, keys_l))
+    long = long.drop("__n")
+    return (never.unionByName(_throttle_short(records.join(long, burst, "left_anti"), min_gap_ms, keys_l))
+            .unionByName(_throttle_long(records.join(long, burst), min_gap_ms, keys_l)))
+
+
+def _throttle_short(records: DataFrame, gap: int, keys_l: list[str]) -> DataFrame:
+    """Bursts as bounded arrays in order of time, which is that of ``ord`` too, folded in the JVM."""
+    rows = records.groupBy(*keys_l, "__burst").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "ord"))).alias("evs"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<ord:bigint,kept:boolean>>").alias("out"))
+
+    def step(acc, x):
+        kept = acc["last"].isNull() | (x["ts_ms"] - acc["last"] >= gap)
+        flag = F.struct(x["ord"].cast("long").alias("ord"), kept.alias("kept"))
+        return F.struct(F.when(kept, x["ts_ms"]).otherwise(acc["last"]).cast("long").alias("last"), F.concat(acc["out"], F.array(flag)).alias("out"))
+
+    return rows.select(*keys_l, F.inline(F.aggregate("evs", start, step)["out"]))
+
+
+def _throttle_long(records: DataFrame, gap: int, keys_l: list[str]) -> DataFrame:
+    """Long bursts (with their first and last time ``__t0, __t1``) by pointer doubling over buckets of ``gap`` ms.
+
+    No bucket between a burst's ends is empty and none holds two kept records.  With t the offset that the last kept
+    record has in its bucket, the next bucket keeps its first record at offset t or later; if it has none, the
+    bucket after it keeps its first.  So a bucket is a function from thresholds to thresholds,
+    f(t) = its least offset >= t, or 0.  Up: the functions of neighbouring blocks are composed by a join, which
+    halves the number of blocks a round.  Down: the threshold at a block's beginning gives those of its halves.  All
+    rounds together move about twice the records, spread over (burst, block)."""
+    burst = [*keys_l, "__burst"]
+    bucket = lambda c: F.expr(f"{c} div {gap}")
+    records = _written(records.select(*burst, "ord", (F.col("ts_ms") % gap).alias("o"), (bucket("ts_ms") - bucket("__t0")).alias("blk"),
+                                      (bucket("__t1") - bucket("__t0")).alias("last")).repartition(*burst, "blk"))
+    ends = [*burst, "last"]
+    # inputs of a bucket: the offsets in the one before, and 0
+    asked = records.filter(F.col("blk") < F.col("last")).select(*ends, (F.col("blk") + 1).alias("blk"), "o")
+    asked = asked.unionByName(records.select(*ends, "blk", F.lit(0).cast("long").alias("o"))).distinct()
+    both = asked.withColumn("rec", F.lit(0)).unionByName(records.select(*ends, "blk", "o").withColumn("rec", F.lit(1)))
+    # from the bucket's end backwards, its least offset so far; at most 2 * gap + 1 rows a bucket
+    w = W.partitionBy(*burst, "blk").orderBy(F.desc("o"), F.desc("rec")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    level = both.withColumn("v", F.min(F.when(F.col("rec") == 1, F.col("o"))).over(w)).filter("rec = 0")
+    level = _written(level.select(*ends, "blk", F.col("o").alias("t"), F.coalesce("v", F.lit(0)).alias("v"), F.col("v").isNotNull().alias("hit")))
+    levels = [level]
+    for up in range(records.agg(F.max("last")).first()[0].bit_length()):
+        odd, paired = F.col("blk") % 2 == 1, F.col("blk") < F.shiftright("last", up)
+        then = level.filter(odd).select(*burst, (F.col("blk") - 1).alias("blk"), F.col("t").alias("v"), F.col("v").alias("then"))
+        joined = level.filter(~odd & paired).join(then, [*burst, "blk", "v"]).select(*ends, "blk", "t", F.col("then").alias("v"))
+        alone = level.filter(~odd & ~paired).select(*ends, "blk", "t", "v")
+        level = _written(joined.unionByName(alone).withColumn("blk", F.shiftright("blk", 1)))
+        levels.append(level)
+    # a burst is one block by now; its first record is kept whatever came before
+    entry = _written(level.filter(F.col("t") == 0).select(*ends, "blk", "t"))
+    for down in range(len(levels) - 2, -1, -1):
+        left = entry.withColumn("blk", F.col("blk") * 2)
+        right = (left.filter(F.col("blk") < F.shiftright("last", down)).join(levels[down].select(*burst, "blk", "t", "v"), [*burst, "blk", "t"])
+                 .select(*ends, (F.col("blk") + 1).alias("blk"), F.col("v").alias("t")))
+        entry = _written(left.select(*ends, "blk", "t").unionByName(right))
+    hits = entry.join(levels[0].filter("hit"), [*ends, "blk", "t"]).select(*burst, "blk", F.col("v").alias("o"), F.lit(True).alias("kept"))
+    return records.join(hits, [*burst, "blk", "o"], "left").select(*keys_l, "ord", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared scratch folder: it is read more than once."""
+    path = scratch_path(df.sparkSession, "throttle")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ffill_viewport(clicks: DataFrame, w: str = "shot_w", h: str = "shot_h", keys="rec_id") -> DataFrame:
