@@ -1166,12 +1166,16 @@ def _latest(df, keys):
     return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "batch_id")
 
 
-@register("session_status", "SELECT user_id AS rec_id, CAST(count(*) AS BIGINT) AS n_events FROM events GROUP BY user_id")
+@register("session_status", "WITH " + O.R0 + """, st AS (SELECT rec_id, min(ord) AS stop FROM r0e WHERE type = 'annotation' GROUP BY rec_id)
+  SELECT r0e.rec_id, CAST(count(*) FILTER (WHERE stop IS NULL OR ord < stop) AS BIGINT) AS n_events, 
+    any_value(stop) IS NULL AND max(ts_ms) + 21600000 > (SELECT max(ts_ms) - 600000 FROM r0e) AS recording
+  FROM r0e LEFT JOIN st USING (rec_id) GROUP BY r0e.rec_id""")
 def q_session_status(spark, sf):
+    """An annotation stops a recording, and so do six silent hours before the watermark (ten minutes before the last event)."""
     from clickloom.streaming.live import session_status
-    ev = _r0(spark, sf).select("rec_id", "ord", "ts_ms", F.timestamp_millis("ts_ms").alias("ts"))
-    out = _stream_run(spark, session_status(_stream_from(spark, ev, "status")), "status", "update")
-    return _latest(out, ["rec_id"]).select("rec_id", F.col("n_events").cast("long").alias("n_events"))
+    ev = _r0(spark, sf).select("rec_id", "ord", "ts_ms", "type")
+    out = _stream_run(spark, session_status(_stream_from(spark, ev, "status"), F.col("type") == "annotation", 21_600_000), "status", "append")
+    return _latest(out, ["rec_id"]).select("rec_id", "n_events", "recording")
 
 
 def _stream_debounce_sql():

@@ -83,7 +83,7 @@ def _recording_ok(body: Column) -> Column:
             & F.coalesce(notes.isNull() | (notes.startswith("ARRAY") & F.forall(F.coalesce(listed, F.array().cast("array<string>")), note_ok)), F.lit(False)))
 
 
-def admission(payloads: DataFrame) -> DataFrame:
+def admission(payloads: DataFrame, most: int = model.MAX_BODY_BYTES) -> DataFrame:
     """A5: ``status``/``error`` per upload; first failing rule wins."""
     body = F.col("body")
     v = F.try_parse_json(body)
@@ -108,7 +108,7 @@ def admission(payloads: DataFrame) -> DataFrame:
     status = (F.when(F.col("path") != model.UPLOAD_PATH, _st(404, "not found"))
               .when(~origin_ok, _st(403, "origin not allowed"))
               .when(F.coalesce(n, F.lit(0)) <= 0, _st(400, "empty body"))
-              .when(n > model.MAX_BODY_BYTES, _st(413, "body too large"))
+              .when(n > most, _st(413, "body too large"))
               .when(v.isNull(), _st(400, "invalid JSON"))
               .when(~is_obj, _st(500, "write failed"))
               .when(~events_is_list, _st(422, "payload missing 'events' array"))
