@@ -155,3 +155,55 @@ LABEL = T.StructType([
     T.StructField("expected_outcome", T.StringType()),
     T.StructField("confidence", T.StringType()),
 ])
+
+
+# --------------------------------------------------------------------------
+# The same as JSON may hold it: shapes with rules (functions/shapes.py).
+# --------------------------------------------------------------------------
+def ruled(name: str, kind: T.DataType, **rules) -> T.StructField:
+    """A field with rules: required, null (allowed), enum, closed, fraction."""
+    return T.StructField(name, kind, True, rules)
+
+
+def _texts(*names: str) -> list[T.StructField]:
+    return [ruled(n, T.StringType(), null=True) for n in names]
+
+
+def _needed(kind: T.DataType, *names: str) -> list[T.StructField]:
+    return [ruled(n, kind, required=True) for n in names]
+
+
+_LIST = T.ArrayType(T.StringType())
+VIEWPORT_SHAPE = T.StructType([*_needed(T.LongType(), "w", "h"), ruled("dpr", T.DoubleType()), ruled("zoom", T.DoubleType())])
+TARGET_SHAPE = T.StructType([
+    ruled("selector_alternatives", T.StructType(_texts(*SELECTORS.names))), ruled("frame_path", _LIST), ruled("shadow_path", _LIST),
+    *_texts("url"), ruled("viewport_box", T.StructType(_needed(T.LongType(), *VIEWPORT_BOX.names)), null=True),
+    *_texts("accessible_name", "window_title", "app_name")])
+
+
+def _event_shape(*first: T.StructField) -> T.StructType:
+    return T.StructType([
+        *first, ruled("type", T.StringType(), required=True, enum=EVENT_TYPES), ruled("target", TARGET_SHAPE), ruled("value", T.VariantType(), null=True),
+        *_texts("screenshot_path"), ruled("viewport", VIEWPORT_SHAPE, null=True), ruled("redacted", T.BooleanType()), *_texts("notes")])
+
+
+def _recording_shape(surfaces: list[str], event: T.StructType) -> T.StructType:
+    metadata = T.StructType([*_texts("os", "browser"), ruled("viewport", VIEWPORT_SHAPE, null=True), *_texts("user_intent_hint")])
+    note = T.StructType([*_needed(T.LongType(), "ts_ms"), *_needed(T.StringType(), "text")])
+    return T.StructType([
+        ruled("version", T.StringType()), ruled("surface", T.StringType(), required=True, enum=surfaces),
+        *_needed(T.TimestampType(), "started_at", "ended_at"), ruled("metadata", metadata),
+        ruled("events", T.ArrayType(event)), ruled("notes", T.ArrayType(note))])
+
+
+#: A stored recording, and an upload: its events get new ids, may lack a surface and have fractions of milliseconds.
+RECORDING_SHAPE = _recording_shape(SURFACES, _event_shape(
+    ruled("id", T.StringType(), required=True), ruled("ts_ms", T.LongType(), required=True), ruled("surface", T.StringType(), required=True, enum=SURFACES)))
+UPLOAD_SHAPE = _recording_shape(["browser"], _event_shape(
+    ruled("ts_ms", T.LongType(), required=True, fraction=True), ruled("surface", T.StringType(), enum=SURFACES)))
+STEP_SHAPE = T.StructType([*_needed(T.LongType(), "index"), *_needed(T.StringType(), "title", "goal", "action", "expected_result"),
+                           *_texts("fallback", "screenshot_path"), ruled("source_event_ids", _LIST)])
+DRAFT_SHAPE = T.StructType([
+    *_needed(T.StringType(), "name", "description", "title"), *[ruled(n, _LIST) for n in ("when_to_use", "prerequisites", "inputs")],
+    *_needed(T.StringType(), "high_level_approach"), ruled("steps", T.ArrayType(STEP_SHAPE), required=True),
+    *[ruled(n, _LIST) for n in ("success_criteria", "failure_modes")]])

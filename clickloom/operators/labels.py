@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom import model
+from clickloom.functions import shapes
 from clickloom.functions.scalars import json_quote
 
 
@@ -164,16 +165,20 @@ def image_block(paths: DataFrame, blobs: DataFrame, on: list[str]) -> DataFrame:
 
 def parse_drafts(results: DataFrame, text: str = "result", surface: str = "surface") -> DataFrame:
     """result JSON + recording surface -> ``draft`` (with the surface), or ``error``: no text, text that is no
-    JSON object, or a required key that is missing."""
+    JSON object, a required key that is missing, or what the model of drafts and their steps has against it
+    (``steps.2.goal: missing; ...``)."""
     t = F.col(text)
     kind = F.schema_of_variant(F.try_parse_json(t))
+    found = shapes.problems(F.try_parse_json(t), model.DRAFT_SHAPE)
     needed = F.array(*[F.lit(k) for k in model.DRAFT_REQUIRED_KEYS])
     missing = F.array_except(needed, F.coalesce(_keys_of(t), F.array().cast("array<string>")))
     error = (F.when(t.isNull(), F.lit("Synthesis returned no text content"))
              .when(F.coalesce(~kind.startswith("OBJECT"), F.lit(True)), F.lit("Synthesis result is not a JSON object"))
-             .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "))))
+             .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
+             .otherwise(F.nullif(shapes.told(found), F.lit(""))))
     d = F.from_json(t, model.DRAFT).withField("surface", F.col(surface))
-    return results.select("*", F.when(error.isNull(), d).alias("draft"), error.alias("error"))
+    checked = results.withColumn("error", error)
+    return checked.select(*results.columns, F.when(F.col("error").isNull(), d).alias("draft"), "error")
 
 
 def check_draft_schema(results: DataFrame, text: str = "result") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom import model
+from clickloom.functions import shapes
 from clickloom.functions.scalars import accessible_name, col_, js_round, json_has_key, trunc_to_long
 
 
@@ -65,6 +66,22 @@ def validate_recordings(events: DataFrame, recordings: DataFrame | None = None,
                       F.col("n_bad").cast("long").alias("n_bad"))
 
 
+def validate_documents(docs: DataFrame, text: str = "body", shape=model.RECORDING_SHAPE) -> DataFrame:
+    """B5 on the JSON itself, before any field is lost to a type: ``valid`` and ``problems`` (path, reason) of each
+    document; text that is no JSON object has one problem, without a path."""
+    v = F.try_parse_json(F.col(text))
+    is_object = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    not_one = F.array(F.struct(F.lit("").alias("path"), F.lit("not a JSON object").alias("reason")))
+    out = docs.withColumn("problems", F.when(is_object, shapes.problems(v, shape)).otherwise(not_one))
+    return out.withColumn("valid", F.size("problems") == 0)
+
+
+def schema_problems(docs: DataFrame, keys="rec_id", text: str = "body", shape=model.RECORDING_SHAPE) -> DataFrame:
+    """One row for each problem of each document: ``keys, path, reason``."""
+    keys_l = [keys] if isinstance(keys, str) else list(keys)
+    return validate_documents(docs, text, shape).select(*keys_l, F.inline("problems"))
+
+
 def apply_defaults(events: DataFrame) -> DataFrame:
     """Redacted false, viewport dpr/zoom 1.0, empty frame/shadow paths."""
     out = events

@@ -319,3 +319,31 @@ r3 AS (SELECT rec_id, '1.0' AS version, 'desktop' AS surface, {_ISO.format("min(
   FROM r0e GROUP BY rec_id)"""
 R3_ENVELOPE = """SELECT r3.rec_id, version, surface, started_at, ended_at, os, viewport_w, dpr, hint, coalesce(n_notes, 0) AS n_notes,
   coalesce(notes_md5, md5('')) AS notes_md5, n_events FROM r3 LEFT JOIN r3h USING (rec_id) LEFT JOIN r3n USING (rec_id)"""
+
+# Uploads with one wrong field, and what a look at each field's JSON type says of them
+_R6_TYPES = [
+    ("metadata.os", "'VARCHAR', 'NULL'", "not a string"), ("events[0].target.selector_alternatives.css", "'VARCHAR', 'NULL'", "not a string"),
+    ("events[0].target.frame_path", "'ARRAY'", "not an array"), ("events[0].target.shadow_path[1]", "'VARCHAR'", "null"),
+    ("events[0].target.url", "'VARCHAR', 'NULL'", "not a string"), ("events[0].viewport.dpr", "'DOUBLE', 'UBIGINT', 'BIGINT'", "not a number"),
+    ("events[0].redacted", "'BOOLEAN'", "not a boolean"), ("notes[0].ts_ms", "'UBIGINT', 'BIGINT', 'VARCHAR'", "not an integer")]
+_R6_NEEDED = [("metadata.viewport", "h"), ("events[0].target.viewport_box", "h"), ("notes[1]", "ts_ms")]
+
+
+def _r6_path(p: str) -> str:
+    return p.replace("[", ".").replace("]", "")
+
+
+R6 = r"""
+r6 AS (SELECT page_id, '{"surface": "browser", "started_at": "2024-04-26T10:00:00Z", "ended_at": "2024-04-26T10:05:00Z", "metadata": '
+  || CASE page_id % 12 WHEN 6 THEN '{"os": 5}' WHEN 7 THEN '{"viewport": {"w": 10}}' ELSE '{"os": null}' END || ', "notes": '
+  || CASE page_id % 12 WHEN 8 THEN '[{"ts_ms": 1, "text": ' || CAST(to_json(html) AS VARCHAR) || '}, {"text": "t"}]' WHEN 9 THEN '[{"ts_ms": 1.5, "text": "t"}]'
+     ELSE '[{"ts_ms": "7", "text": ' || CAST(to_json(html) AS VARCHAR) || '}]' END || ', "events": [{"id": "a", "ts_ms": 3, "type": "click", "target": '
+  || CASE page_id % 12 WHEN 1 THEN '{"url": 5}' WHEN 2 THEN '{"frame_path": "top"}' WHEN 3 THEN '{"selector_alternatives": {"css": [1], "text": null}}'
+     WHEN 4 THEN '{"viewport_box": {"x": 1, "y": 2, "w": 3}}' WHEN 11 THEN '{"shadow_path": ["a", null]}'
+     ELSE '{"url": ' || CAST(to_json(url) AS VARCHAR) || ', "viewport_box": null}' END || ', "viewport": '
+  || CASE page_id % 12 WHEN 5 THEN '{"w": 1, "h": 2, "dpr": "wide"}' ELSE '{"w": 1, "h": "2", "dpr": 1.5}' END
+  || ', "redacted": ' || CASE page_id % 12 WHEN 10 THEN '"maybe"' ELSE 'false' END || '}]}' AS body FROM pages),
+r6p AS (SELECT *, found[1] AS first FROM (SELECT page_id, list_filter([
+""" + ",\n".join([f"  CASE WHEN json_type(body, '$.{p}') NOT IN ({ok}) THEN '{_r6_path(p)}: {why}' END" for p, ok, why in _R6_TYPES]
+                 + [f"  CASE WHEN json_type(body, '$.{p}') = 'OBJECT' AND json_type(body, '$.{p}.{k}') IS NULL THEN '{_r6_path(p)}.{k}: missing' END"
+                    for p, k in _R6_NEEDED]) + """], lambda x: x IS NOT NULL) AS found FROM r6) x)"""

@@ -799,7 +799,7 @@ def q_image_block(spark, sf):
 
 
 @register("parse_drafts", "WITH " + O.R5 + """ SELECT conv_id, CAST(s.pos AS BIGINT) AS pos, s.st.title AS title, s.st.fallback AS fallback,
-  s.st.screenshot_path AS screenshot_path, name FROM r5, (SELECT unnest(steps) AS st, generate_subscripts(steps, 1) AS pos) s""")
+  s.st.screenshot_path AS screenshot_path, name FROM r5, (SELECT unnest(steps) AS st, generate_subscripts(steps, 1) AS pos) s WHERE conv_id % 6 <> 3""")
 def q_parse_drafts(spark, sf):
     from clickloom.operators.labels import parse_drafts
     d = parse_drafts(B.drafts_json(spark, sf))
@@ -808,6 +808,13 @@ def q_parse_drafts(spark, sf):
                     F.col("st.fallback").alias("fallback"), F.col("st.screenshot_path").alias("screenshot_path"), "name")
 
 
+@register("draft_errors", "WITH " + O.R5 + """ SELECT conv_id, CASE WHEN conv_id % 6 = 3 THEN array_to_string(list_transform(steps, lambda s, i:
+    'steps.' || CAST(i - 1 AS VARCHAR) || '.goal: missing'), '; ') END AS error FROM r5""")
+def q_draft_errors(spark, sf):
+    from clickloom.operators.labels import parse_drafts
+    return parse_drafts(B.drafts_json(spark, sf)).select("conv_id", "error")
+
+
 @register("check_draft_schema", "WITH " + O.R5 + """ SELECT conv_id, conv_id % 6 NOT IN (2, 3) AS ok,
   CASE conv_id % 6 WHEN 2 THEN 'extra extra' WHEN 3 THEN array_to_string(list_transform(steps, lambda s, i:
     'step ' || CAST(i - 1 AS VARCHAR) || ': missing goal'), '; ') ELSE '' END AS problems FROM r5""")
@@ -945,9 +952,27 @@ def _payload_events(spark, sf):
     return payload_events(acc)
 
 
-@register("admission_status", "WITH " + O.R2 + " SELECT page_id, CAST(status AS INTEGER) AS status FROM r2s")
+@register("admission_status", "WITH " + O.R2 + """ SELECT page_id, CAST(status AS INTEGER) AS status, CASE
+    WHEN status = 404 THEN 'not found' WHEN status = 403 THEN 'origin not allowed' WHEN status = 500 THEN 'write failed'
+    WHEN status = 400 THEN CASE WHEN body = '' THEN 'empty body' ELSE 'invalid JSON' END
+    WHEN status = 422 THEN CASE WHEN json_type(body, '$.events') <> 'ARRAY' THEN 'payload missing ''events'' array'
+      WHEN json_extract_string(body, '$.surface') <> 'browser' THEN 'expected surface=browser' ELSE 'invalid base64 screenshot' END END AS error FROM r2s""")
 def q_admission_status(spark, sf):
-    return _admitted(spark, sf).select("page_id", F.col("status").cast("int").alias("status"))
+    return _admitted(spark, sf).select("page_id", F.col("status").cast("int").alias("status"), "error")
+
+
+@register("admission_errors", "WITH " + O.R6 + " SELECT page_id, CASE WHEN first IS NULL THEN 201 ELSE 422 END AS status, 'invalid recording: ' || first AS error FROM r6p")
+def q_admission_errors(spark, sf):
+    from clickloom.sources.payloads import admission
+    return admission(B.typed_uploads(spark, sf)).select("page_id", F.col("status").cast("int").alias("status"), "error")
+
+
+@register("validate_documents", "WITH " + O.R6 + """ SELECT page_id, string_split(p, ': ')[1] AS path, string_split(p, ': ')[2] AS reason
+  FROM (SELECT page_id, unnest(list_concat(found, ['events.0.surface: missing'])) AS p FROM r6p) x""")
+def q_validate_documents(spark, sf):
+    """The uploads taken as stored recordings, whose events must name their surface."""
+    from clickloom.operators.normalize import schema_problems
+    return schema_problems(B.typed_uploads(spark, sf), "page_id")
 
 
 @register("read_payloads", "WITH " + O.R2 + " SELECT page_id, ord, id, ts_ms, surface, type FROM r2ev")

@@ -291,3 +291,24 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(url.contains("blog"), F.lit("moz-extension://def")).otherwise(F.lit("http://evil.example")))
     return p.select("page_id", path.alias("path"), origin.alias("origin"), body.alias("body"),
                     F.octet_length(body).cast("long").alias("content_length"))
+
+
+# ----------------------------------------------------------------------- R6
+def typed_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One upload per page with one field of a wrong type, or missing, by ``page_id % 12`` (0: none)."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    m, html = F.col("page_id") % 12, json_quote("html")
+    lit = F.lit
+    target = (F.when(m == 1, '{"url": 5}').when(m == 2, '{"frame_path": "top"}').when(m == 3, '{"selector_alternatives": {"css": [1], "text": null}}')
+              .when(m == 4, '{"viewport_box": {"x": 1, "y": 2, "w": 3}}').when(m == 11, '{"shadow_path": ["a", null]}')
+              .otherwise(F.concat(lit('{"url": '), json_quote("url"), lit(', "viewport_box": null}'))))
+    viewport = F.when(m == 5, '{"w": 1, "h": 2, "dpr": "wide"}').otherwise('{"w": 1, "h": "2", "dpr": 1.5}')
+    metadata = F.when(m == 6, '{"os": 5}').when(m == 7, '{"viewport": {"w": 10}}').otherwise('{"os": null}')
+    notes = (F.when(m == 8, F.concat(lit('[{"ts_ms": 1, "text": '), html, lit('}, {"text": "t"}]'))).when(m == 9, lit('[{"ts_ms": 1.5, "text": "t"}]'))
+             .otherwise(F.concat(lit('[{"ts_ms": "7", "text": '), html, lit("}]"))))
+    redacted = F.when(m == 10, '"maybe"').otherwise("false")
+    body = F.concat(lit('{"surface": "browser", "started_at": "2024-04-26T10:00:00Z", "ended_at": "2024-04-26T10:05:00Z", "metadata": '), metadata,
+                    lit(', "notes": '), notes, lit(', "events": [{"id": "a", "ts_ms": 3, "type": "click", "target": '), target,
+                    lit(', "viewport": '), viewport, lit(', "redacted": '), redacted, lit("}]}"))
+    return p.select("page_id", lit("/recordings").alias("path"), lit("chrome-extension://abc").alias("origin"), body.alias("body"),
+                    F.octet_length(body).cast("long").alias("content_length"))

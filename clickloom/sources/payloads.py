@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom import model
-from clickloom.functions.scalars import json_has_key
+from clickloom.functions import shapes
 
 B64_CHARS = "A-Za-z0-9+/"
 
@@ -37,54 +37,9 @@ def _st(code: int, msg: str | None) -> Column:
     return F.struct(F.lit(code).alias("s"), F.lit(msg).cast("string").alias("e"))
 
 
-def _kind(text: Column, path: str) -> Column:
-    """The type of a JSON text's field; null where it is absent."""
-    return F.schema_of_variant(F.variant_get(F.try_parse_json(text), path, "variant"))
-
-
-def _is_int(kind: Column, text: Column) -> Column:
-    """A JSON integer, or a string that reads as one."""
-    whole = text.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$")
-    return F.coalesce((kind == "STRING") & whole | kind.startswith("DECIMAL") & whole | (kind == "BIGINT") | (kind == "DOUBLE") & whole, F.lit(False))
-
-
-def _optional(kind: Column, *prefixes: str) -> Column:
-    ok = kind.isNull() | (kind == "VOID")
-    for p in prefixes:
-        ok = ok | kind.startswith(p)
-    return ok
-
-
-def _event_ok(e: Column) -> Column:
-    """What the recording model asks of an event, after its surface default, time truncation and new id."""
-    field = lambda k: F.get_json_object(e, f"$.{k}")
-    ts = _kind(e, "$.ts_ms")
-    surface = F.when(json_has_key(e, "surface"), field("surface")).otherwise(F.lit("browser"))
-    viewport = _kind(e, "$.viewport")
-    sized = _is_int(_kind(e, "$.viewport.w"), field("viewport.w")) & _is_int(_kind(e, "$.viewport.h"), field("viewport.h"))
-    target = _kind(e, "$.target")
-    return ((_is_int(ts, field("ts_ms")) | F.coalesce(ts.startswith("DECIMAL") | (ts == "DOUBLE"), F.lit(False)))
-            & F.coalesce(field("type").isin(*model.EVENT_TYPES), F.lit(False))
-            & F.coalesce(surface.isin(*model.SURFACES), F.lit(False))
-            & F.coalesce(target.isNull() | target.startswith("OBJECT"), F.lit(False))
-            & (_optional(viewport) | (F.coalesce(viewport.startswith("OBJECT"), F.lit(False)) & sized))
-            & _optional(_kind(e, "$.screenshot_path"), "STRING") & _optional(_kind(e, "$.notes"), "STRING")
-            & F.coalesce(_kind(e, "$.redacted").isNull() | (_kind(e, "$.redacted") == "BOOLEAN"), F.lit(False)))
-
-
-def _recording_ok(body: Column) -> Column:
-    when = lambda k: F.coalesce(
-        F.try_to_timestamp(F.get_json_object(body, f"$.{k}")).isNotNull() & (_kind(body, f"$.{k}") == "STRING"), F.lit(False))
-    metadata, notes = _kind(body, "$.metadata"), _kind(body, "$.notes")
-    listed = F.from_json(body, "struct<notes: array<string>>")["notes"]
-    note_ok = lambda n: (_is_int(_kind(n, "$.ts_ms"), F.get_json_object(n, "$.ts_ms"))
-                         & F.coalesce(_kind(n, "$.text") == "STRING", F.lit(False)))
-    return (when("started_at") & when("ended_at") & F.coalesce(metadata.isNull() | metadata.startswith("OBJECT"), F.lit(False))
-            & F.coalesce(notes.isNull() | (notes.startswith("ARRAY") & F.forall(F.coalesce(listed, F.array().cast("array<string>")), note_ok)), F.lit(False)))
-
-
 def admission(payloads: DataFrame, most: int = model.MAX_BODY_BYTES) -> DataFrame:
-    """A5: ``status``/``error`` per upload; first failing rule wins."""
+    """A5: ``status``/``error`` per upload, first failing rule wins; ``problems`` lists what the recording model has against
+    a body (path, reason), whose first is in ``error``."""
     body = F.col("body")
     v = F.try_parse_json(body)
     kind = F.schema_of_variant(v)
@@ -98,9 +53,6 @@ def admission(payloads: DataFrame, most: int = model.MAX_BODY_BYTES) -> DataFram
                         lambda e: F.get_json_object(e, "$.screenshot_data"))
     shots_ok = F.forall(shots, lambda s: s.isNull() | (s == "") | b64_ok(s))
     surface_ok = F.coalesce(F.get_json_object(body, "$.surface") == "browser", F.lit(False))
-    none = F.array().cast("array<string>")
-    ev_ok = F.forall(F.coalesce(raw, none), _event_ok)
-    rec_ok = _recording_ok(body)
     origin_ok = F.lit(False)
     for p in model.ALLOWED_ORIGIN_PREFIXES:
         origin_ok = origin_ok | F.coalesce(F.col("origin").startswith(p), F.lit(False))
@@ -115,9 +67,15 @@ def admission(payloads: DataFrame, most: int = model.MAX_BODY_BYTES) -> DataFram
               .when(~all_objects, _st(422, "event entries must be objects"))
               .when(~shots_ok, _st(422, "invalid base64 screenshot"))
               .when(~surface_ok, _st(422, "expected surface=browser"))
-              .when(~(rec_ok & ev_ok), _st(422, "invalid recording"))
               .otherwise(_st(201, None)))
-    return payloads.select("*", status["s"].alias("status"), status["e"].alias("error"))
+    checked = payloads.withColumn("__st", status)
+    found = F.when(F.col("__st")["s"] == 201, shapes.problems(F.try_parse_json(body), model.UPLOAD_SHAPE)).otherwise(F.array().cast(shapes.PROBLEMS))
+    checked = checked.withColumn("problems", found)
+    bad = F.size("problems") > 0
+    first = F.col("problems")[0]
+    error = F.concat(F.lit("invalid recording: "), first["path"], F.lit(": "), first["reason"])
+    return checked.select(*payloads.columns, F.when(bad, 422).otherwise(F.col("__st")["s"]).alias("status"),
+                          F.when(bad, error).otherwise(F.col("__st")["e"]).alias("error"), "problems")
 
 
 def quarantine(admitted: DataFrame) -> tuple[DataFrame, DataFrame]:
