@@ -1008,6 +1008,24 @@ def q_assign_recording_dir(spark, sf):
     return recording_dir_names(e).select("event_id", "dir_name")
 
 
+@register("assign_dirs_again", """WITH e AS (SELECT event_id, 'browser-' || strftime(date_trunc('hour', ts), '%Y%m%dT%H%M%S') AS base FROM events),
+  first AS (SELECT event_id, base, row_number() OVER (PARTITION BY base ORDER BY event_id) - 1 AS number FROM e WHERE event_id % 2 = 0),
+  later AS (SELECT event_id, base, row_number() OVER (PARTITION BY base ORDER BY event_id) AS k FROM e WHERE event_id % 2 = 1),
+  n AS (SELECT base, count(*) AS n FROM e GROUP BY base),
+  free AS (SELECT base, number, row_number() OVER (PARTITION BY base ORDER BY number) AS k FROM (SELECT base, unnest(range(n)) AS number FROM n) x
+    ANTI JOIN (SELECT base, number FROM first WHERE number % 4 <> 1) t USING (base, number)),
+  named AS (SELECT event_id, base, number FROM first UNION ALL SELECT event_id, base, number FROM later JOIN free USING (base, k))
+  SELECT event_id, CASE WHEN number = 0 THEN base ELSE base || '-' || CAST(number AS VARCHAR) END AS dir_name FROM named""")
+def q_assign_dirs_again(spark, sf):
+    """Events of even id arrive in a first batch, every fourth of its folders in each second goes, the others arrive."""
+    from clickloom.sources.payloads import free_dir_names
+    e = B.table(spark, sf, "events").select("event_id", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("started_at"), F.col("event_id").alias("arrival"))
+    none = spark.createDataFrame([], "base string, number long")
+    first = free_dir_names(e.filter("event_id % 2 = 0"), none)
+    there = first.filter("dir_number % 4 <> 1").select(F.col("dir_base").alias("base"), F.col("dir_number").alias("number"))
+    return first.unionByName(free_dir_names(e.filter("event_id % 2 = 1"), there)).select("event_id", "dir_name")
+
+
 def _assembled(spark, sf):
     from clickloom.sources.recordings import assemble_recordings
     return assemble_recordings(_r0(spark, sf), B.sessions(spark, sf), B.session_notes(spark, sf))
@@ -1132,7 +1150,8 @@ _PUB_SQL = """(SELECT conv_id AS doc, CASE WHEN conv_id % 2 = 0 THEN 'user' ELSE
     'skill-' || CAST(conv_id AS VARCHAR) AS name FROM conversations WHERE conv_id % 4 = 0) ex USING (scope, name)""")
 def q_publish_docs(spark, sf):
     from clickloom.operators.documents import installable
-    from clickloom.sources.publish import publish_plan
+    from clickloom.session import scratch_path
+    from clickloom.sources.publish import publish
     docs, mf = _lint_inputs(spark, sf)
     ok = installable(docs.select("doc"), mf)
     req = ok.select("doc", F.when(F.col("doc") % 2 == 0, "user").otherwise("project").alias("scope"),
@@ -1140,7 +1159,29 @@ def q_publish_docs(spark, sf):
     c = B.table(spark, sf, "conversations").filter(F.col("conv_id") % 4 == 0)
     pub = c.select(F.when(F.col("conv_id") % 2 == 0, "user").otherwise("project").alias("scope"),
                    F.concat(F.lit("skill-"), F.col("conv_id").cast("string")).alias("name"))
-    return publish_plan(req, pub).select("doc", "scope", "name", "action")
+    root = scratch_path(spark, "published")
+    publish(pub.distinct().withColumn("doc", F.lit(0).cast("long")), root)
+    return publish(req, root).select("doc", "scope", "name", "action")
+
+
+@register("published_sets", f"""WITH rq AS (SELECT doc, scope, name, row_number() OVER (PARTITION BY scope, name ORDER BY doc) AS n FROM {_PUB_SQL}),
+  shots AS (SELECT conv_id AS doc, CAST(count(*) AS BIGINT) AS n_shots, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id)
+  SELECT doc, scope, name, n_shots, n_chars FROM rq JOIN shots USING (doc) WHERE n = 1""")
+def q_published_sets(spark, sf):
+    """Documents published with parts of their own: of every published one all its parts are there, of no other any."""
+    from clickloom.operators.documents import installable
+    from clickloom.session import scratch_path
+    from clickloom.sources.publish import publish, read_published
+    docs, mf = _lint_inputs(spark, sf)
+    ok = installable(docs.select("doc"), mf)
+    req = ok.select("doc", F.when(F.col("doc") % 2 == 0, "user").otherwise("project").alias("scope"),
+                    F.concat(F.lit("skill-"), (F.col("doc") % 50).cast("string")).alias("name"))
+    c = B.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), "turn", "text")
+    root = scratch_path(spark, "published")
+    publish(req, root, parts={"recording": c, "screenshots": c.select("doc", "turn")})
+    shots = read_published(spark, root, "screenshots").groupBy("doc").agg(F.count("*").alias("n_shots"))
+    said = read_published(spark, root, "recording").groupBy("doc").agg(F.sum(F.length("text")).alias("n_chars"))
+    return read_published(spark, root).join(shots, "doc").join(said, "doc").select("doc", "scope", "name", "n_shots", "n_chars")
 
 
 @register("copy_screenshots", "WITH " + O.R0 + """ SELECT DISTINCT rec_id, screenshot_path AS path FROM r0

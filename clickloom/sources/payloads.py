@@ -155,6 +155,41 @@ def recording_dir_names(starts: DataFrame, ts: str = "started_at", order: str =
     return s.withColumn(out, name).drop("__base", "__n")
 
 
+def free_dir_names(starts: DataFrame, taken: DataFrame, ts: str = "started_at", order: str = "arrival", out: str = "dir_name") -> DataFrame:
+    """A7 for a later batch: each start gets the smallest number that is free in its second, in order of arrival.
+    ``taken``: ``base`` and ``number`` (0: the name without suffix) of the folders there are, each once.
+
+    The k-th free number is k plus the taken ones before it, and a taken number t with i taken ones before it stands
+    before the free number t - i.  So both sides are numbered densely, laid in one order, and the taken ones counted up
+    to each start: no range is spelled out and no second is handled in one task."""
+    from clickloom.plans.ordered import chunk_if_hot, dense_ordinal, with_running
+    base = F.concat(F.lit("browser-"), F.date_format(F.col(ts), "yyyyMMdd'T'HHmmss"))
+    s = dense_ordinal(starts.withColumn("__base", base), "__base", order, "__k").withColumn("__k", F.col("__k") - 1)
+    t = taken.select(F.col("base").alias("__base"), F.col("number").cast("long").alias("number")).join(s.select("__base"), "__base", "left_semi")
+    t = dense_ordinal(t, "__base", "number", "__i").select("__base", (F.col("number") - F.col("__i") + 1).alias("at"), F.lit(1).alias("one"), F.col("number").alias("nth"))
+    both = t.unionByName(s.select("__base", F.col("__k").alias("at"), F.lit(0).alias("one"), F.col("__k").alias("nth")))
+    # taken ones first where both stand at one place
+    both = both.withColumn("pos", F.col("at") * 2 + 1 - F.col("one"))
+    both = with_running(chunk_if_hot(both, "__base", "pos"), {"before": (F.col("one").cast("long"), "sum")}, keys="__base", ord=["pos", "nth"])
+    free = both.filter("one = 0").select("__base", F.col("nth").alias("__k"), (F.col("nth") + F.col("before")).alias("__number"))
+    name = F.when(F.col("__number") == 0, F.col("__base")).otherwise(F.concat(F.col("__base"), F.lit("-"), F.col("__number").cast("string")))
+    return s.join(free, ["__base", "__k"]).withColumn(out, name).withColumn("dir_base", F.col("__base")).withColumn("dir_number", F.col("__number")).drop("__base", "__k", "__number")
+
+
+def assign_dirs(starts: DataFrame, registry: str, batch: int, **options) -> DataFrame:
+    """A7 across batches: names free in the registry, and their entry there under ``batch``.  A batch that runs again
+    sees the registry without its own entry, and replaces it."""
+    spark = starts.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(registry)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    shape = "base string, number long, batch_id long"
+    taken = spark.read.schema(shape).parquet(registry).filter(F.col("batch_id") != batch) if there else spark.createDataFrame([], shape)
+    named = free_dir_names(starts, taken, **options)
+    # the registry is what counts: the names are those written there
+    named.select("*", F.col("dir_base").alias("base"), F.col("dir_number").alias("number")).write.mode("overwrite").parquet(f"{registry}/batch_id={batch}")
+    return spark.read.parquet(f"{registry}/batch_id={batch}").select(*named.columns)
+
+
 def write_archives(bodies: DataFrame, path: str) -> None:
     """Export: one ``<name>.zip`` per row holding ``recording.json``, written by the executors
     through Arrow's file systems into a folder that all of them share."""
