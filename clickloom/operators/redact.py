@@ -1,6 +1,6 @@
 """Redaction of secrets and personal data with numbered placeholders.
 
-Three phases, all Spark expressions except a tiny JSON leaf walker:
+Three phases, all Spark expressions:
 
 1. per string leaf, for each pattern in order: record the matches, replace
    them with a private-use sentinel (one per kind) so that later patterns see
@@ -18,10 +18,7 @@ only once a counter reaches 11 digits; sentinels never match.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom import model
 from clickloom.functions.scalars import json_is_array, json_is_object, json_is_string, json_quote, json_text
@@ -131,67 +128,55 @@ def redaction_counts(log: DataFrame, keys="rec_id") -> DataFrame:
 
 
 # --------------------------------------------------------- event values
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def json_string_leaves(v: pd.Series) -> pd.Series:
-    """String leaves of a JSON value in document order (dict values, list
-    items; keys and non-strings are not leaves)."""
-    def walk(o, out):
-        if isinstance(o, str):
-            out.append(o)
-        elif isinstance(o, dict):
-            for x in o.values():
-                walk(x, out)
-        elif isinstance(o, list):
-            for x in o:
-                walk(x, out)
-        return out
-    return v.map(lambda s: None if s is None else walk(json.loads(s), []))
-
-
-@F.pandas_udf(T.StringType())
-def json_replace_leaves(v: pd.Series, new: pd.Series) -> pd.Series:
-    """Put new string leaves back into a JSON value, keeping key order."""
-    def put(s, vals):
-        it = iter(vals)
-
-        def walk(o):
-            if isinstance(o, str):
-                return next(it)
-            if isinstance(o, dict):
-                return {k: walk(x) for k, x in o.items()}
-            if isinstance(o, list):
-                return [walk(x) for x in o]
-            return o
-        return json.dumps(walk(json.loads(s)), ensure_ascii=False, separators=(",", ":"))
-    return pd.Series([None if s is None else put(s, list(n)) for s, n in zip(v, new)])
+#: A string literal of valid JSON, with the colon behind it if it is a key.  The possessive groups are loops, not
+#: recursion, so literals may be of any length.
+LITERAL = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?+'
+
+
+def json_literals(v: Column) -> Column:
+    """The string literals of valid JSON in document order, keys (with their colons) too: nothing but a literal holds quotes."""
+    return F.regexp_extract_all(v, F.lit(LITERAL), 0)
+
+
+def json_string_leaves(v: Column) -> Column:
+    """Its string leaves (dict values, list items, the value itself; no keys) as ``leaf``, the literal's number, and ``text``."""
+    numbered = F.transform(json_literals(v), lambda x, i: F.struct(i.alias("leaf"), x.alias("x")))
+    leaves = F.filter(numbered, lambda s: s["x"].endswith('"'))
+    return F.transform(leaves, lambda s: F.struct(s["leaf"].alias("leaf"), json_text(s["x"]).alias("text")))
+
+
+def json_replace_leaves(v: Column, new: Column) -> Column:
+    """Put literals (``new``: map of a leaf to its JSON) back into a JSON value; all other characters stay as they are."""
+    old = json_literals(v)
+    gaps = F.split(v, LITERAL, -1)
+    return F.array_join(F.transform(gaps, lambda g, i: F.when(i == 0, g).otherwise(
+        F.concat(F.coalesce(F.try_element_at(new, i - 1), F.get(old, i - 1)), g))), "")
 
 
 def scrub_events(events: DataFrame, keys="rec_id", value: str = "value_json") -> DataFrame:
-    """Scrub ``value_json`` of every event; ``redacted`` |= changed.
-    String values stay in the JVM; object/array values use the leaf walker,
-    which gets nulls for all others; malformed JSON has no leaves and stays."""
+    """Scrub the string leaves of ``value_json`` of every event, at any depth; ``redacted`` |= changed.
+    What isn't replaced stays character by character: numbers, key order, spacing, escapes.  Malformed JSON has no
+    leaves and stays."""
     keys_l = [keys] if isinstance(keys, str) else list(keys)
     cols = events.columns
     v = F.col(value)
     nested = (json_is_object(v) | json_is_array(v)) & F.try_parse_json(v).isNotNull()
     part = chunk_cols(events)
-    leaves = (F.when(json_is_string(v), F.array(json_text(v)))
-              .when(nested, json_string_leaves(F.when(nested, v)))
-              .otherwise(F.array().cast("array<string>")))
-    x = events.select(F.struct(*cols).alias("__ev"), *keys_l, "ord", *part,
-                      F.posexplode_outer(leaves).alias("leaf", "text"))
-    x = x.withColumn("leaf", F.coalesce(F.col("leaf"), F.lit(0)))
-    x = scrub_leaves(x.withColumn("text", F.coalesce(F.col("text"), F.lit(""))), "text", keys=keys_l)
-    # regroup leaves into events on the numbering's partitioning
-    g = x.groupBy(*keys_l, *part, "ord").agg(
-        F.first("__ev").alias("__ev"),
-        F.array_sort(F.collect_list(F.struct("leaf", "text", "scrubbed"))).alias("__lv"))
-    changed = F.exists("__lv", lambda s: s["text"] != s["scrubbed"])
+    leaf = "array<struct<leaf:int,text:string>>"
+    leaves = (F.when(json_is_string(v), F.array(F.struct(F.lit(0).alias("leaf"), json_text(v).alias("text"))).cast(leaf))
+              .when(nested, json_string_leaves(v).cast(leaf)).otherwise(F.array().cast(leaf)))
+    x = events.select(F.struct(*cols).alias("__ev"), *keys_l, "ord", *part, F.explode_outer(leaves).alias("__l"))
+    x = x.select("__ev", *keys_l, "ord", *part, F.coalesce(F.col("__l")["leaf"], F.lit(0)).alias("leaf"),
+                 F.coalesce(F.col("__l")["text"], F.lit("")).alias("text"))
+    x = scrub_leaves(x, "text", keys=keys_l)
+    # regroup leaves into events on the numbering's partitioning: of the leaves, what changed
+    changed_leaf = F.when(F.col("text") != F.col("scrubbed"), F.struct("leaf", "scrubbed"))
+    g = x.groupBy(*keys_l, *part, "ord").agg(F.first("__ev").alias("__ev"), F.collect_list(changed_leaf).alias("__lv"))
+    changed = F.size("__lv") > 0
     ev_v = F.col("__ev")[value]
-    deep = changed & ~json_is_string(ev_v)
-    new_v = (F.when(~changed, ev_v)
-             .when(json_is_string(ev_v), json_quote(F.col("__lv")[0]["scrubbed"]))
-             .otherwise(json_replace_leaves(F.when(deep, ev_v), F.when(deep, F.transform("__lv", lambda s: s["scrubbed"])))))
+    literals = F.map_from_entries(F.transform("__lv", lambda s: F.struct(s["leaf"], json_quote(s["scrubbed"]))))
+    new_v = (F.when(~changed, ev_v).when(json_is_string(ev_v), json_quote(F.col("__lv")[0]["scrubbed"]))
+             .otherwise(json_replace_leaves(ev_v, literals)))
     out = []
     for c in cols:
         if c == value:

@@ -68,3 +68,69 @@ def test_numbering_matches_fold_across_chunks(spark):
         assert got == want
         lg = redaction_log(s).orderBy("ord", "leaf", "kind_idx", "pos").collect()
         assert [(r["ord"] - 1, r["kind"], int(r["placeholder"].rsplit("_", 1)[1][:-1]), r["original_length"]) for r in lg] == want_log
+
+
+def deep(rnd, depth, texts):
+    """A random JSON text up to ``depth`` deep, in odd spacing, and its string leaves in order."""
+    import json
+    pad = lambda: rnd.choice(["", " ", "\n  ", "\t"])
+    kind = rnd.randrange(7) if depth else rnd.randrange(4)
+    if kind < 3:
+        t = rnd.choice(texts)
+        return json.dumps(t, ensure_ascii=rnd.random() < 0.5), [t]
+    if kind == 3:
+        return rnd.choice(["1.50", "-0", "1e5", "12345678901234567890", "true", "null"]), []
+    parts, leaves = [], []
+    for i in range(rnd.randrange(4)):
+        x, found = deep(rnd, depth - 1, texts)
+        key = json.dumps(rnd.choice(['k', 'a "quoted" key: x', "k@mail.org", "\\"]) + str(i)) + pad() + ":" + pad() if kind > 4 else ""
+        parts.append(pad() + key + x + pad())
+        leaves += found
+    return ("{" if kind > 4 else "[") + ",".join(parts) + ("}" if kind > 4 else "]"), leaves
+
+
+def test_values_of_any_depth_match_a_walk(spark):
+    """Depth 5; replaced leaves hold the fold's placeholders, everything else is the same text."""
+    import json
+    rnd = random.Random(8)
+    texts = ["plain", "", "a@b.co", 'say "x@y.org": \\', "tab\té 🙂", "ssn 321-54-9876", "key:", "\\", "}{][,:", "call +44 207 946 0958 or a@b.co"]
+    values, leaves = [], []
+    while len(values) < 120:
+        v, found = deep(rnd, 5, texts)
+        if v[0] in "[{":
+            values.append(v)
+            leaves.append(found)
+    flat, _ = fold([t for found in leaves for t in found])
+    ev = make_events(spark, [{"ts_ms": i, "type": "input"} for i in range(len(values))], None)
+    raw = spark.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "ord long, raw string")
+    ev = ev.drop("value_json").join(raw, "ord").withColumnRenamed("raw", "value_json").select(ev.columns)
+    out = scrub_events(ev)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    at = 0
+
+    def walk(o):
+        nonlocal at
+        if isinstance(o, str):
+            at += 1
+            return flat[at - 1]
+        if isinstance(o, dict):
+            return {k: walk(x) for k, x in o.items()}
+        return [walk(x) for x in o] if isinstance(o, list) else o
+
+    for v, found, r in zip(values, leaves, out.orderBy("ord").collect()):
+        start = at
+        want = walk(json.loads(v))
+        assert json.loads(r["value_json"]) == want
+        assert r["redacted"] == (flat[start:at] != found)
+        if not r["redacted"]:
+            assert r["value_json"] == v
+        else:  # numbers and spacing outside the literals
+            literal = r'"(?:[^"\\]|\\.)*"'
+            assert re.split(literal, r["value_json"]) == re.split(literal, v)
+
+
+def test_very_long_literals(spark):
+    import json
+    v = {"t": 'line "x"\n' * 60_000 + " me@here.org", "u": ["z" * 500_000]}
+    r = _scrub(spark, [v])[0]
+    assert json.loads(r["value_json"]) == {**v, "t": v["t"].replace("me@here.org", "<EMAIL_1>")}
