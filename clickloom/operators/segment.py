@@ -6,11 +6,12 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from clickloom import model
 from clickloom.functions.scalars import json_field, json_is_object, verb_group
 from clickloom.plans.ordered import CHUNK, with_adjacent, with_prev_running, with_running
+from clickloom.session import scratch_path
 
 PREV_COLS = ["type", "__url", "ts_ms", "__verb"]
 CUR_COLS = ["type", "__url", "ts_ms", "__verb", "value_json"]
@@ -122,6 +123,37 @@ def cap_survivors(sizes: list[int], cap: int) -> list[int]:
     return [i for i in range(n) if alive[i]]
 
 
+def cap_anchors(counts: DataFrame, max_segments: int, keys_l: list[str]) -> DataFrame:
+    """For recordings above the cap, ``anchors``: the segments (``keys, seg, n``) that are left after merging,
+    ``max_segments`` at most.  Only the counts of these recordings reach the merge."""
+    nseg = counts.groupBy(*keys_l).agg(F.count(F.lit(1)).alias("n_seg"))
+    over = counts.join(nseg.filter(F.col("n_seg") > max_segments), keys_l, "left_semi")
+    key_schema = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys_l)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg")
+        surv = cap_survivors(pdf["n"].astype("int64").tolist(), max_segments)
+        segs = pdf["seg"].astype("int64").tolist()
+        row = {k: pdf[k].iloc[0] for k in keys_l}
+        row["anchors"] = [segs[i] for i in surv]
+        return pd.DataFrame([row])
+
+    return over.select(*keys_l, "seg", "n").groupBy(*keys_l).applyInPandas(merge, f"{key_schema}, anchors array<bigint>")
+
+
+def capped_index() -> Column:
+    """The index of a segment among its recording's anchors; without anchors, its own."""
+    return F.when(F.col("anchors").isNull(), F.col("seg")).otherwise(
+        F.size(F.filter("anchors", lambda a: a <= F.col("seg"))).cast("long") - 1)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder, which goes when the driver ends: it is read more than once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cap_segments(segmented: DataFrame, max_segments: int = model.DEFAULT_MAX_SEGMENTS,
                  keys="rec_id") -> DataFrame:
     """Re-index ``seg`` after the cap merge.
@@ -130,40 +162,32 @@ def cap_segments(segmented: DataFrame, max_segments: int = model.DEFAULT_MAX_SEG
     reach the merge, and only for recordings above the cap; the result is at
     most ``max_segments`` surviving start indices per recording, joined back on
     the event side's partitioning.  The input is read three times, so it is
-    materialized once (the only write of the build flow)."""
-    from clickloom.session import checkpoint_root
+    written once, in columns: the counts read two of them."""
     keys_l = [keys] if isinstance(keys, str) else list(keys)
     whole = CHUNK not in segmented.columns
     if whole:
-        checkpoint_root(segmented.sparkSession)
-        segmented = segmented.checkpoint()
+        segmented = _written(segmented, "segmented")
         per_chunk_counts = segmented.groupBy(*keys_l, "seg").agg(F.count(F.lit(1)).alias("n"))
     else:
         per_chunk_counts = segmented.groupBy(*keys_l, CHUNK, "seg").agg(F.count(F.lit(1)).alias("n"))
-    counts = per_chunk_counts.groupBy(*keys_l, "seg").agg(F.sum("n").alias("n"))
-    nseg = counts.groupBy(*keys_l).agg(F.count(F.lit(1)).alias("n_seg"))
-    over = counts.join(nseg.filter(F.col("n_seg") > max_segments), keys_l, "left_semi")
-
-    key_schema = ", ".join(f"`{k}` {segmented.schema[k].dataType.simpleString()}" for k in keys_l)
-    out_schema = f"{key_schema}, anchors array<bigint>"
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        surv = cap_survivors(pdf["n"].astype("int64").tolist(), max_segments)
-        segs = pdf["seg"].astype("int64").tolist()
-        row = {k: pdf[k].iloc[0] for k in keys_l}
-        row["anchors"] = [segs[i] for i in surv]
-        return pd.DataFrame([row])
-
-    anchors = over.groupBy(*keys_l).applyInPandas(merge, out_schema)
+    anchors = cap_anchors(per_chunk_counts.groupBy(*keys_l, "seg").agg(F.sum("n").alias("n")), max_segments, keys_l)
     if whole:
         out = segmented.join(anchors, keys_l, "left")
     else:
         per_chunk = per_chunk_counts.select(*keys_l, CHUNK).distinct().join(anchors, keys_l, "inner")
         out = segmented.join(per_chunk, [*keys_l, CHUNK], "left")
-    new_seg = F.when(F.col("anchors").isNull(), F.col("seg")).otherwise(
-        F.size(F.filter("anchors", lambda a: a <= F.col("seg"))).cast("long") - 1)
-    return out.withColumn("seg", new_seg).drop("anchors")
+    return out.withColumn("seg", capped_index()).drop("anchors")
+
+
+def capped_summary(segmented: DataFrame, max_segments: int = model.DEFAULT_MAX_SEGMENTS, keys="rec_id") -> DataFrame:
+    """F1 of the capped segments without going through the events again: a merged segment's summary follows from those
+    of its parts.  What is written is one row a segment."""
+    from clickloom.operators.summarize import combine_summaries, segment_parts
+    keys_l = [keys] if isinstance(keys, str) else list(keys)
+    parts = _written(segment_parts(segmented, keys_l), "segments")
+    anchors = cap_anchors(parts.select(*keys_l, "seg", F.col("event_count").alias("n")), max_segments, keys_l)
+    merged = parts.join(anchors, keys_l, "left").withColumn("seg", capped_index()).drop("anchors")
+    return combine_summaries(merged, keys_l)
 
 
 def reject_empty(recordings: DataFrame, segmented: DataFrame, keys="rec_id") -> DataFrame:

@@ -23,6 +23,23 @@ def segment_summary(segmented: DataFrame, keys="rec_id") -> DataFrame:
     )
 
 
+def segment_parts(segmented: DataFrame, keys_l: list[str]) -> DataFrame:
+    """What the summaries of segments and of their mergers follow from, by partial aggregates."""
+    path = F.col("screenshot_path")
+    shot = F.when(path.isNotNull() & (path != ""), F.struct("ord", path.alias("path")))
+    return segmented.groupBy(*keys_l, "seg").agg(
+        F.min(F.struct("ord", "ts_ms")).alias("first"), F.max(F.struct("ord", "ts_ms")).alias("last"),
+        F.count(F.lit(1)).alias("event_count"), F.max(shot).alias("shot"))
+
+
+def combine_summaries(parts: DataFrame, keys_l: list[str]) -> DataFrame:
+    """F1 from ``segment_parts`` whose ``seg`` may have been merged."""
+    return parts.groupBy(*keys_l, "seg").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("event_count").alias("event_count"), F.max("shot").alias("shot")).select(
+        *keys_l, "seg", (F.col("last.ts_ms") - F.col("first.ts_ms")).alias("duration_ms"), "event_count", F.col("shot.path").alias("boundary_screenshot"),
+        F.col("first.ord").alias("first_ord"), F.col("last.ord").alias("last_ord"))
+
+
 def event_projection(events: DataFrame) -> DataFrame:
     """the per-event fields sent with a segment."""
     t = F.col("target")

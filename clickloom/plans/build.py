@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from clickloom import model
 from clickloom.operators.compact import compress
-from clickloom.operators.segment import cap_segments, segment
+from clickloom.operators.segment import cap_segments, capped_summary, segment
 from clickloom.operators.summarize import segment_summary
 
 
@@ -29,5 +29,5 @@ def build_summaries(events: DataFrame, gap_ms: int = model.DEFAULT_GAP_MS,
                     max_segments: int | None = model.DEFAULT_MAX_SEGMENTS,
                     scrub: bool = True, keys="rec_id") -> DataFrame:
     """One row per (recording, segment) of the capped segmentation."""
-    seg = segmented_events(events, gap_ms, threshold, max_segments, scrub, keys)
-    return segment_summary(seg, keys=keys)
+    seg = segmented_events(events, gap_ms, threshold, None, scrub, keys)
+    return segment_summary(seg, keys=keys) if max_segments is None else capped_summary(seg, max_segments, keys)
