@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from clickloom import model
@@ -125,20 +126,49 @@ def cap_survivors(sizes: list[int], cap: int) -> list[int]:
 
 def cap_anchors(counts: DataFrame, max_segments: int, keys_l: list[str]) -> DataFrame:
     """For recordings above the cap, ``anchors``: the segments (``keys, seg, n``) that are left after merging,
-    ``max_segments`` at most.  Only the counts of these recordings reach the merge."""
-    nseg = counts.groupBy(*keys_l).agg(F.count(F.lit(1)).alias("n_seg"))
-    over = counts.join(nseg.filter(F.col("n_seg") > max_segments), keys_l, "left_semi")
-    key_schema = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys_l)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        surv = cap_survivors(pdf["n"].astype("int64").tolist(), max_segments)
-        segs = pdf["seg"].astype("int64").tolist()
-        row = {k: pdf[k].iloc[0] for k in keys_l}
-        row["anchors"] = [segs[i] for i in surv]
-        return pd.DataFrame([row])
-
-    return over.select(*keys_l, "seg", "n").groupBy(*keys_l).applyInPandas(merge, f"{key_schema}, anchors array<bigint>")
+    ``max_segments`` at most.  The counts pass a task sorted, as a stream; it holds those of one recording."""
+    types = {k: counts.schema[k].dataType.simpleString() for k in keys_l}
+
+    def starts(batch: pa.RecordBatch) -> np.ndarray:
+        """Where a recording begins, as far as its batch tells."""
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys_l:
+            code = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    def merge(batches):
+        key, segs, sizes = None, [], []
+
+        def done(out: list) -> None:
+            if sum(map(len, segs)) > max_segments:
+                seg = np.concatenate(segs)
+                out.append({**dict(zip(keys_l, key)), "anchors": seg[cap_survivors(np.concatenate(sizes).tolist(), max_segments)]})
+
+        schema = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schema = pa.schema([*[batch.schema.field(k) for k in keys_l], ("anchors", pa.list_(pa.int64()))])
+            seg, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seg", "n"))
+            cuts = [0, *starts(batch).tolist(), batch.num_rows]
+            out = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                now = tuple(batch.column(k)[lo].as_py() for k in keys_l)
+                if now != key:
+                    done(out)
+                    key, segs, sizes = now, [], []
+                segs.append(seg[lo:hi].astype(np.int64))
+                sizes.append(n[lo:hi].astype(np.int64))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        out = []
+        done(out)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    ordered = counts.select(*keys_l, "seg", "n").repartition(*keys_l).sortWithinPartitions(*keys_l, "seg")
+    return ordered.mapInArrow(merge, ", ".join(f"`{k}` {t}" for k, t in types.items()) + ", anchors array<bigint>")
 
 
 def capped_index() -> Column:
