@@ -3,7 +3,7 @@
 Documents in ascending id order are encoded, ended by an end id, and written
 one after another as sequences of equal length: each file is an Arrow IPC file
 whose batches hold ``ids`` (fixed_size_list of uint16, or uint32 for
-vocabularies over 65,536) and ``mask`` (fixed_size_list of bool, false on the
+vocabularies over 65,536) and ``mask`` (fixed_size_list of uint8, 0 on the
 padding that fills a file's last sequence).  No batch is compressed, so a
 memory map gives any sequence without a copy (``SequenceFile``).  A second
 Arrow file beside it lists the documents: id and number of tokens.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from clickloom.llm.common import chunks_of_words, materialize, texts_of
+from clickloom.llm.common import coded_words, materialize
 from clickloom.llm.files import create, open_file
 from clickloom.session import scratch_path
 
@@ -42,14 +42,17 @@ _ENCODERS: dict[int, WordEncoder] = {}
 
 
 class WordEncoder:
-    """bytes of a word -> its ids as little-endian bytes."""
+    """Words -> their ids.  A worker remembers the ids of words it has met."""
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        joined = self.tokenizer.pre_tokenizer.pre_tokenize_str("a b\nc") if self.tokenizer.pre_tokenizer else []
+        if [p.strip("Ġ▁").removesuffix("</w>") for p, _ in joined] != ["a", "b", "c"] or any(p[0] in "Ġ▁ " for p, _ in joined):
+            raise ValueError("the pre-tokenizer keeps or joins white space, so words can't be encoded one by one")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, tokenizer_json: str) -> WordEncoder:
@@ -60,19 +63,30 @@ class WordEncoder:
             _ENCODERS[key] = cls(tokenizer_json)
         return _ENCODERS[key]
 
-    def encode(self, lists: list[list[bytes]]) -> list[bytes]:
-        """Each word list's ids, as bytes of ``dtype``."""
+    def words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids, as bytes of ``dtype``."""
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
         known = self.known
-        new = list(set().union(*lists) - known.keys())
+        new = [w for w in words if w not in known]
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             for w, e in zip(part, found, strict=True):
                 known[w] = np.array(e.ids, self.dtype).tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
+        return list(map(known.__getitem__, words))
+
+    def encode(self, lengths: np.ndarray, codes: np.ndarray, words: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of ``coded_words``: the ids of all, each text ended by ``end_id``, and how many each has."""
+        spelled = [*self.words(words), np.array([end_id], self.dtype).tobytes()]
+        size = np.fromiter(map(len, spelled), np.int64, len(spelled)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(spelled), self.dtype)
+        ends = np.cumsum(lengths)
+        all_codes = np.insert(codes.astype(np.int64), ends, len(words))
+        n = size[all_codes]
+        past = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(size) - size)[all_codes] - (past - n), n) + np.arange(past[-1] if len(past) else 0)]
+        return ids, np.diff(past[ends + np.arange(len(ends))], prepend=0)
 
 
 class SequenceWriter:
@@ -80,14 +94,14 @@ class SequenceWriter:
         self.path, self.stream = create(folder, f"ids-{part:05d}")
         self.dtype, self.n = dtype, seq_len
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+        self.schema = pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
         self.out = pa.ipc.new_file(self.stream, self.schema)
         self.held: list[bytes] = []
         self.size = 0
 
-    def add(self, ids: bytes) -> None:
-        self.held.append(ids)
-        self.size += len(ids)
+    def add(self, ids: np.ndarray) -> None:
+        self.held.append(ids.tobytes())
+        self.size += ids.nbytes
         step = self.n * BATCH * self.dtype.itemsize
         if self.size >= step:
             data = b"".join(self.held)
@@ -97,7 +111,7 @@ class SequenceWriter:
             self.size = len(self.held[0])
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = pa.array(np.arange(len(ids)) < real)
+        mask = pa.array((np.arange(len(ids)) < real).view(np.uint8))
         self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), self.n),
                                               pa.FixedSizeListArray.from_arrays(mask, self.n)], schema=self.schema))
 
@@ -117,18 +131,19 @@ class SequenceFile:
         self.reader = pa.ipc.open_file(self.file)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence i's ids (a view of the mapped file) and mask."""
+        """Sequence i's ids and mask, both views of the mapped file."""
         batch = self.reader.get_batch(i // BATCH)
         at, n = i % BATCH, batch.schema.field("ids").type.list_size
         ids = batch.column("ids").values.slice(at * n, n).to_numpy(zero_copy_only=True)
-        return ids, batch.column("mask").values.slice(at * n, n).to_numpy(zero_copy_only=False)
+        return ids, batch.column("mask").values.slice(at * n, n).to_numpy(zero_copy_only=True).view(np.bool_)
 
     def runs(self) -> Iterator[np.ndarray]:
         """All real ids in order, a batch at a time."""
         for b in range(self.reader.num_record_batches):
             batch = self.reader.get_batch(b)
             ids = batch.column("ids").values.to_numpy(zero_copy_only=True)
-            yield ids[:batch.column("mask").values.true_count]
+            mask = batch.column("mask").values.to_numpy(zero_copy_only=True)
+            yield ids if mask[-1] else ids[:np.count_nonzero(mask)]
 
 
 def default_tokenizer() -> str:
@@ -141,18 +156,21 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str | None = N
     """Write the files; one row a file: ``part, path, index_path, n_tokens, start``
     (``start``: tokens in the files before it).
 
-    A null text is empty and gives the end id alone.  A null id comes first; rows with equal
-    ids are ordered by text.  An empty table writes no file.  Other columns aren't read.
+    A null text is empty and gives the end id alone.  A null id comes first; rows with equal ids come in the order
+    of their texts' first 256 characters, then of their places in the input, so that files split the longest run of one
+    id.  An empty table writes no file.  Other columns aren't read.
     """
     spark = docs.sparkSession
     with open(tokenizer_path or default_tokenizer(), encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # a vocabulary file: a few MB, whatever the input
-    rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+    order = ["doc_id", "tie", "place"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.substring("text", 1, 256)).withColumn("place", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches):
         encoder = writer = None
-        total, end = 0, b""
+        total = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -162,14 +180,13 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str | None = N
                 writer = SequenceWriter(folder, part, encoder.dtype, seq_len)
                 index_path, stream = create(folder, f"docs-{part:05d}")
                 index = pa.ipc.new_file(stream, INDEX)
-                end = np.array([end_id], encoder.dtype).tobytes()
             counts = []
-            for _, lists in chunks_of_words(texts_of(batch, "text"), lower=False):
-                for ids in encoder.encode(lists):
-                    writer.add(ids + end)
-                    counts.append(len(ids) // encoder.dtype.itemsize + 1)
-            total += sum(counts)
-            index.write_batch(pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64())], schema=INDEX))
+            for _, lengths, codes, words in coded_words(batch.column("text")):
+                ids, n = encoder.encode(lengths, codes, words.to_pylist(), end_id)
+                writer.add(ids)
+                counts.append(n)
+                total += len(ids)
+            index.write_batch(pa.record_batch([batch.column("doc_id"), pa.array(np.concatenate(counts), pa.int64())], schema=INDEX))
         if writer is not None:
             writer.close()
             index.close()
@@ -189,11 +206,12 @@ def read_documents(files: DataFrame) -> DataFrame:
             for f in batch.to_pylist():
                 yield from _documents(f)
 
-    return files.repartition("part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
+    # by number, so that files stay apart: every id passes the task that reads its file
+    return files.repartition(max(1, files.count()), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
 
 
 def _documents(f: dict) -> Iterator[pa.RecordBatch]:
-    runs, held, at = SequenceFile(f["path"]).runs(), np.empty(0, np.uint16), 0
+    runs, held, at = SequenceFile(f["path"]).runs(), np.empty(0, "<u4"), 0
     start = f["start"]
     index = pa.ipc.open_file(open_file(f["index_path"]))
     for b in range(index.num_record_batches):
@@ -204,9 +222,9 @@ def _documents(f: dict) -> Iterator[pa.RecordBatch]:
             crc, left = 0, n
             while left:
                 if at == len(held):
-                    held, at = next(runs), 0
+                    held, at = next(runs).astype("<u4"), 0
                 piece = held[at:at + left]
-                crc = zlib.crc32(piece.astype("<u4"), crc)
+                crc = zlib.crc32(piece, crc)
                 at, left = at + len(piece), left - len(piece)
             starts.append(start)
             sums.append(crc)
