@@ -31,13 +31,14 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clickloom.llm.common import WordHash, chunks_of_words, mix64, rolling, texts_of
+from clickloom.llm.common import WordHash, coded_words, mix64, rolling
 
 SHINGLE = 5
 #: Bits.  Copies differ by 0, edits of single words by 6 to 8, one stretch replaced down to similarity 0.75 by 15 or,
@@ -45,6 +46,8 @@ SHINGLE = 5
 RADIUS = 15
 #: A fingerprint takes 11 kB of tables (697 neighbours of each block), an item about ten fingerprints.
 SLICE_BYTES = 1 << 20
+#: Bits of the shingles' hashes in the table that tells whether any item has them.
+SOME_BITS = 22
 #: Words in one run of prefix sums: 16,384 x 64 x 2 bytes.
 RUN = 16_384
 
@@ -126,6 +129,10 @@ class Index:
                 for offset, f in enumerate(prints_of(hashes, window).tolist()):
                     short[window, stride].append((f, i, offset))
         self.shingles = self._shingles(word)
+        #: which low bits the items' shingles have
+        self.some = np.zeros(1 << SOME_BITS, bool)
+        for w in self.words.values():
+            self.some[rolling(word.of([w])[0], SHINGLE) & np.uint64((1 << SOME_BITS) - 1)] = True
         flips = [sum(1 << b for b in bits) for n in range(radius // 4 + 1) for bits in combinations(range(16), n)]
         self.flips = np.array(flips, np.uint16)
         self.classes = [self._class(c, found, self.flips) for c, found in sorted(prints.items())]
@@ -137,12 +144,16 @@ class Index:
         own = [rolling(word.of([w])[0], SHINGLE) ^ mix64(np.array([i], np.uint64)) for i, w in self.words.items()]
         return np.unique(np.concatenate([np.empty(0, np.uint64), *own]))
 
-    def sharing(self, shingles: np.ndarray, first: np.ndarray, window: int, items: np.ndarray) -> np.ndarray:
-        """Whether the windows at ``first`` share a shingle with their items, or needn't.  A text as long as the item, at most
-        two words off its alignment, has up to length - window + 2 shingles that aren't the window's."""
+    def needless(self, window: int, items: np.ndarray) -> np.ndarray:
+        """Whether a window may hold these items without a shingle in common.  A text as long as the item, at most two words
+        off its alignment, has up to length - window + 2 shingles that aren't the window's."""
         length = np.array([len(self.words[i]) for i in items.tolist()], np.int64)
         t = self.threshold
-        out = (2 * t / (1 + t) * (length - SHINGLE + 1) <= length - window + 2) | (window < SHINGLE)
+        return (2 * t / (1 + t) * (length - SHINGLE + 1) <= length - window + 2) | (window < SHINGLE)
+
+    def sharing(self, shingles: np.ndarray, first: np.ndarray, window: int, items: np.ndarray) -> np.ndarray:
+        """Whether the windows at ``first`` share a shingle with their items, or needn't."""
+        out = self.needless(window, items)
         ask = np.flatnonzero(~out)
         for k in range(0, len(ask), 1 << 14):
             who = ask[k:k + (1 << 14)]
@@ -187,27 +198,39 @@ class Index:
     def hits(self, word: WordHash, lists: list[list[bytes]], threshold: float) -> list[tuple[int, int, float, int]]:
         """(list, item, similarity, first word) of each list and item that reach the threshold; the best place."""
         hashes, n = word.of(lists)
+        return self.hits_in(hashes, n, lambda d, lo, hi: lists[d][lo:hi], threshold)
+
+    def hits_in(self, hashes: np.ndarray, n: np.ndarray, words: Callable[[int, int, int], list], threshold: float) -> list[tuple[int, int, float, int]]:
+        """The same of texts by their words' hashes and numbers; ``words`` gives a text's words from one place to another.
+
+        Windows without any shingle of the slice's items are out before their fingerprints are made, unless their class
+        has items that ``needless`` says may be found without: what remains is what ``sharing`` would let pass."""
         begins, shingles = np.cumsum(n) - n, rolling(hashes, SHINGLE)
+        seen = np.concatenate([[0], np.cumsum(self.some[shingles & np.uint64((1 << SOME_BITS) - 1)])])
         probes = []
         for kind, vary in ((self.classes, False), (self.short, True)):
             for window, stride, f, origin, tables in kind:
                 least = window + stride - 1
                 who = np.flatnonzero((n >= least) & (n < least + max(1, least // 8)) if vary else n >= window)
                 place, text = places(n, who, window, stride)
+                if len(place) and not vary and not self.needless(window, np.unique(origin[:, 0])).any():
+                    keep = seen[place + window - SHINGLE + 1] > seen[place]
+                    place, text = place[keep], text[keep]
                 if len(place):
                     cuts = np.searchsorted(place, np.arange(0, len(hashes) + RUN, RUN))
                     probes.append((window, f, origin, tables, vary, place, text, cuts))
         widest = max((p[0] for p in probes), default=0)
         tried: dict[tuple[int, int], set[int]] = defaultdict(set)
         for run, at in enumerate(range(0, len(hashes) if probes else 0, RUN)):
+            here = [p for p in probes if p[-1][run] < p[-1][run + 1]]
+            if not here:
+                continue
             part = hashes[at:at + RUN + widest - 1]
             bits = pair_bits(part) if len(part) > 1 else np.empty((0, 64), np.int16)
             running = np.zeros((len(bits) + 1, 64), np.int16)
             np.cumsum(bits, axis=0, dtype=np.int16, out=running[1:])
-            for window, f, origin, tables, vary, place, text, cuts in probes:
+            for window, f, origin, tables, vary, place, text, cuts in here:
                 a, b = cuts[run], cuts[run + 1]
-                if a == b:
-                    continue
                 first = place[a:b] - at
                 if window == 1:
                     prints = mix64(part[first].view(np.uint64))
@@ -223,10 +246,10 @@ class Index:
                     tried[d, x].add(p)
         out = []
         for (d, item), at in tried.items():
-            want, have = self.words[item], lists[d]
+            want, size = self.words[item], int(n[d])
             best, first = 0.0, 0
-            for p in sorted({min(max(q + shift, 0), max(0, len(have) - len(want))) for q in at for shift in (-2, -1, 0, 1, 2)}):
-                s = weighted_similarity(want, have[p:p + len(want)])
+            for p in sorted({min(max(q + shift, 0), max(0, size - len(want))) for q in at for shift in (-2, -1, 0, 1, 2)}):
+                s = weighted_similarity(want, words(d, p, p + len(want)))
                 if s > best:
                     best, first = s, p
             if best >= threshold:
@@ -251,8 +274,15 @@ def _hits(batches, items: list[tuple[int, bytes]], threshold: float, radius: int
     index, word = Index([(x, t) for x, (_, t) in enumerate(items)], radius, threshold), WordHash.shared()
     for batch in batches:
         best: dict[tuple[int, int | None], tuple[float, int]] = {}
-        for first, lists in chunks_of_words(texts_of(batch, "text"), lower=True, most=200_000):
-            for d, item, s, p in index.hits(word, lists, threshold):
+        for first, n, codes, coded in coded_words(batch.column("text"), lower=True, most=1 << 21):
+            spelled = coded.cast(pa.large_binary()).to_pylist()
+            hashes = np.fromiter(map(word.__getitem__, spelled), np.int64, len(spelled))[codes]
+            begins = np.cumsum(n) - n
+
+            def words(d: int, lo: int, hi: int, spelled=spelled, codes=codes, begins=begins, n=n) -> list[bytes]:
+                return [spelled[c] for c in codes[begins[d] + lo:begins[d] + min(hi, n[d])].tolist()]
+
+            for d, item, s, p in index.hits_in(hashes, n, words, threshold):
                 if s > best.get((first + d, names[item]), (0.0,))[0]:
                     best[first + d, names[item]] = (s, p)
         yield batch, [(d, i, s, p) for (d, i), (s, p) in best.items()]
