@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom import model
 from clickloom.functions import shapes
 from clickloom.functions.scalars import json_quote
+from clickloom.session import scratch_path
 
 
 def _keys_of(text: Column) -> Column:
@@ -222,3 +225,64 @@ def label_segments(requests: DataFrame, fn: LabelFn | None = None, schema: str =
     if fn is None:
         return rule_labels(requests)
     return requests.select("rec_id", "seg", "request_json").mapInPandas(fn, schema)
+
+
+class Labeler(Protocol):
+    """What a plug-in is.  It travels to the workers pickled, as it was before ``setup``."""
+
+    #: Labelers of one name share their set-up in a worker.
+    name: str
+
+    def setup(self) -> Callable[[str], str]:
+        """Open what answering needs (clients, models), once a worker; gives the function from request to response, both JSON
+        texts.  It may raise: the request is then tried again, and in the end quarantined with the error."""
+
+
+_READY: dict[str, Callable[[str], str]] = {}
+
+
+def _ready(labeler: Labeler) -> Callable[[str], str]:
+    """The labeler's function in this worker, which its later tasks find too."""
+    if labeler.name not in _READY:
+        _READY[labeler.name] = labeler.setup()
+    return _READY[labeler.name]
+
+
+def responses_of(requests: DataFrame, labeler: Labeler, tries: int = 1, keys=("rec_id", "seg")) -> DataFrame:
+    """``keys, response, error`` of every request (``request_json``), each answered once: the answers are written, as they
+    are read more than once and may be dear."""
+    spark = requests.sparkSession
+    keys_l = list(keys)
+
+    def run(batches):
+        answer = _ready(labeler)
+        for batch in batches:
+            said, errors = [], []
+            for request in batch.column("request_json").to_pylist():
+                response = error = None
+                for _ in range(tries):
+                    try:
+                        response, error = answer(request), None
+                        break
+                    except Exception as e:  # noqa: BLE001  whatever a plug-in raises is an answer that failed
+                        error = f"{type(e).__name__}: {e}"
+                said.append(response)
+                errors.append(error)
+            yield pa.record_batch([*(batch.column(k) for k in keys_l), pa.array(said, pa.string()), pa.array(errors, pa.string())], names=[*keys_l, "response", "error"])
+
+    schema = ", ".join(f"`{k}` {requests.schema[k].dataType.simpleString()}" for k in keys_l) + ", response string, error string"
+    path = scratch_path(spark, "responses")
+    requests.select(*keys_l, "request_json").mapInArrow(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def label_with(requests: DataFrame, labeler: Labeler, tries: int = 1, keys=("rec_id", "seg")) -> tuple[DataFrame, DataFrame]:
+    """The labels of a plug-in (``keys`` and F5's columns), and the quarantine: ``keys, response, error`` of requests that
+    failed, got no answer, or one that isn't a label (F5)."""
+    keys_l = list(keys)
+    checked = check_label_schema(responses_of(requests, labeler, tries, keys))
+    error = F.coalesce(F.col("error"), F.when(F.col("response").isNull(), "no answer"), F.when(~F.col("ok"), F.concat(F.lit("not a label: "), F.col("problems"))))
+    checked = checked.withColumn("error", error)
+    p = F.from_json("response", model.LABEL)
+    labels = checked.filter(F.col("error").isNull()).select(*keys_l, *[p[c].alias(c) for c in model.LABEL.names])
+    return labels, checked.filter(F.col("error").isNotNull()).select(*keys_l, "response", "error")

@@ -882,6 +882,38 @@ _LINT_SQL = "WITH " + O.R5 + ",\nmd AS (" + O.render_sql() + """),
     FROM f3 LEFT JOIN broken USING (doc))"""
 
 
+class _Counting:
+    """A plug-in for the query: names the first event and how many there are; some segments raise, some get no JSON."""
+    name = "counting"
+
+    def setup(self):
+        import json
+
+        def answer(request: str) -> str:
+            r = json.loads(request)
+            if r["index"] % 7 == 3:
+                raise ValueError("no answer today")
+            if r["index"] % 7 == 5:
+                return "sorry"
+            return json.dumps({"intent": f"{r['events'][0]['type']} and {len(r['events']) - 1} more", "target_description": None,
+                               "expected_outcome": None, "confidence": "high" if r["index"] % 2 else "sure"})
+        return answer
+
+
+@register("plugged_labeler", "WITH " + O.segment_sql(GAP) + """ SELECT rec_id, seg, CASE WHEN error IS NULL THEN intent END AS intent, CASE WHEN error IS NULL THEN 'high' END AS confidence, error
+  FROM (SELECT *, CASE WHEN seg % 7 = 3 THEN 'ValueError: no answer today' WHEN seg % 7 = 5 THEN 'not a label: invalid JSON'
+      WHEN seg % 2 = 0 THEN 'not a label: bad confidence' END AS error FROM
+    (SELECT rec_id, seg, arg_min(type, ord) || ' and ' || CAST(count(*) - 1 AS VARCHAR) || ' more' AS intent FROM seg GROUP BY rec_id, seg) x) y""")
+def q_plugged_labeler(spark, sf):
+    from clickloom.operators.labels import label_requests, label_with
+    from clickloom.operators.summarize import segment_summary
+    seg = _segmented(spark, sf)
+    labels, bad = label_with(label_requests(seg, segment_summary(seg)), _Counting())
+    none = F.lit(None).cast("string")
+    return labels.select("rec_id", "seg", "intent", "confidence", none.alias("error")).unionByName(
+        bad.select("rec_id", "seg", none.alias("intent"), none.alias("confidence"), "error"))
+
+
 @register("render_skill_md", "WITH " + O.R5 + ",\nmd AS (" + O.render_sql() + ") SELECT conv_id, skill_md FROM md")
 def q_render_skill_md(spark, sf):
     return _skill_docs(spark, sf)
