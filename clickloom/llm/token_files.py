@@ -3,7 +3,7 @@
 Documents in ascending id order are encoded, ended by an end id, and written
 one after another as sequences of equal length: each file is an Arrow IPC file
 whose batches hold ``ids`` (fixed_size_list of uint16, or uint32 for
-vocabularies over 65,536) and ``mask`` (fixed_size_list of uint8, 0 on the
+vocabularies over 65,536) and ``mask`` (fixed_size_list of bool, one bit each, false on the
 padding that fills a file's last sequence).  No batch is compressed, so a
 memory map gives any sequence without a copy (``SequenceFile``).  A second
 Arrow file beside it lists the documents: id and number of tokens.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -36,8 +37,8 @@ BATCH = 128
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
 
-#: Words whose ids a worker keeps (about 200 bytes each).
-KNOWN_WORDS = 1_000_000
+#: Words whose ids a worker keeps (about 200 bytes each): half of them are of the latest words, half of those before.
+KNOWN_WORDS = 1_200_000
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
@@ -53,6 +54,21 @@ class WordEncoder:
             raise ValueError("the pre-tokenizer keeps or joins white space, so words can't be encoded one by one")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # where the vocabulary lowers letters, so may Arrow, and fewer words are to be told apart; strings of added tokens
+        # are found before that, letter by letter
+        lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
+        self.lower = lowers
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def coded(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+        """``coded_words`` of the texts in a form that gives the same ids: in lower case where that changes none."""
+        for first, lengths, codes, words in coded_words(texts, lower=self.lower):
+            if self.lower and any(pc.any(pc.match_substring(words, a)).as_py() for a in self.added):
+                part = texts.slice(first, len(lengths))
+                yield from ((n, c, w.to_pylist()) for _, n, c, w in coded_words(part))
+            else:
+                yield lengths, codes, words.to_pylist()
 
     @classmethod
     def of(cls, tokenizer_json: str) -> WordEncoder:
@@ -65,10 +81,16 @@ class WordEncoder:
 
     def words(self, words: list[str]) -> list[bytes]:
         """Each word's ids, as bytes of ``dtype``."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        known = self.known
-        new = [w for w in words if w not in known]
+        if len(self.known) > KNOWN_WORDS // 2:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = []
+        for w in words:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    new.append(w)
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
@@ -94,7 +116,7 @@ class SequenceWriter:
         self.path, self.stream = create(folder, f"ids-{part:05d}")
         self.dtype, self.n = dtype, seq_len
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+        self.schema = pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.out = pa.ipc.new_file(self.stream, self.schema)
         self.held: list[bytes] = []
         self.size = 0
@@ -111,7 +133,7 @@ class SequenceWriter:
             self.size = len(self.held[0])
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = pa.array((np.arange(len(ids)) < real).view(np.uint8))
+        mask = pa.array(np.arange(len(ids)) < real)
         self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), self.n),
                                               pa.FixedSizeListArray.from_arrays(mask, self.n)], schema=self.schema))
 
@@ -130,20 +152,23 @@ class SequenceFile:
         self.file = open_file(path)
         self.reader = pa.ipc.open_file(self.file)
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence i's ids and mask, both views of the mapped file."""
+    def sequence(self, i: int) -> tuple[pa.Array, pa.Array]:
+        """Sequence i's ids and mask as Arrow arrays: slices of the mapped file, nothing is copied."""
         batch = self.reader.get_batch(i // BATCH)
         at, n = i % BATCH, batch.schema.field("ids").type.list_size
-        ids = batch.column("ids").values.slice(at * n, n).to_numpy(zero_copy_only=True)
-        return ids, batch.column("mask").values.slice(at * n, n).to_numpy(zero_copy_only=True).view(np.bool_)
+        return batch.column("ids").values.slice(at * n, n), batch.column("mask").values.slice(at * n, n)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence i's ids (a view of the mapped file) and mask (its bits as bytes)."""
+        ids, mask = self.sequence(i)
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
     def runs(self) -> Iterator[np.ndarray]:
         """All real ids in order, a batch at a time."""
         for b in range(self.reader.num_record_batches):
             batch = self.reader.get_batch(b)
             ids = batch.column("ids").values.to_numpy(zero_copy_only=True)
-            mask = batch.column("mask").values.to_numpy(zero_copy_only=True)
-            yield ids if mask[-1] else ids[:np.count_nonzero(mask)]
+            yield ids[:batch.column("mask").values.true_count]
 
 
 def default_tokenizer() -> str:
@@ -181,8 +206,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str | None = N
                 index_path, stream = create(folder, f"docs-{part:05d}")
                 index = pa.ipc.new_file(stream, INDEX)
             counts = []
-            for _, lengths, codes, words in coded_words(batch.column("text")):
-                ids, n = encoder.encode(lengths, codes, words.to_pylist(), end_id)
+            for lengths, codes, words in encoder.coded(batch.column("text")):
+                ids, n = encoder.encode(lengths, codes, words, end_id)
                 writer.add(ids)
                 counts.append(n)
                 total += len(ids)

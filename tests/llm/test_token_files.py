@@ -1,4 +1,7 @@
 """Token files beside what test_texts.py holds: refused vocabularies, long runs of one id, views instead of copies."""
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,4 +30,29 @@ def test_a_long_run_of_one_id_fills_several_files_that_several_tasks_read(spark)
     assert len(rows) == 4000 and [r["start"] for r in rows] == [4 * i for i in range(4000)]
     f = files.orderBy("part").first()
     ids, mask = token_files.SequenceFile(f["path"])[0]
-    assert not ids.flags.owndata and not mask.flags.owndata and mask.all()
+    assert not ids.flags.owndata and mask.all()
+    a, b = token_files.SequenceFile(f["path"]).sequence(0)
+    assert a.to_pylist() == ids.tolist() and len(b) == 32 and b.true_count == 32
+
+
+def test_words_in_upper_case_and_added_tokens(spark):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(token_files.default_tokenizer())
+    texts = ["The THE the", "x <|ENDOFTEXT|> y", "x <|endoftext|>Y", "İSTANBUL Straße ÉA É", "", None, "A\u0301b"]
+    for rows in (texts, texts[:1], texts[1:2]):
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: r["ids_crc32"] for r in token_files.token_documents(df).collect()}
+        for i, x in enumerate(rows):
+            ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+            assert got[i] == zlib.crc32(np.array(ids, "<u4").tobytes()), x
+
+
+def test_words_are_forgotten_by_halves(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_WORDS", 6)
+    with open(token_files.default_tokenizer(), encoding="utf-8") as f:
+        encoder = token_files.WordEncoder(f.read())
+    for at in range(0, 60, 2):
+        words = [f"w{(at + k) % 17}" for k in range(4)]
+        got = encoder.words(words)
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [encoder.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        assert len(encoder.known) <= 8 and len(encoder.old) <= 8
