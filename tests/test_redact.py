@@ -134,3 +134,24 @@ def test_very_long_literals(spark):
     v = {"t": 'line "x"\n' * 60_000 + " me@here.org", "u": ["z" * 500_000]}
     r = _scrub(spark, [v])[0]
     assert json.loads(r["value_json"]) == {**v, "t": v["t"].replace("me@here.org", "<EMAIL_1>")}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_filter_on_matches_stays_above_the_deal_and_repeats_no_step(spark):
+    from clickloom.operators.redact import detect
+    texts = spark.createDataFrame([(1, "call +44 207 946 0958"), (2, "none")], "doc_id long, text string")
+    found = detect(texts.repartition(3), until="PHONE").filter("n_PHONE > 0")
+    plan = _plan(found)
+    assert plan.count("regexp_extract_all") == 8  # one a pattern
+    assert plan.index("Filter") < plan.index("Repartition")
+    assert [(r["doc_id"], r["len_PHONE"]) for r in found.collect()] == [(1, [16])]
+
+
+def test_placeholders_repeat_no_step_below_a_filter(spark):
+    texts = spark.createDataFrame([(1, 1, 0, "123-45-6789 a@b.co"), (1, 2, 0, "none")], "rec_id long, ord long, leaf long, text string")
+    changed = scrub_leaves(texts).filter("scrubbed <> text")
+    assert _plan(changed).count("split(") <= 2 * 9
+    assert [r["scrubbed"] for r in changed.collect()] == ["<SSN_1> <EMAIL_1>"]
