@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from clickloom import model
+from clickloom.session import listing_by_cores
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Fixed: what Spark's reader of whole files gives.
@@ -35,23 +36,27 @@ def write_batch(path: str):
 
 def run_available(stream_df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available now, then stop (``trigger(availableNow)``)."""
-    q = (stream_df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-         .foreachBatch(write_batch(sink)).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with listing_by_cores(stream_df.sparkSession):
+        q = (stream_df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+             .foreachBatch(write_batch(sink)).trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 def intake(spark: SparkSession, landing: str, path: str = model.UPLOAD_PATH,
            origin: str = model.ALLOWED_ORIGIN_PREFIXES[0], most: int = model.MAX_BODY_BYTES) -> DataFrame:
     """A4: each file landing in ``landing`` is one upload body; admission (A5) runs per micro-batch.  Files above
     ``most`` bytes are answered by their length alone: the length is tested by the reader, before a file is opened,
-    and their rows come from a scan without content.  Files of no bytes at all give no row: Spark's readers skip them."""
+    and their rows come from a scan without content.  Files of no bytes at all give no row: Spark's readers skip them.
+    A batch's splits, of a few small files each, go to four tasks a core."""
     from clickloom.sources.payloads import admission
+    tasks = 4 * spark.sparkContext.defaultParallelism
 
     def files():
-        return spark.readStream.schema(BINARY_FILE).format("binaryFile").option("maxFilesPerTrigger", 10000).load(landing)
+        with listing_by_cores(spark):
+            return spark.readStream.schema(BINARY_FILE).format("binaryFile").option("maxFilesPerTrigger", 10000).load(landing)
 
     def request(rows: DataFrame, body: Column) -> DataFrame:
-        return rows.select(F.col("path").alias("file"), body.cast("string").alias("body"), F.lit(path).alias("path"),
+        return rows.coalesce(tasks).select(F.col("path").alias("file"), body.cast("string").alias("body"), F.lit(path).alias("path"),
                            F.lit(origin).alias("origin"), F.col("length").alias("content_length"))
 
     return admission(request(files().filter(F.col("length") <= most), F.col("content"))

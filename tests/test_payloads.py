@@ -51,3 +51,16 @@ def test_accepted_events_renumbered_and_screenshots_named(spark):
     assert ev[0]["screenshot_path"] == "screenshots/evt_in_1.png"
     blobs = screenshot_blobs(payload_events(acc)).collect()
     assert len(blobs) == 1 and bytes(blobs[0]["bytes"])[:4] == b"\x89PNG"
+
+
+def test_archives_are_opened_once(spark, tmp_path):
+    from clickloom.sources.payloads import read_archive_documents, read_archives, write_archives
+    body = '{"surface": "browser", "started_at": "2024-04-26T10:00:00Z", "ended_at": "2024-04-26T10:05:00Z", "events": [{"id": "a", "ts_ms": 1, "type": "click", "target": {"url": "u"}}]}'
+    write_archives(spark.createDataFrame([("1", body), ("2", None), ("3", "[]")], "name string, body string"), str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["1.zip", "2.zip", "3.zip"]
+    events, rejected = read_archives(spark, f"{tmp_path}/*.zip")
+    docs, _ = read_archive_documents(spark, f"{tmp_path}/*.zip")
+    for df in (events, rejected, docs):
+        assert "MapInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["id"] for r in events.collect()] == ["evt_0001"] and docs.count() == 1
+    assert sorted((r["file"][-5:], r["status"]) for r in rejected.collect()) == [("2.zip", 400), ("3.zip", 500)]

@@ -94,3 +94,18 @@ def test_long_files_are_answered_unopened(spark):
     files = spark.read.format("binaryFile").load(root)
     plan = files.filter(F.col("length") <= 40).select("path", "content")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(length), LessThanOrEqual(length,40)]" in plan
+
+
+def test_uploads_land_in_one_folder_and_are_listed_by_few_tasks(spark):
+    from clickloom.session import LISTING
+    from clickloom.sources.payloads import write_uploads
+    root = tempfile.mkdtemp(prefix="landing-")
+    rows = [(f"page={i}", "[1]") for i in range(60)] + [("page=60", "a"), ("page=60", "a"), ("page=61", None)]
+    write_uploads(spark.createDataFrame(rows, "name string, body string").repartition(3), root)
+    held = {n: open(f"{root}/{n}").read() for n in os.listdir(root)}
+    assert held == {**{f"page={i}.txt": "[1]\n" for i in range(60)}, "page=60.txt": "a\na\n", "page=61.txt": "\n"}
+    before = spark.conf.get(LISTING)
+    run_available(intake(spark, root), f"{root}-sink", f"{root}-checkpoint")
+    assert spark.conf.get(LISTING) == before
+    got = spark.read.parquet(f"{root}-sink")
+    assert {(r["status"], r["n"]) for r in got.groupBy("status").agg(F.count("*").alias("n")).collect()} == {(500, 60), (400, 2)}
