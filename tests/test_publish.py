@@ -117,3 +117,12 @@ def test_batches_share_a_registry(spark):
     again = assign_dirs(starts(spark, [(3, 5), (4, 6)]), registry, 1)  # the batch runs once more
     assert names(again) == [b + "-2", "browser-19700101T000006"]
     assert names(assign_dirs(starts(spark, [(5, 5)]), registry, 2)) == [b + "-3"]
+
+
+def test_folders_of_targets_are_written_by_many_tasks(spark, tmp_path):
+    from clickloom.sources.publish import publish
+    docs = spark.range(64).select(F.col("id").alias("doc"), F.lit("user").alias("scope"), F.concat(F.lit("d"), F.col("id").cast("string")).alias("name"))
+    publish(docs.coalesce(1), str(tmp_path))
+    made = list(tmp_path.glob("scope=user/name=*/part-*.parquet"))
+    assert len(made) == 64
+    assert len({p.name.split("-")[1] for p in made}) > 4  # a task's number is in its files' names
