@@ -99,3 +99,12 @@ def test_build_is_the_same_in_chunks(spark):
         assert len(want) > 10
         for chunk in (2, 6):
             assert out(chunk, **kw) == want, (chunk, kw)
+
+
+def test_an_ord_that_repeats_is_one_event_after_scrub(spark):
+    ev = make_events(spark, [{"ts_ms": i, "type": "input", "value": v} for i, v in enumerate(["plain", "me@here.org", "words"])], 2)
+    twice = ev.unionByName(ev).unionByName(make_events(spark, [{"ts_ms": 9, "type": "input", "value": v} for v in ("x", "y")], 2))
+    got = [(r["ord"], r["redacted"]) for r in scrub_events(twice).orderBy("ord").collect()]
+    assert got == [(1, False), (2, True), (3, False)]
+    nobody = scrub_events(ev.withColumn("rec_id", ev["rec_id"] + None)).orderBy("ord").collect()
+    assert [r["value_json"] for r in nobody] == ['"plain"', '"<EMAIL_1>"', '"words"']
